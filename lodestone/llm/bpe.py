@@ -30,15 +30,23 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, read_table, stored
+from .common import partitions, read_table
 
-#: A chunk takes whole texts until it holds so many bytes.
-CHUNK_BYTES = 4 << 20
+#: A chunk takes whole texts until it holds so many characters.
+CHUNK_CHARS = 12 << 20
 #: Buckets of words for each shuffle partition, 1,024 at least.
 BUCKETS_PER_PARTITION = 16
 #: A worker forgets the words it has merged when it holds so many (they come sorted by bucket, so this is rare).
 REMEMBERED = 1_000_000
-CHUNK_SCHEMA = "kind string, part int, no int, docs array<bigint>, counts array<int>, seq binary, bucket int, start int, n int, words binary"
+SEQS = pa.schema([("part", pa.int32()), ("no", pa.int32()), ("mark", pa.int64()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("seq", pa.binary())])
+WORDS = pa.schema([("part", pa.int32()), ("no", pa.int32()), ("mark", pa.int64()), ("bucket", pa.int32()), ("n", pa.int32()), ("numbers", pa.binary()), ("words", pa.binary())])
+ENCODED = pa.schema([("part", pa.int32()), ("no", pa.int32()), ("mark", pa.int64()), ("n", pa.int32()), ("numbers", pa.binary()), ("ids", pa.binary())])
+IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+
+
+def sql_schema(schema: pa.Schema) -> str:
+    kinds = {pa.int32(): "int", pa.int64(): "bigint", pa.binary(): "binary", pa.list_(pa.int64()): "array<bigint>", pa.list_(pa.int32()): "array<int>"}
+    return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
 
 
 def load_ranks(path: str | None = None) -> dict[bytes, int]:
@@ -46,12 +54,22 @@ def load_ranks(path: str | None = None) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def squeezed(array: np.ndarray | bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(array if isinstance(array, bytes) else np.ascontiguousarray(array).tobytes())
+class Packer:
+    """Numbers below 2**32 as planes of bytes, so that equal high bytes stand together, and compressed."""
 
+    def __init__(self) -> None:
+        self.press, self.open = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 
-def unsqueezed(data: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+    def pack(self, *arrays: np.ndarray) -> bytes:
+        return self.press.compress(b"".join(np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for a in arrays))
+
+    def unpack(self, data: bytes, *sizes: int) -> list[np.ndarray]:
+        """Arrays of these sizes, and one of what is left."""
+        raw, out, at = np.frombuffer(self.open.decompress(data), np.uint8), [], 0
+        for n in [*sizes, len(raw) // 4 - sum(sizes)]:
+            out.append(np.ascontiguousarray(raw[at : at + 4 * n].reshape(4, n).T).view("<u4").ravel().astype(np.int64))
+            at += 4 * n
+        return out
 
 
 def chunked(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[list[tuple]]:
@@ -70,32 +88,45 @@ def chunked(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[list[tupl
         yield rows
 
 
-def _pack(batches: Iterable[pa.RecordBatch], pattern: str, buckets: int, limit: int) -> Iterator[pa.RecordBatch]:
-    find, part = regex.compile(pattern).findall, TaskContext.get().partitionId()
+def numbered(batches: Iterable[pa.RecordBatch], pattern: str, limit: int) -> Iterator[tuple[int, int, list, list[int], np.ndarray, list[bytes]]]:
+    """Per chunk: its number, a mark of its words, the ids, the pre-tokens of each text, the pre-tokens as numbers, and the words by number.
+
+    The most frequent word is number 0. Both passes over the texts come to the same numbers as long as the input's
+    rows come in the same order, which holds for tables; the mark proves it.
+    """
+    find = regex.compile(pattern).findall
     for no, rows in enumerate(chunked(batches, limit)):
         number: dict[str, int] = defaultdict(itertools.count().__next__)
         seqs = [np.fromiter(map(number.__getitem__, find(text)), np.int32) for _, text in rows]
-        words = [w.encode() for w in number]
-        bucket = np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in words), np.int32, len(words))
-        order = np.argsort(bucket, kind="stable")
+        flat, words = np.concatenate(seqs), [w.encode() for w in number]
+        order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
         rank = np.empty(len(words), np.int32)
         rank[order] = np.arange(len(words), dtype=np.int32)
-        flat = rank[np.concatenate(seqs)] if words else np.zeros(0, np.int32)
-        row = {"kind": "seq", "part": part, "no": no, "docs": [r[0] for r in rows], "counts": [len(s) for s in seqs], "seq": squeezed(flat)}
-        yield pa.RecordBatch.from_pylist([row], schema=ARROW)
-        used, starts, counts = np.unique(bucket[order], return_index=True, return_counts=True)
-        out = []
-        for b, start, n in zip(used.tolist(), starts.tolist(), counts.tolist(), strict=True):
-            own = [words[i] for i in order[start : start + n].tolist()]
-            sizes = np.fromiter(map(len, own), np.uint32, n)
-            out.append({"kind": "words", "part": part, "no": no, "bucket": b, "start": start, "n": n, "words": squeezed(sizes.tobytes() + b"".join(own))})
-        if out:
-            yield pa.RecordBatch.from_pylist(out, schema=ARROW)
+        words = [words[i] for i in order.tolist()]
+        mark = xxhash.xxh3_64_intdigest(b"\0".join(words)) - (1 << 63)
+        yield no, mark, [r[0] for r in rows], [len(s) for s in seqs], rank[flat] if words else flat, words
 
 
-ARROW = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("no", pa.int32()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("seq", pa.binary()), ("bucket", pa.int32()), ("start", pa.int32()), ("n", pa.int32()), ("words", pa.binary())])
-ENCODED = pa.schema([("part", pa.int32()), ("no", pa.int32()), ("start", pa.int32()), ("n", pa.int32()), ("ids", pa.binary())])
-IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+def _positions(batches: Iterable[pa.RecordBatch], pattern: str, limit: int) -> Iterator[pa.RecordBatch]:
+    part, packer = TaskContext.get().partitionId(), Packer()
+    for no, mark, docs, counts, seq, _ in numbered(batches, pattern, limit):
+        yield pa.RecordBatch.from_pylist([{"part": part, "no": no, "mark": mark, "docs": docs, "counts": counts, "seq": packer.pack(seq)}], schema=SEQS)
+
+
+def _words(batches: Iterable[pa.RecordBatch], pattern: str, limit: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    part, packer = TaskContext.get().partitionId(), Packer()
+    for no, mark, _, _, _, words in numbered(batches, pattern, limit):
+        bucket = np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in words), np.int32, len(words))
+        order = np.argsort(bucket, kind="stable")
+        used, starts = np.unique(bucket[order], return_index=True)
+        out = []
+        for b, numbers in zip(used.tolist(), np.split(order, starts[1:]), strict=True):
+            own = [words[k] for k in numbers.tolist()]
+            sizes = np.fromiter(map(len, own), np.uint32, len(own))
+            text = packer.press.compress(sizes.tobytes() + b"".join(own))
+            out.append((part, no, mark, b, len(own), packer.pack(np.diff(numbers, prepend=0)), text))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), WORDS, strict=True)], schema=WORDS)
 
 
 def single_piece_encoder(ranks: dict[bytes, int]):
@@ -104,12 +135,13 @@ def single_piece_encoder(ranks: dict[bytes, int]):
 
 
 def _merge(batches: Iterable[pa.RecordBatch], ranks: Broadcast) -> Iterator[pa.RecordBatch]:
-    encode, known = single_piece_encoder(ranks.value), {}
+    """Each distinct word of a bucket is merged once; ids take the words' place."""
+    encode, known, packer = single_piece_encoder(ranks.value), {}, Packer()
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             out = []
-            for part, no, start, n, packed in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
-                data = zstandard.ZstdDecompressor().decompress(packed)
+            for part, no, mark, n, numbers, packed in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                data = packer.open.decompress(packed)
                 ends = np.cumsum(np.frombuffer(data, np.uint32, n), dtype=np.int64) + 4 * n
                 found, begin = [], 4 * n
                 for end in ends.tolist():
@@ -122,28 +154,29 @@ def _merge(batches: Iterable[pa.RecordBatch], ranks: Broadcast) -> Iterator[pa.R
                 if len(known) > REMEMBERED:
                     known.clear()
                 counts = np.fromiter(map(len, found), np.uint32, n)
-                ids = np.fromiter(itertools.chain.from_iterable(found), np.uint32)
-                out.append((part, no, start, n, squeezed(counts.tobytes() + ids.tobytes())))
+                out.append((part, no, mark, n, numbers, packer.pack(counts, np.fromiter(itertools.chain.from_iterable(found), np.uint32))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), ENCODED, strict=True)], schema=ENCODED)
 
 
 def _reassemble(seqs: pa.Table, encoded: pa.Table) -> pa.Table:
-    """All of one chunk: positions and word ids to the documents' ids."""
-    words = encoded.sort_by("start")
-    counts, pieces = [], []
-    for n, packed in zip(words["n"].to_pylist(), words["ids"].to_pylist(), strict=True):
-        both = unsqueezed(packed, np.uint32)
-        counts.append(both[:n])
-        pieces.append(both[n:])
-    count = np.concatenate(counts).astype(np.int64) if counts else np.zeros(0, np.int64)
-    ids = np.concatenate(pieces).astype(np.int32) if pieces else np.zeros(0, np.int32)
-    first = np.cumsum(count) - count
+    """All of one chunk: words' ids joined to positions."""
+    packer, numbers, counts, pieces = Packer(), [], [], []
+    if set(encoded["mark"].to_pylist()) - set(seqs["mark"].to_pylist()):
+        raise ValueError("the input's rows came in another order the second time; store it first")
+    for n, own, packed in zip(encoded["n"].to_pylist(), encoded["numbers"].to_pylist(), encoded["ids"].to_pylist(), strict=True):
+        numbers.append(np.cumsum(packer.unpack(own)[-1]))
+        count, ids = packer.unpack(packed, n)
+        counts.append(count)
+        pieces.append(ids)
+    number, count, ids = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (numbers, counts, pieces))
+    place = np.argsort(number)
+    if not np.array_equal(number[place], np.arange(len(number))):
+        raise ValueError("a chunk's words are missing")
+    first, count = (np.cumsum(count) - count)[place], count[place]
     docs, offsets, parts, total = [], [0], [], 0
     for own, sizes, packed in zip(seqs["docs"].to_pylist(), seqs["counts"].to_pylist(), seqs["seq"].to_pylist(), strict=True):
-        seq = unsqueezed(packed, np.int32)
-        if len(seq) and int(seq.max()) >= len(count):
-            raise ValueError("a chunk's words are missing")
+        seq = packer.unpack(packed)[-1]
         n = count[seq]
         ends = np.cumsum(n)
         # position i of the output takes the id at (first of its word) + (i - begin of its word's copy)
@@ -152,22 +185,22 @@ def _reassemble(seqs: pa.Table, encoded: pa.Table) -> pa.Table:
         for at in np.cumsum(sizes, dtype=np.int64).tolist():
             offsets.append(total + (int(ends[at - 1]) if at else 0))
         total += int(n.sum())
-    if total > 2**31 - 1:
-        raise ValueError("a chunk has too many ids")
-    values = pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32), pa.int32())
+    values = pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int32())
     return pa.table([pa.array(docs, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], schema=IDS)
 
 
-def encode(docs: DataFrame, ranks: Broadcast, *, pattern: str = public_tokenizers.PATTERN, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Rows (doc_id, ids array<int>), one for each row of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    buckets = max(1024, BUCKETS_PER_PARTITION * partitions(spark))
-    packed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(functools.partial(_pack, pattern=pattern, buckets=buckets, limit=chunk_bytes), CHUNK_SCHEMA)
-    chunks = stored(packed, "bpe-chunks")
-    words = chunks.filter("kind = 'words'").select("part", "no", "start", "n", "words", "bucket").repartition("bucket").sortWithinPartitions("bucket")
-    encoded = words.select("part", "no", "start", "n", "words").mapInArrow(functools.partial(_merge, ranks=ranks), "part int, no int, start int, n int, ids binary")
-    seqs = chunks.filter("kind = 'seq'").select("part", "no", "docs", "counts", "seq")
-    return seqs.groupBy("part", "no").cogroup(encoded.groupBy("part", "no")).applyInArrow(_reassemble, "doc_id long, ids array<int>")
+def encode(docs: DataFrame, ranks: Broadcast, *, pattern: str = public_tokenizers.PATTERN, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """Rows (doc_id, ids array<int>), one for each row of docs (doc_id, text), a table or a stored frame.
+
+    The texts are read twice, once for the words and once for the positions: that costs less than to store either.
+    """
+    buckets = max(1024, BUCKETS_PER_PARTITION * partitions(docs.sparkSession))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    words = texts.mapInArrow(functools.partial(_words, pattern=pattern, limit=chunk_chars, buckets=buckets), sql_schema(WORDS))
+    words = words.repartition("bucket").sortWithinPartitions("bucket").drop("bucket")
+    encoded = words.mapInArrow(functools.partial(_merge, ranks=ranks), sql_schema(ENCODED))
+    seqs = texts.mapInArrow(functools.partial(_positions, pattern=pattern, limit=chunk_chars), sql_schema(SEQS))
+    return seqs.groupBy("part", "no").cogroup(encoded.groupBy("part", "no")).applyInArrow(_reassemble, sql_schema(IDS))
 
 
 def decoder(ranks: dict[bytes, int]) -> list[bytes]:
