@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, exact_dedup, mixing, warc
+from . import bpe, embedding_dedup, exact_dedup, mixing, ngram_join, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc": warc.op1_warc,
         "op2_embedding_dedup": embedding_dedup.op2_embedding_dedup,
         "op4_mixing": mixing.op4_mixing,
+        "op5_ngram_join": ngram_join.op5_ngram_join,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op8_bpe": bpe.op8_bpe,
     }
