@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import partitions, read_table
 
 #: A chunk takes whole texts until it holds so many characters.
-CHUNK_CHARS = 12 << 20
+CHUNK_CHARS = 6 << 20
 #: Buckets of words for each shuffle partition, 1,024 at least.
 BUCKETS_PER_PARTITION = 16
 #: A worker forgets the words it has merged when it holds so many (they come sorted by bucket, so this is rare).
