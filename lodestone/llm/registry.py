@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, exact_dedup, mixing, ngram_join, quality, warc
+from . import bpe, embedding_dedup, exact_dedup, mixing, ngram_join, quality, substring_dedup, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_ngram_join": ngram_join.op5_ngram_join,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op8_bpe": bpe.op8_bpe,
+        "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_quality": quality.op10_quality,
     }
 
