@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, exact_dedup, mixing, ngram_join, quality, substring_dedup, warc
+from . import bpe, embedding_dedup, exact_dedup, lm_scoring, mixing, ngram_join, quality, substring_dedup, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": warc.op1_warc,
         "op2_embedding_dedup": embedding_dedup.op2_embedding_dedup,
+        "op3_lm_scoring": lm_scoring.op3_lm_scoring,
         "op4_mixing": mixing.op4_mixing,
         "op5_ngram_join": ngram_join.op5_ngram_join,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
