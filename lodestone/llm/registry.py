@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, exact_dedup, lm_scoring, mixing, ngram_join, quality, substring_dedup, warc
+from . import bpe, embedding_dedup, exact_dedup, line_dedup, lm_scoring, mixing, ngram_join, quality, substring_dedup, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mixing": mixing.op4_mixing,
         "op5_ngram_join": ngram_join.op5_ngram_join,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_bpe": bpe.op8_bpe,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_quality": quality.op10_quality,
@@ -24,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.OP1_SQL, "op4_mixing": mixing.OP4_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL}
+    return {"op1_warc": warc.OP1_SQL, "op4_mixing": mixing.OP4_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL, "op7_line_dedup": line_dedup.OP7_SQL}
