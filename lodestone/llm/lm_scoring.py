@@ -190,21 +190,28 @@ class LogBilinear:
         return out
 
 
-def nce_steps(model: LogBilinear, code: np.ndarray, n: np.ndarray, noise: np.ndarray, rng: np.random.Generator) -> None:
-    """One pass over trigrams with their counts: data against NOISE draws from the unigram distribution each."""
-    square, log_noise, cumulative = np.zeros_like(model.flat), np.log(NOISE * noise).astype(np.float32), np.cumsum(noise)
+def noise_table(unigram: np.ndarray) -> np.ndarray:
+    """Classes in proportion to their frequency, each at least once: a draw is a random place of it."""
+    return np.repeat(np.arange(CLASSES, dtype=np.int32), np.maximum(1, np.round(unigram * (1 << 18))).astype(np.int64))
+
+
+def nce_steps(model: LogBilinear, code: np.ndarray, n: np.ndarray, table: np.ndarray, rng: np.random.Generator) -> None:
+    """One pass over trigrams with their counts: data against NOISE draws from the noise table each."""
+    square, log_noise = np.zeros_like(model.flat), np.log(NOISE * np.bincount(table, minlength=CLASSES) / len(table)).astype(np.float32)
     order = rng.permutation(len(code))
     for at in range(0, len(order), BATCH):
         k = order[at : at + BATCH]
-        c, ab = code[k] % CLASSES, code[k] // CLASSES
-        a, b, weight = ab // CLASSES, ab % CLASSES, n[k] / n[k].sum()
-        far, near = model.products()
-        grads = [np.zeros(CLASSES * CLASSES), np.zeros(CLASSES * CLASSES), np.zeros(CLASSES)]
+        ab, c = np.divmod(code[k].astype(np.int32), np.int32(CLASSES))
+        a, b = np.divmod(ab, np.int32(CLASSES))
+        weight = (n[k] / n[k].sum()).astype(np.float32)
+        far, near = (x.astype(np.float32).ravel() for x in model.products())
+        bias, grads = model.b - log_noise, [np.zeros(CLASSES * CLASSES), np.zeros(CLASSES * CLASSES), np.zeros(CLASSES)]
         for draw in range(NOISE + 1):
-            w = c if draw == 0 else np.minimum(np.searchsorted(cumulative, rng.random(len(k))), CLASSES - 1)
-            p = 1 / (1 + np.exp(-np.clip(far[a, w] + near[b, w] + model.b[w] - log_noise[w], -30, 30)))
-            g = weight * ((p - 1) if draw == 0 else p)
-            for out, place in zip(grads, (a * CLASSES + w, b * CLASSES + w, w), strict=True):
+            w = c if draw == 0 else table.take(rng.integers(0, len(table), len(k), dtype=np.int32))
+            places = (a * np.int32(CLASSES) + w, b * np.int32(CLASSES) + w, w)
+            g = 1 / (1 + np.exp(-np.clip(far.take(places[0]) + near.take(places[1]) + bias.take(w), -30, 30)))
+            g = weight * (g - np.float32(draw == 0))
+            for out, place in zip(grads, places, strict=True):
                 out += np.bincount(place, g, len(out))
         g = model.gradient(grads[0].reshape(CLASSES, CLASSES), grads[1].reshape(CLASSES, CLASSES), grads[2])
         square += g * g
@@ -235,7 +242,7 @@ def _add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(shards: DataFrame, unigram: np.ndarray, rounds: int = ROUNDS) -> LogBilinear:
     """Rounds of passes over all shards from the same parameters, then their mean."""
     context, model = shards.sparkSession.sparkContext, LogBilinear.start(unigram)
-    noise = context.broadcast(unigram)
+    noise = context.broadcast(noise_table(unigram))
     for at in range(rounds):
         start = context.broadcast(model.flat)
         done = shards.mapInArrow(functools.partial(_train, start=start, noise=noise, seed=at), "tokens long, total binary")
@@ -363,7 +370,7 @@ def lm_scores(docs: DataFrame, *, held_out: str = HELD_OUT, rounds: int = ROUNDS
     table = Table(frequent, singles, normaliser, tokens, types)
     table.ends = ends
     shared = context.broadcast(table)
-    shards = stored(rows.mapInArrow(functools.partial(_trigrams, table=shared, limit=chunk_bytes), "tokens long, n int, data binary"), "trigrams")
+    shards = stored(rows.mapInArrow(functools.partial(_trigrams, table=shared, limit=4 * chunk_bytes), "tokens long, n int, data binary"), "trigrams")
     model = train(shards, unigram / unigram.sum(), rounds)
     far, near = model.products()
     scorer = context.broadcast((far, near, model.b, model.log_normalisers()))
