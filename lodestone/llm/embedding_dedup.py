@@ -2,8 +2,8 @@
 
 Filter directions are a structured random product code: a vector is rotated and cut in four blocks, each with a random
 codebook, and every choice of one codeword a block is a direction, millions of them without storing one. A vector
-is list-decoded to all directions that exceed its cap, the widest of a ladder of caps below its best direction that
-holds at least CAP_DIRECTIONS. Vectors that share a direction meet in a join on the filter and are verified by cosine in
+is list-decoded to all directions in its cap, the narrowest of a ladder of caps below its best direction that holds
+at least CAP_DIRECTIONS; where a step of the ladder takes in over MOST times as many, the cap ends within the step. Vectors that share a direction meet in a join on the filter and are verified by cosine in
 double precision. Equal vectors are one class from the start, and a pair is counted only at its smallest common
 direction. No pairs leave a task: each vector's number of links and one link towards the block's root do.
 
@@ -29,7 +29,7 @@ from .graphs import components, group_starts, in_blocks, roots, whole_groups
 
 THRESHOLD = 0.95
 #: Independent product codes, and the directions that a vector's cap holds at least in each.
-TABLES, CAP_DIRECTIONS = 2, 16
+TABLES, CAP_DIRECTIONS, MOST = 2, 16, 4
 #: Blocks of a code; steps of the ladder of caps.
 PARTS, STEP = 4, 0.02
 #: Directions for each vector and cap direction: how rarely unrelated vectors meet.
@@ -48,7 +48,10 @@ def product_code(dim: int, words: int, table: int) -> tuple[np.ndarray, np.ndarr
     """A rotation (of dim filled up to a multiple of PARTS) and the codebooks."""
     rng, wide = np.random.default_rng([SEED, dim, table]), -(-dim // PARTS) * PARTS
     rotation = np.linalg.qr(rng.standard_normal((wide, wide)))[0]
-    books = rng.standard_normal((PARTS, words, wide // PARTS))
+    part = wide // PARTS
+    books = rng.standard_normal((PARTS, min(words, 2 if part == 1 else 4**part), part))
+    if part == 1:  # there are two directions
+        books[:, :, 0] = (1, -1)
     return rotation[:dim], books / (np.linalg.norm(books, axis=2, keepdims=True) * np.sqrt(PARTS))
 
 
@@ -64,7 +67,12 @@ def list_decode(scores: np.ndarray, least: int) -> np.ndarray:
         a, b = np.flatnonzero(left >= cap - most_right), np.flatnonzero(right >= cap - most_left)
         x, y = np.nonzero(left[a][:, None] + right[b][None, :] >= cap)
         if len(x) >= least or step > 200:
-            return a[x].astype(np.int64) * words * words + b[y]
+            break
+    if len(x) > MOST * least:
+        score = left[a][x] + right[b][y]
+        best = score >= np.partition(score, -MOST * least)[-MOST * least]
+        x, y = x[best], y[best]
+    return a[x].astype(np.int64) * words * words + b[y]
 
 
 def directions(vectors: np.ndarray, words: int) -> list[np.ndarray]:
