@@ -13,8 +13,8 @@ that no group is ever expanded to pairs. Both ways end in the verification of th
 Equal lines are one class throughout, found by aggregation. Up to BROADCAST_ROWS keys of shared variants or hashes of their
 lines, a size that is counted first, are broadcast; beyond that the same joins shuffle.
 
-Defined results: null counts as empty text, which has one blank line; null ids come after all others; rows that repeat an id
-are numbered alike, and equal lines of theirs at one place are earliest together, so both stay; an empty table gives
+Defined results: null counts as empty text, which has one blank line; null ids come after all others; equal lines at one place
+of rows that repeat an id are earliest together, so both stay; an empty table gives
 an empty table; other columns are not read.
 """
 
@@ -110,21 +110,23 @@ def near_lines(lines: DataFrame) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc, no): the places of the lines that are removed, once each."""
+    """(doc, no, h1): the lines that are removed, once each. Rows that share an id are told apart by what stands at a place."""
     lines = text_lines(docs)
     near = stored(near_lines(lines), "line-near")
     repeated = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "no")).alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
     kept = repeated.join(near, ["h1", "h2"], "full").select("h1", "h2", F.least("first", "near").alias("kept"))
-    return lines.select("h1", "h2", "doc", "no").join(kept, ["h1", "h2"]).filter(F.struct("doc", "no") > F.col("kept")).select("doc", "no").distinct()
+    return lines.select("h1", "h2", "doc", "no").join(kept, ["h1", "h2"]).filter(F.struct("doc", "no") > F.col("kept")).select("doc", "no", "h1").distinct()
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, text) to (doc_id, n_lines, n_removed, kept_text), one for each row."""
-    gone = removed_lines(docs).groupBy("doc").agg(F.collect_list("no").alias("gone"))
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "text").join(gone, "doc", "left")
-    parts = F.split(F.coalesce("text", F.lit("")), "\n")
-    left = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.filter(parts, lambda line, k: ~F.array_contains(F.col("gone"), k)), "\n"))
-    return rows.select("doc_id", F.size(parts).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), left.alias("kept_text"))
+    gone = removed_lines(docs).groupBy("doc").agg(F.collect_list(F.struct("no", "h1")).alias("gone"))
+    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.coalesce("text", F.lit("")).alias("text")).join(gone, "doc", "left")
+    parts = F.split("text", "\n")
+    left = F.filter(parts, lambda line, k: ~F.array_contains(F.col("gone"), F.struct(k.alias("no"), F.xxhash64(line).alias("h1"))))
+    n_lines = F.size(parts).cast("long")
+    cut = rows.select("doc_id", n_lines.alias("n_lines"), "text", F.when(F.col("gone").isNotNull(), left).alias("left"))
+    return cut.select("doc_id", "n_lines", F.coalesce(F.col("n_lines") - F.size("left"), F.lit(0)).alias("n_removed"), F.coalesce(F.array_join("left", "\n"), "text").alias("kept_text"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
