@@ -172,6 +172,7 @@ def _view_columns(docs: DataFrame) -> list[Column]:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, labelled: int = SAMPLE_LABELLED, unlabelled: int = SAMPLE_UNLABELLED) -> dict:
     """The model: for each target what co_train gives, or a constant score."""
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
     uniform = (F.xxhash64(F.lit("sample"), F.col("doc_id").cast("long")).cast("double") + 2.0**63) / 2.0**64
     given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality"), (1 - F.col("toxic").cast("double")).alias("harmless")).filter("doc_id IS NOT NULL AND (quality IS NOT NULL OR harmless IS NOT NULL)")
     n_labels, n_docs = given.count(), docs.count()
@@ -180,9 +181,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, labelled: int = SAMPLE_LA
     # the sampling rates bound both: about 8,000 and 3,000 rows of three numbers
     chosen = F.broadcast(some.unionByName(free.select("doc_id", F.lit(None).cast("double").alias("quality"), F.lit(None).cast("double").alias("harmless"))))
     features = F.arrow_udf(_features, "struct<shape:array<float>, words:array<int>, meta:array<int>>")(*_view_columns(docs))
-    picked = docs.withColumn("chosen_id", F.col("doc_id").cast("long")).join(chosen.withColumnRenamed("doc_id", "chosen_id"), "chosen_id") if not {"quality", "harmless", "chosen_id"} & set(docs.columns) else None
-    if picked is None:
-        return fit_quality(docs.select("doc_id", "text", "lang", "source", "n_chars"), labels, labelled=labelled, unlabelled=unlabelled)
+    picked = docs.withColumn("chosen_id", F.col("doc_id").cast("long")).join(chosen.withColumnRenamed("doc_id", "chosen_id"), "chosen_id")
     sample = picked.select("doc_id", "quality", "harmless", features.alias("f")).select("doc_id", "quality", "harmless", "f.*").toPandas()
     sample = sample.assign(order=[xxhash.xxh64_intdigest(str(x)) for x in sample["doc_id"]]).sort_values(["order", "doc_id"], ignore_index=True)
     out = {}
