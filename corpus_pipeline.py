@@ -19,7 +19,7 @@ from lodestone.llm.common import SPACE_PATTERN, read_table, stored
 
 
 def _unused(docs: DataFrame, name: str) -> str:
-    while name in docs.columns:
+    while name.lower() in {c.lower() for c in docs.columns}:
         name += "_"
     return name
 
@@ -31,16 +31,17 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def stage_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = exact_dedup.exact_dedup(docs.select("doc_id", "text")).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha")).distinct()
-    name = _unused(docs, "sha")
-    rows = docs.withColumn(name, F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE_PATTERN, " ").cast("binary"), 256))
-    joined = rows.join(kept, (F.col(name) == F.col("kept_sha")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return joined.dropDuplicates([name, "doc_id"]).select(docs.columns)
+    sha, kept_id, kept_sha = (_unused(docs, c) for c in ("sha", "kept_id", "kept_sha"))
+    kept = exact_dedup.exact_dedup(docs.select("doc_id", "text")).filter("kept").select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_sha)).distinct()
+    rows = docs.withColumn(sha, F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE_PATTERN, " ").cast("binary"), 256))
+    joined = rows.join(kept, (F.col(sha) == F.col(kept_sha)) & F.col("doc_id").eqNullSafe(F.col(kept_id)), "left_semi")
+    return joined.dropDuplicates([sha, "doc_id"]).select(docs.columns)
 
 
 def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = ngram_join.near_documents(docs.select("doc_id", "text")).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(docs.columns)
+    kept_id = _unused(docs, "kept_id")
+    kept = ngram_join.near_documents(docs.select("doc_id", "text")).filter("kept").select(F.col("doc_id").alias(kept_id)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)), "left_semi").select(docs.columns)
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
