@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
@@ -37,6 +37,18 @@ def build_index(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text
     return Bm25Index(postings, frequencies, statistics)
 
 
+def write_index(index: Bm25Index, path: str) -> None:
+    """Keeps an index, so that it isn't built for every batch of queries. Postings are laid out by term: a search for few
+    terms skips what their row groups' bounds exclude."""
+    index.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    index.frequencies.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/frequencies")
+    index.statistics.write.mode("overwrite").parquet(f"{path}/statistics")
+
+
+def read_index(spark: SparkSession, path: str) -> Bm25Index:
+    return Bm25Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "frequencies", "statistics")))
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term, qtf): a repeated term weighs as often as it stands."""
     return queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))

@@ -7,6 +7,7 @@ of queries is bounded; more queries take more passes.
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -59,16 +60,16 @@ def _best(batches: Iterable[pa.RecordBatch], queries: Broadcast, k: int, digits:
 
 def cosine_search(vectors: DataFrame, queries: DataFrame, k: int, *, digits: int | None = None, block: int = BLOCK) -> DataFrame:
     """vectors (chunk_id, vector) and queries (query_id, vector) to (query_id, chunk_id, score, rank), the k nearest. All scores count, negative ones too."""
-    spark = vectors.sparkSession
+    spark, found = vectors.sparkSession, None
     kinds = {f.name: f.dataType.simpleString() for f in [*vectors.schema, *queries.schema]}
-    own, found = queries.select("query_id", "vector").collect() if k > 0 else [], None
-    for at in range(0, len(own), block):
-        part = own[at : at + block]
+    rest = queries.select("query_id", "vector").toLocalIterator() if k > 0 else iter(())
+    while part := list(itertools.islice(rest, block)):
         rows, dims = unit_rows([r["vector"] for r in part])
-        shared = spark.sparkContext.broadcast((list(range(at, at + len(part))), rows, dims))
+        shared = spark.sparkContext.broadcast((list(range(len(part))), rows, dims))
         one = vectors.select("chunk_id", "vector").mapInArrow(functools.partial(_best, queries=shared, k=k, digits=digits), f"number long, chunk_id {kinds['chunk_id']}, score double")
+        names = spark.createDataFrame([(n, r["query_id"]) for n, r in enumerate(part)], f"number long, query_id {kinds['query_id']}")
+        one = one.join(F.broadcast(names), "number").select("query_id", "chunk_id", "score")  # a block of names
         found = one if found is None else found.union(one)
     if found is None:
         return spark.createDataFrame([], f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double, rank int")
-    names = spark.createDataFrame([(n, r["query_id"]) for n, r in enumerate(own)], f"number long, query_id {kinds['query_id']}")
-    return top_k(found.join(F.broadcast(names), "number").select("query_id", "chunk_id", "score"), k)
+    return top_k(found, k)
