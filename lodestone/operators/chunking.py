@@ -6,6 +6,7 @@ are independent. Offsets are bytes of UTF-8.
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ def markdown_blocks(text: str) -> Iterator[tuple[int, int, str | None, bool]]:
     """(start, end, path, is code) of the prose between headings and fences, and of the fenced code, fences included."""
     headings: list[str] = []
     begin, at, fence = 0, 0, None
-    for line in text.splitlines(keepends=True) if not regex.search(r"[\r\v\f\x1c-\x1e\x85  ]", text) else regex.findall(r"[^\n]*\n|[^\n]+\Z", text):
+    for line in io.StringIO(text, newline="\n"):
         start, at, bare = at, at + len(line), _left(line)
         if bare.startswith("```"):
             if fence is None:

@@ -12,7 +12,7 @@ from .functions import display, hashing, text, vectors
 from .operators import bm25, chunking, citations, embedding, fusion, vector_search
 from .plans.answering import MockLlm, answer
 from .plans.ingest import changes, document_id, ingest, tally
-from .plans.retrieval import hybrid_candidates, retrieve, retrieve_hybrid
+from .plans.retrieval import retrieve, retrieve_hybrid
 from .plans.store import Store
 from .schemas import LOCATOR, MESSAGE_ROLES, HybridConfig
 from .sources import ignore, readers
