@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -24,8 +24,10 @@ def components(links: DataFrame) -> DataFrame:
         near = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
         hooked = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("component").alias("was"), F.least("component", "c").alias("c"))
         jump = labels.select(F.col("node").alias("c"), F.col("component").alias("further"))
-        labels = stored(hooked.join(jump, "c").select("node", "was", F.least("c", "further").alias("component")), "labels")
+        before, labels = labels, stored(hooked.join(jump, "c").select("node", "was", F.least("c", "further").alias("component")), "labels")
+        discard(before)
         if labels.filter("component <> was").isEmpty():
+            discard(both)
             return labels.select("node", "component")
 
 
@@ -71,24 +73,6 @@ def group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def pairs_in_groups(starts: np.ndarray, total: int, i: np.ndarray, j: np.ndarray, own: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers of the pairs each group is to compare: within its block, or across its two blocks. In parts of about `most`."""
-    sizes = np.diff(np.append(starts, total)).astype(np.int64)
-    work, at = np.cumsum(sizes * sizes), 0
-    while at < len(starts):
-        end = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + most, "right")))
-        n, s = sizes[at:end], starts[at:end]
-        square = n * n
-        base = np.repeat(np.cumsum(square) - square, square)
-        k = np.arange(int(square.sum()), dtype=np.int64) - base
-        wide, first = np.repeat(n, square), np.repeat(s, square)
-        p, q = first + k // wide, first + k % wide
-        same = i[p] == j[p]
-        good = np.where(same, p < q, (own[p] == i[p]) & (own[q] == j[q]))
-        yield p[good], q[good]
-        at = end
-
-
 def roots(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """The smallest row number that each of n rows reaches by the links p-q."""
     low = np.arange(n)
