@@ -511,6 +511,18 @@ def status_fold(spark: SparkSession, sf: str) -> DataFrame:
     return reingest.latest_status(e, "user_id", "event_id")
 
 
+TAB_KIND = "CASE event_type WHEN 'purchase' THEN 'close' WHEN 'error' THEN 'close' ELSE 'open' END"
+
+
+@query(f"""WITH e AS (SELECT user_id, event_id % 17 AS item, event_id, {TAB_KIND} AS kind FROM events),
+l AS (SELECT *, coalesce(lag(kind) OVER (PARTITION BY user_id, item ORDER BY event_id), 'close') AS before FROM e),
+f AS (SELECT user_id, item, arg_max(kind, event_id) AS last, max(event_id) FILTER (kind = 'open' AND before = 'close') AS since, max(event_id) FILTER (kind = 'open') AS touched FROM l GROUP BY user_id, item)
+SELECT user_id, item, row_number() OVER (PARTITION BY user_id ORDER BY since)::INT AS tab, touched = max(touched) OVER (PARTITION BY user_id) AS active FROM f WHERE last = 'open'""")
+def viewer_tabs(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").select("user_id", (F.col("event_id") % 17).alias("item"), "event_id", F.expr(TAB_KIND).alias("kind"))
+    return reingest.open_tabs(e, "user_id", "item", "event_id")
+
+
 @query("SELECT conv_id, turn, role, length(text)::BIGINT AS n_chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS nth, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations")
 def thread_order(spark: SparkSession, sf: str) -> DataFrame:
     own = Window.partitionBy("conv_id").orderBy("turn")

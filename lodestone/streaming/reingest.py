@@ -48,6 +48,18 @@ def latest_status(events: DataFrame, key: str, sequence: str) -> DataFrame:
     return folded.select(key, status.alias("status"))
 
 
+def open_tabs(events: DataFrame, viewer: str, item: str, sequence: str) -> DataFrame:
+    """Folds events (viewer, item, kind open or close) to the tabs that are open: an item once, in the order in which it was last opened anew.
+
+    Opening an item that is open changes nothing but which tab is active: the one opened last.
+    """
+    per = Window.partitionBy(viewer, item).orderBy(sequence)
+    fresh = (F.col("kind") == "open") & (F.coalesce(F.lag("kind").over(per), F.lit("close")) == "close")
+    folded = events.withColumn("anew", F.when(fresh, F.col(sequence))).groupBy(viewer, item).agg(F.max_by("kind", sequence).alias("last"), F.max("anew").alias("since"), F.max(F.when(F.col("kind") == "open", F.col(sequence))).alias("touched"))
+    order, touched = Window.partitionBy(viewer).orderBy("since"), Window.partitionBy(viewer)
+    return folded.filter("last = 'open'").select(viewer, item, F.row_number().over(order).alias("tab"), (F.col("touched") == F.max("touched").over(touched)).alias("active"))
+
+
 def ticks(spark: SparkSession, interval_ms: int, count: int) -> DataFrame:
     """A bounded stream of ticks; an interval below 16 ms counts as 16."""
     return spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("advanceMillisPerBatch", max(16, interval_ms)).load().filter(F.col("value") < count)
