@@ -33,7 +33,7 @@ LAST = 2**63 - 1
 def text_lines(docs: DataFrame) -> DataFrame:
     """(doc, no, line, h1, h2, n): the lines that are not blank, with 128 bits of hash and their number of words."""
     every = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("no", "line"))
-    every = every.filter(~F.col("line").rlike(r"^\s*$"))
+    every = every.filter(F.ltrim("line", F.lit(" \t\r\v\f")) != "")
     n = (F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1).cast("int")
     return every.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(7), "line"), "n": n})
 
