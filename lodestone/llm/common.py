@@ -10,9 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: The bytes that part words: space and 0x09 to 0x0D. bytes.split() without arguments parts at exactly these.
 SPACES = b" \t\n\x0b\x0c\r"
-#: The same as a pattern for Spark SQL and DuckDB.
+#: The same as a pattern for Spark SQL and DuckDB, in runs.
 SPACE_PATTERN = r"[\x20\x09-\x0D]+"
-WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -286,6 +287,13 @@ def test_mixing(docs, rows):
     assert found(mixing.mix(docs)) == found(mixed)
 
 
+def test_words_in(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(" \t\n\x0b\x0c\r\x01\x02aé") for _ in range(rng.randint(0, 12))) for _ in range(400)] + [None, "", " ", "  ", "a", " a ", "\x01\x02"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", mixing.words_in(F.col("t")).alias("n")).collect()
+    assert all(r.n == len((r.t or "").encode().split()) for r in got) and len(got) == len(texts)
+
+
 def test_mixing_comes_near_targets(spark):
     docs = spark.range(6000).selectExpr("id as doc_id", "concat('s', id % 4) as source", "repeat('w ', 20 + cast(id % 7 as int)) as text")
     out = mixing.mixing_plan(docs, keep=["source"]).groupBy("row.source").agg(F.sum(F.col("size") * F.col("copies")).alias("t"), F.first("target").alias("want")).collect()
