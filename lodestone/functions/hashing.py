@@ -53,17 +53,31 @@ def unsigned(value: Column) -> Column:
     return F.when(value < 0, wide + F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(wide).cast("decimal(20,0)")
 
 
-def signature(tokens: list[str]) -> np.ndarray:
-    """The smallest salted hash for each slot over the shingles of tokens; single tokens where there are fewer than SHINGLE."""
-    parts = [" ".join(tokens[k : k + SHINGLE]) for k in range(len(tokens) - SHINGLE + 1)] if len(tokens) >= SHINGLE else tokens
-    if not parts:
-        return np.full(HASHES, 2**64 - 1, np.uint64)
-    base = fnv1a_all([p.encode() for p in dict.fromkeys(parts)])
-    return ((base[:, None] ^ salts()[None, :]) * np.uint64(GOLDEN)).min(axis=0)
+def signatures(texts: list[list[str]]) -> np.ndarray:
+    """For each list of tokens the smallest salted hash for each slot over its shingles, single tokens where there are fewer than SHINGLE.
+
+    Each distinct shingle is hashed once. A list without tokens has the largest number in all slots.
+    """
+    number: dict[str, int] = {}
+    rows = []
+    for tokens in texts:
+        parts = map(" ".join, zip(*(tokens[k:] for k in range(SHINGLE)), strict=False)) if len(tokens) >= SHINGLE else tokens
+        rows.append(np.fromiter({number.setdefault(p, len(number)) for p in parts}, np.int64))
+    base, salt = fnv1a_all([p.encode() for p in number]), salts()
+    out = np.full((len(texts), HASHES), 2**64 - 1, np.uint64)
+    for k, own in enumerate(rows):
+        if len(own):
+            out[k] = ((base[own][:, None] ^ salt) * np.uint64(GOLDEN)).min(axis=0)
+    return out
 
 
 def _signatures(column: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else signature(t).view(np.int64) for t in column.to_pylist()], pa.list_(pa.int64()))
+    out = []
+    for at in range(0, len(column), 256):
+        texts = column.slice(at, 256).to_pylist()
+        found = signatures([t or [] for t in texts]).view(np.int64)
+        out += [None if t is None else row for t, row in zip(texts, found, strict=True)]
+    return pa.array(out, pa.list_(pa.int64()))
 
 
 def minhash(tokens: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +34,31 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(good, dot(a, b) / both).otherwise(0.0)
 
 
+def rows_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """A column of vectors as the rows of a matrix, filled with zeros to the widest, and their dimensions (null: 0)."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    dims = pc.list_value_length(column).fill_null(0).to_numpy().astype(np.int64)
+    values, n = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), len(dims)
+    width = int(dims.max()) if n else 0
+    if n and (dims == width).all():
+        return values.reshape(n, width), dims
+    out = np.zeros((n, width))
+    out[np.repeat(np.arange(n), dims), np.arange(len(values)) - np.repeat(np.cumsum(dims) - dims, dims)] = values
+    return out, dims
+
+
+def unit_rows(rows: np.ndarray) -> np.ndarray:
+    """Rows of length 1; those of no length become zeros."""
+    length = np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.where(length > TINY, rows / np.maximum(length, TINY), 0.0)
+
+
+def as_lists(matrix: np.ndarray) -> pa.Array:
+    """A matrix's rows as a column of single-precision vectors."""
+    n, width = matrix.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(matrix.astype(np.float32).ravel(), pa.float32()))
+
+
 def _encode(column: pa.Array) -> pa.Array:
     return pa.array([None if v is None else np.array(v, "<f4").tobytes() for v in column.to_pylist()], pa.binary())
 

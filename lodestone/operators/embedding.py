@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.hashing import fnv1a_all
-from ..functions.vectors import TINY
+from ..functions.vectors import TINY, as_lists
 
 
 class Embedder(Protocol):
@@ -28,9 +28,8 @@ def bucket_counts(texts: list[str | None], dim: int) -> np.ndarray:
     flat = [number.setdefault(w, len(number)) for row in rows for w in row if w]
     owner = np.repeat(np.arange(len(rows)), [sum(1 for w in row if w) for row in rows])
     bucket = (fnv1a_all([w.encode() for w in number]) % np.uint64(dim)).astype(np.int64)
-    out = np.zeros((len(rows), dim), np.float64)
-    np.add.at(out, (owner, bucket[np.array(flat, np.int64)] if flat else np.zeros(0, np.int64)), 1)
-    return out
+    place = owner * dim + (bucket[np.array(flat, np.int64)] if flat else np.zeros(0, np.int64))
+    return np.bincount(place, minlength=len(rows) * dim).astype(np.float64).reshape(len(rows), dim)
 
 
 class HashEmbedder:
@@ -48,7 +47,7 @@ class HashEmbedder:
         embed = self.embed
 
         def run(texts: pa.Array) -> pa.Array:
-            parts = [embed(texts.slice(at, 512).to_pylist()) for at in range(0, len(texts), 512)]
-            return pa.array([row for p in parts for row in p], pa.list_(pa.float32()))
+            parts = [as_lists(embed(texts.slice(at, 512).to_pylist())) for at in range(0, len(texts), 512)]
+            return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float32()))
 
         return F.arrow_udf(run, "array<float>")(text)

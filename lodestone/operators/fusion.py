@@ -11,10 +11,13 @@ from ..functions.hashing import HASHES, minhash
 from ..functions.text import estimate_tokens, estimate_tokens_by_words, tokenize
 
 
-def rrf(ranked: DataFrame, k: int = 60, *, digits: int | None = None) -> DataFrame:
-    """Ranked lists (query_id, chunk_id, rank), one below the other, to (query_id, chunk_id, rrf, rank): the sum of 1 / (k + rank), ties by chunk_id."""
+def rrf(ranked: DataFrame, k: int = 60, *, carry: tuple[str, ...] = (), digits: int | None = None) -> DataFrame:
+    """Ranked lists (query_id, chunk_id, rank), one below the other, to (query_id, chunk_id, rrf, rank): the sum of 1 / (k + rank), ties by chunk_id.
+
+    The columns in carry stay, with their largest value over the lists: a score of one arm is null in the others.
+    """
     total = F.sum(1 / (F.lit(float(k)) + F.col("rank")))
-    fused = ranked.groupBy("query_id", "chunk_id").agg((total if digits is None else F.round(total, digits)).alias("rrf"))
+    fused = ranked.groupBy("query_id", "chunk_id").agg((total if digits is None else F.round(total, digits)).alias("rrf"), *[F.max(c).alias(c) for c in carry])
     return fused.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rrf"), "chunk_id")))
 
 

@@ -16,23 +16,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import TINY
+from ..functions.vectors import rows_of, unit_rows
 from .bm25 import top_k
 
 BLOCK = 2_000
 
 
-def unit_rows(vectors: list) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors of one batch as rows of length 1 (0 where they have none), filled with zeros to the widest, and their dimensions."""
-    dims = np.array([len(v or ()) for v in vectors], np.int64)
-    out = np.zeros((len(vectors), int(dims.max()) if len(dims) else 0))
-    for k, v in enumerate(vectors):
-        if v:
-            out[k, : len(v)] = v
-    length = np.linalg.norm(out, axis=1, keepdims=True)
-    return np.where(length > TINY, out / np.maximum(length, TINY), 0.0), dims
-
-
 def _best(batches: Iterable[pa.RecordBatch], queries: Broadcast, k: int, digits: int | None) -> Iterator[pa.RecordBatch]:
     ids, wanted, dims = queries.value
     held: list[list[tuple]] = [[] for _ in ids]
@@ -41,7 +30,8 @@ def _best(batches: Iterable[pa.RecordBatch], queries: Broadcast, k: int, digits:
         kind = batch.schema.field(0).type
         for at in range(0, batch.num_rows, 4096):
             part = batch.slice(at, 4096)
-            rows, own = unit_rows(part.column(1).to_pylist())
+            rows, own = rows_of(part.column(1))
+            rows = unit_rows(rows)
             width = min(wanted.shape[1], rows.shape[1])
             scores = wanted[:, :width] @ rows[:, :width].T
             scores[dims[:, None] != own[None, :]] = 0.0
@@ -64,8 +54,8 @@ def cosine_search(vectors: DataFrame, queries: DataFrame, k: int, *, digits: int
     kinds = {f.name: f.dataType.simpleString() for f in [*vectors.schema, *queries.schema]}
     rest = queries.select("query_id", "vector").toLocalIterator() if k > 0 else iter(())
     while part := list(itertools.islice(rest, block)):
-        rows, dims = unit_rows([r["vector"] for r in part])
-        shared = spark.sparkContext.broadcast((list(range(len(part))), rows, dims))
+        rows, dims = rows_of(pa.array([r["vector"] for r in part], pa.list_(pa.float64())))
+        shared = spark.sparkContext.broadcast((list(range(len(part))), unit_rows(rows), dims))
         one = vectors.select("chunk_id", "vector").mapInArrow(functools.partial(_best, queries=shared, k=k, digits=digits), f"number long, chunk_id {kinds['chunk_id']}, score double")
         names = spark.createDataFrame([(n, r["query_id"]) for n, r in enumerate(part)], f"number long, query_id {kinds['query_id']}")
         one = one.join(F.broadcast(names), "number").select("query_id", "chunk_id", "score")  # a block of names

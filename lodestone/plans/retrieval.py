@@ -24,9 +24,13 @@ def hybrid_candidates(queries: DataFrame, vectors: DataFrame, index: Bm25Index,
     asked = queries.select("query_id", embedder.vectors(F.col("text")).alias("vector"))
     near = cosine_search(vectors, asked, config.per_arm_k, digits=digits)
     lexical = bm25_search(index, queries, config.per_arm_k, digits=digits)
-    arms = near.select("query_id", "chunk_id", "rank", F.col("score").alias("cosine"), F.lit(None).cast("double").alias("bm25")).unionByName(lexical.select("query_id", "chunk_id", "rank", F.lit(None).cast("double").alias("cosine"), F.col("score").alias("bm25")))
-    scores = arms.groupBy("query_id", "chunk_id").agg(F.max("cosine").alias("cosine"), F.max("bm25").alias("bm25"))
-    return rrf(arms, config.rrf_k, digits=digits).join(scores, ["query_id", "chunk_id"])
+    return rrf(arms(near, lexical), config.rrf_k, carry=("cosine", "bm25"), digits=digits)
+
+
+def arms(near: DataFrame, lexical: DataFrame) -> DataFrame:
+    """Both arms' lists, one below the other, each arm's score in a column of its own."""
+    none = F.lit(None).cast("double")
+    return near.select("query_id", "chunk_id", "rank", F.col("score").alias("cosine"), none.alias("bm25")).unionByName(lexical.select("query_id", "chunk_id", "rank", none.alias("cosine"), F.col("score").alias("bm25")))
 
 
 def retrieve_hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, embedder: Embedder, config: HybridConfig | None = None, *, index: Bm25Index | None = None, digits: int | None = None) -> DataFrame:

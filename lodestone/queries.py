@@ -12,7 +12,7 @@ from .functions import display, hashing, text, vectors
 from .operators import bm25, chunking, citations, embedding, fusion, vector_search
 from .plans.answering import MockLlm, answer
 from .plans.ingest import changes, document_id, ingest, tally
-from .plans.retrieval import retrieve, retrieve_hybrid
+from .plans.retrieval import arms, retrieve, retrieve_hybrid
 from .plans.store import Store
 from .schemas import LOCATOR, MESSAGE_ROLES, HybridConfig
 from .sources import ignore, readers
@@ -239,9 +239,7 @@ def _fused(spark: SparkSession, sf: str) -> DataFrame:
     stored, asked = chunks.select("chunk_id", e.vectors(F.col("text")).alias("vector")), benchmark_queries(spark, sf)
     near = vector_search.cosine_search(stored, asked.select("query_id", e.vectors(F.col("text")).alias("vector")), 30, digits=5)
     lexical = bm25.bm25_search(bm25.build_index(chunks), asked, 30, digits=6)
-    arms = near.select("query_id", "chunk_id", "rank", F.col("score").alias("cosine"), F.lit(None).cast("double").alias("bm25")).unionByName(lexical.select("query_id", "chunk_id", "rank", F.lit(None).cast("double").alias("cosine"), F.col("score").alias("bm25")))
-    scores = arms.groupBy("query_id", "chunk_id").agg(F.max("cosine").alias("cosine"), F.max("bm25").alias("bm25"))
-    return fusion.rrf(arms, 60, digits=9).join(scores, ["query_id", "chunk_id"])
+    return fusion.rrf(arms(near, lexical), 60, carry=("cosine", "bm25"), digits=9)
 
 
 @query(f"{SQL_FUSED} SELECT query_id, chunk_id, rrf, cosine, bm25, rank FROM ranked")
