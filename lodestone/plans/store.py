@@ -8,6 +8,7 @@ row, unless it was deleted later. compact() rewrites a table to one part.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -53,17 +54,18 @@ class Store:
     def commit(self, rows: dict[str, DataFrame] | None = None, deleted: dict[str, DataFrame] | None = None) -> int:
         """Adds rows, and deletes keys, of any tables together. Rows win over deletions of one commit."""
         number = (self.manifests() or [{"number": 0}])[-1]["number"] + 1
+        own = f"{number}-{uuid.uuid4().hex}"  # another commit that tries for the number writes elsewhere
         entry: dict = {"number": number, "schema": SCHEMA_VERSION, "rows": {}, "deleted": {}}
         for table, df in (rows or {}).items():
             schema = table_schema(table)
             bad = F.size(violations(table)) > 0
             typed = df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
             typed = typed.withColumn(schema[0].name, F.when(bad, F.raise_error(F.concat(F.lit(f"{table}: value outside its domain: "), F.array_join(violations(table), ", ")))).otherwise(F.col(schema[0].name)))
-            typed.withColumn("_commit", F.lit(number)).write.mode("overwrite").parquet(f"{self.path}/{table}/rows-{number}")
-            entry["rows"][table] = f"{table}/rows-{number}"
+            typed.withColumn("_commit", F.lit(number)).write.parquet(f"{self.path}/{table}/rows-{own}")
+            entry["rows"][table] = f"{table}/rows-{own}"
         for table, df in (deleted or {}).items():
-            df.select(KEYS[table]).withColumn("_commit", F.lit(number)).write.mode("overwrite").parquet(f"{self.path}/{table}/deleted-{number}")
-            entry["deleted"][table] = f"{table}/deleted-{number}"
+            df.select(KEYS[table]).withColumn("_commit", F.lit(number)).write.parquet(f"{self.path}/{table}/deleted-{own}")
+            entry["deleted"][table] = f"{table}/deleted-{own}"
         target = self._at(f"commits/{number:012d}.json")
         try:
             stream = self._fs.create(target, False)
@@ -81,9 +83,8 @@ class Store:
             return self.spark.createDataFrame([], schema)
         stored = table_schema(table).add("_commit", T.IntegerType())
         rows = self.spark.read.schema(stored).parquet(*parts)
-        if len(parts) > 1 or commits:
-            newest = Window.partitionBy(*keys).orderBy(F.desc("_commit"))
-            rows = rows.withColumn("_nth", F.row_number().over(newest)).filter("_nth = 1").drop("_nth")
+        newest = Window.partitionBy(*keys).orderBy(F.desc("_commit"))
+        rows = rows.withColumn("_nth", F.row_number().over(newest)).filter("_nth = 1").drop("_nth")
         if gone:
             last = self.spark.read.parquet(*gone).groupBy(keys).agg(F.max("_commit").alias("_gone"))
             rows = rows.join(last, keys, "left").filter("_gone is null or _gone <= _commit")
