@@ -123,8 +123,8 @@ class SpillingTrie:
 
 
 def _collapse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Map side: each batch of (ident, text) to its distinct normalised texts with smallest id and number of rows."""
-    for batch in batches:
+    """Map side: rows (ident, text), some thousands at a time, to their distinct normalised texts with smallest id and number of rows."""
+    for batch in (whole.slice(at, 2048) for whole in batches for at in range(0, max(1, whole.num_rows), 2048)):
         trie = Trie()
         for ident, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
             trie.insert(normalised(raw), ident)

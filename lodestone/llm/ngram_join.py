@@ -32,7 +32,7 @@ THRESHOLD = (4, 5)
 TREES, MAX_DEPTH, TARGET_RECALL = 48, 12, 0.9999
 BLOCK = 512
 #: Hashes of words that a worker keeps.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 PLACES = np.random.default_rng(5150).integers(0, 2**64, 64, np.uint64) | np.uint64(1)
 

@@ -41,7 +41,7 @@ WORDS = re.compile(rb"[a-z\x80-\xff]+")
 
 class Buckets(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = at = xxhash.xxh32_intdigest(word) % WORD_BUCKETS
         return at
