@@ -55,7 +55,6 @@ def pack_skipping(ranked: DataFrame, budget: int, cost: Column | None = None) ->
     """In rank order, rows that still fit; rows that don't are passed over, rows of no cost dropped. Adds `cost`."""
     price = estimate_tokens_by_words(F.col("text")) if cost is None else cost
     rows = ranked.withColumn("cost", price.cast("long"))
-    ordered = F.array_sort(F.collect_list(F.struct("rank", "cost")))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("taken"))
 
     def step(acc: Column, item: Column) -> Column:
@@ -63,8 +62,10 @@ def pack_skipping(ranked: DataFrame, budget: int, cost: Column | None = None) ->
         more = F.struct((acc["used"] + item["cost"]).alias("used"), F.array_append(acc["taken"], item["rank"]).alias("taken"))
         return F.when(fits, more).otherwise(acc)
 
-    taken = rows.groupBy("query_id").agg(F.aggregate(ordered, start, step)["taken"].alias("taken"))
-    return rows.join(taken, "query_id").filter(F.array_contains("taken", F.col("rank"))).drop("taken")
+    # a list is one query's candidates, so it fits a row; a join back would compute all that is upstream twice
+    lists = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "cost"))).alias("costs"), F.collect_list(F.struct(*rows.columns)).alias("rows"))
+    taken = lists.select("rows", F.aggregate("costs", start, step)["taken"].alias("taken"))
+    return taken.select(F.explode(F.filter("rows", lambda r: F.array_contains(F.col("taken"), r["rank"]))).alias("r")).select("r.*")
 
 
 def pack_stopping(ranked: DataFrame, budget: int = 6000, cost: Column | None = None) -> DataFrame:
