@@ -1,13 +1,14 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
-Texts are cut in pre-tokens. Each chunk of documents (a few MB of whole texts) keeps its pre-tokens by position, as
-numbers into the chunk's list of distinct words; the lists, not the texts, go through one shuffle by word, where
-each distinct word is merged once. The ids come back to the chunks, are joined to the positions, and the documents
-reassembled. Decoding joins ids to the table of token bytes, which is of the vocabulary's size and so broadcast.
-Words travel packed, one row per chunk and bucket of words: a word that stands in every text costs a few bytes a chunk.
+Texts are cut in pre-tokens. A group of documents (some tens of MB of whole texts of one task) numbers its distinct words;
+its pre-tokens stay behind by position, as numbers, in chunks. The distinct words of the groups go through one shuffle
+by word, where each is merged once. The ids come back to the groups, are joined to the positions, and the documents
+reassembled. Decoding joins ids to the table of token bytes, which is of the vocabulary's size: a look-up by rank.
+Words travel packed, one row per group and bucket of words: a word that stands in every text costs a few bytes a group.
 
 Defined results: null counts as empty text; empty texts have no ids and decode to nothing; rows that repeat give
-equal rows; null ids stay null; an empty table gives an empty table; other columns are not read.
+equal rows; null ids stay null; an empty table gives an empty table; other columns are not read. The input must be a
+table or a stored frame: one plan reads its rows twice, and a mark of each group's words makes a changed order an error.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import functools
 import hashlib
 import itertools
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -30,18 +31,21 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, read_table
-
-#: A chunk takes whole texts until it holds so many characters.
-CHUNK_CHARS = 6 << 20
-#: Buckets of words for each shuffle partition, 1,024 at least.
-BUCKETS_PER_PARTITION = 16
-#: A worker forgets the words it has merged when it holds so many (they come sorted by bucket, so this is rare).
-REMEMBERED = 1_000_000
-SEQS = pa.schema([("part", pa.int32()), ("no", pa.int32()), ("mark", pa.int64()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("seq", pa.binary())])
+from .common import partitions, read_table, text_rows
+
+#: A chunk of positions takes whole texts until it holds so many characters, a group of chunks until it holds so many.
+CHUNK_CHARS, GROUP_CHARS = 2 << 20, 48 << 20
+#: Buckets of words: for each shuffle partition, and at least and at most, so that a row of a group holds several words.
+BUCKETS_PER_PARTITION, LEAST_BUCKETS, MOST_BUCKETS = 4, 1024, 8192
+#: A worker forgets the words of a bucket when it holds so many: they are merged again then.
+REMEMBERED = 500_000
+#: Texts of more characters are cut in pre-tokens one at a time.
+LONG_TEXT = 1 << 20
+SEQS = pa.schema([("part", pa.int32()), ("no", pa.int32()), ("at", pa.int32()), ("mark", pa.int64()), ("n", pa.int32()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("seq", pa.binary())])
 WORDS = pa.schema([("part", pa.int32()), ("no", pa.int32()), ("mark", pa.int64()), ("bucket", pa.int32()), ("n", pa.int32()), ("numbers", pa.binary()), ("words", pa.binary())])
 ENCODED = pa.schema([("part", pa.int32()), ("no", pa.int32()), ("mark", pa.int64()), ("n", pa.int32()), ("numbers", pa.binary()), ("ids", pa.binary())])
 IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
 def sql_schema(schema: pa.Schema) -> str:
@@ -63,11 +67,11 @@ class Packer:
     def pack(self, *arrays: np.ndarray) -> bytes:
         return self.press.compress(b"".join(np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for a in arrays))
 
-    def unpack(self, data: bytes, *sizes: int) -> list[np.ndarray]:
+    def unpack(self, data: bytes, *sizes: int, kind: type = np.int64) -> list[np.ndarray]:
         """Arrays of these sizes, and one of what is left."""
         raw, out, at = np.frombuffer(self.open.decompress(data), np.uint8), [], 0
         for n in [*sizes, len(raw) // 4 - sum(sizes)]:
-            out.append(np.ascontiguousarray(raw[at : at + 4 * n].reshape(4, n).T).view("<u4").ravel().astype(np.int64))
+            out.append(np.ascontiguousarray(raw[at : at + 4 * n].reshape(4, n).T).view("<u4").ravel().astype(kind))
             at += 4 * n
         return out
 
@@ -88,45 +92,65 @@ def chunked(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[list[tupl
         yield rows
 
 
-def numbered(batches: Iterable[pa.RecordBatch], pattern: str, limit: int) -> Iterator[tuple[int, int, list, list[int], np.ndarray, list[bytes]]]:
-    """Per chunk: its number, a mark of its words, the ids, the pre-tokens of each text, the pre-tokens as numbers, and the words by number.
+class Group:
+    """What is known of a group of chunks: its words by number, in the order in which they came."""
+
+    def __init__(self, no: int) -> None:
+        self.no, self.chars, self.chunks, self.number = no, 0, 0, defaultdict(itertools.count().__next__)
+
+    def words(self) -> list[bytes]:
+        return [w.encode() for w in self.number]
+
+
+def mark_of(words: list[bytes]) -> int:
+    return xxhash.xxh3_64_intdigest(b"\0".join(words)) - (1 << 63)
 
-    The most frequent word is number 0. Both passes over the texts come to the same numbers as long as the input's
-    rows come in the same order, which holds for tables; the mark proves it.
+
+def numbered(batches: Iterable[pa.RecordBatch], pattern: str, limit: int, group: int) -> Iterator[tuple[Group, list | None, list[int], np.ndarray | None]]:
+    """Per chunk: its group, the ids, the number of pre-tokens of each text, and the pre-tokens as numbers; after a group's last chunk, the group alone.
+
+    Both passes over the texts come to the same numbers as long as the input's rows come in the same order, which
+    holds for tables; the mark of a group's words proves it.
     """
-    find = regex.compile(pattern).findall
-    for no, rows in enumerate(chunked(batches, limit)):
-        number: dict[str, int] = defaultdict(itertools.count().__next__)
-        seqs = [np.fromiter(map(number.__getitem__, find(text)), np.int32) for _, text in rows]
-        flat, words = np.concatenate(seqs), [w.encode() for w in number]
-        order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
-        rank = np.empty(len(words), np.int32)
-        rank[order] = np.arange(len(words), dtype=np.int32)
-        words = [words[i] for i in order.tolist()]
-        mark = xxhash.xxh3_64_intdigest(b"\0".join(words)) - (1 << 63)
-        yield no, mark, [r[0] for r in rows], [len(s) for s in seqs], rank[flat] if words else flat, words
-
-
-def _positions(batches: Iterable[pa.RecordBatch], pattern: str, limit: int) -> Iterator[pa.RecordBatch]:
+    compiled, own = regex.compile(pattern), Group(0)
+    for rows in chunked(batches, limit):
+        number = own.number.__getitem__
+        seqs = [np.fromiter(map(number, compiled.findall(text) if len(text) < LONG_TEXT else (m.group() for m in compiled.finditer(text))), np.int32) for _, text in rows]
+        yield own, [r[0] for r in rows], [len(s) for s in seqs], np.concatenate(seqs)
+        own.chunks, own.chars = own.chunks + 1, own.chars + sum(len(text) for _, text in rows)
+        if own.chars >= group:
+            yield own, None, [], None
+            own = Group(own.no + 1)
+    if own.chunks:
+        yield own, None, [], None
+
+
+def _positions(batches: Iterable[pa.RecordBatch], pattern: str, limit: int, group: int) -> Iterator[pa.RecordBatch]:
     part, packer = TaskContext.get().partitionId(), Packer()
-    for no, mark, docs, counts, seq, _ in numbered(batches, pattern, limit):
-        yield pa.RecordBatch.from_pylist([{"part": part, "no": no, "mark": mark, "docs": docs, "counts": counts, "seq": packer.pack(seq)}], schema=SEQS)
+    for own, docs, counts, seq in numbered(batches, pattern, limit, group):
+        if docs is None:  # closes the group
+            row = {"at": -1, "mark": mark_of(own.words()), "n": len(own.number)}
+        else:
+            row = {"at": own.chunks, "docs": docs, "counts": counts, "seq": packer.pack(seq)}
+        yield pa.RecordBatch.from_pylist([{"part": part, "no": own.no} | row], schema=SEQS)
 
 
-def _words(batches: Iterable[pa.RecordBatch], pattern: str, limit: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _words(batches: Iterable[pa.RecordBatch], pattern: str, limit: int, group: int, buckets: int) -> Iterator[pa.RecordBatch]:
     part, packer = TaskContext.get().partitionId(), Packer()
-    for no, mark, _, _, _, words in numbered(batches, pattern, limit):
-        bucket = np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in words), np.int32, len(words))
+    for own, docs, _, _ in numbered(batches, pattern, limit, group):
+        if docs is not None or not own.number:
+            continue
+        words = own.words()
+        mark, bucket = mark_of(words), np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in words), np.int32, len(words))
         order = np.argsort(bucket, kind="stable")
         used, starts = np.unique(bucket[order], return_index=True)
         out = []
         for b, numbers in zip(used.tolist(), np.split(order, starts[1:]), strict=True):
-            own = [words[k] for k in numbers.tolist()]
-            sizes = np.fromiter(map(len, own), np.uint32, len(own))
-            text = packer.press.compress(sizes.tobytes() + b"".join(own))
-            out.append((part, no, mark, b, len(own), packer.pack(np.diff(numbers, prepend=0)), text))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), WORDS, strict=True)], schema=WORDS)
+            mine = [words[k] for k in numbers.tolist()]
+            sizes = np.fromiter(map(len, mine), np.uint32, len(mine))
+            text = packer.press.compress(sizes.tobytes() + b"".join(mine))
+            out.append((part, own.no, mark, b, len(mine), packer.pack(np.diff(numbers, prepend=0)), text))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), WORDS, strict=True)], schema=WORDS)
 
 
 def single_piece_encoder(ranks: dict[bytes, int]):
@@ -135,12 +159,15 @@ def single_piece_encoder(ranks: dict[bytes, int]):
 
 
 def _merge(batches: Iterable[pa.RecordBatch], ranks: Broadcast) -> Iterator[pa.RecordBatch]:
-    """Each distinct word of a bucket is merged once; ids take the words' place."""
-    encode, known, packer = single_piece_encoder(ranks.value), {}, Packer()
+    """Rows sorted by bucket: each distinct word of a bucket is merged once; ids take the words' place."""
+    table, known, packer, here = ranks.value, {}, Packer(), None
+    encode = single_piece_encoder(table)
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             out = []
-            for part, no, mark, n, numbers, packed in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+            for part, no, mark, bucket, n, numbers, packed in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                if bucket != here or len(known) > REMEMBERED:
+                    known, here = {}, bucket
                 data = packer.open.decompress(packed)
                 ends = np.cumsum(np.frombuffer(data, np.uint32, n), dtype=np.int64) + 4 * n
                 found, begin = [], 4 * n
@@ -148,59 +175,84 @@ def _merge(batches: Iterable[pa.RecordBatch], ranks: Broadcast) -> Iterator[pa.R
                     word = data[begin:end]
                     ids = known.get(word)
                     if ids is None:
-                        ids = known[word] = encode(word.decode())
+                        rank = table.get(word)
+                        ids = known[word] = encode(word.decode()) if rank is None else (rank,)
                     found.append(ids)
                     begin = end
-                if len(known) > REMEMBERED:
-                    known.clear()
                 counts = np.fromiter(map(len, found), np.uint32, n)
                 out.append((part, no, mark, n, numbers, packer.pack(counts, np.fromiter(itertools.chain.from_iterable(found), np.uint32))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), ENCODED, strict=True)], schema=ENCODED)
 
 
-def _reassemble(seqs: pa.Table, encoded: pa.Table) -> pa.Table:
-    """All of one chunk: words' ids joined to positions."""
+def joined(seqs: pa.Table, encoded: pa.Table) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """All of one group, chunk by chunk: the documents, where their ids end, and the ids, words' ids joined to positions."""
     packer, numbers, counts, pieces = Packer(), [], [], []
-    if set(encoded["mark"].to_pylist()) - set(seqs["mark"].to_pylist()):
+    closing = [(m, n) for at, m, n in zip(*(seqs[c].to_pylist() for c in ("at", "mark", "n")), strict=True) if at < 0]
+    if len(closing) != 1 or set(encoded["mark"].to_pylist()) - {closing[0][0]}:
         raise ValueError("the input's rows came in another order the second time; store it first")
-    for n, own, packed in zip(encoded["n"].to_pylist(), encoded["numbers"].to_pylist(), encoded["ids"].to_pylist(), strict=True):
+    for n, own, packed in zip(*(encoded[c].to_pylist() for c in ("n", "numbers", "ids")), strict=True):
         numbers.append(np.cumsum(packer.unpack(own)[-1]))
-        count, ids = packer.unpack(packed, n)
+        count, ids = packer.unpack(packed, n, kind=np.int32)
         counts.append(count)
         pieces.append(ids)
-    number, count, ids = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (numbers, counts, pieces))
+    number, count, ids = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (numbers, counts, pieces))
     place = np.argsort(number)
-    if not np.array_equal(number[place], np.arange(len(number))):
-        raise ValueError("a chunk's words are missing")
-    first, count = (np.cumsum(count) - count)[place], count[place]
-    docs, offsets, parts, total = [], [0], [], 0
-    for own, sizes, packed in zip(seqs["docs"].to_pylist(), seqs["counts"].to_pylist(), seqs["seq"].to_pylist(), strict=True):
-        seq = packer.unpack(packed)[-1]
+    if not np.array_equal(number[place], np.arange(closing[0][1])):
+        raise ValueError("a group's words are missing")
+    first, count = (np.cumsum(count) - count)[place].astype(np.int32), count[place]
+    for at, docs, sizes, packed in sorted(zip(*(seqs[c].to_pylist() for c in ("at", "docs", "counts", "seq")), strict=True), key=lambda x: x[0]):
+        if at < 0:
+            continue
+        seq = packer.unpack(packed, kind=np.int32)[-1]
         n = count[seq]
-        ends = np.cumsum(n)
-        # position i of the output takes the id at (first of its word) + (i - begin of its word's copy)
-        parts.append(ids[np.arange(int(n.sum()), dtype=np.int64) + np.repeat(first[seq] - (ends - n), n)])
+        ends = np.cumsum(n, dtype=np.int64)
+        # position i of the chunk takes the id at (first of its word) + (i - begin of its word's copy)
+        shift = np.repeat((first[seq] - (ends - n)).astype(np.int32), n)
+        shift += np.arange(len(shift), dtype=np.int32)
+        yield docs, np.append(0, ends)[np.cumsum(sizes, dtype=np.int64)], ids[shift]
+
+
+def _reassemble(seqs: pa.Table, encoded: pa.Table) -> pa.Table:
+    docs, offsets, parts = [], [np.zeros(1, np.int64)], [np.zeros(0, np.int32)]
+    for own, ends, ids in joined(seqs, encoded):
         docs += own
-        for at in np.cumsum(sizes, dtype=np.int64).tolist():
-            offsets.append(total + (int(ends[at - 1]) if at else 0))
-        total += int(n.sum())
-    values = pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int32())
-    return pa.table([pa.array(docs, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], schema=IDS)
+        offsets.append(ends + offsets[-1][-1])
+        parts.append(ids)
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(offsets), pa.int32()), pa.array(np.concatenate(parts), pa.int32()))
+    return pa.table([pa.array(docs, pa.int64()), lists], schema=IDS)
+
+
+def _digested(seqs: pa.Table, encoded: pa.Table, ranks: Broadcast) -> pa.Table:
+    """As _reassemble, but each document's ids are decoded and digested where they are put together, and don't leave the worker."""
+    token, out = decoder(ranks.value).__getitem__, [[], [], [], []]
+    for own, ends, ids in joined(seqs, encoded):
+        begin = 0
+        for doc, end in zip(own, ends.tolist(), strict=True):
+            mine = ids[begin:end]
+            decoded = hashlib.sha256(b"".join(map(token, mine.tolist()))).hexdigest()
+            for c, v in zip(out, (doc, end - begin, hashlib.sha256(mine.astype("<u4").tobytes()).hexdigest(), decoded), strict=True):
+                c.append(v)
+            begin = end
+    return pa.table([pa.array(c, f.type) for c, f in zip(out, DIGESTS, strict=True)], schema=DIGESTS)
+
+
+def _cogrouped(docs: DataFrame, ranks: Broadcast, finish: Callable, schema: str, *, pattern: str = public_tokenizers.PATTERN, chunk_chars: int = CHUNK_CHARS, group_chars: int = GROUP_CHARS) -> DataFrame:
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, BUCKETS_PER_PARTITION * partitions(docs.sparkSession)))
+    texts = text_rows(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    over = functools.partial(functools.partial, pattern=pattern, limit=chunk_chars, group=group_chars)
+    words = texts.mapInArrow(over(_words, buckets=buckets), sql_schema(WORDS)).repartition("bucket").sortWithinPartitions("bucket")
+    encoded = words.mapInArrow(functools.partial(_merge, ranks=ranks), sql_schema(ENCODED))
+    seqs = texts.mapInArrow(over(_positions), sql_schema(SEQS))
+    return seqs.groupBy("part", "no").cogroup(encoded.groupBy("part", "no")).applyInArrow(finish, schema)
 
 
-def encode(docs: DataFrame, ranks: Broadcast, *, pattern: str = public_tokenizers.PATTERN, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def encode(docs: DataFrame, ranks: Broadcast, **options) -> DataFrame:
     """Rows (doc_id, ids array<int>), one for each row of docs (doc_id, text), a table or a stored frame.
 
     The texts are read twice, once for the words and once for the positions: that costs less than to store either.
     """
-    buckets = max(1024, BUCKETS_PER_PARTITION * partitions(docs.sparkSession))
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    words = texts.mapInArrow(functools.partial(_words, pattern=pattern, limit=chunk_chars, buckets=buckets), sql_schema(WORDS))
-    words = words.repartition("bucket").sortWithinPartitions("bucket").drop("bucket")
-    encoded = words.mapInArrow(functools.partial(_merge, ranks=ranks), sql_schema(ENCODED))
-    seqs = texts.mapInArrow(functools.partial(_positions, pattern=pattern, limit=chunk_chars), sql_schema(SEQS))
-    return seqs.groupBy("part", "no").cogroup(encoded.groupBy("part", "no")).applyInArrow(_reassemble, sql_schema(IDS))
+    return _cogrouped(docs, ranks, _reassemble, sql_schema(IDS), **options)
 
 
 def decoder(ranks: dict[bytes, int]) -> list[bytes]:
@@ -210,19 +262,6 @@ def decoder(ranks: dict[bytes, int]) -> list[bytes]:
     return table
 
 
-def _digests(batches: Iterable[pa.RecordBatch], ranks: Broadcast) -> Iterator[pa.RecordBatch]:
-    token = decoder(ranks.value).__getitem__
-    for batch in batches:
-        out = []
-        for i in range(batch.num_rows):
-            ids = batch.column(1)[i].values.to_numpy().astype("<u4")
-            decoded = b"".join(map(token, ids.tolist()))
-            out.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
-        if out:
-            n, a, b = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-
 def _decode(batches: Iterable[pa.RecordBatch], ranks: Broadcast) -> Iterator[pa.RecordBatch]:
     token = decoder(ranks.value).__getitem__
     for batch in batches:
@@ -237,8 +276,7 @@ def decode(encoded: DataFrame, ranks: Broadcast) -> DataFrame:
 def encoded_digests(docs: DataFrame, path: str | None = None, **options) -> DataFrame:
     """Encodes and decodes: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
-    encoded = encode(docs, ranks, **options)
-    return encoded.mapInArrow(functools.partial(_digests, ranks=ranks), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _cogrouped(docs, ranks, functools.partial(_digested, ranks=ranks), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", **options)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
