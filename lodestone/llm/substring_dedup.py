@@ -4,22 +4,24 @@ A window is 13 consecutive words of a document. A word is removed if a window th
 document with a smaller id. Every window has an anchor, the smallest hash of its 5-word grams, so that equal windows
 have equal anchors:
 
-1. Chunks of documents send their anchors, packed by bucket, to one shuffle, which returns those that documents with
+1. Texts are read once and stored in chunks of whole documents, bucketed by the chunk's number, which all later steps know
+   their documents by.
+2. Chunks send their anchors, packed by bucket, to one shuffle, which returns those that documents with
    different texts share. What has no shared anchor is unique and goes no further.
-2. Of equal texts, the documents with the smallest id send the runs of windows with shared anchors, as segments of
+3. Of equal texts, the documents with the smallest id send the runs of windows with shared anchors, as segments of
    words, to the shard of the anchor. Equal segments collapse before the shuffle to their smallest document.
-3. Each shard builds an FM-index (wavelet matrix over the BWT) of its segments and streams them through backward
+4. Each shard builds an FM-index (wavelet matrix over the BWT) of its segments and streams them through backward
    search. Where the matching statistic reaches 13 words, the interval's smallest document is compared to the
    segment's own. Anchors with more than HOT_ANCHOR distinct segments would make one shard as large as the corpus has
-   copies; their windows are grouped by hash of their 13 words instead, with partial aggregation.
-4. Removed windows return to their chunks, whose texts are cut.
+   copies; their segments are cut again by anchors of longer grams, of 9 words and then of 13, and go to indexes of their own.
+   An anchor of 13 words is the whole window, so that no shard grows beyond the bound.
+5. Removed windows return to their chunks, whose texts are cut.
 
 Words are compared by 64-bit hashes, of which segments carry 40 bits a word.
 
 Defined results: null counts as no words, kept text empty; a null id counts as larger than all others; windows of rows
 with the same id don't remove each other; a document of fewer than 13 words loses nothing; an empty table gives an
-empty table; other columns are not read. The input must be a table or a stored frame, as its rows are read three times in one order;
-a mark of each chunk's content proves that they were.
+empty table; other columns are not read. The input's rows are read once, so their order and splits don't matter.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, read_table, stored
+from .common import bucketed, discard, partitions, read_table, stored, text_rows
 from .fm_index import FMIndex
 from .graphs import group_starts, whole_groups
 from .ngram_join import PLACES, WordHashes, mixed
@@ -50,10 +52,6 @@ LAST = 2**63 - 1
 WIDTH = 5  # bytes of a word's hash in a segment
 
 
-def mark_of(digests: list[bytes]) -> int:
-    return xxhash.xxh3_64_intdigest(b"".join(digests)) - (1 << 63)
-
-
 class Chunk:
     """Whole texts of consecutive rows: their words' hashes, digests and anchors."""
 
@@ -67,7 +65,6 @@ class Chunk:
             self.hashes.append(h)
             self.digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
             self.anchors.append(anchors(h))
-        self.mark = mark_of(self.digests)
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The anchors of all texts in order, with the digest of a text that has each, and whether texts of different digests do."""
@@ -81,15 +78,15 @@ class Chunk:
         return flat[start], digest[start], digest[start] != digest[end]
 
 
-def anchors(h: np.ndarray) -> np.ndarray:
+def anchors(h: np.ndarray, gram: int = GRAM) -> np.ndarray:
     """For each window its smallest gram."""
     n = len(h) - WINDOW + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    grams = np.zeros(len(h) - GRAM + 1, np.uint64)
-    for k in range(GRAM):
+    grams = np.zeros(len(h) - gram + 1, np.uint64)
+    for k in range(gram):
         grams += h[k : k + len(grams)] * PLACES[k]
-    low, width, want = mixed(grams), 1, WINDOW - GRAM + 1
+    low, width, want = mixed(grams), 1, WINDOW - gram + 1
     while width * 2 <= want:
         low, width = np.minimum(low[:-width], low[width:]), width * 2
     return np.minimum(low[:n], low[want - width : want - width + n])
@@ -114,11 +111,14 @@ def _table(columns: list, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-DIGESTS = pa.schema([("part", pa.int32()), ("no", pa.int32()), ("mark", pa.int64()), ("at", pa.int32()), ("doc_id", pa.int64()), ("digest", pa.binary()), ("n_words", pa.int64())])
-ANCHORS = pa.schema([("part", pa.int32()), ("no", pa.int32()), ("mark", pa.int64()), ("bucket", pa.int32()), ("numbers", pa.binary()), ("anchors", pa.binary()), ("digests", pa.binary()), ("several", pa.binary())])
-NOTES = pa.schema([("part", pa.int32()), ("no", pa.int32()), ("mark", pa.int64()), ("kind", pa.int32()), ("numbers", pa.binary())])
-TEXTS = pa.schema([("part", pa.int32()), ("no", pa.int32()), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("texts", pa.binary())])
-SEGMENTS = pa.schema([("part", pa.int32()), ("no", pa.int32()), ("mark", pa.int64()), ("at", pa.int32()), ("ident", pa.int64()), ("anchor", pa.int64()), ("content", pa.int64()), ("start", pa.int32()), ("words", pa.binary())])
+TEXTS = pa.schema([("chunk", pa.int64()), ("docs", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("digests", pa.binary()), ("sizes", pa.list_(pa.int32())), ("texts", pa.binary())])
+ANCHORS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("numbers", pa.binary()), ("anchors", pa.binary()), ("digests", pa.binary())])
+NOTES = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("numbers", pa.binary())])
+SEGMENTS = pa.schema([("chunk", pa.int64()), ("at", pa.int32()), ("ident", pa.int64()), ("start", pa.int32()), ("anchor", pa.int64()), ("content", pa.int64()), ("words", pa.binary())])
+FINER = pa.schema([("of_anchor", pa.int64()), ("of_content", pa.int64()), ("ident", pa.int64()), ("start", pa.int32()), ("anchor", pa.int64()), ("content", pa.int64()), ("words", pa.binary())])
+ANSWERS = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("low", pa.int64()), ("mask", pa.int64())])
+#: Of an anchor's 48 bits that say whose it is, the one that says that different texts of a chunk have it.
+SEVERAL = 1 << 47
 SQL = {pa.int32(): "int", pa.int64(): "bigint", pa.binary(): "binary", pa.string(): "string", pa.list_(pa.int64()): "array<bigint>", pa.list_(pa.int32()): "array<int>"}
 
 
@@ -126,116 +126,148 @@ def sql(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {SQL[f.type]}" for f in schema)
 
 
-def _digests(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Chunks of texts, compressed, with what else is needed of them; null as size -1."""
     part = TaskContext.get().partitionId()
     for no, rows in chunks(batches, limit):
         words = [raw.split() if raw else [] for _, raw in rows]
-        digests = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
-        mark = mark_of(digests)
-        n = len(rows)
-        yield _table([[part] * n, [no] * n, [mark] * n, list(range(n)), [r[0] for r in rows], digests, [len(w) for w in words]], DIGESTS)
-
-
-def _anchors(batches: Iterable[pa.RecordBatch], limit: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    part, hashes = TaskContext.get().partitionId(), WordHashes()
-    for no, rows in chunks(batches, limit):
-        chunk = Chunk(rows, hashes)
-        anchor, digest, several = chunk.distinct()
-        bucket = (anchor % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        used, starts = np.unique(bucket[order], return_index=True)
-        out = [[], [], [], [], []]
-        for b, numbers in zip(used.tolist(), np.split(order, starts[1:]) if len(used) else [], strict=True):
-            out[0].append(b)
-            out[1].append(numbers.astype("<u4").tobytes())
-            out[2].append((anchor[numbers] // np.uint64(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
-            out[3].append(digest[numbers].view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
-            out[4].append(np.packbits(several[numbers]).tobytes())
-        n = len(used)
-        if n:
-            yield _table([[part] * n, [no] * n, [chunk.mark] * n, *out], ANCHORS)
-
-
-def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a bucket's anchors, the numbers of those that different texts share, chunk by chunk."""
-    six = lambda x: np.pad(np.frombuffer(x, np.uint8).reshape(-1, 6), ((0, 0), (0, 2))).view("<i8").ravel()
-    for table in whole_groups(batches, ["bucket"], 2000):
-        starts = group_starts(table, ["bucket"])
-        rows = table.to_pylist()
-        out = [[], [], [], [], []]
-        for begin, end in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True):
-            own = rows[begin:end]
-            anchor, digest = (np.concatenate([six(r[c]) for r in own]) for c in ("anchors", "digests"))
-            sizes = [len(r["numbers"]) // 4 for r in own]
-            several = np.concatenate([np.unpackbits(np.frombuffer(r["several"], np.uint8), count=n) for r, n in zip(own, sizes, strict=True)]).astype(bool)
-            code = np.unique(anchor, return_inverse=True)[1]
-            low, high = np.full(code.max() + 1, LAST), np.full(code.max() + 1, -LAST)
-            np.minimum.at(low, code, digest)
-            np.maximum.at(high, code, digest)
-            flag = low != high
-            flag[code[several]] = True
-            for r, mine in zip(own, np.split(flag[code], np.cumsum(sizes)[:-1]), strict=True):
-                if mine.any():
-                    for c, v in zip(out, (r["part"], r["no"], r["mark"], 0, np.frombuffer(r["numbers"], "<u4")[mine].tobytes()), strict=True):
-                        c.append(v)
-        if out[0]:
-            yield _table(out, NOTES)
-
-
-def _texts(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Chunks of texts, compressed; null as size -1."""
-    part = TaskContext.get().partitionId()
-    for no, rows in chunks(batches, limit):
+        digests = b"".join(xxhash.xxh3_128_digest(b" ".join(w)) for w in words)
         sizes = [-1 if raw is None else len(raw) for _, raw in rows]
-        yield _table([[part], [no], [[r[0] for r in rows]], [sizes], [zstandard.ZstdCompressor(level=3).compress(b"".join(raw or b"" for _, raw in rows))]], TEXTS)
+        text = zstandard.ZstdCompressor(level=3).compress(b"".join(raw or b"" for _, raw in rows))
+        yield _table([[part << 32 | no], [[r[0] for r in rows]], [[len(w) for w in words]], [digests], [sizes], [text]], TEXTS)
 
 
-def _rows(texts: pa.Table) -> list[tuple]:
-    if texts.num_rows != 1:
-        raise ValueError("a chunk is missing: the input's rows came in another order; store it first")
-    data, out, at = zstandard.ZstdDecompressor().decompress(texts["texts"][0].as_py()), [], 0
-    for ident, size in zip(texts["docs"][0].as_py(), texts["sizes"][0].as_py(), strict=True):
+def _rows(docs: list, sizes: list[int], text: bytes) -> list[tuple]:
+    data, out, at = zstandard.ZstdDecompressor().decompress(text), [], 0
+    for ident, size in zip(docs, sizes, strict=True):
         out.append((ident, None if size < 0 else data[at : at + size]))
         at += max(0, size)
     return out
 
 
+def _six(x: np.ndarray) -> np.ndarray:
+    """The low six bytes of numbers."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+
+
+def _anchors(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
+    for batch in batches:
+        for k in range(batch.num_rows):
+            name, *row = (c[k].as_py() for c in batch.columns)
+            anchor, digest, several = Chunk(_rows(*row), hashes).distinct()
+            bucket = (anchor % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            used, starts = np.unique(bucket[order], return_index=True)
+            if not len(used):
+                continue
+            whose = (digest.view(np.uint64) & np.uint64(SEVERAL - 1)) | (several.astype(np.uint64) * np.uint64(SEVERAL))
+            sizes = np.diff(np.append(starts, len(order)))
+            columns = [_binary(x[order], sizes, width) for x, width in ((np.arange(len(anchor), dtype="<u4"), 4), (_six(anchor // np.uint64(buckets)), 6), (_six(whose), 6))]
+            yield _table([pa.array(np.full(len(used), name)), pa.array(used), *columns], ANCHORS)
+
+
+def _binary(data: np.ndarray, sizes: np.ndarray, width: int) -> pa.Array:
+    """Values of `width` bytes as binaries of so many values each."""
+    offsets = np.append(0, np.cumsum(sizes * width)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
+
+
+def _bytes(column: pa.ChunkedArray | pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of binaries, one row each, and how many each binary has."""
+    array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    offsets = np.frombuffer(array.buffers()[1], np.int32)[array.offset : array.offset + len(array) + 1]
+    data = array.buffers()[2]
+    data = np.zeros(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+    return data.reshape(-1, width), np.diff(offsets) // width
+
+
+def _numbers(column: pa.ChunkedArray | pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same as numbers."""
+    data, sizes = _bytes(column, width)
+    return np.pad(data, ((0, 0), (0, 8 - width))).view("<u8").ravel(), sizes
+
+
+def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a bucket's anchors, the numbers of those that different texts share, chunk by chunk."""
+    for table in whole_groups(batches, ["bucket"], 4000):
+        starts, n = group_starts(table, ["bucket"]), table.num_rows
+        (anchor, sizes), (whose, _), (number, _) = _numbers(table["anchors"], 6), _numbers(table["digests"], 6), _numbers(table["numbers"], 4)
+        bucket = np.repeat(np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n))), sizes).astype(np.uint64)
+        key = bucket << np.uint64(48) | anchor
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+        digest, several = whose[order] & np.uint64(SEVERAL - 1), whose[order] >= np.uint64(SEVERAL)
+        flag = (np.minimum.reduceat(digest, first) != np.maximum.reduceat(digest, first)) | np.logical_or.reduceat(several, first)
+        mine = np.zeros(len(key), bool)
+        mine[order] = np.repeat(flag, np.diff(np.append(first, len(key))))
+        count = np.bincount(np.repeat(np.arange(n), sizes)[mine], minlength=n)
+        some = count > 0
+        if some.any():
+            yield _table([pa.array(table["chunk"].to_numpy()[some]), pa.array(np.zeros(int(some.sum()), np.int32)), _binary(number[mine].astype("<u4"), count[some], 4)], NOTES)
+
+
+def runs(anchor: np.ndarray, hit: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows in order, the first and the number of those that follow each other in one document with one anchor that hits, up to 9 at a time."""
+    new = np.append(True, (anchor[1:] != anchor[:-1]) | (hit[1:] != hit[:-1]) | (doc[1:] != doc[:-1]))[: len(anchor)]
+    starts = np.flatnonzero(new)
+    lengths = np.diff(np.append(starts, len(anchor)))[hit[starts]]
+    pieces = -(-lengths // 9)
+    piece = 9 * (np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    return np.repeat(starts[hit[starts]], pieces) + piece, np.minimum(9, np.repeat(lengths, pieces) - piece)
+
+
+def cut_words(words: np.ndarray, begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """words[begin : begin + n] of each segment: their hash, and their bytes."""
+    first = np.cumsum(n) - n
+    place = np.arange(int(n.sum())) - np.repeat(first, n)
+    own = words[np.repeat(begin, n) + place] & np.uint64((1 << 8 * WIDTH) - 1)
+    content = mixed(np.add.reduceat(own * PLACES[place], first) + n.astype(np.uint64)) if len(n) else np.zeros(0, np.uint64)
+    return content.view(np.int64), _binary(own.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH], n, WIDTH)
+
+
 def _segments(texts: pa.Table, notes: pa.Table) -> pa.Table:
     """The runs of windows with shared anchors in the documents that stand for their text."""
-    shared = [np.frombuffer(x, "<u4") for x, k in zip(notes["numbers"].to_pylist(), notes["kind"].to_pylist(), strict=True) if k == 0]
-    standing = [np.frombuffer(x, "<u4") for x, k in zip(notes["numbers"].to_pylist(), notes["kind"].to_pylist(), strict=True) if k == 1]
-    if not shared or not standing or texts.num_rows == 0:
+    shared, standing = ([np.frombuffer(x, "<u4") for x, k in zip(notes["numbers"].to_pylist(), notes["kind"].to_pylist(), strict=True) if k == kind] for kind in (0, 1))
+    if not shared or not standing:
         return SEGMENTS.empty_table()
-    chunk = Chunk(_rows(texts), WordHashes())
-    if set(notes["mark"].to_pylist()) != {chunk.mark}:
-        raise ValueError("the input's rows came in another order; store it first")
+    chunk = Chunk(_rows(*(texts[c][0].as_py() for c in ("docs", "sizes", "texts"))), WordHashes())
     known = np.sort(chunk.distinct()[0][np.concatenate(shared)])
-    out: list[list] = [[] for _ in range(6)]
-    for at in np.concatenate(standing).tolist():
-        anchor, h = chunk.anchors[at], chunk.hashes[at]
-        if not len(anchor):
+    at = np.concatenate(standing).astype(np.int64)
+    lengths = np.array([len(chunk.anchors[k]) for k in at])
+    anchor, words = np.concatenate([chunk.anchors[k] for k in at]), np.concatenate([chunk.hashes[k] for k in at])
+    doc, window = np.repeat(np.arange(len(at)), lengths), np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    hit = known[np.minimum(np.searchsorted(known, anchor), len(known) - 1)] == anchor
+    begin, n = runs(anchor, hit, doc)
+    sizes = np.array([len(chunk.hashes[k]) for k in at])
+    own, start = doc[begin], window[begin]
+    content, packed = cut_words(words, (np.cumsum(sizes) - sizes)[own] + start, n + WINDOW - 1)
+    ident = np.array([LAST if chunk.ids[k] is None else chunk.ids[k] for k in at], np.int64)
+    columns = [np.full(len(begin), texts["chunk"][0].as_py()), at[own].astype(np.int32), ident[own], start.astype(np.int32), anchor[begin].view(np.int64), content]
+    return pa.Table.from_batches([_table([*map(pa.array, columns), packed], SEGMENTS)], SEGMENTS)
+
+
+def _finer(batches: Iterable[pa.RecordBatch], gram: int) -> Iterator[pa.RecordBatch]:
+    """Segments (anchor, content, low, words) cut again by anchors of longer grams."""
+    for batch in batches:
+        words, sizes = _numbers(batch.column("words"), WIDTH)
+        base = np.cumsum(sizes) - sizes
+        each = [anchors(words[b : b + n], gram) for b, n in zip(base.tolist(), sizes.tolist(), strict=True)]
+        if not each:
             continue
-        hit = known[np.minimum(np.searchsorted(known, anchor), len(known) - 1)] == anchor
-        new = np.append(True, (anchor[1:] != anchor[:-1]) | (hit[1:] != hit[:-1]))
-        starts = np.flatnonzero(new)
-        lengths = np.diff(np.append(starts, len(anchor)))
-        packed = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
-        for start, n in zip(starts[hit[starts]].tolist(), lengths[hit[starts]].tolist(), strict=True):
-            for begin in range(start, start + n, 9):
-                words = packed[begin * WIDTH : (begin + min(9, start + n - begin) + WINDOW - 1) * WIDTH]
-                for c, v in zip(out, (at, chunk.ids[at], int(anchor[begin]) - (1 << 63), xxhash.xxh3_64_intdigest(words) - (1 << 63), begin, words), strict=True):
-                    c.append(v)
-    n = len(out[0])
-    first = [[texts["part"][0].as_py()] * n, [texts["no"][0].as_py()] * n, [chunk.mark] * n]
-    return pa.Table.from_batches([_table([*first, *out], SEGMENTS)], SEGMENTS)
+        anchor, lengths = np.concatenate(each), sizes - WINDOW + 1
+        doc, window = np.repeat(np.arange(len(sizes)), lengths), np.arange(len(anchor)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        begin, n = runs(anchor, np.ones(len(anchor), bool), doc)
+        own, start = doc[begin], window[begin]
+        content, packed = cut_words(words, base[own] + start, n + WINDOW - 1)
+        of = [batch.column(c).to_numpy()[own] for c in ("anchor", "content", "low")]
+        yield _table([*map(pa.array, (*of, start.astype(np.int32), anchor[begin].view(np.int64), content)), packed], FINER)
 
 
 def _search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, content, low, words), a shard after the other, to (content, mask): the windows that also start in a document smaller than low."""
+    """Rows (anchor, content, low, n, words), a shard after the other, to ANSWERS of those that occur more than once or lose a window: those that also start in a document smaller than low."""
     for table in whole_groups(batches, ["anchor"], SHARD_WORDS // 18):
-        packed = table["words"].to_pylist()
-        lengths = np.array([len(x) // WIDTH for x in packed])
-        words = np.pad(np.frombuffer(b"".join(packed), np.uint8).reshape(-1, WIDTH), ((0, 0), (0, 8 - WIDTH))).view("<u8").ravel()
+        words, lengths = _numbers(table["words"], WIDTH)
         low = table["low"].to_numpy()
         index = FMIndex(words, lengths)
         found, place = index.matching_statistics(words, lengths, WINDOW)
@@ -246,15 +278,38 @@ def _search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gone = (found == WINDOW) & (here < low[owner])
         offset = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         mask = np.bincount(owner[gone], 2.0 ** offset[gone], len(lengths)).astype(np.int64)
-        some = mask > 0
-        yield pa.RecordBatch.from_arrays([pa.array(table[c].to_numpy()[some]) for c in ("anchor", "content")] + [pa.array(mask[some])], names=["anchor", "content", "mask"])
+        some = (mask > 0) | (table["n"].to_numpy() > 1)
+        yield _table([pa.array(x[some]) for x in (table["anchor"].to_numpy(), table["content"].to_numpy(), low, mask)], ANSWERS)
+
+
+#: The windows that a segment loses, as bits: all of them if an equal segment stands in a smaller document.
+LOST = f"if(ident > low, shiftleft(1L, cast(octet_length(words) / {WIDTH} - {WINDOW - 1} as int)) - 1, mask)"
+
+
+def answers(segments: DataFrame, hot_anchor: int, gram: int = GRAM) -> DataFrame:
+    """ANSWERS for segments (ident, anchor, content, words), a stored frame; by FM-indexes throughout."""
+    contents = stored(segments.groupBy("anchor", "content", "words").agg(F.min("ident").alias("low"), F.count("*").alias("n")), "contents")
+    hot = contents.groupBy("anchor").agg(F.count("*").alias("segments")).filter(F.col("segments") > hot_anchor).select("anchor")
+    cold, finer, searched = contents, None, None
+    if gram < WINDOW and not hot.isEmpty():
+        cold, warm = contents.join(hot, "anchor", "left_anti"), contents.join(hot, "anchor", "left_semi")
+        finer = stored(warm.select("anchor", "content", "low", "words").mapInArrow(functools.partial(_finer, gram=gram + 4), sql(FINER)), "finer")
+        below = answers(finer, hot_anchor, gram + 4)
+        lost = finer.join(below, ["anchor", "content"]).groupBy("of_anchor", "of_content").agg(F.sum(F.expr(f"shiftleft({LOST}, start)")).alias("mask"))
+        lost = warm.select("anchor", "content", "low", "n").join(lost.toDF("anchor", "content", "mask"), ["anchor", "content"], "left")
+        searched = lost.withColumn("mask", F.coalesce("mask", F.lit(0).cast("long"))).filter("n > 1 OR mask > 0").drop("n")
+    dealt = cold.select("anchor", "content", "low", "n", "words").repartition("anchor").sortWithinPartitions("anchor")
+    direct = dealt.mapInArrow(_search, sql(ANSWERS))
+    out = stored(direct if searched is None else direct.unionByName(searched), "answers")
+    discard(contents, *([finer, below] if finer is not None else []))
+    return out
 
 
 KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.binary())])
 
 
 def _cut(texts: pa.Table, removed: pa.Table, with_text: bool) -> pa.Table:
-    rows = _rows(texts)
+    rows = _rows(*(texts[c][0].as_py() for c in ("docs", "sizes", "texts")))
     at, start, mask = (removed[c].to_numpy() for c in ("at", "start", "mask"))
     order = np.argsort(at, kind="stable")
     at, start, mask = at[order], start[order], mask[order]
@@ -286,39 +341,29 @@ def _cut(texts: pa.Table, removed: pa.Table, with_text: bool) -> pa.Table:
 def substring_dedup(docs: DataFrame, *, with_text: bool = False, chunk_bytes: int = CHUNK_BYTES, hot_anchor: int = HOT_ANCHOR) -> DataFrame:
     """Rows (doc_id, text) to (doc_id, n_words, n_removed, kept_sha256, kept_text), one for each row; kept_text only if asked for."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    over = lambda f, schema, **more: rows.mapInArrow(functools.partial(f, limit=chunk_bytes, **more), sql(schema))
-    light = stored(over(_digests, DIGESTS).withColumn("ident", F.coalesce("doc_id", F.lit(LAST))), "digests")
-    least = light.groupBy("digest").agg(F.min("ident").alias("low"), F.max("ident").alias("high"))
+    rows = text_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    texts = bucketed(rows.mapInArrow(functools.partial(_pack, limit=chunk_bytes), sql(TEXTS)), "chunk", "texts")
+    light = texts.select("chunk", "digests", F.posexplode(F.arrays_zip("docs", "n_words")).alias("at", "doc"))
+    light = light.select("chunk", "at", F.coalesce("doc.docs", F.lit(LAST)).alias("ident"), F.expr("substring(digests, at * 16 + 1, 16)").alias("digest"), F.col("doc.n_words").alias("n_words"))
+    light = stored(light, "digests")
+    least = light.groupBy("digest").agg(F.min("ident").alias("low"))
     placed = light.filter(f"n_words >= {WINDOW}").join(least, "digest")
     # every window of a document whose text also stands in a smaller one is removed
-    copies = placed.filter("ident > low").select("part", "no", "at", F.lit(0).alias("start"), F.lit(-1).cast("long").alias("mask"))
-    standing = placed.filter("ident = low").groupBy("part", "no", "mark").agg(F.collect_list("at").alias("ats"))
-    anchored = over(_anchors, ANCHORS, buckets=max(1024, 16 * partitions(spark))).repartition("bucket").sortWithinPartitions("bucket")
-    shared = anchored.mapInArrow(_shared, sql(NOTES))
-    notes = shared.unionByName(standing.mapInArrow(_as_notes, sql(NOTES)))
-    texts = over(_texts, TEXTS)
-    segments = stored(texts.groupBy("part", "no").cogroup(notes.groupBy("part", "no")).applyInArrow(_segments, sql(SEGMENTS)), "segments")
-    segments = segments.withColumn("ident", F.coalesce("ident", F.lit(LAST)))
-    contents = stored(segments.groupBy("content", "anchor", "words").agg(F.min("ident").alias("low")), "contents")
-    hot = contents.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > hot_anchor).select("anchor")
-    cold = contents.join(hot, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
-    searched = cold.select("anchor", "content", "low", "words").mapInArrow(_search, "anchor long, content long, mask long")
-    each = contents.join(hot, "anchor", "left_semi").select("anchor", "content", "low", F.posexplode(F.expr(f"transform(sequence(0, cast(octet_length(words) / {WIDTH} - {WINDOW} as int)), k -> substring(words, k * {WIDTH} + 1, {WINDOW * WIDTH}))")).alias("bit", "window"))
-    smallest = each.groupBy("window").agg(F.min("low").alias("least"))
-    grouped = each.join(smallest, "window").filter("least < low").groupBy("anchor", "content").agg(F.sum(F.expr("shiftleft(1L, bit)")).alias("mask"))
-    masks = searched.unionByName(grouped)
-    known = segments.select("part", "no", "at", "ident", "anchor", "content", "start", (F.octet_length("words") / WIDTH - WINDOW + 1).cast("int").alias("n")).join(contents.select("anchor", "content", "low"), ["anchor", "content"]).join(masks, ["anchor", "content"], "left")
-    mask = F.when(F.col("ident") > F.col("low"), F.expr("shiftleft(1L, n) - 1")).otherwise(F.col("mask"))
-    removed = known.select("part", "no", "at", "start", mask.alias("mask")).filter("mask is not null").unionByName(copies)
-    out = texts.groupBy("part", "no").cogroup(removed.groupBy("part", "no")).applyInArrow(functools.partial(_cut, with_text=with_text), sql(KEPT))
+    copies = placed.filter("ident > low").select("chunk", "at", F.lit(0).alias("start"), F.lit(-1).cast("long").alias("mask"))
+    standing = placed.filter("ident = low").groupBy("chunk").agg(F.collect_list("at").alias("ats"))
+    packed = texts.select("chunk", "docs", "sizes", "texts")
+    anchored = packed.mapInArrow(functools.partial(_anchors, buckets=max(1024, 16 * partitions(spark))), sql(ANCHORS)).repartition("bucket").sortWithinPartitions("bucket")
+    notes = anchored.mapInArrow(_shared, sql(NOTES)).unionByName(standing.mapInArrow(_as_notes, sql(NOTES)))
+    segments = stored(packed.groupBy("chunk").cogroup(notes.groupBy("chunk")).applyInArrow(_segments, sql(SEGMENTS)), "segments")
+    found = segments.join(answers(segments, hot_anchor), ["anchor", "content"]).select("chunk", "at", "start", F.expr(LOST).alias("mask")).filter("mask <> 0")
+    out = packed.groupBy("chunk").cogroup(found.unionByName(copies).groupBy("chunk")).applyInArrow(functools.partial(_cut, with_text=with_text), sql(KEPT))
     return out if with_text else out.drop("kept_text")
 
 
 def _as_notes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        part, no, mark, ats = (c.to_pylist() for c in batch.columns)
-        yield _table([part, no, mark, [1] * len(part), [np.array(x, "<u4").tobytes() for x in ats]], NOTES)
+        chunk, ats = (c.to_pylist() for c in batch.columns)
+        yield _table([chunk, [1] * len(chunk), [np.array(x, "<u4").tobytes() for x in ats]], NOTES)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
