@@ -31,15 +31,17 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("node", "component")
 
 
-def in_blocks(rows: DataFrame, group: str, member: str, block: int) -> DataFrame:
+def in_blocks(rows: DataFrame, group: str, member: str, block: int, most: int | None = None) -> DataFrame:
     """rows whose group has at least two members, with i, j, own: the pair of blocks that a copy of the row serves, and the row's block.
 
-    Groups of up to `block` rows are one block. Larger ones are dealt by a hash of the member to as many blocks as
+    Groups of up to `block` rows, and with `most` of that weight together (column weight), are one block. Larger ones are
+    dealt by a hash of the member to as many blocks as
     they need; each pair of blocks meets in one place, so no task gets more than about two blocks.
     """
-    sizes = rows.groupBy(group).agg(F.count("*").alias("n_members")).filter("n_members > 1")
-    blocks = F.ceil(F.col("n_members") / block).cast("int")
-    both = rows.join(sizes, group).withColumn("blocks", blocks).drop("n_members")
+    heavy = F.ceil(F.sum("weight") / most) if most else F.lit(1)
+    sizes = rows.groupBy(group).agg(F.count("*").alias("n_members"), heavy.alias("heavy")).filter("n_members > 1")
+    blocks = F.greatest(F.ceil(F.col("n_members") / block), F.col("heavy")).cast("int")
+    both = rows.join(sizes, group).withColumn("blocks", blocks).drop("n_members", "heavy", "weight")
     both = both.withColumn("own", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int"))
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return both.withColumn("other", other).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "other")
