@@ -1,14 +1,16 @@
 """Quality classifier by co-training of two views.
 
-The text view sees a document's bytes and words, the metadata view its language, source and length. Both are logistic
-models fitted in numpy on a bounded sample of labelled rows. Over ROUNDS, each view labels the unlabelled rows of the
-sample that it is sure of, and hands them to the other as training rows; a view is as sure as its calibration on
-held-back labelled rows says, so a view that knows nothing hands over nothing. At last the calibrated views are
-combined on the held-back rows, and every document is scored. There are two targets, quality and toxicity; a
+The text view sees a document's bytes and words; the metadata view its language and source, alone and together, and its lengths: of
+the text, its words and its lines. Both are logistic models, first fitted in numpy on a bounded sample of labelled rows.
+Then all documents without a label take part, whose features are computed once and stored in shards. In each round every shard
+is scored by both views; the rows that a view is sure of, by its calibration on held-back labelled rows, are handed with
+their pseudo-labels to the other view, which is fitted further on them and the labelled rows, from the same weights in every shard; the
+means of the shards' weights, by rows handed over, are the next round's. A view that knows nothing hands over nothing. At last
+the calibrated views are combined, and every document is scored. There are two targets, quality and toxicity; a
 document is kept if it is more likely good than not, and more likely harmless than not.
 
-SAMPLE_LABELLED and SAMPLE_UNLABELLED bound what is fitted, and so what reaches the driver (some 20 MB); all documents
-are scored, whole. The sample is taken by a hash of the id, at a rate that the tables' counts give.
+The labelled rows part in three: to fit the views, to calibrate them, and to combine them. SAMPLE_LABELLED bounds them, and
+so what reaches the driver (some 20 MB); it is taken by a hash of the id, at a rate that the table's count gives.
 
 Defined results: null and empty texts are scored as empty; null metadata is a value of its own; labels that are null
 or of no known document are left out; where there are no labels of both kinds to learn from, every document's score is
@@ -18,24 +20,29 @@ other columns pass through score_documents() untouched.
 
 from __future__ import annotations
 
+import functools
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
+import zstandard
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import discard, read_table, stored, text_rows
 
-SAMPLE_LABELLED, SAMPLE_UNLABELLED = 8_000, 3_000
+SAMPLE_LABELLED = 8_000
 #: Words are hashed to so many buckets; those that tell most of a target, up to so many, are features.
 WORD_BUCKETS, WORD_FEATURES, LEAST_DOCUMENTS = 1 << 18, 384, 8
-ROUNDS, SURE, HANDED = 3, 0.97, 300
-META = 64
+#: Rounds of exchange; how sure a view must be of a row that it hands over; steps of a shard's fit; documents of a shard.
+ROUNDS, SURE, SHARD_STEPS, SHARD = 2, 0.97, 40, 16_384
+#: Buckets of a metadata feature, and how many features there are.
+META, META_FEATURES = 64, 10
+TARGETS = ("quality", "harmless")
 WORDS = re.compile(rb"[a-z\x80-\xff]+")
 
 
@@ -71,26 +78,34 @@ def text_features(raw: bytes | None, buckets: Buckets) -> tuple[np.ndarray, np.n
     return shape(raw, raw.split()), np.fromiter(map(buckets.__getitem__, found), np.int32, len(found))
 
 
-def meta_features(lang: str | None, source: str | None, n_chars: int | None) -> list[int]:
-    """Places of the metadata's three features in 3 * META."""
+def octave(x: float) -> int:
+    """A length's place among its feature's buckets, two for each doubling."""
+    return min(META - 2, int(2 * np.log2(1 + max(0, x))))
+
+
+def meta_features(lang: str | None, source: str | None, n_chars: int | None, raw: bytes | None) -> list[int]:
+    """Places of the metadata's features in META_FEATURES * META."""
     at = lambda x: xxhash.xxh32_intdigest(str(x)) % META
-    return [at(lang), META + at(source), 2 * META + (META - 1 if n_chars is None else min(META - 2, int(max(0, n_chars)).bit_length()))]
+    lines, words = (raw or b"").split(b"\n"), (raw or b"").split()
+    longest, n = max(map(len, lines)), sum(map(len, lines))
+    lengths = [META - 1 if n_chars is None else octave(n_chars), octave(n), octave(len(words)), octave(len(lines)), octave(longest), octave(n / len(lines)), min(META - 2, 4 * n // max(1, len(words)))]
+    return [k * META + x for k, x in enumerate([at(lang), at(source), at((lang, source)), *lengths])]
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, decay: float = 1e-4, steps: int = 250) -> np.ndarray:
-    """Logistic regression by Adam over the whole sample, the classes weighed alike. Weights, the last for the bias."""
-    w = np.zeros(x.shape[1] + 1, np.float32)
+def fit(x: np.ndarray, y: np.ndarray, start: np.ndarray | None = None, decay: float = 1e-4, steps: int = 250) -> np.ndarray:
+    """Logistic regression by Adam over all rows, the classes weighed alike. Weights, the last for the bias."""
+    w, rate = (np.zeros(x.shape[1] + 1, np.float32), 0.1) if start is None else (start.astype(np.float32), 0.02)
     weight = np.where(y > 0.5, 0.5 / max(1, (y > 0.5).sum()), 0.5 / max(1, (y <= 0.5).sum())).astype(np.float32)
     m, v, y = np.zeros_like(w), np.zeros_like(w), y.astype(np.float32)
     for t in range(1, steps + 1):
         e = weight * (sigmoid(x @ w[:-1] + w[-1]) - y).astype(np.float32)
         g = np.append(x.T @ e + decay * w[:-1], e.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return w
 
 
@@ -120,75 +135,181 @@ def telling_words(words: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return np.sort(best[z[best] > 3.5])
 
 
-def co_train(sample: pd.DataFrame, target: str) -> dict | None:
-    """sample: shape, words, meta, and the target's label (1 good, 0 bad, NaN unlabelled)."""
-    y = sample[target].to_numpy(np.float64)
-    labelled = np.flatnonzero(~np.isnan(y))
-    held, train = labelled[::4], np.setdiff1d(labelled, labelled[::4])
-    if any(len(np.unique(y[part])) < 2 for part in (held, train)):
-        return None
-    pool = np.flatnonzero(np.isnan(y))
-    known = telling_words(list(sample["words"].iloc[train]), y[train])
-    text = np.zeros((len(sample), 136 + len(known)), np.float32)
-    text[:, :136] = np.stack(sample["shape"].to_list())
-    for row, words in enumerate(sample["words"]):
-        at = np.searchsorted(known, words)
-        hit = (at < len(known)) & (known[np.minimum(at, max(0, len(known) - 1))] == words) if len(known) else np.zeros(0, bool)
-        text[row, 136 + at[: len(hit)][hit]] = 1
-    meta = np.zeros((len(sample), 3 * META), np.float32)
-    for row, places in enumerate(sample["meta"]):
-        meta[row, list(places)] = 1
-    views, taught = (text, meta), [dict(zip(train.tolist(), y[train].tolist(), strict=True)) for _ in range(2)]
-    for at in range(ROUNDS):
-        weights = [fit(x[list(t)], np.array(list(t.values()))) for x, t in zip(views, taught, strict=True)]
-        curves = [platt(logits(x[held], w)[:, None], y[held]) for x, w in zip(views, weights, strict=True)]
-        if at == ROUNDS - 1:
-            break
-        for own, other in ((0, 1), (1, 0)):
-            p = sigmoid(logits(views[own][pool], weights[own]) * curves[own][0] + curves[own][1])
-            for side, label in ((p, 1.0), (1 - p, 0.0)):
-                sure = np.argsort(-side, kind="stable")[:HANDED]
-                taught[other].update({int(pool[k]): label for k in sure[side[sure] >= SURE]})
-    z = np.column_stack([logits(x[held], w) * c[0] + c[1] for x, w, c in zip(views, weights, curves, strict=True)])
-    return {"known": known, "weights": weights, "curves": curves, "mix": platt(z, y[held])}
-
-
-def _places(lang: pa.Array, source: pa.Array, n_chars: pa.Array) -> list[list[int]]:
-    return [meta_features(*x) for x in zip(lang.to_pylist(), source.to_pylist(), n_chars.to_pylist(), strict=True)]
+def text_matrix(shapes: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    return np.concatenate([shapes, hits], axis=1).astype(np.float32)
+
+
+def word_hits(words: list[np.ndarray], known: np.ndarray) -> np.ndarray:
+    """Which of the known buckets each document has."""
+    out = np.zeros((len(words), len(known)), bool)
+    for row, own in enumerate(words):
+        at = np.searchsorted(known, own)
+        hit = known[np.minimum(at, max(0, len(known) - 1))] == own if len(known) else np.zeros(len(own), bool)
+        out[row, at[hit]] = True
+    return out
+
+
+def meta_matrix(places: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(places), META_FEATURES * META), np.float32)
+    out[np.arange(len(places))[:, None], places] = 1
+    return out
+
+
+class Target:
+    """One target's views while they are trained: the labelled rows in their three parts, weights, and calibrations."""
+
+    def __init__(self, sample: pd.DataFrame, y: np.ndarray) -> None:
+        part = np.arange(len(y)) % 5
+        self.train, self.even, self.blend = (np.flatnonzero(np.isin(part, x)) for x in ((0, 1, 2), (3,), (4,)))
+        self.y, self.known = y, telling_words(list(sample["words"].iloc[self.train]), y[self.train])
+        self.views = (text_matrix(np.stack(sample["shape"].to_list()), word_hits(list(sample["words"]), self.known)), meta_matrix(np.stack(sample["meta"].to_list())))
+        self.weights = [fit(x[self.train], y[self.train]) for x in self.views]
+        self.handed: list[list[list[int]]] = []
+        self.calibrate()
+
+    def calibrate(self) -> None:
+        self.curves = [platt(logits(x[self.even], w)[:, None], self.y[self.even]) for x, w in zip(self.views, self.weights, strict=True)]
+
+    def model(self) -> dict:
+        z = np.column_stack([logits(x[self.blend], w) * c[0] + c[1] for x, w, c in zip(self.views, self.weights, self.curves, strict=True)])
+        return {"known": self.known, "weights": self.weights, "curves": self.curves, "mix": platt(z, self.y[self.blend]), "handed": self.handed}
+
+
+def trainable(y: np.ndarray) -> bool:
+    return all(len(np.unique(y[np.isin(np.arange(len(y)) % 5, x)])) == 2 for x in ((0, 1, 2), (3,), (4,)))
+
+
+def teach(x: np.ndarray, sure: np.ndarray, label: np.ndarray, seen: tuple[np.ndarray, np.ndarray], weights: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """A view fitted further on a shard's rows that the other view is sure of, and how many of either label there are."""
+    if not sure.any():
+        return weights * 0, [0, 0]
+    y = np.concatenate([seen[1], label[sure]])
+    return fit(np.concatenate([seen[0], x[sure]]), y, weights, steps=SHARD_STEPS), [int((~label[sure].astype(bool)).sum()), int(label[sure].sum())]
+
+
+def _pool(batches: Iterable[pa.RecordBatch], known: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Rows (text, lang, source, n_chars) to shards of features, compressed."""
+    press = zstandard.ZstdCompressor(level=1).compress
+    for shard in shards(batches, SHARD):
+        shapes, words, places = zip(*shard, strict=True)
+        hits = [np.packbits(word_hits(list(words), k), axis=1).tobytes() for k in known]
+        data = np.stack(shapes).astype(np.float16).tobytes() + np.array(places, np.int16).tobytes() + b"".join(hits)
+        yield pa.RecordBatch.from_arrays([pa.array([len(shapes)], pa.int64()), pa.array([press(data)], pa.binary())], names=["n", "data"])
+
+
+def shards(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[list[tuple]]:
+    buckets, held = Buckets(), []
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            raws, *rest = (c.to_pylist() for c in (batch.column(0).slice(at, 512).cast(pa.binary()), *(batch.column(k).slice(at, 512) for k in (1, 2, 3))))
+            for raw, lang, source, n_chars in zip(raws, *rest, strict=True):
+                held.append((*text_features(raw, buckets), meta_features(lang, source, n_chars, raw)))
+            if len(held) >= size:
+                yield held
+                held = []
+    if held:
+        yield held
+
+
+def unpacked(n: int, data: bytes, known: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """A shard's text matrix for each target, and its metadata matrix."""
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    sizes = [n * 136 * 2, n * META_FEATURES * 2, *(n * (-(-len(k) // 8)) for k in known)]
+    shape, places, *hits = np.split(raw, np.cumsum(sizes)[:-1])
+    shape = shape.view(np.float16).reshape(n, 136).astype(np.float32)
+    return [text_matrix(shape, np.unpackbits(h.reshape(n, -1), axis=1, count=len(k)) if len(k) else np.zeros((n, 0))) for h, k in zip(hits, known, strict=True)], meta_matrix(places.view(np.int16).reshape(n, META_FEATURES))
+
+
+def _exchange(batches: Iterable[pa.RecordBatch], state: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Shards to what each view learns from the other there: for each target and view the rows handed over by label, and weights times rows."""
+    part, targets = TaskContext.get().partitionId(), state.value
+    total, counts = [[np.zeros(len(w)) for w in t["weights"]] for t in targets], np.zeros((len(targets), 2, 2), np.int64)
+    for batch in batches:
+        for n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            texts, meta = unpacked(n, data, [t["known"] for t in targets])
+            for k, t in enumerate(targets):
+                views = (texts[k], meta)
+                p = [sigmoid(logits(x, w) * c[0] + c[1]) for x, w, c in zip(views, t["weights"], t["curves"], strict=True)]
+                for own, other in ((0, 1), (1, 0)):
+                    w, handed = teach(views[other], (p[own] >= SURE) | (p[own] <= 1 - SURE), (p[own] > 0.5).astype(np.float32), (t["seen"][other].astype(np.float32), t["y"]), t["weights"][other])
+                    total[k][other] += sum(handed) * w
+                    counts[k, other] += handed
+    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([counts.tobytes()], pa.binary()), pa.array([np.concatenate([w for t in total for w in t]).tobytes()], pa.binary())], names=["part", "counts", "total"])
+
+
+def _sum(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = total = part = None
+    for batch in batches:
+        for k, c, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            c, t = np.frombuffer(c, np.int64), np.frombuffer(t)
+            part, counts, total = (k, c, t) if part is None else (part, counts + c, total + t)
+    if part is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([counts.tobytes()], pa.binary()), pa.array([total.tobytes()], pa.binary())], names=["part", "counts", "total"])
+
+
+def co_train(targets: list[Target], pool: DataFrame, rounds: int) -> None:
+    """Rounds of exchange over the stored shards. Partial sums are added in order of their tasks; 16 rows reach the driver."""
+    context, columns = pool.sparkSession.sparkContext, "part int, counts binary, total binary"
+    for _ in range(rounds):
+        state = context.broadcast([{"known": t.known, "weights": t.weights, "curves": t.curves, "seen": [x[t.train].astype(np.float16) for x in t.views], "y": t.y[t.train].astype(np.float32)} for t in targets])
+        learnt = pool.mapInArrow(functools.partial(_exchange, state=state), columns)
+        rows = sorted(learnt.repartition(16, "part").sortWithinPartitions("part").mapInArrow(_sum, columns).collect())
+        state.unpersist()
+        if not rows:
+            return
+        counts = sum(np.frombuffer(r["counts"], np.int64) for r in rows).reshape(len(targets), 2, 2)
+        total = np.split(sum(np.frombuffer(r["total"]) for r in rows), np.cumsum([len(w) for t in targets for w in t.weights])[:-1])
+        for k, t in enumerate(targets):
+            for view in (0, 1):
+                if n := counts[k, view].sum():
+                    t.weights[view] = (total[2 * k + view] / n).astype(np.float32)
+            t.handed.append(counts[k].tolist())
+            t.calibrate()
+
+
+def _places(text: list, lang: pa.Array, source: pa.Array, n_chars: pa.Array) -> list[list[int]]:
+    return [meta_features(*x) for x in zip(lang.to_pylist(), source.to_pylist(), n_chars.to_pylist(), text, strict=True)]
 
 
 def _features(text: pa.Array, lang: pa.Array, source: pa.Array, n_chars: pa.Array) -> pa.Array:
-    buckets, shapes, words = Buckets(), [], []
-    for raw in text.cast(pa.binary()).to_pylist():
+    buckets, shapes, words, raws = Buckets(), [], [], text.cast(pa.binary()).to_pylist()
+    for raw in raws:
         s, w = text_features(raw, buckets)
         shapes.append(s)
         words.append(w)
-    return pa.StructArray.from_arrays([pa.array(shapes, pa.list_(pa.float32())), pa.array(words, pa.list_(pa.int32())), pa.array(_places(lang, source, n_chars), pa.list_(pa.int32()))], names=["shape", "words", "meta"])
+    return pa.StructArray.from_arrays([pa.array(shapes, pa.list_(pa.float32())), pa.array(words, pa.list_(pa.int32())), pa.array(_places(raws, lang, source, n_chars), pa.list_(pa.int32()))], names=["shape", "words", "meta"])
 
 
 def _view_columns(docs: DataFrame) -> list[Column]:
-    return [F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long")]
+    return [F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars")]
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, labelled: int = SAMPLE_LABELLED, unlabelled: int = SAMPLE_UNLABELLED) -> dict:
-    """The model: for each target what co_train gives, or a constant score."""
-    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    uniform = (F.xxhash64(F.lit("sample"), F.col("doc_id").cast("long")).cast("double") + 2.0**63) / 2.0**64
+def fit_quality(docs: DataFrame, labels: DataFrame, *, labelled: int = SAMPLE_LABELLED, rounds: int = ROUNDS) -> dict:
+    """The model: for each target the views' weights and calibrations, their combination and what was handed over, or a constant score."""
+    docs = text_rows(docs.select(F.col("doc_id").cast("long").alias("chosen_id"), *_view_columns(docs)))
+    uniform = (F.xxhash64(F.lit("sample"), "doc_id").cast("double") + 2.0**63) / 2.0**64
     given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality"), (1 - F.col("toxic").cast("double")).alias("harmless")).filter("doc_id IS NOT NULL AND (quality IS NOT NULL OR harmless IS NOT NULL)")
-    n_labels, n_docs = given.count(), docs.count()
-    some = given.filter(uniform < labelled / max(1, n_labels)).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("harmless").alias("harmless"))
-    free = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter(uniform < unlabelled / max(1, n_docs)).distinct().join(given.select("doc_id"), "doc_id", "left_anti")
-    # the sampling rates bound both: about 8,000 and 3,000 rows of three numbers
-    chosen = F.broadcast(some.unionByName(free.select("doc_id", F.lit(None).cast("double").alias("quality"), F.lit(None).cast("double").alias("harmless"))))
-    features = F.arrow_udf(_features, "struct<shape:array<float>, words:array<int>, meta:array<int>>")(*_view_columns(docs))
-    picked = docs.withColumn("chosen_id", F.col("doc_id").cast("long")).join(chosen.withColumnRenamed("doc_id", "chosen_id"), "chosen_id")
-    sample = picked.select("doc_id", "quality", "harmless", features.alias("f")).select("doc_id", "quality", "harmless", "f.*").toPandas()
-    sample = sample.assign(order=[xxhash.xxh64_intdigest(str(x)) for x in sample["doc_id"]]).sort_values(["order", "doc_id"], ignore_index=True)
-    out = {}
-    for target in ("quality", "harmless"):
-        y = sample[target].dropna()
-        out[target] = (co_train(sample, target) if len(y) else None) or {"constant": float(y.mean()) if len(y) else 1.0}
-    return out
+    some = given.filter(uniform < labelled / max(1, given.count())).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("harmless").alias("harmless"))
+    # the sampling rate bounds it: about 8,000 rows of three numbers
+    chosen = F.broadcast(some.withColumnRenamed("doc_id", "chosen_id"))
+    features = F.arrow_udf(_features, "struct<shape:array<float>, words:array<int>, meta:array<int>>")("text", "lang", "source", "n_chars")
+    sample = docs.join(chosen, "chosen_id").select("chosen_id", "quality", "harmless", features.alias("f")).select("chosen_id", "quality", "harmless", "f.*").toPandas()
+    words = [np.array(w, np.int32) for w in sample["words"]]
+    sample = sample.assign(words=words, order=[xxhash.xxh64_intdigest(str(x)) for x in sample["chosen_id"]], text=[w.tobytes() for w in words]).sort_values(["order", "chosen_id", "text"], ignore_index=True)
+    out, targets = {}, {}
+    for target in TARGETS:
+        own = sample[sample[target].notna()]
+        y = own[target].to_numpy(np.float64)
+        if trainable(y):
+            targets[target] = Target(own, y)
+        else:
+            out[target] = {"constant": float(y.mean()) if len(y) else 1.0}
+    if targets and rounds:
+        free = docs.join(given.select(F.col("doc_id").alias("chosen_id")), "chosen_id", "left_anti").select("text", "lang", "source", "n_chars")
+        pool = stored(free.mapInArrow(functools.partial(_pool, known=[t.known for t in targets.values()]), "n long, data binary"), "quality-pool")
+        co_train(list(targets.values()), pool, rounds)
+        discard(pool)
+    return out | {name: t.model() for name, t in targets.items()}
 
 
 def target_scores(model: dict, shapes: np.ndarray, words: list[np.ndarray], meta: list[list[int]]) -> np.ndarray:
@@ -201,7 +322,7 @@ def target_scores(model: dict, shapes: np.ndarray, words: list[np.ndarray], meta
     told[model["known"]] = True
     of_words = np.array([per_word[np.unique(w[told[w]])].sum() for w in words], np.float64)
     z_text = (shapes @ text_w[:136] + of_words + text_w[-1]) * text_c[0] + text_c[1]
-    z_meta = (meta_w[np.array(meta, np.int64).reshape(-1, 3)].sum(axis=1) + meta_w[-1]) * meta_c[0] + meta_c[1]
+    z_meta = (meta_w[np.array(meta, np.int64).reshape(-1, META_FEATURES)].sum(axis=1) + meta_w[-1]) * meta_c[0] + meta_c[1]
     return sigmoid(np.column_stack([z_text, z_meta, np.ones(len(z_text))]) @ model["mix"])
 
 
@@ -215,8 +336,9 @@ def _scorer(model: Broadcast) -> Callable:
 def score_batch(model: dict, text: pa.Array, lang: pa.Array, source: pa.Array, n_chars: pa.Array) -> pa.Array:
     buckets, found = Buckets(), {"quality": [], "harmless": []}
     for at in range(0, len(text), 512):
-        own = [text_features(raw, buckets) for raw in text.slice(at, 512).cast(pa.binary()).to_pylist()]
-        meta = _places(*(x.slice(at, 512) for x in (lang, source, n_chars)))
+        raws = text.slice(at, 512).cast(pa.binary()).to_pylist()
+        own = [text_features(raw, buckets) for raw in raws]
+        meta = _places(raws, *(x.slice(at, 512) for x in (lang, source, n_chars)))
         shapes = np.stack([s for s, _ in own]).astype(np.float64)
         for target, out in found.items():
             out.append(target_scores(model[target], shapes, [w for _, w in own], meta))
@@ -227,7 +349,7 @@ def score_batch(model: dict, text: pa.Array, lang: pa.Array, source: pa.Array, n
 def score_documents(docs: DataFrame, labels: DataFrame, *, name: str = "score", **options) -> DataFrame:
     """docs with a column of this name: struct of quality and toxicity, the probabilities, and kept."""
     model = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, **options))
-    return docs.withColumn(name, F.arrow_udf(_scorer(model), "struct<quality:double, toxicity:double, kept:boolean>")(*_view_columns(docs)))
+    return text_rows(docs).withColumn(name, F.arrow_udf(_scorer(model), "struct<quality:double, toxicity:double, kept:boolean>")(*_view_columns(docs)))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
