@@ -1,7 +1,7 @@
 """Near-duplicate lines by a join of deletion neighbourhoods, in DataFrame functions only.
 
 The lines of a text are what line feeds part; the words of a line are what single spaces part. A line is removed if an
-earlier line (by doc_id, then place in the text) is equal to it or, both having MIN_WORDS words at least, within one word: one
+earlier line (by doc_id, then place in the text) is equal to it or, both having min_words words at least, within one word: one
 inserted, deleted or replaced. Lines are judged on the input, not on what is left; blank lines stay.
 
 All variants of a line with up to one word deleted are emitted as hashed keys, first coarsely: a variant's key is the
@@ -10,8 +10,9 @@ keys whatever its length. Lines share a key if they are within the bound. Where
 they are compared in pairs. In larger groups every line emits each of its variants in full, hashed by the place of the
 deletion, what stands before it and what stands after it, and each group of equal variants yields its earliest line, so
 that no group is ever expanded to pairs. Both ways end in the verification of the edit distance on the words themselves.
-Equal lines are one class throughout, found by aggregation. Up to BROADCAST_ROWS keys of shared variants or hashes of their
-lines, a size that is counted first, are broadcast; beyond that the same joins shuffle.
+Equal lines are one class throughout, found by aggregation. Up to BROADCAST_BYTES of keys of shared variants or hashes of their
+lines, a size that is counted first, are broadcast; beyond that the same joins shuffle. Removed lines come back to a row by
+its id and a hash of its text, so that rows without an id don't all meet under one key.
 
 Defined results: null counts as empty text, which has one blank line; null ids come after all others; equal lines at one place
 of rows that repeat an id are earliest together, so both stay; an empty table gives
@@ -25,14 +26,21 @@ from pyspark.sql import functions as F
 
 from .common import read_table, stored
 
+#: Lines of fewer words than the first are removed only if equal. The bound itself, one word, is what the keys are made for.
 MIN_WORDS, HEAD, SMALL_GROUP = 8, 5, 12
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a broadcast table as its rows of numbers stand in memory, some 32 a row and 16 a number.
+BROADCAST_BYTES = 32 << 20
 LAST = 2**63 - 1
 
 
+def row_key() -> Column:
+    """With the id, what a row's removed lines are known by. Rows that are equal in both lose the same lines."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def text_lines(docs: DataFrame) -> DataFrame:
-    """(doc, no, line, h1, h2, n): the lines that are not blank, with 128 bits of hash and their number of words."""
-    every = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("no", "line"))
+    """(doc, row, no, line, h1, h2, n): the lines that are not blank, with 128 bits of hash and their number of words."""
+    every = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), row_key().alias("row"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("no", "line"))
     every = every.filter(F.ltrim("line", F.lit(" \t\r\v\f")) != "")
     n = (F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1).cast("int")
     return every.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(7), "line"), "n": n})
@@ -46,13 +54,13 @@ def coarse_keys() -> Column:
     return F.explode(F.array(*keys))
 
 
-def keyed_lines(lines: DataFrame) -> DataFrame:
-    return lines.filter(F.col("n") >= MIN_WORDS).withColumn("head", F.split("line", " ", HEAD + 2)).select("h1", "h2", coarse_keys().alias("key"))
+def keyed_lines(lines: DataFrame, min_words: int) -> DataFrame:
+    return lines.filter(F.col("n") >= min_words).withColumn("head", F.split("line", " ", HEAD + 2)).select("h1", "h2", coarse_keys().alias("key"))
 
 
 def if_small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it is small; df must be stored."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """df, of numbers, to be broadcast if it is small; df must be stored."""
+    return F.broadcast(df) if df.count() * (32 + 16 * len(df.columns)) <= BROADCAST_BYTES else df
 
 
 def full_variants(lines: DataFrame) -> DataFrame:
@@ -84,14 +92,14 @@ def within_one_word(a: Column, b: Column) -> Column:
     return shared(a, b) + shared(F.reverse(a), F.reverse(b)) >= longest - 1
 
 
-def near_lines(lines: DataFrame) -> DataFrame:
+def near_lines(lines: DataFrame, min_words: int) -> DataFrame:
     """(h1, h2, near_doc, near_no): lines with the place of the earliest other line within one word, if it is earlier."""
-    keyed = keyed_lines(lines)
+    keyed = keyed_lines(lines, min_words)
     shared = stored(keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low <> high").select("key"), "line-keys")
     members = stored(keyed.join(if_small(shared), "key").distinct(), "line-members")
     found = stored(members.select("h1", "h2").distinct(), "line-hashes")
     place = F.struct("doc", "no")
-    candidates = lines.filter(F.col("n") >= MIN_WORDS).join(if_small(found), ["h1", "h2"]).groupBy("h1", "h2").agg(F.min(place).alias("place"), F.min("n").alias("n"), F.min("line").alias("line"))
+    candidates = lines.filter(F.col("n") >= min_words).join(if_small(found), ["h1", "h2"]).groupBy("h1", "h2").agg(F.min(place).alias("place"), F.min("n").alias("n"), F.min("line").alias("line"))
     candidates = stored(candidates, "line-candidates")
     sizes = members.groupBy("key").agg(F.count("*").alias("lines"))
     sized = members.join(sizes, "key").join(candidates.select("h1", "h2", "place"), ["h1", "h2"])
@@ -109,24 +117,26 @@ def near_lines(lines: DataFrame) -> DataFrame:
     return verified.groupBy("h1", "h2").agg(F.min("near").alias("near"))
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc, no, h1): the lines that are removed, once each. Rows that share an id are told apart by what stands at a place."""
+def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc, row, no): the lines that are removed, once each. Rows that share an id are told apart by their texts."""
     lines = text_lines(docs)
-    near = stored(near_lines(lines), "line-near")
+    near = stored(near_lines(lines, min_words), "line-near")
     repeated = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "no")).alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
     kept = repeated.join(near, ["h1", "h2"], "full").select("h1", "h2", F.least("first", "near").alias("kept"))
-    return lines.select("h1", "h2", "doc", "no").join(kept, ["h1", "h2"]).filter(F.struct("doc", "no") > F.col("kept")).select("doc", "no", "h1").distinct()
-
-
-def line_dedup(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, text) to (doc_id, n_lines, n_removed, kept_text), one for each row."""
-    gone = removed_lines(docs).groupBy("doc").agg(F.collect_list(F.struct("no", "h1")).alias("gone"))
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.coalesce("text", F.lit("")).alias("text")).join(gone, "doc", "left")
-    parts = F.split("text", "\n")
-    left = F.filter(parts, lambda line, k: ~F.array_contains(F.col("gone"), F.struct(k.alias("no"), F.xxhash64(line).alias("h1"))))
-    n_lines = F.size(parts).cast("long")
-    cut = rows.select("doc_id", n_lines.alias("n_lines"), "text", F.when(F.col("gone").isNotNull(), left).alias("left"))
-    return cut.select("doc_id", "n_lines", F.coalesce(F.col("n_lines") - F.size("left"), F.lit(0)).alias("n_removed"), F.coalesce(F.array_join("left", "\n"), "text").alias("kept_text"))
+    return lines.select("h1", "h2", "doc", "row", "no").join(kept, ["h1", "h2"]).filter(F.struct("doc", "no") > F.col("kept")).select("doc", "row", "no")
+
+
+def line_dedup(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
+    """Rows (doc_id, text) to (doc_id, n_lines, n_removed, kept_text), one for each row.
+
+    A row's removed lines are collected (no more than it has), and left out by one pass over the places of its lines.
+    """
+    gone = removed_lines(docs, min_words).groupBy("doc", "row").agg(F.collect_set("no").alias("gone"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), row_key().alias("row"), F.split(text, "\n").alias("parts")).join(gone, ["doc", "row"], "left")
+    places = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone"))
+    left = F.when(F.col("gone").isNull(), F.col("parts")).otherwise(F.transform(places, lambda k: F.get("parts", k)))
+    return rows.select("doc_id", F.size("parts").cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"), F.array_join(left, "\n").alias("kept_text"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
