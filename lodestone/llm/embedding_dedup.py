@@ -87,24 +87,30 @@ def directions(vectors: np.ndarray, words: int) -> list[np.ndarray]:
     return [np.sort(np.concatenate(x)) for x in out]
 
 
-def _units(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
-    out = []
-    for x in column.to_pylist():
-        v = np.array(x, np.float64)
-        v /= np.abs(v).max()  # so that squares neither overflow nor vanish
-        out.append(v / np.linalg.norm(v))
-    return out
+def unit_rows(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as unit rows of a matrix, filled with zeros to the widest, and their dimensions."""
+    rows, dims = rows_of(column)
+    rows = rows / np.abs(rows).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True), dims
+
+
+def rows_of(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    dims, values = np.diff(column.offsets.to_numpy()), column.flatten().to_numpy(zero_copy_only=False)
+    out = np.zeros((len(dims), int(dims.max()) if len(dims) else 0), values.dtype if values.dtype.kind == "i" else np.float64)
+    out[np.repeat(np.arange(len(dims)), dims), np.arange(len(values)) - np.repeat(np.cumsum(dims) - dims, dims)] = values
+    return out, dims
 
 
 def _decode(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            units = _units(part.column("embedding"))
+            units, dims = unit_rows(part.column("embedding"))
             found: list = [None] * len(units)
-            for dim in {len(u) for u in units}:
-                own = [k for k, u in enumerate(units) if len(u) == dim]
-                for k, f in zip(own, directions(np.stack([units[k] for k in own]), words), strict=True):
+            for dim in np.unique(dims).tolist():
+                own = np.flatnonzero(dims == dim)
+                for k, f in zip(own.tolist(), directions(units[own, :dim], words), strict=True):
                     found[k] = f
             if found:
                 yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("copies"), part.column("embedding"), pa.array(found, pa.list_(pa.int64()))], names=["rep", "copies", "embedding", "filters"])
@@ -125,38 +131,58 @@ def _smaller_common(filters: np.ndarray, here: int) -> np.ndarray:
     return common > 0
 
 
+class Links:
+    """A task's links: of each vector how many, and the smallest that it is linked to so far. Only that leaves the task."""
+
+    def __init__(self) -> None:
+        self.rep, self.count, self.root = (np.zeros(0, np.int64) for _ in range(3))
+
+    def add(self, p: np.ndarray, q: np.ndarray, of_p: np.ndarray, of_q: np.ndarray) -> None:
+        """Links p-q; of_p and of_q say for how many copies each end counts."""
+        rep, place = np.unique(np.concatenate([self.rep, self.root, p, q]), return_inverse=True)
+        was, root, p, q = np.split(place, np.cumsum([len(self.rep), len(self.root), len(p)]))
+        count = np.bincount(was, self.count, len(rep)) + np.bincount(p, of_q, len(rep)) + np.bincount(q, of_p, len(rep))
+        low = roots(len(rep), np.concatenate([was, p]), np.concatenate([root, q]))
+        self.rep, self.count, self.root = rep, count.astype(np.int64), rep[low]
+
+    def batch(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.rep), pa.array(self.count), pa.array(self.root)], names=["rep", "links", "root"])
+
+
+#: Vectors with links that a task holds before it writes them.
+HELD = 200_000
+
+
 def _verify(batches: Iterable[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Compares the rows of each filter's blocks. Links count at a pair's smallest common filter; roots take all links."""
+    """Compares the rows of each filter's blocks. A pair is a link at its smallest common filter alone."""
+    links = Links()
     for table in whole_groups(batches, ["filter", "i", "j"], 4000):
         n = table.num_rows
-        units = _units(table["embedding"])
-        wide = max(map(len, units))
-        matrix, dims = np.zeros((n, wide)), np.array([len(u) for u in units])
-        for k, u in enumerate(units):
-            matrix[k, : len(u)] = u
-        lists = table["filters"].to_pylist()
-        filters = np.full((n, max(map(len, lists))), -1, np.int64)
-        for k, f in enumerate(lists):
-            filters[k, : len(f)] = f
+        matrix, dims = unit_rows(table["embedding"])
+        lists, sizes = rows_of(table["filters"])
+        filters = np.where(np.arange(lists.shape[1]) < sizes[:, None], lists, -1)
         here, rep, copies, i, j, own = (table[c].to_numpy() for c in ("filter", "rep", "copies", "i", "j", "own"))
-        linked_p, linked_q, links = [], [], np.zeros(n, np.int64)
         starts = group_starts(table, ["filter", "i", "j"])
+        found: list[list[np.ndarray]] = [[], []]
         for begin, end in zip(starts.tolist(), [*starts[1:].tolist(), n], strict=True):
+            if end - begin < 2:
+                continue
             at = slice(begin, end)
             close = np.triu(matrix[at] @ matrix[at].T >= threshold, 1) & (dims[at][:, None] == dims[at][None, :])
             if i[begin] != j[begin]:
                 close &= own[at][:, None] != own[at][None, :]
-            p, q = np.nonzero(close)
-            if not len(p):
-                continue
-            first = ~_smaller_common(filters[at], int(here[begin]))[p, q]
-            linked_p.append(p + begin)
-            linked_q.append(q + begin)
-            links[at] += np.bincount(p[first], copies[at][q[first]], end - begin).astype(np.int64) + np.bincount(q[first], copies[at][p[first]], end - begin).astype(np.int64)
-        p, q = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (linked_p, linked_q))
-        low, used = roots(n, p, q), np.unique(np.concatenate([p, q]))
-        if len(used):
-            yield pa.RecordBatch.from_arrays([pa.array(rep[used]), pa.array(links[used]), pa.array(rep[low[used]])], names=["rep", "links", "root"])
+            if close.any():
+                p, q = np.nonzero(close & ~_smaller_common(filters[at], int(here[begin])))
+                found[0].append(p + begin)
+                found[1].append(q + begin)
+        if found[0]:
+            p, q = map(np.concatenate, found)
+            links.add(rep[p], rep[q], copies[p], copies[q])
+        if len(links.rep) > HELD:
+            yield links.batch()
+            links = Links()
+    if len(links.rep):
+        yield links.batch()
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
