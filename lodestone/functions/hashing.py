@@ -53,6 +53,12 @@ def unsigned(value: Column) -> Column:
     return F.when(value < 0, wide + F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(wide).cast("decimal(20,0)")
 
 
+def shingles(tokens: Column) -> Column:
+    """The runs of SHINGLE tokens of an array, joined by spaces; the single tokens where there are fewer. Repeated ones stay."""
+    several = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - SHINGLE + 1, F.lit(1))), lambda k: F.array_join(F.slice(tokens, k, SHINGLE), " "))
+    return F.when(F.size(tokens) >= SHINGLE, several).otherwise(tokens)
+
+
 def signatures(texts: list[list[str]]) -> np.ndarray:
     """For each list of tokens the smallest salted hash for each slot over its shingles, single tokens where there are fewer than SHINGLE.
 

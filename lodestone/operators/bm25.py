@@ -22,31 +22,56 @@ class Bm25Index:
     statistics: DataFrame
 
 
+def counted_terms(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text") -> DataFrame:
+    """(chunk_id, len, first, term, tf): terms are counted within their row, so that nothing is shuffled; a chunk without tokens has one row of no term.
+
+    Sorted tokens part in runs: a run's first place is its term's, the distance to the next run its number. Each step
+    stands alone, as an expression that is used twice is computed twice.
+    """
+    rows = chunks.select(F.col(chunk_id).alias("chunk_id"), F.sort_array(tokenize(F.col(text))).alias("t")).withColumn("len", F.size("t"))
+    begins = F.filter(F.sequence(F.lit(0), F.greatest(F.col("len") - 1, F.lit(0))), lambda k: (k == 0) | (F.get("t", k) != F.get("t", k - 1)))
+    rows = rows.withColumn("begins", begins)
+    items = F.transform("begins", lambda p, j: F.struct((j == 0).alias("first"), F.coalesce(F.get("t", p), F.lit("")).alias("term"), (F.coalesce(F.get("begins", j + 1), F.col("len")) - p).cast("long").alias("tf")))
+    return rows.select("chunk_id", "len", F.explode(items).alias("i")).select("chunk_id", "len", "i.*")
+
+
 def term_frequencies(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text") -> DataFrame:
     """(chunk_id, term, tf, len): len counts all tokens of the chunk."""
-    tokens = chunks.select(F.col(chunk_id).alias("chunk_id"), tokenize(F.col(text)).alias("tokens"))
-    each = tokens.select("chunk_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
-    return each.groupBy("chunk_id", "len", "term").agg(F.count("*").alias("tf"))
+    return counted_terms(chunks, chunk_id, text).filter("len > 0").select("chunk_id", "len", "term", "tf")
 
 
-def build_index(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text") -> Bm25Index:
-    postings = term_frequencies(chunks, chunk_id, text)
-    frequencies = postings.groupBy("term").agg(F.count("*").alias("df"))
-    # over the texts, not the postings: chunks without tokens count too
-    statistics = chunks.select(F.size(tokenize(F.col(text))).alias("len")).agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avgdl"), F.coalesce(F.sum("len"), F.lit(0)).alias("total_len"))
-    return Bm25Index(postings, frequencies, statistics)
+def _index(terms: DataFrame) -> Bm25Index:
+    frequencies = terms.groupBy("term").agg(F.count("*").alias("df")).filter("term <> ''")
+    statistics = terms.agg(F.count_if("first").alias("n"), F.coalesce(F.sum("tf"), F.lit(0)).alias("total_len"))
+    avgdl = F.when(F.col("n") > 0, F.col("total_len") / F.col("n")).otherwise(0.0)
+    return Bm25Index(terms.filter("term <> ''").select("chunk_id", "len", "term", "tf"), frequencies, statistics.select("n", avgdl.alias("avgdl"), "total_len"))
 
 
-def write_index(index: Bm25Index, path: str) -> None:
-    """Keeps an index, so that it isn't built for every batch of queries. Postings are laid out by term: a search for few
-    terms skips what their row groups' bounds exclude."""
-    index.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+def build_index(chunks: DataFrame, path: str | None = None, *, chunk_id: str = "chunk_id", text: str = "text") -> Bm25Index:
+    """An index of chunks. With a path it is kept there: texts are cut in tokens once, and what is left is derived from the counts.
+
+    Counts are laid out by term: a search for few terms skips what their row groups' bounds exclude. Without a path
+    the three frames are declared only, and each that is used reads the texts.
+    """
+    terms = counted_terms(chunks, chunk_id, text)
+    if path is None:
+        return _index(terms)
+    terms.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    index = _index(chunks.sparkSession.read.parquet(f"{path}/terms"))
     index.frequencies.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/frequencies")
     index.statistics.write.mode("overwrite").parquet(f"{path}/statistics")
+    return read_index(chunks.sparkSession, path)
+
+
+def is_kept(spark: SparkSession, path: str) -> bool:
+    """Whether build_index() has kept an index there, to its end."""
+    last = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/statistics/_SUCCESS")
+    return last.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(last)
 
 
 def read_index(spark: SparkSession, path: str) -> Bm25Index:
-    return Bm25Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "frequencies", "statistics")))
+    terms = spark.read.parquet(f"{path}/terms").filter("term <> ''").select("chunk_id", "len", "term", "tf")
+    return Bm25Index(terms, *(spark.read.parquet(f"{path}/{name}") for name in ("frequencies", "statistics")))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:

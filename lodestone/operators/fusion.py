@@ -38,17 +38,29 @@ def _greedy(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return group.sort_values("rank")[flags].drop(columns="signature")
 
 
+def signed(ids: DataFrame, chunks: DataFrame, *more: Column, text: str = "text") -> DataFrame:
+    """(chunk_id, signature) of the chunks with these distinct ids, and further columns of theirs.
+
+    Signing is the dear part: it is dealt to all cores, however few bytes the ids and their texts are.
+    """
+    spark = chunks.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    own = chunks.join(ids.select("chunk_id"), "chunk_id", "left_semi").repartition(tasks, "chunk_id")
+    return own.select("chunk_id", minhash(tokenize(F.col(text))).alias("signature"), *more)
+
+
 def drop_near_duplicates(ranked: DataFrame, threshold: float = 0.85, text: str = "text") -> DataFrame:
     """Of each query's list, in rank order, a row goes if a kept one is at least so similar by MinHash of word trigrams.
 
-    A list holds the candidates of one query, bounded by what its arms return. Two texts without tokens are alike.
+    ranked has signatures, as signed() gives them, or texts to sign. A list holds the candidates of one query, bounded by what
+    its arms return. Two texts without tokens are alike.
     """
-    signed = ranked.withColumn("signature", minhash(tokenize(F.col(text))))
+    known = ranked if "signature" in ranked.columns else ranked.withColumn("signature", minhash(tokenize(F.col(text))))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         return _greedy(group, threshold)
 
-    return signed.groupBy("query_id").applyInPandas(run, ranked.schema)
+    return known.groupBy("query_id").applyInPandas(run, known.drop("signature").schema)
 
 
 def pack_skipping(ranked: DataFrame, budget: int, cost: Column | None = None) -> DataFrame:

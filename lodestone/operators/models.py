@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import TINY
 
-# Where a local server listens, and its paths.
+# Where a local server listens, the models that are asked for, the length of its vectors, and its paths.
 BASE_URL = "http://localhost:11434"
+EMBED_MODEL, CHAT_MODEL, DIM = "nomic-embed-text", "llama3.1:8b-instruct-q4_0", 768
 EMBED, GENERATE, LIST = "/api/embeddings", "/api/generate", "/api/tags"
 
 

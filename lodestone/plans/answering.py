@@ -31,21 +31,27 @@ class MockLlm:
         return f"This is a grounded answer [^{self.cite}]." if self.cite else "This is a grounded answer."
 
 
-def answer(questions: DataFrame, hits: DataFrame, llm: Llm | Callable[[str, str], str], *, budget: int = 6000, threshold: float = 0.15) -> tuple[DataFrame, DataFrame]:
+def answer(questions: DataFrame, hits: DataFrame, llm: Llm | Callable[[str, str], str], keep: str, *, budget: int = 6000, threshold: float = 0.15) -> tuple[DataFrame, DataFrame]:
     """questions (query_id, text) with their hits (query_id, rank, chunk_id, path_or_url, text, score) to two frames.
 
+    A model may answer otherwise when asked again, so contexts and raw answers are written under `keep`, a new path in
+    a folder that all executors share, and all else is derived from there: a lost executor asks nothing twice that was written.
+
     Answers: query_id, answer, answer_clean, rejected. Citations: one row for each chunk that was in a context, with
     score and used_in_answer. Rejected questions don't reach the model and have no citations.
     """
     generate = llm if callable(llm) else llm.generate
     gate = rejected(questions, hits, threshold)
-    packed = pack_stopping(hits.join(gate.filter("not rejected"), "query_id", "left_semi"), budget)
+    spark = questions.sparkSession
+    pack_stopping(hits.join(gate.filter("not rejected"), "query_id", "left_semi"), budget).write.parquet(f"{keep}/contexts")
+    packed = spark.read.parquet(f"{keep}/contexts")
     valid = packed.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("valid"))
     asked = questions.join(gate, "query_id").join(context_block(packed), "query_id", "left").join(valid, "query_id", "left")
     system = SYSTEM_PROMPT
     said = F.udf(lambda p: None if p is None else generate(system, p), "string").asNondeterministic()  # one call a question: the model is the cost
-    raw = asked.withColumn("raw", F.when(~F.col("rejected"), said(prompt(F.col("text"), F.col("context")))))
-    answers = raw.select("query_id", "text", F.when(F.col("rejected"), DECLINED).otherwise(F.col("raw")).alias("answer"), F.when(F.col("rejected"), DECLINED).otherwise(without_unknown(F.col("raw"), F.col("valid"))).alias("answer_clean"), "rejected", F.when(F.col("rejected"), F.array().cast("array<string>")).otherwise(cited(F.col("raw"), F.col("valid"))).alias("cited")).cache()
+    asked.select("query_id", "text", "rejected", "valid", F.when(~F.col("rejected"), said(prompt(F.col("text"), F.col("context")))).alias("raw")).write.parquet(f"{keep}/raw")
+    raw = spark.read.parquet(f"{keep}/raw")
+    answers = raw.select("query_id", "text", F.when(F.col("rejected"), DECLINED).otherwise(F.col("raw")).alias("answer"), F.when(F.col("rejected"), DECLINED).otherwise(without_unknown(F.col("raw"), F.col("valid"))).alias("answer_clean"), "rejected", F.when(F.col("rejected"), F.array().cast("array<string>")).otherwise(cited(F.col("raw"), F.col("valid"))).alias("cited"))
     citations = packed.join(answers.select("query_id", "cited"), "query_id").select("query_id", "rank", "chunk_id", "path_or_url", "text", "score", F.array_contains("cited", F.col("chunk_id")).alias("used_in_answer"))
     return answers, citations
 

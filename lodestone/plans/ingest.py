@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,33 +48,73 @@ def tally(documents: DataFrame) -> DataFrame:
     )
 
 
-def ingest(store: Store, source_id: str, docs: DataFrame, embedder: Embedder, config: ChunkConfig | None = None, *, now_ms: int | None = None, remove_missing: bool = False) -> IngestSummary:
-    """docs as the readers give them. Unchanged ones are skipped before anything is cut or embedded; of rows that repeat a path one counts.
+COLUMNS = ("path", "title", "mime", "text_kind", "byte_size", "content_hash")
 
-    With remove_missing, documents of the source that docs no longer has are deleted.
+
+def incoming(docs: DataFrame, known: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+    """One row for each path without its text: COLUMNS and status. Of rows that repeat a path the one with the smallest hash and title counts.
+
+    A document without a text, and a path of `expected` that docs doesn't have, failed.
+    """
+    light = docs.select(*COLUMNS, F.col("text").isNull().alias("failed"))
+    one = light.groupBy("path").agg(F.min(F.struct("content_hash", "title", "mime", "text_kind", "byte_size", "failed")).alias("d")).select("path", "d.*")
+    found = changes(one, known, ["path"]).withColumn("status", F.when(F.col("failed"), "failed").otherwise(F.col("status"))).select(*COLUMNS, "status")
+    if expected is None:
+        return found
+    missing = expected.select("path").distinct().join(docs.select("path"), "path", "left_anti")
+    return found.unionByName(missing.withColumn("status", F.lit("failed")), allowMissingColumns=True)
+
+
+def ingest(
+    store: Store, source_id: str, docs: DataFrame, embedder: Embedder, config: ChunkConfig | None = None, *,
+    now_ms: int | None = None, remove_missing: bool = False, expected: DataFrame | None = None, on_events: Callable[[DataFrame], None] | None = None,
+) -> IngestSummary:
+    """docs as the readers give them. Paths and hashes alone are held against what is known; only texts that changed are moved, cut and embedded.
+
+    With remove_missing, documents of the source that docs no longer has are deleted. expected: the paths that should be
+    there; those that docs lacks count as failed. The run's events are committed with its rows: one for each
+    document that is not unchanged, and one that ends the run, with its totals; on_events gets them too.
     """
-    known = store.read("document").filter(F.col("source_id") == source_id).select(F.col("path_or_url").alias("path"), "content_hash")
-    first = docs.withColumn("_at", F.struct("content_hash", "title")).groupBy("path").agg(F.min_by(F.struct("title", "mime", "text_kind", "byte_size", "content_hash", "text"), "_at").alias("d")).select("path", "d.*")
-    found = changes(first, known, ["path"]).withColumn("document_id", document_id(source_id, F.col("path"))).withColumn("status", F.when(F.col("text").isNull(), "failed").otherwise(F.col("status")))
-    work = found.filter(F.col("status").isin("new", "changed"))
-    stamp = F.lit(now_ms) if now_ms is not None else F.unix_millis(F.current_timestamp())
-    chunks = chunk_documents(work, config).cache()
+    base = store.version()
+    old = store.read("document").filter(F.col("source_id") == source_id)
+    known = old.select(F.col("path_or_url").alias("path"), "content_hash")
+    stamp = now_ms if now_ms is not None else time.time_ns() // 1_000_000
+    found = incoming(docs, known, expected).withColumn("document_id", document_id(source_id, F.col("path"))).persist(StorageLevel.DISK_ONLY)
+    work = found.filter(F.col("status").isin("new", "changed")).select("path", "content_hash", "title", "document_id")
+    # the texts of changed documents, found again by what was decided on
+    texts = docs.join(work, docs["path"].eqNullSafe(work["path"]) & docs["content_hash"].eqNullSafe(work["content_hash"]) & docs["title"].eqNullSafe(work["title"]))
+    chunks = chunk_documents(texts.select("document_id", "text", "text_kind").dropDuplicates(["document_id"]), config).persist(StorageLevel.DISK_ONLY)
     counts = chunks.groupBy("document_id").agg(F.count("*").alias("n_chunks"))
-    placed = found.select("document_id", "path", "title", "mime", "byte_size", "content_hash", "status").join(counts, "document_id", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0))).cache()
+    placed = found.join(counts, "document_id", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))
     total = tally(placed).first()
     summary = IngestSummary(*(total[c] for c in ("documents_ingested", "documents_skipped", "documents_failed", "chunks_created")))
     gone = placed.filter("status = 'changed'").select(F.col("document_id").alias("id"))
     if remove_missing:
-        missing = store.read("document").filter(F.col("source_id") == source_id).join(docs.select(F.col("path").alias("path_or_url")), "path_or_url", "left_anti").select("id")
-        gone = gone.unionByName(missing)
+        gone = gone.unionByName(old.join(docs.select(F.col("path").alias("path_or_url")), "path_or_url", "left_anti").select("id"))
+    events = run_events(placed, source_id, summary, stamp)
     rows = {
-        "document": placed.filter("status in ('new', 'changed') and n_chunks > 0").select(F.col("document_id").alias("id"), F.lit(source_id).alias("source_id"), F.col("path").alias("path_or_url"), "title", "mime", "byte_size", "content_hash", F.lit(None).cast("int").alias("page_count"), stamp.alias("ingested_at")),
+        "document": placed.filter("status in ('new', 'changed') and n_chunks > 0").select(F.col("document_id").alias("id"), F.lit(source_id).alias("source_id"), F.col("path").alias("path_or_url"), "title", "mime", "byte_size", "content_hash", F.lit(None).cast("int").alias("page_count"), F.lit(stamp).alias("ingested_at")),
         "chunk": chunks,
         "embedding": chunks.select(F.col("id").alias("chunk_id"), F.lit(embedder.model_id).alias("model_id"), F.lit(embedder.dim).alias("dim")),
         "chunk_vector": chunks.select(F.col("id").alias("chunk_id"), "document_id", F.lit(embedder.dim).alias("dim"), embedder.vectors(F.col("text")).alias("vector")),
     }
     if summary.documents_ingested or not gone.isEmpty():
-        store.commit(rows, store.below("document", gone))
+        store.commit(rows | {"ingest_event": events}, store.below("document", gone), unique=True, base=base, reads=("document",))
+    else:
+        store.commit({"ingest_event": events}, unique=True)
+    if on_events:
+        on_events(events)
     chunks.unpersist()
-    placed.unpersist()
+    found.unpersist()
     return summary
+
+
+def run_events(documents: DataFrame, source_id: str, summary: IngestSummary, stamp: int) -> DataFrame:
+    """ingest_event rows of a run: `progress` for each document that was ingested, skipped after a change, or failed, and `done`."""
+    totals = [F.lit(v).cast("long").alias(c) for c, v in vars(summary).items()]
+    none = [F.lit(None).cast("long").alias(c) for c in vars(summary)]
+    outcome = F.when(F.col("status") == "failed", "failed").when(F.col("n_chunks") > 0, "ingested").otherwise("skipped")
+    head = [F.lit(source_id).alias("source_id"), F.lit(stamp).cast("long").alias("at")]
+    each = documents.filter("status <> 'unchanged'").select(*head, F.lit("progress").alias("kind"), "path", outcome.alias("outcome"), *none)
+    done = documents.sparkSession.range(1).select(*head, F.lit("done").alias("kind"), F.lit("").alias("path"), F.lit(None).cast("string").alias("outcome"), *totals)
+    return each.unionByName(done)

@@ -2,27 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import estimate_tokens_by_words
 from ..operators.bm25 import Bm25Index, bm25_search, build_index
 from ..operators.embedding import Embedder
-from ..operators.fusion import drop_near_duplicates, hydrate, pack_skipping, rrf
-from ..operators.vector_search import cosine_search
+from ..operators.fusion import drop_near_duplicates, hydrate, pack_skipping, rrf, signed
 from ..schemas import HybridConfig
+from .vectors import FrameVectors, VectorStore
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, embedder: Embedder, k: int, *, digits: int | None = None) -> DataFrame:
+#: Most hits that a search gives.
+SEARCH_MOST = 50
+
+
+def clamped(k: int | Column) -> int | Column:
+    """How many hits a search gives when asked for k: 1 to SEARCH_MOST."""
+    return F.greatest(F.least(k, F.lit(SEARCH_MOST)), F.lit(1)) if isinstance(k, Column) else max(1, min(k, SEARCH_MOST))
+
+
+def retrieve(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | VectorStore, embedder: Embedder, k: int, *, digits: int | None = None) -> DataFrame:
     """The k nearest chunks of each query by cosine, hydrated: query_id, rank, chunk_id, score and chunks' columns."""
     asked = queries.select("query_id", embedder.vectors(F.col("text")).alias("vector"))
-    return hydrate(cosine_search(vectors, asked, k, digits=digits), chunks)
+    return hydrate(_held(vectors).search(asked, k, digits=digits), chunks)
 
 
-def hybrid_candidates(queries: DataFrame, vectors: DataFrame, index: Bm25Index, embedder: Embedder, config: HybridConfig, *, digits: int | None = None) -> DataFrame:
+def _held(vectors: DataFrame | VectorStore) -> VectorStore:
+    return FrameVectors(vectors) if isinstance(vectors, DataFrame) else vectors
+
+
+def hybrid_candidates(queries: DataFrame, vectors: DataFrame | VectorStore, index: Bm25Index, embedder: Embedder, config: HybridConfig, *, digits: int | None = None) -> DataFrame:
     """Both arms fused: query_id, chunk_id, rrf, rank, and each arm's own score, null where the arm did not return the chunk."""
     asked = queries.select("query_id", embedder.vectors(F.col("text")).alias("vector"))
-    near = cosine_search(vectors, asked, config.per_arm_k, digits=digits)
+    near = _held(vectors).search(asked, config.per_arm_k, digits=digits)
     lexical = bm25_search(index, queries, config.per_arm_k, digits=digits)
     return rrf(arms(near, lexical), config.rrf_k, carry=("cosine", "bm25"), digits=digits)
 
@@ -33,9 +46,13 @@ def arms(near: DataFrame, lexical: DataFrame) -> DataFrame:
     return near.select("query_id", "chunk_id", "rank", F.col("score").alias("cosine"), none.alias("bm25")).unionByName(lexical.select("query_id", "chunk_id", "rank", none.alias("cosine"), F.col("score").alias("bm25")))
 
 
-def retrieve_hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, embedder: Embedder, config: HybridConfig | None = None, *, index: Bm25Index | None = None, digits: int | None = None) -> DataFrame:
-    """Fused, hydrated, without near duplicates and packed to the budget."""
+def retrieve_hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | VectorStore, embedder: Embedder, config: HybridConfig | None = None, *, index: Bm25Index | None = None, digits: int | None = None) -> DataFrame:
+    """Fused, without near duplicates, packed to the budget, and hydrated.
+
+    Each chunk that is anyone's candidate is signed and priced once, on the chunks' side; lists carry ids, and texts are joined to what is left.
+    """
     c = config or HybridConfig()
-    found = hydrate(hybrid_candidates(queries, vectors, index or build_index(chunks), embedder, c, digits=digits), chunks)
-    kept = drop_near_duplicates(found, c.dedup_threshold)
-    return pack_skipping(kept, c.budget, estimate_tokens_by_words(F.col("text")))
+    found = hybrid_candidates(queries, vectors, index or build_index(chunks), embedder, c, digits=digits)
+    known = signed(found.select("chunk_id").distinct(), chunks, estimate_tokens_by_words(F.col("text")).alias("price"))
+    kept = drop_near_duplicates(found.join(known, "chunk_id"), c.dedup_threshold)
+    return hydrate(pack_skipping(kept, c.budget, F.col("price")).drop("price"), chunks)

@@ -3,70 +3,117 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import subprocess
+import tempfile
 import time
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.bm25 import Bm25Index, build_index
+from .. import __version__
+from ..operators.bm25 import Bm25Index, build_index, is_kept, read_index
 from ..operators.embedding import Embedder, HashEmbedder
+from ..operators.fusion import hydrate
+from ..operators.models import BASE_URL, CHAT_MODEL, DIM, EMBED_MODEL, HttpEmbedder, HttpLlm, is_served
 from ..schemas import HybridConfig
-from ..sources.readers import cache_name, read_folder, read_pages, read_texts, repo_cache_root, repo_error, repo_slug
+from ..sources.readers import cache_name, list_folder, read_folder, read_pages, read_texts, repo_cache_root, repo_error, repo_slug
+from ..sources.web import fetch_pages
 from .answering import Llm, MockLlm, answer, conversation_rows
 from .ingest import IngestSummary, ingest
-from .retrieval import retrieve, retrieve_hybrid
+from .retrieval import clamped, retrieve_hybrid
 from .store import Store
+from .vectors import StoreVectors, VectorStore
 
-SEARCH_MOST, ASK_HITS = 50, 12
+ASK_HITS = 12
 
 
 def now_ms() -> int:
     return time.time_ns() // 1_000_000
 
 
+def ping() -> str:
+    return "pong"
+
+
+def version() -> str:
+    return __version__
+
+
 class Workspace:
-    def __init__(self, spark: SparkSession, path: str, embedder: Embedder | None = None, llm: Llm | None = None) -> None:
-        self.spark, self.path, self.store = spark, path, Store(spark, path)
+    def __init__(self, spark: SparkSession, path: str, embedder: Embedder | None = None, llm: Llm | None = None, vectors: VectorStore | None = None) -> None:
+        self.spark, self.path, self.store = spark, path.rstrip("/"), Store(spark, path)
         self.embedder, self.llm = embedder or HashEmbedder(), llm or MockLlm()
+        self.vectors = vectors or StoreVectors(self.store)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, *, base_url: str = BASE_URL, embed_model: str = EMBED_MODEL, chat_model: str = CHAT_MODEL, dim: int = DIM) -> Workspace:
+        """With served models if a server answers at base_url, else with the hash embedder and the mock model."""
+        if is_served(base_url):
+            return cls(spark, path, HttpEmbedder(embed_model, dim, base_url), HttpLlm(chat_model, base_url))
+        return cls(spark, path, HashEmbedder(dim), MockLlm())
 
     def _source(self, ident: str, kind: str, uri: str, status: str, synced: int | None = None, ingested: int | None = None) -> None:
         row = [(ident, kind, uri, status, ingested, synced, "{}")]
         self.store.upsert("source", self.spark.createDataFrame(row, "id string, kind string, uri string, status string, ingested_at bigint, last_synced_at bigint, meta string"))
 
-    def _run(self, kind: str, uri: str, docs: DataFrame, *, synced: bool = False) -> tuple[str, IngestSummary]:
-        """The source's id is a function of kind and uri: adding it again finds what is there."""
+    def _run(self, kind: str, uri: str, docs: Callable[[], tuple[DataFrame, DataFrame | None]], *, synced: bool = False) -> tuple[str, IngestSummary]:
+        """docs: gives the documents, and the paths that should be among them. The source's id is a function of kind and uri: adding it again finds what is there."""
         ident = hashlib.sha256(f"{kind}\x01{uri}".encode()).hexdigest()
         self._source(ident, kind, uri, "ingesting")
         try:
-            summary = ingest(self.store, ident, docs, self.embedder, now_ms=now_ms())
-        except Exception:
+            own, expected = docs()
+            summary = ingest(self.store, ident, own, self.embedder, now_ms=now_ms(), expected=expected)
+        except Exception as e:
             self._source(ident, kind, uri, "error")
+            failed = self.spark.createDataFrame([(ident, now_ms(), "failed", "", str(e)[:1000])], "source_id string, at bigint, kind string, path string, outcome string")
+            self.store.upsert("ingest_event", failed.select("*", *(F.lit(None).cast("long").alias(c) for c in IngestSummary.__dataclass_fields__)))
             raise
         self._source(ident, kind, uri, "ready", now_ms() if synced else None, now_ms())
         return ident, summary
 
+    def _folder(self, root: str) -> tuple[DataFrame, DataFrame]:
+        return read_folder(self.spark, root, under=self.path), list_folder(self.spark, root)
+
+    def events(self, ident: str) -> DataFrame:
+        """What a source's runs told, in order: a document at a time, and how each run ended."""
+        return self.store.read("ingest_event").filter(F.col("source_id") == ident).orderBy("at", F.col("kind") != "progress", "path")
+
     def add_folder_source(self, root: str) -> tuple[str, IngestSummary]:
-        return self._run("folder", root, read_folder(self.spark, root))
+        return self._run("folder", root, lambda: self._folder(root))
+
+    def add_url_source(self, uri: str, pages: DataFrame | None = None, *, synced: bool = False, **options) -> tuple[str, IngestSummary]:
+        """pages (url, html), as a crawler left them; without them the page at uri is fetched."""
+        return self._run("url", uri, lambda: self._pages(uri, pages, options), synced=synced)
 
-    def add_url_source(self, uri: str, pages: DataFrame, **options) -> tuple[str, IngestSummary]:
-        """pages (url, html), as a crawler left them: nothing is fetched here."""
-        return self._run("url", uri, read_pages(pages, **options))
+    def _pages(self, uri: str, pages: DataFrame | None, options: dict) -> tuple[DataFrame, DataFrame | None]:
+        if pages is not None:
+            return read_pages(pages, **options), None
+        wanted = self.spark.createDataFrame([(uri,)], "url string")
+        # written at once: a page may read otherwise the next time
+        fetch_pages(wanted).write.parquet(at := f"{self.path}/fetched/{uuid.uuid4().hex}")
+        got = self.spark.read.parquet(at)
+        return read_pages(got.filter("html is not null"), **options), wanted.withColumnRenamed("url", "path")
 
     def add_texts(self, uri: str, docs: DataFrame) -> tuple[str, IngestSummary]:
-        return self._run("url", uri, read_texts(docs))
+        return self._run("url", uri, lambda: (read_texts(docs), None))
 
     def add_repo_source(self, url: str, *, clone: bool = True, synced: bool = False) -> tuple[str, IngestSummary]:
-        """Clones on the driver, or updates the clone, and reads it as a folder."""
+        """Clones on the driver, in a folder of its own, puts the clone in the workspace, where all executors see it, and reads it as a folder."""
         one = self.spark.range(1).select(repo_slug(F.lit(url)).alias("slug"), repo_error(F.lit(url)).alias("error"), cache_name(repo_slug(F.lit(url))).alias("name")).first()
         if one["error"]:
             raise ValueError(f"{one['error']}: {url}")
         folder = f"{repo_cache_root(self.path)}/{one['name']}"
         if clone:
-            done = subprocess.run(["git", "-C", folder, "pull", "--ff-only", "--depth", "1"], capture_output=True, check=False)
-            if done.returncode:
-                subprocess.run(["git", "clone", "--depth", "1", url, folder], check=True, capture_output=True)
-        return self._run("repo", url, read_folder(self.spark, folder), synced=synced)
+            with tempfile.TemporaryDirectory() as own:
+                subprocess.run(["git", "clone", "--depth", "1", url, f"{own}/clone"], check=True, capture_output=True)
+                path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+                fs = path(folder).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+                fs.delete(path(folder), True)
+                fs.copyFromLocalFile(False, True, path(f"file://{own}/clone"), path(folder))
+        return self._run("repo", url, lambda: self._folder(folder), synced=synced)
 
     def sync_source(self, ident: str, pages: DataFrame | None = None) -> IngestSummary:
         """Reads a source again. Its kind is checked first: only folders, repos and urls can be."""
@@ -74,11 +121,11 @@ class Workspace:
         if row is None:
             raise KeyError(ident)
         if row["kind"] == "folder":
-            return self._run("folder", row["uri"], read_folder(self.spark, row["uri"]), synced=True)[1]
+            return self._run("folder", row["uri"], lambda: self._folder(row["uri"]), synced=True)[1]
         if row["kind"] == "repo":
             return self.add_repo_source(row["uri"], synced=True)[1]
-        if row["kind"] == "url" and pages is not None:
-            return self._run("url", row["uri"], read_pages(pages), synced=True)[1]
+        if row["kind"] == "url":
+            return self.add_url_source(row["uri"], pages, synced=True)[1]
         raise ValueError(f"a source of kind {row['kind']} can't be synced")
 
     def chunks(self) -> DataFrame:
@@ -86,17 +133,21 @@ class Workspace:
         return self.store.read("chunk").withColumnRenamed("id", "chunk_id").join(own, "document_id")
 
     def index(self) -> Bm25Index:
-        return build_index(self.chunks())
+        """The index of the chunks as they are now. It is kept beside them, and built again only once they have changed."""
+        parts = self.store.state()["tables"].get("chunk", {"rows": [], "deleted": []})
+        at = f"{self.path}/index/{hashlib.sha256(json.dumps(parts).encode()).hexdigest()}"
+        return read_index(self.spark, at) if is_kept(self.spark, at) else build_index(self.chunks(), at)
 
     def search(self, queries: DataFrame, k: int = ASK_HITS) -> DataFrame:
-        return retrieve(queries, self.chunks(), self.store.read("chunk_vector"), self.embedder, max(1, min(k, SEARCH_MOST)))
+        asked = queries.select("query_id", self.embedder.vectors(F.col("text")).alias("vector"))
+        return hydrate(self.vectors.search(asked, clamped(k)), self.chunks())
 
     def search_hybrid(self, queries: DataFrame, config: HybridConfig | None = None, index: Bm25Index | None = None) -> DataFrame:
-        return retrieve_hybrid(queries, self.chunks(), self.store.read("chunk_vector"), self.embedder, config, index=index)
+        return retrieve_hybrid(queries, self.chunks(), self.vectors, self.embedder, config, index=index or self.index())
 
     def ask(self, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Answers and citations of a batch of questions (query_id, text); both are kept in the store."""
         hits = self.search(questions)
-        answers, citations = answer(questions, hits, self.llm)
-        self.store.commit(conversation_rows(answers, citations, now_ms()))
+        answers, citations = answer(questions, hits, self.llm, f"{self.path}/answers/{uuid.uuid4().hex}")
+        self.store.commit(conversation_rows(answers, citations, now_ms()), unique=True)
         return answers, citations

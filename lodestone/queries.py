@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,9 +13,9 @@ from .functions import display, hashing, text, vectors
 from .operators import bm25, chunking, citations, embedding, fusion, vector_search
 from .plans.answering import MockLlm, answer
 from .plans.ingest import changes, document_id, ingest, tally
-from .plans.retrieval import arms, retrieve, retrieve_hybrid
+from .plans.retrieval import arms, clamped, retrieve, retrieve_hybrid
 from .plans.store import Store
-from .schemas import LOCATOR, MESSAGE_ROLES, HybridConfig
+from .schemas import LOCATOR, HybridConfig, violations
 from .sources import ignore, readers
 from .streaming import reingest
 
@@ -38,7 +39,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    return readers.read_table(spark, f"{sf}/documents.parquet")
 
 
 def chunks_of(spark: SparkSession, sf: str) -> DataFrame:
@@ -51,9 +52,11 @@ def benchmark_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def shared(spark: SparkSession) -> str:
-    """A folder for tables and checkpoints of these queries: in spark.checkpoint.dir where that is set."""
+    """A folder for tables and checkpoints of these queries: in spark.checkpoint.dir where that is set, else, on one machine, a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{at}/{next(tempfile._get_candidate_names())}" if at else tempfile.mkdtemp(prefix="lodestone-")
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{at or 'file://' + tempfile.gettempdir()}/lodestone-{uuid.uuid4().hex}"
 
 
 STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
@@ -116,11 +119,13 @@ def content_hashes(spark: SparkSession, sf: str) -> DataFrame:
     return own.join(own.groupBy("content_hash").agg(F.count("*").alias("copies")), "content_hash")
 
 
-@query(f"{WITH_TOKENS}, s AS (SELECT doc_id, unnest(list_transform(range(1, len(tokens) - 1), lambda k: array_to_string(tokens[k:k + 2], ' '))) AS shingle FROM d) SELECT doc_id, count(*) AS n, count(DISTINCT shingle) AS n_distinct, min(shingle) AS first FROM s GROUP BY doc_id")
+SHINGLES = "CASE WHEN len(tokens) >= 3 THEN list_transform(range(1, len(tokens) - 1), lambda k: array_to_string(tokens[k:k + 2], ' ')) ELSE tokens END"
+
+
+@query(f"{WITH_TOKENS}, s AS (SELECT doc_id, {SHINGLES} AS s FROM d) SELECT doc_id, len(s)::BIGINT AS n, len(list_distinct(s))::BIGINT AS n_distinct, list_min(s) AS first FROM s")
 def shingles(spark: SparkSession, sf: str) -> DataFrame:
-    d = documents(spark, sf).select("doc_id", text.tokenize(F.col("text")).alias("t")).filter(F.size("t") >= hashing.SHINGLE)
-    each = d.select("doc_id", F.transform(F.sequence(F.lit(1), F.size("t") - 2), lambda k: F.array_join(F.slice("t", k, hashing.SHINGLE), " ")).alias("s"))
-    return each.select("doc_id", F.size("s").cast("long").alias("n"), F.size(F.array_distinct("s")).cast("long").alias("n_distinct"), F.array_min("s").alias("first"))
+    d = documents(spark, sf).select("doc_id", hashing.shingles(text.tokenize(F.col("text"))).alias("s"))
+    return d.select("doc_id", F.size("s").cast("long").alias("n"), F.size(F.array_distinct("s")).cast("long").alias("n_distinct"), F.array_min("s").alias("first"))
 
 
 # Hashes and embeddings
@@ -169,7 +174,7 @@ s AS (SELECT query_id, vec_id AS chunk_id, round(list_cosine_similarity(e::DOUBL
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s)
 SELECT query_id, chunk_id, score, rank::INT AS rank FROM r WHERE rank <= 30""")
 def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    e = readers.read_table(spark, f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
     asked = e.filter("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "vector")  # the query set
     return vector_search.cosine_search(e, asked, 30, digits=6)
 
@@ -202,18 +207,22 @@ lexical AS (SELECT query_id, chunk_id, score, rank::INT AS rank FROM (SELECT *,
 
 @query(f"{SQL_BM25} SELECT * FROM lexical WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return bm25.bm25_search(bm25.build_index(chunks_of(spark, sf)), benchmark_queries(spark, sf), 10, digits=6)
+    return bm25.bm25_search(bm25.build_index(chunks_of(spark, sf), shared(spark)), benchmark_queries(spark, sf), 10, digits=6)
 
 
-SQL_NEAR = f"""wq AS (SELECT item_id AS query_id, unnest({WORDS}) AS w FROM benchmark), wd AS (SELECT doc_id, unnest({WORDS}) AS w FROM documents),
+def sql_near(digits: int) -> str:
+    return f"""wq AS (SELECT item_id AS query_id, unnest({WORDS}) AS w FROM benchmark), wd AS (SELECT doc_id, unnest({WORDS}) AS w FROM documents),
 h AS (SELECT w, ({FNV} % 768)::INT AS bucket FROM (SELECT w FROM wq UNION SELECT w FROM wd)),
 vq AS (SELECT query_id, bucket, count(*)::DOUBLE AS n FROM wq JOIN h USING (w) GROUP BY ALL), vd AS (SELECT doc_id, bucket, count(*)::DOUBLE AS n FROM wd JOIN h USING (w) GROUP BY ALL),
 lq AS (SELECT query_id, sqrt(sum(n * n)) AS len FROM vq GROUP BY ALL), ld AS (SELECT doc_id, sqrt(sum(n * n)) AS len FROM vd GROUP BY ALL),
 dots AS (SELECT query_id, doc_id, sum(vq.n * vd.n) AS dot FROM vq JOIN vd USING (bucket) GROUP BY ALL),
-cs AS (SELECT b.item_id AS query_id, d.doc_id AS chunk_id, round(coalesce(dot / (lq.len * ld.len), 0), 5) + 0.0 AS score FROM benchmark b CROSS JOIN documents d LEFT JOIN dots ON dots.query_id = b.item_id AND dots.doc_id = d.doc_id LEFT JOIN lq ON lq.query_id = b.item_id LEFT JOIN ld ON ld.doc_id = d.doc_id),
+cs AS (SELECT b.item_id AS query_id, d.doc_id AS chunk_id, round(coalesce(dot / (lq.len * ld.len), 0), {digits}) + 0.0 AS score FROM benchmark b CROSS JOIN documents d LEFT JOIN dots ON dots.query_id = b.item_id AND dots.doc_id = d.doc_id LEFT JOIN lq ON lq.query_id = b.item_id LEFT JOIN ld ON ld.doc_id = d.doc_id),
 near AS (SELECT query_id, chunk_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM cs) WHERE rank <= 30)"""
 
 
+SQL_NEAR = sql_near(5)
+
+
 class DoubleHashEmbedder(embedding.HashEmbedder):
     """Lengths left as they are and counts exact, so that scores are the same in another engine's doubles."""
 
@@ -228,17 +237,21 @@ def retrieve_vector(spark: SparkSession, sf: str) -> DataFrame:
     return retrieve(benchmark_queries(spark, sf), chunks, stored, e, 12, digits=5).select("query_id", "chunk_id", "score", "rank")
 
 
-SQL_FUSED = f"""{SQL_BM25}, {SQL_NEAR},
-fused AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS rrf, max(cosine) AS cosine, max(bm25) AS bm25 FROM (
+def sql_fused(near: int, rrf: int) -> str:
+    return f"""{SQL_BM25}, {sql_near(near)},
+fused AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), {rrf}) AS rrf, max(cosine) AS cosine, max(bm25) AS bm25 FROM (
   SELECT query_id, chunk_id, rank, NULL::DOUBLE AS cosine, score AS bm25 FROM lexical UNION ALL SELECT query_id, chunk_id, rank, score AS cosine, NULL::DOUBLE AS bm25 FROM near) GROUP BY query_id, chunk_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, chunk_id)::INT AS rank FROM fused)"""
 
 
+SQL_FUSED = sql_fused(5, 9)
+
+
 def _fused(spark: SparkSession, sf: str) -> DataFrame:
     chunks, e = chunks_of(spark, sf), DoubleHashEmbedder()
     stored, asked = chunks.select("chunk_id", e.vectors(F.col("text")).alias("vector")), benchmark_queries(spark, sf)
     near = vector_search.cosine_search(stored, asked.select("query_id", e.vectors(F.col("text")).alias("vector")), 30, digits=5)
-    lexical = bm25.bm25_search(bm25.build_index(chunks), asked, 30, digits=6)
+    lexical = bm25.bm25_search(bm25.build_index(chunks, shared(spark)), asked, 30, digits=6)
     return fusion.rrf(arms(near, lexical), 60, carry=("cosine", "bm25"), digits=9)
 
 
@@ -276,24 +289,55 @@ def greedy_pack_skip(spark: SparkSession, sf: str) -> DataFrame:
     return fusion.pack_skipping(found, 2000).select("query_id", "rank", "chunk_id", "cost")
 
 
-@query()
+FNV_OF_S = FNV.replace("encode(w)", "encode(s)")
+SALTS = ", ".join(f"({k}, {salt}::UHUGEINT)" for k, salt in enumerate(hashing.salts().tolist()))
+
+
+def sql_signatures(tokens: str) -> str:
+    """tokens (doc_id, tokens): a row for each slot, (doc_id, k, m), the numbers as bigints with the same bits."""
+    return f"""parts AS (SELECT doc_id, {SHINGLES} AS s FROM {tokens}), each_part AS (SELECT DISTINCT doc_id, unnest(s) AS s FROM parts), coded AS (SELECT s, {FNV_OF_S} AS h FROM (SELECT DISTINCT s FROM each_part)),
+salt AS (SELECT * FROM (VALUES {SALTS}) AS v(k, salt)),
+least_hash AS (SELECT doc_id, k, min((xor(h, salt) * {hashing.GOLDEN}::UHUGEINT) % 18446744073709551616::UHUGEINT) AS m FROM each_part JOIN coded USING (s), salt GROUP BY doc_id, k),
+slots AS (SELECT d.doc_id, salt.k, CASE WHEN m IS NULL THEN -1 WHEN m >= 9223372036854775808::UHUGEINT THEN (m::HUGEINT - 18446744073709551616::HUGEINT)::BIGINT ELSE m::BIGINT END AS m FROM {tokens} d CROSS JOIN salt LEFT JOIN least_hash l ON l.doc_id = d.doc_id AND l.k = salt.k),
+signed AS (SELECT doc_id, list(m ORDER BY k) AS s FROM slots GROUP BY doc_id)"""
+
+
+@query(f"{WITH_TOKENS}, {sql_signatures('d')} SELECT doc_id, len(s)::INT AS slots, md5(array_to_string(s, ',')) AS digest FROM signed")
 def minhash_signatures(spark: SparkSession, sf: str) -> DataFrame:
     signed = documents(spark, sf).select("doc_id", hashing.minhash(text.tokenize(F.col("text"))).alias("s"))
     return signed.select("doc_id", F.size("s").alias("slots"), F.md5(F.array_join(F.transform("s", lambda x: x.cast("string")), ",")).alias("digest"))
 
 
-@query()
+def sql_deduped(fused: str) -> str:
+    """After `ranked`: kept (query_id, taken), the ranks that stay when a list is gone through in order."""
+    return f"""{fused.replace("WITH d AS", "WITH RECURSIVE d AS", 1)},
+own AS (SELECT DISTINCT doc_id, tokens FROM d JOIN ranked ON chunk_id = doc_id), {sql_signatures('own')},
+cand AS (SELECT query_id, rank, s FROM ranked JOIN signed ON chunk_id = doc_id),
+alike AS (SELECT a.query_id, a.rank, list(b.rank) AS ranks FROM cand a JOIN cand b ON a.query_id = b.query_id AND b.rank < a.rank AND len(list_filter(list_zip(a.s, b.s), lambda p: p[1] = p[2])) / 64.0 >= 0.85 GROUP BY a.query_id, a.rank),
+step AS (SELECT cand.query_id, cand.rank, coalesce(ranks, []::INT[]) AS ranks FROM cand LEFT JOIN alike USING (query_id, rank)),
+going AS (SELECT query_id, rank, [rank] AS taken FROM step WHERE rank = 1 UNION ALL SELECT step.query_id, step.rank, CASE WHEN list_has_any(taken, ranks) THEN taken ELSE list_append(taken, step.rank) END FROM going JOIN step ON step.query_id = going.query_id AND step.rank = going.rank + 1),
+kept AS (SELECT query_id, arg_max(taken, rank) AS taken FROM going GROUP BY query_id)"""
+
+
+@query(f"{sql_deduped(SQL_FUSED)} SELECT query_id, rank, chunk_id FROM ranked JOIN kept USING (query_id) WHERE list_contains(taken, rank)")
 def greedy_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    found = fusion.hydrate(_fused(spark, sf), chunks_of(spark, sf))
-    return fusion.drop_near_duplicates(found.select("query_id", "rank", "chunk_id", "text"), 0.85).select("query_id", "rank", "chunk_id")
+    fused, chunks = _fused(spark, sf), chunks_of(spark, sf)
+    found = fused.join(fusion.signed(fused.select("chunk_id").distinct(), chunks), "chunk_id")
+    return fusion.drop_near_duplicates(found, 0.85).select("query_id", "rank", "chunk_id")
 
 
-@query()
+WORD_COST = r"ceil(len(list_filter(regexp_split_to_array(text, '[\s\x0b\x85\p{Z}]+'), lambda w: w <> '')) * 1.3)::BIGINT"
+
+
+@query(f"""{sql_deduped(sql_fused(6, 6))}, priced AS (SELECT query_id, rank, chunk_id, rrf, cosine, bm25, {WORD_COST} AS cost FROM ranked JOIN kept USING (query_id) JOIN documents ON doc_id = chunk_id WHERE list_contains(kept.taken, rank)),
+packed AS (SELECT query_id, list_reduce(list_prepend({{'used': 0::BIGINT, 'cost': 0::BIGINT, 'rank': 0, 'taken': []::INT[]}}, list({{'used': 0::BIGINT, 'cost': cost, 'rank': rank, 'taken': []::INT[]}} ORDER BY rank)),
+  lambda a, x: CASE WHEN x.cost > 0 AND a.used + x.cost <= 6000 THEN {{'used': a.used + x.cost, 'cost': 0::BIGINT, 'rank': 0, 'taken': list_append(a.taken, x.rank)}} ELSE a END).taken AS taken FROM priced GROUP BY query_id)
+SELECT query_id, rank, chunk_id, rrf, round(cosine, 4) AS cosine, round(bm25, 4) AS bm25, cost FROM priced JOIN packed USING (query_id) WHERE list_contains(packed.taken, rank)""")
 def hybrid_retrieve(spark: SparkSession, sf: str) -> DataFrame:
-    chunks, e = chunks_of(spark, sf), embedding.HashEmbedder()
+    chunks, e = chunks_of(spark, sf), DoubleHashEmbedder()
     stored = chunks.select("chunk_id", e.vectors(F.col("text")).alias("vector"))
-    out = retrieve_hybrid(benchmark_queries(spark, sf), chunks, stored, e, HybridConfig(), digits=9)
-    return out.select("query_id", "rank", "chunk_id", F.round("rrf", 9).alias("rrf"), F.round("cosine", 4).alias("cosine"), F.round("bm25", 4).alias("bm25"), "cost")
+    out = retrieve_hybrid(benchmark_queries(spark, sf), chunks, stored, e, HybridConfig(), index=bm25.build_index(chunks, shared(spark)), digits=6)
+    return out.select("query_id", "rank", "chunk_id", "rrf", F.round("cosine", 4).alias("cosine"), F.round("bm25", 4).alias("bm25"), "cost")
 
 
 # Citations and answers
@@ -332,10 +376,16 @@ def answer_clean(spark: SparkSession, sf: str) -> DataFrame:
     return _marked(spark, sf).select("conv_id", "turn", citations.without_unknown(F.col("answer"), F.col("valid")).alias("clean"))
 
 
-@query()
+DENSE_COST = f"(CASE WHEN {DENSE} = 0 THEN 0 ELSE greatest({DENSE} // 4, 1) END)::BIGINT"
+
+
+@query(f"""WITH {SQL_NEAR}, c AS (SELECT query_id, rank, chunk_id, score, sum({DENSE_COST}) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM near JOIN documents ON doc_id = chunk_id WHERE rank <= 12),
+g AS (SELECT item_id AS query_id, coalesce(score < 0.15, true) AS rejected FROM benchmark LEFT JOIN near ON query_id = item_id AND rank = 1),
+n AS (SELECT query_id, count(*) AS n_context, count(*) FILTER (chunk_id = 0) AS n_used FROM c JOIN g USING (query_id) WHERE NOT rejected AND (rank = 1 OR used <= 6000) GROUP BY query_id)
+SELECT query_id, CASE WHEN rejected THEN '{citations.DECLINED.replace("'", "''")}' ELSE 'This is a grounded answer [^0].' END AS answer, rejected, n_context, n_used FROM g LEFT JOIN n USING (query_id)""")
 def ask_mock(spark: SparkSession, sf: str) -> DataFrame:
     hits = fusion.hydrate(retrieve_vector(spark, sf), chunks_of(spark, sf)).withColumn("chunk_id", F.col("chunk_id").cast("string"))
-    answers, cites = answer(benchmark_queries(spark, sf), hits, MockLlm("0"))
+    answers, cites = answer(benchmark_queries(spark, sf), hits, MockLlm("0"), shared(spark))
     used = cites.groupBy("query_id").agg(F.count("*").alias("n_context"), F.count_if("used_in_answer").alias("n_used"))
     return answers.join(used, "query_id", "left").select("query_id", "answer", "rejected", "n_context", "n_used")
 
@@ -412,17 +462,23 @@ def ignore_match(spark: SparkSession, sf: str) -> DataFrame:
 
 # Chunks
 
-SQL_CHUNKS = rf"""WITH RECURSIVE pieces AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '([.!?])(\s)', '\1' || chr(1) || '\2', 'g'), '\n\n', chr(10) || chr(1) || chr(10), 'g'), chr(1)) AS p FROM documents),
-each AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS k, unnest(p) AS s FROM pieces),
-placed AS (SELECT doc_id, k, s, regexp_replace(s, '^\s+', '') AS body, sum(strlen(s)) OVER (PARTITION BY doc_id ORDER BY k) AS stop FROM each),
-seg AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, (stop - strlen(body))::BIGINT AS a, stop::BIGINT AS b, length(regexp_replace(body, '\s', '', 'g')) AS dense FROM placed WHERE body <> ''),
-tok AS (SELECT doc_id, i, a, b, CASE WHEN dense = 0 THEN 0 ELSE greatest(dense // 4, 1) END AS t FROM seg),
+SQL_WINDOWS = """tok AS (SELECT doc_id, i, a, b, CASE WHEN dense = 0 THEN 0 ELSE greatest(dense // 4, 1) END AS t FROM seg),
 cum AS (SELECT *, sum(t) OVER (PARTITION BY doc_id ORDER BY i) AS c, max(i) OVER (PARTITION BY doc_id) AS m FROM tok),
 win AS (SELECT x.doc_id, x.i, x.m, coalesce(min(y.i) FILTER (y.c - x.c + x.t >= 500), any_value(x.m)) AS j FROM cum x JOIN cum y ON x.doc_id = y.doc_id AND y.i >= x.i GROUP BY x.doc_id, x.i, x.m),
 nxt AS (SELECT w.doc_id, w.i, w.m, w.j, coalesce(max(z.i) FILTER (e.c - z.c + z.t >= 50), w.i + 1) AS n FROM win w JOIN cum e ON e.doc_id = w.doc_id AND e.i = w.j LEFT JOIN cum z ON z.doc_id = w.doc_id AND z.i > w.i AND z.i <= w.j GROUP BY w.doc_id, w.i, w.m, w.j),
 walk AS (SELECT doc_id, i, m, j, n, 0 AS ordinal FROM nxt WHERE i = 1 UNION ALL SELECT nxt.doc_id, nxt.i, nxt.m, nxt.j, nxt.n, ordinal + 1 FROM walk JOIN nxt ON nxt.doc_id = walk.doc_id AND nxt.i = walk.n WHERE walk.j < walk.m)
 SELECT walk.doc_id, ordinal::INT AS ordinal, f.a AS char_start, l.b AS char_end, (l.c - f.c + f.t)::INT AS token_count FROM walk JOIN cum f ON f.doc_id = walk.doc_id AND f.i = walk.i JOIN cum l ON l.doc_id = walk.doc_id AND l.i = walk.j"""
 
+SQL_CHUNKS = rf"""WITH RECURSIVE pieces AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '([.!?])(\s)', '\1' || chr(1) || '\2', 'g'), '\n\n', chr(10) || chr(1) || chr(10), 'g'), chr(1)) AS p FROM documents),
+each AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS k, unnest(p) AS s FROM pieces),
+placed AS (SELECT doc_id, k, s, regexp_replace(s, '^\s+', '') AS body, sum(strlen(s)) OVER (PARTITION BY doc_id ORDER BY k) AS stop FROM each),
+seg AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, (stop - strlen(body))::BIGINT AS a, stop::BIGINT AS b, length(regexp_replace(body, '\s', '', 'g')) AS dense FROM placed WHERE body <> ''),
+{SQL_WINDOWS}"""
+SQL_CODE_CHUNKS = rf"""WITH RECURSIVE pieces AS (SELECT page_id AS doc_id, string_split(html, chr(10)) AS p FROM pages),
+each AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS k, unnest(list_transform(p, lambda s, j: CASE WHEN j < len(p) THEN s || chr(10) ELSE s END)) AS s FROM pieces),
+seg AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, (sum(strlen(s)) OVER (PARTITION BY doc_id ORDER BY k) - strlen(s))::BIGINT AS a, (sum(strlen(s)) OVER (PARTITION BY doc_id ORDER BY k))::BIGINT AS b, length(regexp_replace(s, '\s', '', 'g')) AS dense FROM each WHERE s <> ''),
+{SQL_WINDOWS}"""
+
 
 @query(SQL_CHUNKS)
 def chunk_windows(spark: SparkSession, sf: str) -> DataFrame:
@@ -437,7 +493,7 @@ def markdown_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.chunk_documents(docs).select(F.col("document_id").cast("long").alias("doc_id"), "ordinal", "structural_path", "locator.char_start", "locator.char_end", "token_count")
 
 
-@query()
+@query(f"SELECT doc_id AS page_id, * EXCLUDE doc_id FROM ({SQL_CODE_CHUNKS})")
 def code_chunks(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("document_id"), F.col("html").alias("text"), F.lit("code").alias("text_kind"))
     return chunking.chunk_documents(docs).select(F.col("document_id").cast("long").alias("page_id"), "ordinal", "locator.char_start", "locator.char_end", "token_count")
@@ -477,9 +533,16 @@ def ingest_tally(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT user_id, arg_max(event_type, struct_pack(a := ts, b := event_id)) AS event_type, arg_max(value, struct_pack(a := ts, b := event_id)) AS value FROM events GROUP BY user_id")
 def upsert_latest(spark: SparkSession, sf: str) -> DataFrame:
-    newest = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    e = table(spark, sf, "events").withColumn("n", F.row_number().over(newest))
-    return e.filter("n = 1").select("user_id", "event_type", "value")
+    """Two upserts of what users did last, in the first half of the time and in the second; then the store is compacted."""
+    store, e = Store(spark, shared(spark)), table(spark, sf, "events")
+    middle = e.select((F.min(F.unix_micros("ts")) + F.max(F.unix_micros("ts"))) / 2).first()[0]
+    late = F.unix_micros(F.col("ts").cast("timestamp")) > F.lit(middle)
+    for half in (~late, late):
+        last = e.filter(half).groupBy("user_id").agg(F.max_by(F.struct("event_type", "value"), F.struct("ts", "event_id")).alias("last"))
+        store.upsert("app_setting", last.select(F.col("user_id").cast("string").alias("key"), F.to_json("last").alias("value")))
+    store.compact("app_setting")
+    back = F.from_json("value", e.select("event_type", "value").schema)
+    return store.read("app_setting").select(F.col("key").cast(e.schema["user_id"].dataType).alias("user_id"), back["event_type"].alias("event_type"), back["value"].alias("value"))
 
 
 @query("SELECT count(*) AS n_documents, (SELECT count(*) FROM pages WHERE page_id IN (SELECT doc_id FROM documents WHERE lang <> 'en')) AS n_chunks FROM documents WHERE lang <> 'en'")
@@ -530,7 +593,7 @@ def thread_order(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT role, count(*) AS n, role IN ('user', 'assistant', 'system') AS allowed FROM conversations GROUP BY role")
 def check_domains(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations").groupBy("role").agg(F.count("*").alias("n")).withColumn("allowed", F.col("role").isin(*MESSAGE_ROLES))
+    return table(spark, sf, "conversations").groupBy("role").agg(F.count("*").alias("n")).withColumn("allowed", F.size(violations("message")) == 0)
 
 
 @query("SELECT d.doc_id, d.source, l.quality FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1 AND l.toxic = 0")
@@ -560,7 +623,7 @@ def char_span_segments(spark: SparkSession, sf: str) -> DataFrame:
 def view_helpers(spark: SparkSession, sf: str) -> DataFrame:
     box = F.array((F.col("doc_id") % 10) / 10, (F.col("n_chars") % 10) / 10, F.lit(1.0), F.lit(1.0))
     rect = display.bbox_rect(box)
-    return documents(spark, sf).select("doc_id", display.clock(F.col("n_chars")).alias("clock"), F.greatest(F.least("n_chars", F.lit(50)), F.lit(1)).alias("k"), rect["left"].alias("left"), rect["top"].alias("top"))
+    return documents(spark, sf).select("doc_id", display.clock(F.col("n_chars")).alias("clock"), clamped(F.col("n_chars")).alias("k"), rect["left"].alias("left"), rect["top"].alias("top"))
 
 
 def _ingested(spark: SparkSession, sf: str) -> Store:
@@ -569,13 +632,13 @@ def _ingested(spark: SparkSession, sf: str) -> Store:
     return store
 
 
-@query()
+@query(f"SELECT sha256('documents' || chr(1) || doc_id) AS document_id, count(*) AS n_chunks, sum(token_count)::BIGINT AS tokens FROM ({SQL_CHUNKS}) GROUP BY doc_id")
 def ingest_documents(spark: SparkSession, sf: str) -> DataFrame:
     store = _ingested(spark, sf)
     return store.read("chunk").groupBy("document_id").agg(F.count("*").alias("n_chunks"), F.sum("token_count").alias("tokens"))
 
 
-@query()
+@query(r"SELECT doc_id::VARCHAR AS path_or_url, sha256(text) AS content_hash, strlen(text)::BIGINT AS byte_size FROM documents WHERE regexp_matches(text, '[^\s]')")
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     store, at = Store(spark, shared(spark)), shared(spark)
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"

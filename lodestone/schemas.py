@@ -21,6 +21,7 @@ TABLES = {
     "conversation": "id string, title string, created_at bigint",
     "message": "id string, conversation_id string, role string, content string, created_at bigint",
     "citation": "message_id string, chunk_id string, retrieved_score double, used_in_answer boolean",
+    "ingest_event": "source_id string, at bigint, kind string, path string, outcome string, documents_ingested bigint, documents_skipped bigint, documents_failed bigint, chunks_created bigint",
     "workspace": "id string, name string, dir string, icon string, created_at bigint",
     "app_setting": "key string, value string",
 }
@@ -28,7 +29,7 @@ TABLES = {
 #: Keys that an upsert replaces.
 KEYS = {
     "source": ["id"], "document": ["id"], "chunk": ["id"], "embedding": ["chunk_id"], "chunk_vector": ["chunk_id"],
-    "conversation": ["id"], "message": ["id"], "citation": ["message_id", "chunk_id"], "workspace": ["id"], "app_setting": ["key"],
+    "conversation": ["id"], "message": ["id"], "citation": ["message_id", "chunk_id"], "ingest_event": ["source_id", "at", "kind", "path"], "workspace": ["id"], "app_setting": ["key"],
 }
 
 # The domains that the tables' checks allow.

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,35 +40,103 @@ def mime_for(kind: Column) -> Column:
     return F.when(kind == "markdown", "text/markdown").otherwise("text/plain")
 
 
-def ignore_rules(spark: SparkSession, root: str) -> list[Rule]:
-    """The rules of all ignore files under root. The driver lists names and reads these files only."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(root)
-    fs = at.getFileSystem(conf)
-    top, files, found = fs.makeQualified(at).toString().rstrip("/") + "/", fs.listFiles(at, True), []
+def qualified(spark: SparkSession, root: str):
+    """The folder's Hadoop file system, and its path with scheme and host."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs, fs.makeQualified(at)
+
+
+def names_under(spark: SparkSession, root: str) -> list[tuple[str, int]]:
+    """(path below root, bytes) of all files, in order of their paths. Only names come to the driver, as they do in any scan."""
+    fs, at = qualified(spark, root)
+    top, files, out = at.toString().rstrip("/") + "/", fs.listFiles(at, True), []
     while files.hasNext():
-        path = files.next().getPath()
-        if (name := path.getName()) in IGNORE_FILES:
-            base = path.getParent().toString().removeprefix(top.rstrip("/")).strip("/")
-            stream = fs.open(path)
+        one = files.next()
+        out.append((one.getPath().toString().removeprefix(top), one.getLen()))
+    return sorted(out)
+
+
+def ignore_rules(spark: SparkSession, root: str, names: list[tuple[str, int]] | None = None) -> list[Rule]:
+    """The rules of all ignore files under root. The driver lists names and reads these files only."""
+    fs, at = qualified(spark, root)
+    jvm, found = spark.sparkContext._jvm, []
+    for path, _ in names_under(spark, root) if names is None else names:
+        base, _, name = path.rpartition("/")
+        if name in IGNORE_FILES:
+            stream = fs.open(jvm.org.apache.hadoop.fs.Path(at, path))
             text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
             stream.close()
             found.append((IGNORE_FILES.index(name), base.count("/") + bool(base), base, text))
     return [rule for _, _, base, text in sorted(found) for rule in parse_rules(text.split("\n"), base)]
 
 
-def read_folder(spark: SparkSession, root: str, *, rules: list[Rule] | None = None) -> DataFrame:
-    """The readable files under root: hidden and ignored ones are left out, bytes that aren't UTF-8 replaced."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(root)
-    top = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
+def list_folder(spark: SparkSession, root: str, *, rules: list[Rule] | None = None) -> DataFrame:
+    """(path, relative, text_kind, byte_size) of the files that read_folder() reads, in order of their paths."""
+    names = names_under(spark, root)
+    own = ignore_rules(spark, root, names) if rules is None else rules
+    top = qualified(spark, root)[1].toString().rstrip("/") + "/"
+    found = spark.createDataFrame(names, "relative string, byte_size bigint").withColumn("text_kind", text_kind(F.col("relative")))
+    kept = found.filter("text_kind is not null").filter(~F.col("relative").rlike(r"(^|/)\.") & ~is_excluded(F.col("relative"), own))
+    return kept.select(F.concat(F.lit(top), "relative").alias("path"), "relative", "text_kind", "byte_size").orderBy("path")
+
+
+#: Spark's file scans leave out names that begin with an underscore. They are read under another name, from here.
+VISIBLE = "visible"
+
+
+def _visible(spark: SparkSession, root: str, under: str) -> str | None:
+    """Copies of the files below root whose path Spark's scans leave out, in a folder under `under` with names that they don't."""
+    fs, at = qualified(spark, root)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    hidden = [p for p, _ in names_under(spark, root) if re.search(r"(^|/)_", p) and not re.search(r"(^|/)\.", p) and p.rpartition(".")[2].lower() in (*MARKDOWN, *PLAIN, *CODE)]
+    if not hidden:
+        return None
+    target = f"{under.rstrip('/')}/{VISIBLE}-{uuid.uuid4().hex}"
+    there = jvm.org.apache.hadoop.fs.Path(target).getFileSystem(conf)
+
+    def copy(path: str) -> None:
+        shown = "/".join(f"{VISIBLE}{part}" for part in path.split("/"))
+        jvm.org.apache.hadoop.fs.FileUtil.copy(fs, jvm.org.apache.hadoop.fs.Path(at, path), there, jvm.org.apache.hadoop.fs.Path(f"{target}/{shown}"), False, conf)
+
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(copy, hidden))
+    there.deleteOnExit(jvm.org.apache.hadoop.fs.Path(target))
+    return target
+
+
+def _plain(path: Column) -> Column:
+    """file:/x and file:///x are one."""
+    return F.regexp_replace(path, "^([a-z]+:)/+", "$1/")
+
+
+def _files(spark: SparkSession, root: str) -> DataFrame:
+    """(relative, length, content) of what a scan finds under root."""
+    top = qualified(spark, root)[1].toString().rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).load(root)
-    plain = lambda c: F.regexp_replace(c, "^([a-z]+:)/+", "$1/")  # noqa: E731  file:/x and file:///x are one
-    relative = F.substr(plain(F.col("path")), F.char_length(plain(F.lit(top))) + 2)
-    found = files.withColumn("relative", relative).withColumn("text_kind", text_kind(F.col("relative"))).filter("text_kind is not null")
+    return files.select(F.substr(_plain(F.col("path")), F.char_length(_plain(F.lit(top))) + 2).alias("relative"), "length", "content")
+
+
+def read_folder(spark: SparkSession, root: str, *, rules: list[Rule] | None = None, under: str | None = None) -> DataFrame:
+    """The readable files under root: hidden and ignored ones are left out, bytes that aren't UTF-8 replaced.
+
+    Files that can't be read are missing here; held against list_folder() they count as failed. under: a folder that all
+    executors share, for copies of files whose names begin with an underscore; spark.checkpoint.dir if it is not given.
+    """
+    found, shared = _files(spark, root), under or spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    if at := _visible(spark, root, shared):
+        found = found.unionByName(_files(spark, at).withColumn("relative", F.regexp_replace("relative", f"(^|/){VISIBLE}", "$1")))
+    top = qualified(spark, root)[1].toString().rstrip("/") + "/"
+    found = found.withColumn("text_kind", text_kind(F.col("relative"))).filter("text_kind is not null")
     found = found.filter(~F.col("relative").rlike(r"(^|/)\.") & ~is_excluded(F.col("relative"), ignore_rules(spark, root) if rules is None else rules))
-    text = lossy_utf8(F.col("content"))
-    return found.select("path", file_name(F.col("path")).alias("title"), mime_for(F.col("text_kind")).alias("mime"), "text_kind", F.col("length").alias("byte_size"), content_hash(F.col("content")).alias("content_hash"), text.alias("text"))
+    text, path = lossy_utf8(F.col("content")), F.concat(F.lit(top), "relative")
+    return found.select(path.alias("path"), file_name(path).alias("title"), mime_for(F.col("text_kind")).alias("mime"), "text_kind", F.col("length").alias("byte_size"), content_hash(F.col("content")).alias("content_hash"), text.alias("text"))
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table. Where its files give fewer splits than there are cores (one row group is one split), its rows are dealt to all cores."""
+    rows, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
 def read_pages(pages: DataFrame, url: str = "url", html: str = "html", *, strict_head: bool = True) -> DataFrame:
