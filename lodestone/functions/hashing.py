@@ -54,7 +54,10 @@ def unsigned(value: Column) -> Column:
 
 
 def shingles(tokens: Column) -> Column:
-    """The runs of SHINGLE tokens of an array, joined by spaces; the single tokens where there are fewer. Repeated ones stay."""
+    """The runs of SHINGLE tokens of an array, joined by spaces; the single tokens where there are fewer. Repeated ones stay.
+
+    tokens should be a column that is there: an expression would be computed again for each run.
+    """
     several = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - SHINGLE + 1, F.lit(1))), lambda k: F.array_join(F.slice(tokens, k, SHINGLE), " "))
     return F.when(F.size(tokens) >= SHINGLE, several).otherwise(tokens)
 

@@ -124,7 +124,7 @@ SHINGLES = "CASE WHEN len(tokens) >= 3 THEN list_transform(range(1, len(tokens)
 
 @query(f"{WITH_TOKENS}, s AS (SELECT doc_id, {SHINGLES} AS s FROM d) SELECT doc_id, len(s)::BIGINT AS n, len(list_distinct(s))::BIGINT AS n_distinct, list_min(s) AS first FROM s")
 def shingles(spark: SparkSession, sf: str) -> DataFrame:
-    d = documents(spark, sf).select("doc_id", hashing.shingles(text.tokenize(F.col("text"))).alias("s"))
+    d = documents(spark, sf).select("doc_id", text.tokenize(F.col("text")).alias("t")).select("doc_id", hashing.shingles(F.col("t")).alias("s"))
     return d.select("doc_id", F.size("s").cast("long").alias("n"), F.size(F.array_distinct("s")).cast("long").alias("n_distinct"), F.array_min("s").alias("first"))
 
 
@@ -332,12 +332,12 @@ WORD_COST = r"ceil(len(list_filter(regexp_split_to_array(text, '[\s\x0b\x85\p{Z}
 @query(f"""{sql_deduped(sql_fused(6, 6))}, priced AS (SELECT query_id, rank, chunk_id, rrf, cosine, bm25, {WORD_COST} AS cost FROM ranked JOIN kept USING (query_id) JOIN documents ON doc_id = chunk_id WHERE list_contains(kept.taken, rank)),
 packed AS (SELECT query_id, list_reduce(list_prepend({{'used': 0::BIGINT, 'cost': 0::BIGINT, 'rank': 0, 'taken': []::INT[]}}, list({{'used': 0::BIGINT, 'cost': cost, 'rank': rank, 'taken': []::INT[]}} ORDER BY rank)),
   lambda a, x: CASE WHEN x.cost > 0 AND a.used + x.cost <= 6000 THEN {{'used': a.used + x.cost, 'cost': 0::BIGINT, 'rank': 0, 'taken': list_append(a.taken, x.rank)}} ELSE a END).taken AS taken FROM priced GROUP BY query_id)
-SELECT query_id, rank, chunk_id, rrf, round(cosine, 4) AS cosine, round(bm25, 4) AS bm25, cost FROM priced JOIN packed USING (query_id) WHERE list_contains(packed.taken, rank)""")
+SELECT query_id, rank, chunk_id, rrf, cosine, bm25, cost FROM priced JOIN packed USING (query_id) WHERE list_contains(packed.taken, rank)""")
 def hybrid_retrieve(spark: SparkSession, sf: str) -> DataFrame:
     chunks, e = chunks_of(spark, sf), DoubleHashEmbedder()
     stored = chunks.select("chunk_id", e.vectors(F.col("text")).alias("vector"))
     out = retrieve_hybrid(benchmark_queries(spark, sf), chunks, stored, e, HybridConfig(), index=bm25.build_index(chunks, shared(spark)), digits=6)
-    return out.select("query_id", "rank", "chunk_id", "rrf", F.round("cosine", 4).alias("cosine"), F.round("bm25", 4).alias("bm25"), "cost")
+    return out.select("query_id", "rank", "chunk_id", "rrf", "cosine", "bm25", "cost")
 
 
 # Citations and answers
@@ -535,8 +535,8 @@ def ingest_tally(spark: SparkSession, sf: str) -> DataFrame:
 def upsert_latest(spark: SparkSession, sf: str) -> DataFrame:
     """Two upserts of what users did last, in the first half of the time and in the second; then the store is compacted."""
     store, e = Store(spark, shared(spark)), table(spark, sf, "events")
-    middle = e.select((F.min(F.unix_micros("ts")) + F.max(F.unix_micros("ts"))) / 2).first()[0]
-    late = F.unix_micros(F.col("ts").cast("timestamp")) > F.lit(middle)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    late = at > F.lit(e.select((F.min(at) + F.max(at)) / 2).first()[0])
     for half in (~late, late):
         last = e.filter(half).groupBy("user_id").agg(F.max_by(F.struct("event_type", "value"), F.struct("ts", "event_id")).alias("last"))
         store.upsert("app_setting", last.select(F.col("user_id").cast("string").alias("key"), F.to_json("last").alias("value")))
