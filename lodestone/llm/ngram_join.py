@@ -240,7 +240,7 @@ def settled_edges(edges: list, shallow: int, stop: int) -> list[tuple[int, int |
 
 
 def candidates(standing: DataFrame, trees: int, threshold: tuple[int, int], recall: float) -> DataFrame:
-    """Classes (rep, signatures) to links (a, b) from each to the smallest of its node, where prefixes were shortened enough."""
+    """Classes (rep, signatures) to links (a, b) that connect the classes of each node, where prefixes were shortened enough."""
     spark, stop = standing.sparkSession, stop_depth(trees, MAX_DEPTH, threshold, recall)
     shallow = min(SHALLOW, stop)
     leaves = stored(standing.mapInArrow(functools.partial(_leaves, trees=trees, stop=stop), "tree int, signature binary, rep long"), "leaves")
@@ -253,7 +253,10 @@ def candidates(standing: DataFrame, trees: int, threshold: tuple[int, int], reca
     nodes = stored(shares.filter("key IS NOT NULL").join(going_on, "rep"), "nodes")
     discard(leaves, company)
     lowest = nodes.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("key", "low")
-    return nodes.join(lowest, "key").filter("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
+    # a class is linked to the smallest of its nodes' smallest, and those to it: as well connected, and most of them are the same for all of a group
+    met = nodes.join(lowest, "key").groupBy("rep").agg(F.min("low").alias("b"), F.collect_set("low").alias("lows"))
+    each = met.select(F.col("rep").alias("a"), "b").unionByName(met.select(F.explode("lows").alias("a"), "b"))
+    return each.filter("a <> b").distinct()
 
 
 def _shingled(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -335,3 +338,14 @@ def near_documents(docs: DataFrame, *, shingle: int = SHINGLE, threshold: tuple[
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+each AS (SELECT doc_id, len(s) AS size, unnest(s) AS s FROM sets),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM each a JOIN each b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.size, b.size HAVING 5 * count(*) >= 4 * (a.size + b.size - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+low AS (SELECT a, min(b) AS low FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_links, low AS component_id, doc_id = low AS kept FROM documents JOIN low ON low.a = doc_id LEFT JOIN n ON n.a = doc_id
+"""

@@ -346,10 +346,14 @@ def score_batch(model: dict, text: pa.Array, lang: pa.Array, source: pa.Array, n
     return pa.StructArray.from_arrays([pa.array(quality), pa.array(1 - harmless), pa.array((quality >= 0.5) & (harmless >= 0.5))], names=["quality", "toxicity", "kept"])
 
 
+def score_with(docs: DataFrame, model: dict, name: str) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return text_rows(docs).withColumn(name, F.arrow_udf(_scorer(shared), "struct<quality:double, toxicity:double, kept:boolean>")(*_view_columns(docs)))
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, *, name: str = "score", **options) -> DataFrame:
     """docs with a column of this name: struct of quality and toxicity, the probabilities, and kept."""
-    model = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, **options))
-    return text_rows(docs).withColumn(name, F.arrow_udf(_scorer(model), "struct<quality:double, toxicity:double, kept:boolean>")(*_view_columns(docs)))
+    return score_with(docs, fit_quality(docs, labels, **options), name)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,4 +25,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.OP1_SQL, "op4_mixing": mixing.OP4_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL, "op7_line_dedup": line_dedup.OP7_SQL}
+    return {
+        "op1_warc": warc.OP1_SQL,
+        "op2_embedding_dedup": embedding_dedup.OP2_SQL,
+        "op4_mixing": mixing.OP4_SQL,
+        "op5_ngram_join": ngram_join.OP5_SQL,
+        "op6_exact_dedup": exact_dedup.OP6_SQL,
+        "op7_line_dedup": line_dedup.OP7_SQL,
+        "op9_substring_dedup": substring_dedup.OP9_SQL,
+    }

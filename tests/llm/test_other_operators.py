@@ -57,6 +57,32 @@ def test_warc_notices_damage(spark):
         warc.read_archive(spark, other).collect()
 
 
+def test_warc_misses_no_payload(spark):
+    """A record whose payload is gone is an error, wherever it is read."""
+    pages, path, other = spark.createDataFrame([(1, "u", "one"), (2, "v", "two")], "page_id long, url string, html string"), new_path(spark, "t"), new_path(spark, "t")
+    warc.write_archive(pages, path)
+    spark.read.parquet(f"{path}/payloads").filter("payload <> cast('two' as binary)").write.parquet(f"{other}/payloads")
+    spark.read.parquet(f"{path}/records").write.parquet(f"{other}/records")
+    for read in (warc.read_archive, warc.reconstruct):
+        with pytest.raises(Exception, match="payload is missing"):
+            read(spark, other).collect()
+
+
+def test_warc_names_and_dates(spark):
+    """Rows that share an id have records of their own names; every record has a date."""
+    path = new_path(spark, "t")
+    warc.write_archive(spark.createDataFrame([(1, "u", "a"), (1, "v", "a"), (1, "u", "b"), (0, "u", "a")], "page_id long, url string, html string"), path, date="2024-01-31T12:00:00Z")
+    heads = [dict(line.split(": ", 1) for line in r.headers.strip().split("\r\n")[1:]) for r in warc.read_archive(spark, path).collect()]
+    assert len({h["WARC-Record-ID"] for h in heads}) == 4 and {h["WARC-Date"] for h in heads} == {"2024-01-31T12:00:00Z"}
+    assert [h["WARC-Refers-To"] in {x["WARC-Record-ID"] for x in heads} for h in heads if "WARC-Refers-To" in h] == [True]
+
+
+def test_warc_long_page(spark):
+    path, text = new_path(spark, "t"), "<p>é</p>" * 400_000
+    warc.write_archive(spark.createDataFrame([(1, "u", text), (2, "v", text)], "page_id long, url string, html string"), path)
+    assert sorted((r.page_id, r.payload_bytes, r.record_type) for r in warc.read_archive(spark, path).collect()) == [(1, 3_600_000, "revisit"), (2, 3_600_000, "response")]
+
+
 def test_warc_empty(spark):
     path = new_path(spark, "t")
     warc.write_archive(spark.createDataFrame([], "page_id long, url string, html string"), path)
@@ -104,16 +130,22 @@ def test_embedding_dedup_empty(spark):
     assert found(embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>"))) == []
 
 
-def test_recall_at_the_threshold():
-    """Random pairs at cosine 0.95, the hardest that must be found."""
-    rng, n, dim = np.random.default_rng(5), 600, 64
+@pytest.mark.parametrize(("dim", "words", "least"), [(8, 16, 0.985), (64, 16, 0.999), (64, 95, 0.999), (64, 256, 0.998), (768, 16, 0.999), (768, 128, 0.998)])
+def test_recall_at_the_threshold(dim, words, least):
+    """Random pairs at cosine 0.95, the hardest that must be found, by codebook size."""
+    rng, n = np.random.default_rng(5), 600
     a, r = rng.standard_normal((2, n, dim))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     r -= (r * a).sum(axis=1, keepdims=True) * a
     b = 0.95 * a + np.sqrt(1 - 0.95**2) * r / np.linalg.norm(r, axis=1, keepdims=True)
-    words = embedding_dedup.codewords(50_000)
     met = [len(np.intersect1d(x, y)) > 0 for x, y in zip(embedding_dedup.directions(a, words), embedding_dedup.directions(b, words), strict=True)]
-    assert np.mean(met) >= 0.995
+    assert np.mean(met) >= least
+
+
+def test_embedding_dedup_exact(spark):
+    rows = near_rows(120) + HARD
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert found(embedding_dedup.near_vectors(vectors, exact=True)) == brute_vectors(rows)
 
 
 def test_components(spark):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import bpe, exact_dedup, line_dedup, lm_scoring, mixing, ngram_join, quality, substring_dedup
 from lodestone.llm.fm_index import FMIndex
 
-from .conftest import found
+from .conftest import WORDS, found
 
 BIG = 2**63 - 1
 
@@ -111,9 +111,48 @@ def test_near_documents_empty(nothing):
     assert found(ngram_join.near_documents(nothing)) == []
 
 
+def test_near_documents_over_many_partitions(spark, docs, rows):
+    """The tries' sorted leaves part between tasks anywhere; so do neighbours."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        assert found(ngram_join.near_documents(docs)) == brute_near(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_stop_depth():
-    depth = ngram_join.stop_depth()
-    assert 1 - (1 - 0.8**depth) ** ngram_join.TREES >= ngram_join.TARGET_RECALL > 1 - (1 - 0.8 ** (depth + 1)) ** ngram_join.TREES
+    depth, share = ngram_join.stop_depth(), (1 - ngram_join.TARGET_RECALL) / 2
+    assert (1 - 0.8**depth) ** ngram_join.TREES <= share < (1 - 0.8 ** (depth + 1)) ** ngram_join.TREES
+    least = ngram_join.least_company(ngram_join.TREES, 3, ngram_join.THRESHOLD, ngram_join.TARGET_RECALL)
+    below = lambda k: sum(math.comb(ngram_join.TREES, j) * 0.512**j * 0.488 ** (ngram_join.TREES - j) for j in range(k))
+    assert below(least) <= share < below(least + 1)
+
+
+def test_recall_at_the_threshold():
+    """Pairs of sets at Jaccard exactly 0.8, of several sizes: the share that is walked up far enough and then shares a node."""
+    rng, by, missed, n = np.random.default_rng(12), ngram_join.multipliers(ngram_join.TREES, ngram_join.MAX_DEPTH), 0, 0
+    stop, least = ngram_join.stop_depth(), ngram_join.least_company(ngram_join.TREES, 3, ngram_join.THRESHOLD, ngram_join.TARGET_RECALL)
+    for size in (9, 45, 360, 1800):
+        for _ in range(600):
+            x = rng.integers(0, 2**64, size * 10 // 9, np.uint64)
+            a, b = (ngram_join.signatures(y, by, ngram_join.TREES) for y in (x[: size], x[len(x) - size :]))
+            depth = ngram_join.shared_depth(a, b)
+            n, missed = n + 1, missed + (int((depth >= 3).sum()) < least or int(depth.max()) < stop)
+    assert n == 2400 and missed <= 2  # 1e-4 of them are to be expected
+
+
+def test_company_below_the_bound_is_no_candidate(spark):
+    """Sets of a similarity of 0.4 share nodes at times, but not company enough: they are not walked up."""
+    rng, by = np.random.default_rng(5), ngram_join.multipliers(ngram_join.TREES, ngram_join.MAX_DEPTH)
+    rows = []
+    for k in range(0, 300, 2):
+        x = rng.integers(0, 2**64, 200, np.uint64)
+        rows += [(k, bytearray(ngram_join.signatures(x[:140], by, ngram_join.TREES).tobytes())), (k + 1, bytearray(ngram_join.signatures(x[60:], by, ngram_join.TREES).tobytes()))]
+    shares = sum(int((ngram_join.shared_depth(*(np.frombuffer(bytes(rows[j][1]), np.uint8).reshape(-1, ngram_join.SIGNATURE) for j in (k, k + 1))).max()) >= ngram_join.stop_depth()) for k in range(0, 300, 2))
+    standing = spark.createDataFrame(rows, "rep long, signatures binary")
+    links = ngram_join.candidates(standing, ngram_join.TREES, ngram_join.THRESHOLD, ngram_join.TARGET_RECALL).count()
+    assert shares > 3 and links < shares
 
 
 # substrings
@@ -143,6 +182,27 @@ def test_substring_dedup(docs, rows, options):
     assert found(substring_dedup.substring_dedup(docs, **options)) == brute_windows(rows)
 
 
+def test_substring_dedup_whatever_the_splits(spark, docs, rows):
+    """Other splits when the result is read than when texts were: documents keep their places."""
+    out = substring_dedup.substring_dedup(docs, chunk_bytes=3000)
+    spark.conf.set("spark.sql.files.minPartitionNum", "13")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert found(out) == brute_windows(rows)
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_substring_dedup_long_text(spark, tmp_path):
+    rng = random.Random(8)
+    long = " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(400_000))
+    rows = [(1, long), (2, "x " + " ".join(long.split()[100:200])), (3, long)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path := str(tmp_path / "long"))
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(spark.read.parquet(path)).collect()}
+    assert got == {1: (400_000, 0), 2: (101, 100), 3: (400_000, 400_000)}
+
+
 def test_substring_dedup_texts(docs, rows):
     out = substring_dedup.substring_dedup(docs, with_text=True).collect()
     assert all(sha(bytes(r.kept_text)) == r.kept_sha256 for r in out)
@@ -212,10 +272,28 @@ def test_line_dedup(spark, docs, rows, small, monkeypatch):
 
 def test_line_dedup_without_broadcast(docs, rows, monkeypatch):
     want = found(line_dedup.line_dedup(docs))
-    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", -1)
     assert found(line_dedup.line_dedup(docs)) == want
 
 
+def test_line_dedup_without_ids(spark):
+    """Many rows without an id: each loses its own lines, rows that are equal the same."""
+    line = lambda k: f"line {k} of these has words enough to be near"
+    rows = [(1, f"{line(0)}\n{line(1)}")] + [(None, "\n".join([line(0), f"own {k % 40} text", line(1)])) for k in range(200)]
+    out = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == 201 and sorted((r.n_lines, r.n_removed) for r in out) == [(2, 1)] + [(3, 2)] * 200
+    assert {r.kept_text for r in out if r.doc_id is None} == {f"own {k} text" for k in range(40)}
+
+
+def test_line_dedup_long_text_and_bound(spark):
+    """A text of 200,000 lines; lines of fewer words than the bound go only if they are equal."""
+    many = "\n".join(f"row {k % 50_000} stands here" for k in range(200_000))
+    out = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame([(1, many), (2, "row 1 stands here\nrow 1 stands there")], "doc_id long, text string")).collect()}
+    assert (out[1].n_lines, out[1].n_removed, out[2].n_removed) == (200_000, 150_000, 1)
+    near = line_dedup.line_dedup(spark.createDataFrame([(1, "row 1 stands here"), (2, "row 1 stands there")], "doc_id long, text string"), min_words=3).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in near) == [(1, 0), (2, 1)]
+
+
 def test_line_dedup_empty(nothing):
     assert found(line_dedup.line_dedup(nothing)) == []
 
@@ -230,7 +308,32 @@ def test_bpe(docs, rows):
     for i, t, *_ in rows:
         ids = np.array(whole.encode_ordinary(t or ""), "<u4")
         want.append((i, len(ids), sha(ids.tobytes()), sha((t or "").encode())))
-    assert found(bpe.encoded_digests(docs, chunk_chars=2000)) == sorted(want, key=repr)
+    assert found(bpe.encoded_digests(docs, chunk_chars=2000, group_chars=9000)) == sorted(want, key=repr)
+    assert found(bpe.encoded_digests(docs)) == sorted(want, key=repr)
+
+
+def test_bpe_long_word(spark, tmp_path):
+    """A pre-token of a megabyte, in a text that is cut piece by piece, and one of many words."""
+    texts = ["abc" * 400_000, "lo mi " * 300_000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(path := str(tmp_path / "long"))
+    whole = tiktoken.Encoding("whole", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(), special_tokens={})
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.encoded_digests(spark.read.parquet(path)).collect()}
+    for k, text in enumerate(texts):
+        ids = np.array(whole.encode_ordinary(text), "<u4")
+        assert got[k] == (len(ids), sha(ids.tobytes()), sha(text.encode()))
+
+
+def test_bpe_order(spark, docs):
+    """Rows that come in another order the second time are an error."""
+    import pyarrow as pa
+
+    batch = lambda texts: [pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])]
+    marks = [bpe.mark_of(g.words()) for texts in (["a b", "c d"], ["c d", "a b"]) for g, docs_, *_ in bpe.numbered(batch(texts), public_tokenizers.PATTERN, 10, 100) if docs_ is None]
+    assert len(set(marks)) == 2
+    seqs = pa.Table.from_pylist([{"part": 0, "no": 0, "at": -1, "mark": marks[0], "n": 4}], bpe.SEQS)
+    encoded = pa.Table.from_pylist([{"part": 0, "no": 0, "mark": marks[1], "n": 0, "numbers": b"", "ids": b""}], bpe.ENCODED)
+    with pytest.raises(ValueError, match="order"):
+        list(bpe.joined(seqs, encoded))
 
 
 def test_bpe_round_trip(spark, docs, rows):
@@ -319,15 +422,107 @@ def test_lm_scores(docs, rows):
     assert all(g[6] < 0 for g in got)
 
 
-def test_lm_counts_of_rare_words(docs, monkeypatch):
+def test_lm_counts_of_rare_words(docs):
     """The same counts where no word but two is broadcast."""
     want = sorted((tuple(r)[:6] for r in lm_scoring.lm_scores(docs, rounds=1).collect()), key=repr)
-    monkeypatch.setattr(lm_scoring, "FREQUENT", 2)
-    got = sorted((tuple(r)[:6] for r in lm_scoring.lm_scores(docs, rounds=1).collect()), key=repr)
+    got = sorted((tuple(r)[:6] for r in lm_scoring.lm_scores(docs, rounds=1, vocabulary=2).collect()), key=repr)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert [g[5] for g in got] == pytest.approx([w[5] for w in want], rel=1e-9)
 
 
+def brute_lm(rows, table, model, within):
+    """The score of every row from the fitted parameters, a token at a time, every distribution summed up in full."""
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1
+    words = lambda t: (t or "").encode().lower().split()
+    count = Counter(w for i, t, *_ in rows if not held(i) for w in words(t))
+    spelling = lambda w: 1 + lm_scoring.SINGLE + zlib.crc32(w[-2:]) % lm_scoring.SPELLING
+    top = sorted((w for w in count if len(w) <= lm_scoring.LONGEST), key=lambda w: (-count[w], w))[: len(table.words)]
+    single = {w: k + 1 for k, w in enumerate(top[: lm_scoring.SINGLE])}
+    members, rest = defaultdict(list), defaultdict(lambda: [0, 0])
+    for w in top[lm_scoring.SINGLE :]:
+        members[spelling(w)].append(w)
+    for w in set(count) - set(top):
+        rest[spelling(w)][0] += count[w]
+        rest[spelling(w)][1] += 1
+    unit_of = {w: int(table.units[table.words[w]]) for w in top}
+    far, near = (x.astype(np.float64) for x in model.products())
+    out = []
+    for i, t, *_ in rows:
+        a = b = 0
+        score = 0.0
+        for w in [*words(t), None]:
+            c = 0 if w is None else single.get(w) or spelling(w)
+            z = far[a] + near[b] + model.b
+            p = math.log(math.exp(z[c]) / np.exp(z).sum()) / math.log(10)
+            if w is not None and w not in single:
+                units = [int(table.rest[c - 1 - lm_scoring.SINGLE]), *(unit_of[m] for m in members[c])]
+                y = {u: math.exp(float(within.u[u].astype(np.float64) @ within.e[b]) + float(within.b[u])) for u in units}
+                own = unit_of.get(w, units[0])
+                p += math.log10(y[own] / sum(y.values()))
+                if w not in unit_of:
+                    p += math.log10((count[w] + 0.5) / (rest[c][0] + 0.5 * (rest[c][1] + 1)))
+            score += p
+            a, b = b, c
+        out.append((i, score))
+    return sorted(out, key=repr)
+
+
+def test_lm_scores_are_the_models(spark, monkeypatch):
+    """score against the fitted parameters, with words that stand alone, units, rests and unknown words."""
+    monkeypatch.setattr(lm_scoring, "SINGLE", 20)
+    monkeypatch.setattr(lm_scoring, "SPELLING", 5)
+    monkeypatch.setattr(lm_scoring, "CLASSES", 26)
+    monkeypatch.setattr(lm_scoring.LogBilinear, "SHAPES", ((26, lm_scoring.WIDTH), (26, lm_scoring.WIDTH), *[(lm_scoring.WIDTH, lm_scoring.WIDTH)] * 2, (26,)))
+    rng = random.Random(4)
+    words = [f"w{k}{'abcde'[k % 5]}" for k in range(300)]
+    rows = [(k, " ".join(rng.choice(words[: rng.choice([10, 60, 300])]) for _ in range(rng.randint(0, 60)))) for k in range(60)] + [(None, "W1b w1b new"), (70, None)]
+    # one process on both sides, as the smaller constants hold in this one alone
+    table = lm_scoring.word_table(spark.createDataFrame(list(Counter(w for i, t in rows if zlib.crc32(b"" if i is None else str(i).encode()) % 5 != 1 for w in [*(t or "").encode().lower().split(), b""]).items()), "word binary, c long"), 120)
+    import pyarrow as pa
+
+    class Here:
+        value = table
+
+    monkeypatch.setattr(lm_scoring.TaskContext, "get", classmethod(lambda cls: type("T", (), {"partitionId": lambda self: 0})()))
+    given_rows = [(i, zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1, t) for i, t in rows]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in given_rows], pa.int64()), pa.array([r[1] for r in given_rows]), pa.array([r[2] for r in given_rows], pa.string())], names=["doc_id", "held", "text"])
+    numbered = list(lm_scoring._number([batch], Here, 800))
+    pick = lambda names: [x.select(names) for x in numbered]
+    model, within = lm_scoring.LogBilinear.start(table.unigram()), lm_scoring.InClass.start(table.unit_count)
+    packer = lm_scoring.Packer()
+    for shard in lm_scoring._counts(pick(["held", "sizes", "seq", "rare", "n_rare"]), Here, 2):
+        r = shard.to_pylist()[0]
+        step, n = packer.unpack(r["data"], r["n"])
+        lm_scoring.nce_steps(model, np.cumsum(step), n, lm_scoring.noise_table(table.unigram()), np.random.default_rng(1))
+        step, n = packer.unpack(r["inner"], r["m"])
+        lm_scoring.nce_inner(within, np.cumsum(step), n, table.unit_count, table.first, table.unit_class, np.random.default_rng(2))
+    Scorer = type("S", (), {"value": (*model.products(), model.b, model.log_normalisers(), within, within.log_normalisers(table.first))})
+    partial = pa.Table.from_batches(list(lm_scoring._partial(numbered, Here, Scorer)))
+    rare = pa.Table.from_batches(list(lm_scoring._rare(pick(["chunk", "rare", "n_rare"]), 7)))
+    count = Counter(w for i, h, t in given_rows if not h for w in (t or "").encode().lower().split())
+    found_counts = lm_scoring._look_up(rare, pa.table({"word": pa.array(list(count), pa.binary()), "c": list(count.values())}))
+    got = []
+    for chunk in partial["chunk"].to_pylist():
+        only = lambda x: x.filter(pa.compute.equal(x["chunk"], chunk))  # noqa: E731, B023
+        got += [(r["doc_id"], r["score"]) for r in lm_scoring._finish(only(partial), only(found_counts)).to_pylist()]
+    want = brute_lm(rows, table, model, within)
+    got = sorted(got, key=repr)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert [g[1] for g in got] == pytest.approx([w[1] for w in want], rel=1e-4)
+
+
+def test_lm_units_learn_from_their_context():
+    """Within a class, the unit that follows a class becomes the likely one there, and the units of a class sum to one."""
+    first, cls, count = np.array([0, 4]), np.zeros(4, np.int32), np.full(4, 25.5)
+    model = lm_scoring.InClass.start(count)
+    code, n = np.array([3 * 4 + 1, 5 * 4 + 2]), np.array([100, 100])
+    for k in range(200):
+        lm_scoring.nce_inner(model, code, n, count, first, cls, np.random.default_rng(k))
+    for before, unit in ((3, 1), (5, 2)):
+        p = np.exp(model.scores(np.arange(4), np.full(4, before)))
+        assert (p / p.sum()).argmax() == unit and p[unit] / p.sum() > 0.8
+
+
 def test_lm_is_normalised_and_learns():
     rng = np.random.default_rng(0)
     unigram = np.full(lm_scoring.CLASSES, 1 / lm_scoring.CLASSES)
@@ -364,6 +559,71 @@ def test_quality_learns_and_passes_columns(spark):
     assert len(out) == 600 and right >= 590 and all(r.quality == "x" for r in out)
 
 
+def planted(n, seed, labelled, weak=0.25):
+    """Texts whose words tell a label at times, of sources that tell it always; few rows have a label."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        good = rng.random() < 0.5
+        words = [rng.choice(WORDS) for _ in range(40)] + ([rng.choice(["fair", "sound", "clear"] if good else ["vile", "junk", "spam"]) for _ in range(3)] if rng.random() < weak else [])
+        # what stands only in unlabelled rows: the text view can learn it from the metadata view alone
+        hint = [("amber" if good else "ochre") + str(rng.randint(0, 4))] if i >= labelled else []
+        rows.append((i, " ".join(rng.sample(words + hint, len(words) + len(hint))), "en", f"host{rng.randint(0, 3) * 2 + good}", 200, int(good)))
+    return rows
+
+
+def auc(score, y):
+    good, bad = ([s for s, v in zip(score, y, strict=True) if v == side] for side in (1, 0))
+    return sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))
+
+
+def test_co_training_goes_both_ways(spark):
+    """Both views get labels; what the metadata knows improves the text view; the combination is no worse than either, on rows no one learned from."""
+    rows, cols = planted(2600, 2, 500, weak=0.6), "doc_id long, text string, lang string, source string, n_chars long, y int"
+    docs = spark.createDataFrame(rows, cols).repartition(3)
+    labels = docs.filter("doc_id < 500").selectExpr("doc_id", "y as quality", "cast(null as int) as toxic")
+    model, alone = (quality.fit_quality(docs, labels, rounds=r)["quality"] for r in (2, 0))
+    assert len(model["handed"]) == 2 and all(sum(view) > 0 for view in model["handed"][0])
+    test = planted(400, 99, 0, weak=0.6)
+    raws = [r[1].encode() for r in test]
+    features = [quality.text_features(x, quality.Buckets()) for x in raws]
+    shapes, words = np.stack([f[0] for f in features]), [f[1] for f in features]
+    meta = [quality.meta_features(r[2], r[3], r[4], x) for r, x in zip(test, raws, strict=True)]
+    y = [r[5] for r in test]
+
+    def views(m):
+        text = quality.logits(quality.text_matrix(shapes, quality.word_hits(words, m["known"])), m["weights"][0])
+        return auc(text, y), auc(quality.logits(quality.meta_matrix(np.array(meta)), m["weights"][1]), y), auc(quality.target_scores(m, shapes, words, meta), y)
+
+    before, after = views(alone), views(model)
+    assert after[0] > before[0] and after[1] >= 0.99 and after[2] >= max(after[:2]) - 0.002
+
+
+def test_quality_scores_are_the_models(spark, docs, rows):
+    """Every score against a plain re-computation, a feature at a time, from the fitted parameters."""
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), None) for i in range(40)], "doc_id long, quality int, toxic int")
+    model = quality.fit_quality(docs, labels)
+    got = Counter((r.doc_id, r.text, round(r.s.quality, 6), r.s.toxicity, r.s.kept) for r in quality.score_with(docs, model, "s").collect())
+    m, want = model["quality"], Counter()
+    for i, t, lang, source, n_chars in rows:
+        raw = (t or "").encode()
+        seen = {quality.Buckets()[w] for w in quality.WORDS.findall(raw.lower())}
+        text = float(m["weights"][0][-1]) + sum(float(a) * float(b) for a, b in zip(quality.shape(raw, raw.split()), m["weights"][0], strict=False))
+        text += sum(float(m["weights"][0][136 + k]) for k, at in enumerate(m["known"].tolist()) if at in seen)
+        meta = float(m["weights"][1][-1]) + sum(float(m["weights"][1][p]) for p in quality.meta_features(lang, source, n_chars, raw))
+        z = sum((v * c[0] + c[1]) * w for v, c, w in zip((text, meta), m["curves"], m["mix"], strict=False)) + m["mix"][-1]
+        p = 1 / (1 + math.exp(-max(-40, min(40, z))))
+        want[(i, t, round(p, 6), 0.0, p >= 0.5)] += 1
+    assert sum(want.values()) == len(rows) and sum((got & want).values()) >= len(rows) - 1  # but for a sixth digit
+
+
+def test_quality_ties_and_repeats(spark, docs):
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 5 == 0)) for i in range(40)], "doc_id long, quality int, toxic int")
+    one, two = (sorted(map(str, quality.score_documents(docs, labels, name="s").select("doc_id", "text", "s").collect())) for _ in range(2))
+    assert one == two  # reruns agree, and rows that repeat have equal scores
+    assert len({x for x in one if x.startswith("Row(doc_id=5,")}) == 1
+
+
 def test_quality_hard_rows(spark, docs, rows, nothing):
     labels = spark.createDataFrame([(0, 1, 0), (1, None, None), (None, 0, 1), (99999, 0, 1), (2, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
     out = quality.score_documents(docs, labels, name="judged").collect()
