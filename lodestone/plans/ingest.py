@@ -98,8 +98,9 @@ def ingest(
         "embedding": chunks.select(F.col("id").alias("chunk_id"), F.lit(embedder.model_id).alias("model_id"), F.lit(embedder.dim).alias("dim")),
         "chunk_vector": chunks.select(F.col("id").alias("chunk_id"), "document_id", F.lit(embedder.dim).alias("dim"), embedder.vectors(F.col("text")).alias("vector")),
     }
-    if summary.documents_ingested or not gone.isEmpty():
-        store.commit(rows | {"ingest_event": events}, store.below("document", gone), unique=True, base=base, reads=("document",))
+    some_go = not gone.isEmpty()
+    if summary.documents_ingested or some_go:
+        store.commit(rows | {"ingest_event": events}, store.below("document", gone) if some_go else {}, unique=True, base=base, reads=("document",))
     else:
         store.commit({"ingest_event": events}, unique=True)
     if on_events:

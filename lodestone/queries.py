@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from .functions import display, hashing, text, vectors
 from .operators import bm25, chunking, citations, embedding, fusion, vector_search
-from .plans.answering import MockLlm, answer
+from .plans.answering import MockLlm, answer, conversation_rows
 from .plans.ingest import changes, document_id, ingest, tally
 from .plans.retrieval import arms, clamped, retrieve, retrieve_hybrid
 from .plans.store import Store
+from .plans.vectors import StoreVectors
 from .schemas import LOCATOR, HybridConfig, violations
 from .sources import ignore, readers
 from .streaming import reingest
@@ -647,5 +648,88 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return store.read("document").select("path_or_url", "content_hash", "byte_size")
 
 
+@query(f"SELECT sha256('documents' || chr(1) || doc_id) AS document_id, count(*) AS n_chunks, count(*) AS n_vectors, count(*) AS n_models, 64 AS dim FROM ({SQL_CHUNKS}) GROUP BY doc_id")
+def ingest_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Every chunk has its vector and its model."""
+    store = _ingested(spark, sf)
+    chunk, vector, model = (store.read(t) for t in ("chunk", "chunk_vector", "embedding"))
+    each = chunk.select("document_id", F.col("id").alias("chunk_id")).join(vector.select("chunk_id", F.size("vector").alias("dim")), "chunk_id", "left").join(model.select("chunk_id", "model_id"), "chunk_id", "left")
+    return each.groupBy("document_id").agg(F.count("*").alias("n_chunks"), F.count("dim").alias("n_vectors"), F.count("model_id").alias("n_models"), F.max("dim").alias("dim"))
+
+
+@query(f"""WITH c AS (SELECT doc_id, count(*) AS n FROM ({SQL_CHUNKS}) GROUP BY doc_id), d AS (SELECT doc_id, lang, coalesce(n, 0) AS n FROM documents LEFT JOIN c USING (doc_id))
+SELECT 'progress' AS kind, doc_id::VARCHAR AS path, CASE WHEN n > 0 THEN 'ingested' ELSE 'skipped' END AS outcome, NULL::BIGINT AS documents_ingested, NULL::BIGINT AS documents_skipped, NULL::BIGINT AS documents_failed, NULL::BIGINT AS chunks_created FROM d WHERE lang = 'fr'
+UNION ALL SELECT 'progress', 'void', 'failed', NULL, NULL, NULL, NULL
+UNION ALL SELECT 'done', '', NULL, count(*) FILTER (lang = 'fr' AND n > 0), count(*) FILTER (lang <> 'fr' OR n = 0), 1, coalesce(sum(n) FILTER (lang = 'fr'), 0)::BIGINT FROM d""")
+def ingest_events(spark: SparkSession, sf: str) -> DataFrame:
+    """What a second run tells, when French documents are new and one that should be there is not."""
+    store, d = Store(spark, shared(spark)), documents(spark, sf)
+    texts = lambda df: readers.read_texts(df.select(F.col("doc_id").cast("string").alias("path"), "text"))
+    ingest(store, "documents", texts(d.filter("lang <> 'fr'")), embedding.HashEmbedder(64), now_ms=0)
+    expected = d.select(F.col("doc_id").cast("string").alias("path")).unionByName(spark.createDataFrame([("void",)], "path string"))
+    ingest(store, "documents", texts(d), embedding.HashEmbedder(64), now_ms=1, expected=expected)
+    return store.read("ingest_event").filter("at = 1").drop("source_id", "at")
+
+
+@query("SELECT lang AS id, CASE lang WHEN 'de' THEN 'ingesting' ELSE 'ready' END AS status, CASE WHEN lang <> 'de' THEN 7::BIGINT END AS last_synced_at FROM documents GROUP BY lang")
+def source_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources by language: added, then ready but for German ones."""
+    store, langs = Store(spark, shared(spark)), documents(spark, sf).select(F.col("lang").alias("id")).distinct()
+    row = lambda status, synced: (F.lit("folder").alias("kind"), F.lit("u").alias("uri"), F.lit(status).alias("status"), F.lit(None).cast("bigint").alias("ingested_at"), F.lit(synced).cast("bigint").alias("last_synced_at"), F.lit("{}").alias("meta"))
+    store.upsert("source", langs.select("id", *row("ingesting", None)))
+    store.upsert("source", langs.filter("id <> 'de'").select("id", *row("ready", 7)))
+    return store.read("source").select("id", "status", "last_synced_at")
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT query_id, vec_id::VARCHAR AS chunk_id, round(list_cosine_similarity(e::DOUBLE[], embedding::DOUBLE[]), 6) + 0.0 AS score FROM q, embeddings WHERE vec_id % 10 <> 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s)
+SELECT query_id, chunk_id, score, rank::INT AS rank FROM r WHERE rank <= 10""")
+def vector_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors written, some of them once more, some documents deleted, and what is left searched."""
+    held, e = StoreVectors(Store(spark, shared(spark))), readers.read_table(spark, f"{sf}/embeddings.parquet")
+    record = lambda df, v: df.select(F.col("vec_id").cast("string").alias("chunk_id"), F.concat(F.lit("d"), (F.col("vec_id") % 10).cast("string")).alias("document_id"), v.alias("vector"))
+    held.upsert(record(e, F.when(F.col("vec_id") % 7 == 0, F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding"))))
+    held.upsert(record(e.filter("vec_id % 7 = 0"), F.col("embedding")))
+    held.delete_document(spark.createDataFrame([("d3",)], "document_id string"))
+    asked = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))  # the query set
+    return held.search(asked, 10, digits=6)
+
+
+@query(f"{WITH_TOKENS}, {sql_signatures('d')} SELECT a.doc_id, len(list_filter(list_zip(a.s, b.s), lambda p: p[1] = p[2])) / 64.0::DOUBLE AS overlap FROM signed a JOIN signed b ON b.doc_id = a.doc_id + 1")
+def signature_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    own = documents(spark, sf).select("doc_id", hashing.minhash(text.tokenize(F.col("text"))).alias("s"))
+    other = own.select((F.col("doc_id") - 1).alias("doc_id"), F.col("s").alias("t"))
+    return own.join(other, "doc_id").select("doc_id", hashing.estimated_jaccard(F.col("s"), F.col("t")).alias("overlap"))
+
+
+PROMPT_END = "chr(10) || chr(10) || 'Answer from the context above, each claim with its [^chunk_id].'"
+
+
+@query(f"""WITH {SQL_NEAR}, c AS (SELECT query_id, rank, '[^' || chunk_id || '] (source: ' || coalesce(source, '') || '):' || chr(10) || text || chr(10) || chr(10) AS line, sum({DENSE_COST}) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM near JOIN documents ON doc_id = chunk_id WHERE rank <= 12),
+b AS (SELECT query_id, string_agg(line, '' ORDER BY rank) AS context FROM c WHERE rank = 1 OR used <= 2000 GROUP BY query_id)
+SELECT query_id, md5('Context:' || chr(10) || context || chr(10) || '---' || chr(10) || 'Question: ' || text || {PROMPT_END}) AS digest, length(context)::BIGINT AS n_chars FROM b JOIN benchmark ON item_id = query_id""")
+def context_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    hits = fusion.pack_stopping(fusion.hydrate(retrieve_vector(spark, sf), chunks_of(spark, sf)), 2000)
+    asked = citations.context_block(hits.withColumn("chunk_id", F.col("chunk_id").cast("string"))).join(benchmark_queries(spark, sf), "query_id")
+    return asked.select("query_id", F.md5(citations.prompt(F.col("text"), F.col("context"))).alias("digest"), F.char_length("context").cast("long").alias("n_chars"))
+
+
+@query(f"""WITH {SQL_NEAR}, c AS (SELECT query_id, rank, chunk_id, sum({DENSE_COST}) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM near JOIN documents ON doc_id = chunk_id WHERE rank <= 12),
+g AS (SELECT item_id AS query_id, text, coalesce(score < 0.15, true) AS rejected FROM benchmark LEFT JOIN near ON query_id = item_id AND rank = 1),
+n AS (SELECT query_id, count(*) AS n_cited, count(*) FILTER (chunk_id = 0) AS n_used FROM c JOIN g USING (query_id) WHERE NOT rejected AND (rank = 1 OR used <= 6000) GROUP BY query_id),
+m AS (SELECT query_id, text, 'user' AS role, text AS content, 0 AS own FROM g UNION ALL SELECT query_id, text, 'assistant', CASE WHEN rejected THEN '{citations.DECLINED.replace("'", "''")}' ELSE 'This is a grounded answer [^0].' END, 1 FROM g)
+SELECT CASE WHEN length(trim(text)) > 60 THEN left(trim(text), 60) || '…' ELSE trim(text) END AS title, role, content, coalesce(own * n_cited, 0)::BIGINT AS n_cited, coalesce(own * n_used, 0)::BIGINT AS n_used FROM m LEFT JOIN n USING (query_id)""")
+def ask_record(spark: SparkSession, sf: str) -> DataFrame:
+    """What a store keeps of a batch of questions: conversations, both messages of each, and the citations."""
+    store = Store(spark, shared(spark))
+    hits = fusion.hydrate(retrieve_vector(spark, sf), chunks_of(spark, sf)).withColumn("chunk_id", F.col("chunk_id").cast("string"))
+    answers, cites = answer(benchmark_queries(spark, sf), hits, MockLlm("0"), shared(spark))
+    store.commit(conversation_rows(answers, cites, 0), unique=True)
+    cited = store.read("citation").groupBy(F.col("message_id").alias("id")).agg(F.count("*").alias("n_cited"), F.count_if("used_in_answer").alias("n_used"))
+    said = store.read("message").join(store.read("conversation").select(F.col("id").alias("conversation_id"), "title"), "conversation_id").join(cited, "id", "left")
+    return said.select("title", "role", "content", F.coalesce("n_cited", F.lit(0)).alias("n_cited"), F.coalesce("n_used", F.lit(0)).alias("n_used"))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return hybrid_retrieve(spark, sf)
