@@ -2,7 +2,7 @@
 
 The text view sees a document's bytes and words; the metadata view its language and source, alone and together, and its lengths: of
 the text, its words and its lines. Both are logistic models, first fitted in numpy on a bounded sample of labelled rows.
-Then all documents without a label take part, whose features are computed once and stored in shards. In each round every shard
+Then all other documents take part, whose features are computed once and stored in shards. In each round every shard
 is scored by both views; the rows that a view is sure of, by its calibration on held-back labelled rows, are handed with
 their pseudo-labels to the other view, which is fitted further on them and the labelled rows, from the same weights in every shard; the
 means of the shards' weights, by rows handed over, are the next round's. A view that knows nothing hands over nothing. At last
@@ -305,7 +305,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, labelled: int = SAMPLE_LA
         else:
             out[target] = {"constant": float(y.mean()) if len(y) else 1.0}
     if targets and rounds:
-        free = docs.join(given.select(F.col("doc_id").alias("chosen_id")), "chosen_id", "left_anti").select("text", "lang", "source", "n_chars")
+        free = docs.join(chosen.select("chosen_id"), "chosen_id", "left_anti").select("text", "lang", "source", "n_chars")
         pool = stored(free.mapInArrow(functools.partial(_pool, known=[t.known for t in targets.values()]), "n long, data binary"), "quality-pool")
         co_train(list(targets.values()), pool, rounds)
         discard(pool)
