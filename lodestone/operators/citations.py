@@ -35,3 +35,9 @@ def without_unknown(answer: Column, valid: Column) -> Column:
     marker = r"^\[\^([^\]]*)\]$"
     known = lambda p: ~p.rlike(marker) | F.array_contains(valid, F.regexp_extract(p, marker, 1))
     return F.array_join(F.filter(parts, known), "")
+
+
+def used_flags(context: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of contexts (keys, chunk_id, ...) with used_in_answer: whether the answer (keys, cited) names the chunk."""
+    both = context.join(answers.select(*keys, "cited"), keys)
+    return both.withColumn("used_in_answer", F.array_contains("cited", F.col("chunk_id"))).drop("cited")

@@ -6,11 +6,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import truncated
-from ..operators.citations import DECLINED, SYSTEM_PROMPT, cited, context_block, prompt, without_unknown
+from ..operators.citations import DECLINED, SYSTEM_PROMPT, cited, context_block, prompt, used_flags, without_unknown
 from ..operators.fusion import pack_stopping, rejected
 
 
@@ -52,10 +52,16 @@ def answer(questions: DataFrame, hits: DataFrame, llm: Llm | Callable[[str, str]
     asked.select("query_id", "text", "rejected", "valid", F.when(~F.col("rejected"), said(prompt(F.col("text"), F.col("context")))).alias("raw")).write.parquet(f"{keep}/raw")
     raw = spark.read.parquet(f"{keep}/raw")
     answers = raw.select("query_id", "text", F.when(F.col("rejected"), DECLINED).otherwise(F.col("raw")).alias("answer"), F.when(F.col("rejected"), DECLINED).otherwise(without_unknown(F.col("raw"), F.col("valid"))).alias("answer_clean"), "rejected", F.when(F.col("rejected"), F.array().cast("array<string>")).otherwise(cited(F.col("raw"), F.col("valid"))).alias("cited"))
-    citations = packed.join(answers.select("query_id", "cited"), "query_id").select("query_id", "rank", "chunk_id", "path_or_url", "text", "score", F.array_contains("cited", F.col("chunk_id")).alias("used_in_answer"))
+    citations = used_flags(packed.select("query_id", "rank", "chunk_id", "path_or_url", "text", "score"), answers, ["query_id"])
     return answers, citations
 
 
+def thread(messages: DataFrame, conversation: str, *order: str, role: str = "role") -> DataFrame:
+    """Messages with their place in the conversation, from 1, and the role that spoke before (null at the start)."""
+    own = Window.partitionBy(conversation).orderBy(*order)
+    return messages.withColumn("nth", F.row_number().over(own)).withColumn("before", F.lag(role).over(own))
+
+
 def conversation_rows(answers: DataFrame, citations: DataFrame, now_ms: int) -> dict[str, DataFrame]:
     """What a store keeps of answers: conversations, both messages of each, and the citations."""
     ids = answers.withColumn("conversation_id", F.sha2(F.concat_ws("\u0001", F.lit(str(now_ms)), F.col("query_id").cast("string")), 256))

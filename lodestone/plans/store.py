@@ -155,6 +155,11 @@ class Store:
             out.append(rows)
         return functools.reduce(DataFrame.unionByName, out)
 
+    def find(self, table: str, wanted: DataFrame, *columns: str) -> DataFrame:
+        """The table's rows whose columns (its key, if none are named) have the values of a row of `wanted`: a batch of lookups is one join."""
+        names = list(columns) or KEYS[table]
+        return self.read(table).join(wanted.select(names).distinct(), names, "left_semi")
+
     def upsert(self, table: str, rows: DataFrame) -> int:
         """Rows that replace those of their keys. Of rows that repeat a key any one counts."""
         return self.commit({table: rows.dropDuplicates(KEYS[table])}, unique=True)
@@ -165,7 +170,7 @@ class Store:
         while todo:
             parent, ids = todo.pop()
             for child, column in CHILDREN.get(parent, []):
-                own = self.read(child).join(ids.select(F.col(KEYS[parent][0]).alias(column)), column, "left_semi").select(KEYS[child])
+                own = self.find(child, ids.select(F.col(KEYS[parent][0]).alias(column)), column).select(KEYS[child])
                 out[child] = own
                 todo.append((child, own))
         return out

@@ -6,12 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import display, hashing, text, vectors
 from .operators import bm25, chunking, citations, embedding, fusion, vector_search
-from .plans.answering import MockLlm, answer, conversation_rows
+from .plans.answering import MockLlm, answer, conversation_rows, thread
 from .plans.ingest import changes, document_id, ingest, tally
 from .plans.retrieval import arms, clamped, retrieve, retrieve_hybrid
 from .plans.store import Store
@@ -363,7 +363,8 @@ def citation_parse(spark: SparkSession, sf: str) -> DataFrame:
 @query(WITH_MARKED + r" SELECT conv_id, turn, unnest(valid) AS chunk_id, list_contains(regexp_extract_all(answer, '\[\^([^\]]*)\]', 1), unnest(valid)) AS used FROM m")
 def citation_used_join(spark: SparkSession, sf: str) -> DataFrame:
     m = _marked(spark, sf).withColumn("cited", citations.cited(F.col("answer"), F.col("valid")))
-    return m.select("conv_id", "turn", "cited", F.explode("valid").alias("chunk_id")).select("conv_id", "turn", "chunk_id", F.array_contains("cited", F.col("chunk_id")).alias("used"))
+    flags = citations.used_flags(m.select("conv_id", "turn", F.explode("valid").alias("chunk_id")), m, ["conv_id", "turn"])
+    return flags.withColumnRenamed("used_in_answer", "used")
 
 
 @query(WITH_MARKED + r" SELECT conv_id, turn, regexp_replace(replace(replace(answer, '[^' || valid[1] || ']', '1'), '[^' || valid[2] || ']', '2'), '\[\^[^\]]+\]', '', 'g') AS rendered FROM m")
@@ -587,9 +588,8 @@ def viewer_tabs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT conv_id, turn, role, length(text)::BIGINT AS n_chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS nth, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations")
 def thread_order(spark: SparkSession, sf: str) -> DataFrame:
-    own = Window.partitionBy("conv_id").orderBy("turn")
-    c = table(spark, sf, "conversations")
-    return c.select("conv_id", "turn", "role", F.char_length("text").cast("long").alias("n_chars"), F.row_number().over(own).alias("nth"), F.lag("role").over(own).alias("before"))
+    c = thread(table(spark, sf, "conversations"), "conv_id", "turn")
+    return c.select("conv_id", "turn", "role", F.char_length("text").cast("long").alias("n_chars"), "nth", "before")
 
 
 @query("SELECT role, count(*) AS n, role IN ('user', 'assistant', 'system') AS allowed FROM conversations GROUP BY role")
@@ -597,10 +597,14 @@ def check_domains(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").groupBy("role").agg(F.count("*").alias("n")).withColumn("allowed", F.size(violations("message")) == 0)
 
 
-@query("SELECT d.doc_id, d.source, l.quality FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1 AND l.toxic = 0")
+@query("SELECT doc_id, source, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0)")
 def in_list_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    good = table(spark, sf, "labels").filter("quality = 1 AND toxic = 0")
-    return documents(spark, sf).join(good, "doc_id").select("doc_id", "source", "quality")
+    """Documents of a store by a list of ids."""
+    store, d = Store(spark, shared(spark)), documents(spark, sf)
+    none = lambda t: F.lit(None).cast(t)
+    store.upsert("document", d.select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("source_id"), F.col("source").alias("path_or_url"), none("string").alias("title"), none("string").alias("mime"), F.col("n_chars").alias("byte_size"), F.lit("").alias("content_hash"), none("int").alias("page_count"), none("bigint").alias("ingested_at")))
+    good = table(spark, sf, "labels").filter("quality = 1 AND toxic = 0").select(F.col("doc_id").cast("string").alias("id"))
+    return store.find("document", good).select(F.col("id").cast("long").alias("doc_id"), F.col("path_or_url").alias("source"), F.col("byte_size").alias("n_chars"))
 
 
 @query("SELECT doc_id AS document_id, sha256(lang || chr(1) || doc_id) AS id FROM documents")
