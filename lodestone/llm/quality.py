@@ -13,7 +13,7 @@ The labelled rows part in three: to fit the views, to calibrate them, and to com
 so what reaches the driver (some 20 MB); it is taken by a hash of the id, at a rate that the table's count gives.
 
 Defined results: null and empty texts are scored as empty; null metadata is a value of its own; labels that are null
-or of no known document are left out; where there are no labels of both kinds to learn from, every document's score is
+or of no known document are left out; where there are fewer than five labels of either kind to learn from, every document's score is
 the share of good ones (1 without labels); rows that repeat get equal scores; an empty table gives an empty table;
 other columns pass through score_documents() untouched.
 """
@@ -159,7 +159,7 @@ class Target:
     """One target's views while they are trained: the labelled rows in their three parts, weights, and calibrations."""
 
     def __init__(self, sample: pd.DataFrame, y: np.ndarray) -> None:
-        part = np.arange(len(y)) % 5
+        part = parts(y)
         self.train, self.even, self.blend = (np.flatnonzero(np.isin(part, x)) for x in ((0, 1, 2), (3,), (4,)))
         self.y, self.known = y, telling_words(list(sample["words"].iloc[self.train]), y[self.train])
         self.views = (text_matrix(np.stack(sample["shape"].to_list()), word_hits(list(sample["words"]), self.known)), meta_matrix(np.stack(sample["meta"].to_list())))
@@ -175,8 +175,16 @@ class Target:
         return {"known": self.known, "weights": self.weights, "curves": self.curves, "mix": platt(z, self.y[self.blend]), "handed": self.handed}
 
 
+def parts(y: np.ndarray) -> np.ndarray:
+    """Fifths of the labelled rows, of good and bad ones alike: 0 to 2 to fit, 3 to calibrate, 4 to combine."""
+    out = np.zeros(len(y), np.int64)
+    for side in (y > 0.5, y <= 0.5):
+        out[side] = np.arange(side.sum()) % 5
+    return out
+
+
 def trainable(y: np.ndarray) -> bool:
-    return all(len(np.unique(y[np.isin(np.arange(len(y)) % 5, x)])) == 2 for x in ((0, 1, 2), (3,), (4,)))
+    return all((side.sum() >= 5) for side in (y > 0.5, y <= 0.5))
 
 
 def teach(x: np.ndarray, sure: np.ndarray, label: np.ndarray, seen: tuple[np.ndarray, np.ndarray], weights: np.ndarray) -> tuple[np.ndarray, list[int]]:

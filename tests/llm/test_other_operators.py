@@ -143,7 +143,7 @@ def test_recall_at_the_threshold(dim, words, least):
 
 
 def test_embedding_dedup_exact(spark):
-    rows = near_rows(120) + HARD
+    rows = near_rows(320) + HARD
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert found(embedding_dedup.near_vectors(vectors, exact=True)) == brute_vectors(rows)
 
