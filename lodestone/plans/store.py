@@ -13,6 +13,7 @@ import functools
 import json
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -106,13 +107,16 @@ class Store:
         number = self.version() + 1
         own = f"{number}-{uuid.uuid4().hex}"  # another commit that tries for the number writes elsewhere
         entry: dict = {"number": number, "schema": SCHEMA_VERSION, "rows": {}, "deleted": {}, "unique": unique, "replaces": replaces}
+        parts = []
         for table, df in rows.items():
-            kept = df if "_commit" in df.columns else df.withColumn("_commit", F.lit(number))
-            kept.write.parquet(f"{self.path}/{table}/rows-{own}")
             entry["rows"][table] = f"{table}/rows-{own}"
+            parts.append((df if "_commit" in df.columns else df.withColumn("_commit", F.lit(number)), entry["rows"][table]))
         for table, df in deleted.items():
-            df.select(KEYS[table]).withColumn("_commit", F.lit(number)).write.parquet(f"{self.path}/{table}/deleted-{own}")
             entry["deleted"][table] = f"{table}/deleted-{own}"
+            parts.append((df.select(KEYS[table]).withColumn("_commit", F.lit(number)), entry["deleted"][table]))
+        # small tables need not wait for large ones
+        with ThreadPoolExecutor(4) as pool:
+            list(pool.map(lambda x: x[0].write.parquet(f"{self.path}/{x[1]}"), parts))
         if base is not None:
             for other in self.manifests(base):
                 if touched := ({*other["rows"], *other["deleted"]} - {*other["replaces"]}) & {*reads}:
