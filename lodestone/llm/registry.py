@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, exact_dedup, line_dedup, lm_scoring, mixing, ngram_join, quality, substring_dedup, warc
+from . import bpe, embedding_dedup, exact_dedup, filter_audit, line_dedup, lm_scoring, mixing, ngram_join, pieces, quality, substring_dedup, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": bpe.op8_bpe,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_quality": quality.op10_quality,
+        "op11_filter_audit": filter_audit.op11_filter_audit,
+        "op12_pieces": pieces.op12_pieces,
     }
 
 
@@ -33,4 +35,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_exact_dedup": exact_dedup.OP6_SQL,
         "op7_line_dedup": line_dedup.OP7_SQL,
         "op9_substring_dedup": substring_dedup.OP9_SQL,
+        "op11_filter_audit": filter_audit.OP11_SQL,
     }
