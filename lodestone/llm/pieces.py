@@ -21,6 +21,7 @@ import hashlib
 import itertools
 import re
 import struct
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,11 +36,11 @@ from .common import read_table, text_rows
 
 SPACE_MARK = "▁"
 MARK_BYTES = np.frombuffer(SPACE_MARK.encode(), np.uint8)
-#: A worker forgets the parts it has merged when it holds so many.
-REMEMBERED = 200_000
+#: A worker forgets the parts it has merged when it holds so many, or so many ids.
+REMEMBERED, REMEMBERED_IDS = 400_000, 8_000_000
 #: So many parts of a text are merged at once.
 SOME_PARTS = 50_000
-#: Longer parts are cut between characters that no piece has side by side, and not remembered.
+#: Longer parts are cut between characters that no piece has side by side.
 LONG_PART = 200
 #: Kinds of pieces, as the model file numbers them.
 NORMAL, BYTE, USER_DEFINED = 1, 6, 4
@@ -181,11 +182,15 @@ class Normaliser:
         return normal, np.append(places, end)
 
 
-class Pieces(dict):
-    """Encoder of a model file. As a dict: the ids of parts merged so far."""
+def grown(array: np.ndarray, size: int) -> np.ndarray:
+    return array if size <= len(array) else np.concatenate([array, np.zeros(max(size, 2 * len(array)) - len(array), array.dtype)])
+
+
+class Pieces:
+    """Encoder of a model file, which keeps the ids of parts it has merged by their number."""
 
     def __init__(self, model: bytes) -> None:
-        super().__init__()
+        self.forget()
         top = list(fields(model))
         normal, trainer = ({n: v for n, v in fields(next((v for m, v in top if m == of), b""))} for of in (NORMALIZER, TRAINER))
         kinds, pieces = [], []
@@ -209,30 +214,45 @@ class Pieces(dict):
         self.part = re.compile("(?s).+" if across else f"{SPACE_MARK}*[^{SPACE_MARK}]+|{SPACE_MARK}+")
         self.begin, self.end = self.library.bos_id(), self.library.eos_id()
 
-    def learn(self, parts: set[str]) -> list[str]:
-        """Merges parts not known yet, and gives those too long to be kept."""
-        if len(self) + len(parts) > REMEMBERED:
-            self.clear()
-        new = [part for part in parts if part not in self]
-        short = [part for part in new if len(part) <= LONG_PART]
-        self.update(zip(short, map(tuple, self.merger.encode(short, num_threads=1)), strict=True))
-        long = [part for part in new if len(part) > LONG_PART]
-        for part in long:
-            cuts = [0, *(k + 1 for k, pair in enumerate(itertools.pairwise(part)) if pair not in self.neighbours), len(part)]
-            self[part] = tuple(itertools.chain.from_iterable(self.merger.encode([part[a:b] for a, b in itertools.pairwise(cuts)], num_threads=1)))
-        return long
+    def forget(self) -> None:
+        self.number = defaultdict(itertools.count().__next__)
+        self.first, self.count, self.flat = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.int32)
+        self.known = self.used = 0
+
+    def learn(self) -> None:
+        """Merges the parts that got a number since the last time. Their ids stand in `flat`, as many as `count` says from `first` on."""
+        new = list(itertools.islice(reversed(self.number), len(self.number) - self.known))[::-1]
+        merged = self.merger.encode([part if len(part) <= LONG_PART else "" for part in new], num_threads=1)
+        for k, part in enumerate(new):
+            if len(part) > LONG_PART:
+                cuts = [0, *(j + 1 for j, pair in enumerate(itertools.pairwise(part)) if pair not in self.neighbours), len(part)]
+                merged[k] = list(itertools.chain.from_iterable(self.merger.encode([part[a:b] for a, b in itertools.pairwise(cuts)], num_threads=1)))
+        counts = np.fromiter(map(len, merged), np.int64, len(new))
+        ids = np.fromiter(itertools.chain.from_iterable(merged), np.int32)
+        self.first, self.count, self.flat = (grown(x, size) for x, size in ((self.first, len(self.number)), (self.count, len(self.number)), (self.flat, self.used + len(ids))))
+        self.first[self.known : len(self.number)] = self.used + np.cumsum(counts) - counts
+        self.count[self.known : len(self.number)] = counts
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.known, self.used = len(self.number), self.used + len(ids)
+
+    def ids(self, normal: str) -> np.ndarray:
+        parts, found = self.part.findall(normal), [np.zeros(0, np.int32)]
+        for at in range(0, len(parts), SOME_PARTS):
+            numbers = np.fromiter(map(self.number.__getitem__, parts[at : at + SOME_PARTS]), np.int64)
+            if len(self.number) > self.known:
+                self.learn()
+            count = self.count[numbers]
+            ends = np.cumsum(count)
+            # an id's place: the first of its part, and how far it is from its part's begin
+            found.append(self.flat[np.repeat(self.first[numbers] - ends + count, count) + np.arange(ends[-1])])
+            if len(self.number) > REMEMBERED or self.used > REMEMBERED_IDS:
+                self.forget()
+        return np.concatenate(found)
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids with begin and end, and where each begins and ends in the bytes of the text."""
         normal, places = self.normalise(text)
-        parts, found = self.part.findall(normal), []
-        for at in range(0, len(parts), SOME_PARTS):
-            some = parts[at : at + SOME_PARTS]
-            long = self.learn(set(some))
-            found.append(np.fromiter(itertools.chain.from_iterable(map(self.__getitem__, some)), np.int32))
-            for part in long:
-                del self[part]
-        ids = np.concatenate([np.zeros(0, np.int32), *found])
+        ids = self.ids(normal)
         ends = np.cumsum(self.lengths[ids])
         if len(ends) and ends[-1] != len(places) - 1:
             raise ValueError("pieces don't add up to the text")
@@ -253,8 +273,19 @@ def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *rows]), kind))
 
 
+#: A worker process keeps its encoder, and the parts it knows, from one task to the next.
+KEPT: dict[bytes, Pieces] = {}
+
+
+def kept(model: bytes) -> Pieces:
+    if model not in KEPT:
+        KEPT.clear()
+        KEPT[model] = Pieces(model)
+    return KEPT[model]
+
+
 def _encode(batches: Iterable[pa.RecordBatch], model: Broadcast) -> Iterator[pa.RecordBatch]:
-    pieces = Pieces(model.value)
+    pieces = kept(model.value)
     for batch in batches:
         at = 0
         while at < batch.num_rows:  # some MB of texts at a time
