@@ -316,11 +316,11 @@ def _decode(batches: Iterable[pa.RecordBatch], model: Broadcast, digests: bool)
         for at in range(0, batch.num_rows, 256):
             part, out = batch.slice(at, 256), []
             for k, ident in enumerate(part.column(0).to_pylist()):
-                ids, begins, ends = (part.column(c)[k].values for c in (1, 2, 3))
-                text = library.decode(ids.to_pylist())
+                ids, begins, ends = (part.column(c)[k].values.to_numpy() for c in (1, 2, 3))
+                text = library.decode(ids)
                 if digests:
-                    spans = np.stack([begins.to_numpy(), ends.to_numpy()], axis=1).astype("<u8").tobytes()
-                    out.append((ident, len(ids), *(hashlib.sha256(x).hexdigest() for x in (ids.to_numpy().astype("<u4").tobytes(), text.encode(), spans))))
+                    spans = np.stack([begins, ends], axis=1).astype("<u8").tobytes()
+                    out.append((ident, len(ids), *(hashlib.sha256(x).hexdigest() for x in (ids.astype("<u4").tobytes(), text.encode(), spans))))
                 else:
                     out.append((ident, text))
             kinds = (pa.int64(), pa.int64(), *[pa.string()] * 3) if digests else (pa.int64(), pa.string())
