@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
@@ -22,17 +22,17 @@ class Bm25Index:
     statistics: DataFrame
 
 
-def counted_terms(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text") -> DataFrame:
-    """(chunk_id, len, first, term, tf): terms are counted within their row, so that nothing is shuffled; a chunk without tokens has one row of no term.
+def counted_terms(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(chunk_id, len, first, term, tf) and the columns to keep: terms are counted within their row, so that nothing is shuffled; a chunk without tokens has one row of no term.
 
     Sorted tokens part in runs: a run's first place is its term's, the distance to the next run its number. Each step
     stands alone, as an expression that is used twice is computed twice.
     """
-    rows = chunks.select(F.col(chunk_id).alias("chunk_id"), F.sort_array(tokenize(F.col(text))).alias("t")).withColumn("len", F.size("t"))
+    rows = chunks.select(F.col(chunk_id).alias("chunk_id"), *keep, F.sort_array(tokenize(F.col(text))).alias("t")).withColumn("len", F.size("t"))
     begins = F.filter(F.sequence(F.lit(0), F.greatest(F.col("len") - 1, F.lit(0))), lambda k: (k == 0) | (F.get("t", k) != F.get("t", k - 1)))
     rows = rows.withColumn("begins", begins)
     items = F.transform("begins", lambda p, j: F.struct((j == 0).alias("first"), F.coalesce(F.get("t", p), F.lit("")).alias("term"), (F.coalesce(F.get("begins", j + 1), F.col("len")) - p).cast("long").alias("tf")))
-    return rows.select("chunk_id", "len", F.explode(items).alias("i")).select("chunk_id", "len", "i.*")
+    return rows.select("chunk_id", *keep, "len", F.explode(items).alias("i")).select("chunk_id", *keep, "len", "i.*")
 
 
 def term_frequencies(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text") -> DataFrame:
@@ -79,14 +79,22 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
+def idf(n: Column, df: Column) -> Column:
+    return F.log1p((n - df + 0.5) / (df + 0.5))
+
+
+def contribution(weight: Column, tf: Column, length: Column, avgdl: Column, c: Bm25Config) -> Column:
+    """What a term adds to a chunk's score: more the more often it stands there, and the shorter the chunk is."""
+    f = tf.cast("double")
+    return weight * f * (c.k1 + 1) / (f + c.k1 * (1 - c.b + c.b * length / F.greatest(avgdl, F.lit(1e-9))))
+
+
 def bm25_scores(index: Bm25Index, queries: DataFrame, config: Bm25Config | None = None) -> DataFrame:
     """(query_id, chunk_id, score) for all chunks with a positive score."""
     c = config or Bm25Config()
     terms = query_terms(queries).join(index.frequencies, "term").crossJoin(F.broadcast(index.statistics))  # one row of statistics
-    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = terms.select("query_id", "term", "avgdl", (F.col("qtf") * idf).alias("weight"))
-    f = F.col("tf").cast("double")
-    part = F.col("weight") * f * (c.k1 + 1) / (f + c.k1 * (1 - c.b + c.b * F.col("len") / F.greatest(F.col("avgdl"), F.lit(1e-9))))
+    weighed = terms.select("query_id", "term", "avgdl", (F.col("qtf") * idf(F.col("n"), F.col("df"))).alias("weight"))
+    part = contribution(F.col("weight"), F.col("tf"), F.col("len"), F.col("avgdl"), c)
     scored = index.postings.join(weighed, "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
     return scored.filter("score > 0")
 

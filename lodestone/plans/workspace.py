@@ -19,6 +19,7 @@ from ..operators.embedding import Embedder, HashEmbedder
 from ..operators.fusion import hydrate
 from ..operators.models import BASE_URL, CHAT_MODEL, DIM, EMBED_MODEL, HttpEmbedder, HttpLlm, is_served
 from ..schemas import HybridConfig
+from ..sources.folder_source import can_open
 from ..sources.readers import cache_name, list_folder, read_folder, read_pages, read_texts, repo_cache_root, repo_error, repo_slug
 from ..sources.web import fetch_pages
 from .answering import Llm, MockLlm, answer, conversation_rows
@@ -74,8 +75,9 @@ class Workspace:
         self._source(ident, kind, uri, "ready", now_ms() if synced else None, now_ms())
         return ident, summary
 
-    def _folder(self, root: str) -> tuple[DataFrame, DataFrame]:
-        return read_folder(self.spark, root, under=self.path), list_folder(self.spark, root)
+    def _folder(self, root: str) -> tuple[DataFrame, DataFrame | None]:
+        """What is under root, and what should be there where files that can't be read are missing."""
+        return read_folder(self.spark, root, under=self.path), None if can_open(root) else list_folder(self.spark, root)
 
     def events(self, ident: str) -> DataFrame:
         """What a source's runs told, in order: a document at a time, and how each run ended."""

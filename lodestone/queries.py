@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import display, hashing, text, vectors
-from .operators import bm25, chunking, citations, embedding, fusion, vector_search
+from .operators import bm25, chunking, citations, embedding, fusion, metric_index, segments, vector_search
 from .plans.answering import MockLlm, answer, conversation_rows, thread
 from .plans.ingest import changes, document_id, ingest, tally
 from .plans.retrieval import arms, clamped, retrieve, retrieve_hybrid
@@ -180,6 +180,15 @@ def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
     return vector_search.cosine_search(e, asked, 30, digits=6)
 
 
+@query(ORACLE["cosine_topk"])
+def cosine_balls(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from balls and rings of vectors, most of which no query visits."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    index = metric_index.build_metric_index(e, shared(spark), pivots=64, block_bits=6)
+    asked = e.filter("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "vector")  # the query set
+    return metric_index.metric_search(index, asked, 30, digits=6)
+
+
 # BM25 and fusion
 
 
@@ -211,6 +220,24 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return bm25.bm25_search(bm25.build_index(chunks_of(spark, sf), shared(spark)), benchmark_queries(spark, sf), 10, digits=6)
 
 
+@query(f"{SQL_BM25} SELECT * FROM lexical WHERE rank <= 10")
+def bm25_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from blocks of postings, without scoring all of them."""
+    index = segments.add_segment(segments.SegmentedIndex(spark), shared(spark), chunks_of(spark, sf).select("chunk_id", "text"))
+    return segments.block_search(index, benchmark_queries(spark, sf), 10, digits=6)
+
+
+@query(f"{SQL_BM25} SELECT * FROM lexical WHERE rank <= 10")
+def bm25_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from an index that was built of other texts and has followed their changes: a part removed, a part changed, a part added."""
+    at, now = shared(spark), chunks_of(spark, sf).select("chunk_id", "text")
+    before = chunks_of(spark, sf).join(documents(spark, sf).select(F.col("doc_id").alias("chunk_id"), "lang", "source"), "chunk_id")
+    first = before.filter("source <> 'src3'").select("chunk_id", F.when(F.col("lang") == "de", F.reverse("text")).otherwise(F.col("text")).alias("text"))
+    gone = before.filter("lang = 'fr'").select((F.col("chunk_id") + 10_000_000_000).alias("chunk_id"), "text")
+    index = segments.add_segment(segments.SegmentedIndex(spark), at, first.unionByName(gone))
+    return segments.block_search(segments.refreshed(index, now, at), benchmark_queries(spark, sf), 10, digits=6)
+
+
 def sql_near(digits: int) -> str:
     return f"""wq AS (SELECT item_id AS query_id, unnest({WORDS}) AS w FROM benchmark), wd AS (SELECT doc_id, unnest({WORDS}) AS w FROM documents),
 h AS (SELECT w, ({FNV} % 768)::INT AS bucket FROM (SELECT w FROM wq UNION SELECT w FROM wd)),

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import base_name, content_hash, file_name, html_text, html_title, lossy_utf8
+from .folder_source import IGNORE_FILES, can_open, scan_folder
 from .ignore import Rule, is_excluded, parse_rules
 
 # The extensions that are read, by how they are cut in chunks.
@@ -22,8 +23,6 @@ CODE = (
     "scala", "sh", "bash", "toml", "yaml", "yml", "json", "css", "scss", "html", "sql",
 )
 
-#: Files of ignore rules, the later over the earlier.
-IGNORE_FILES = (".gitignore", ".ignore", ".lodestoneignore")
 
 
 def extension(path: Column) -> Column:
@@ -58,9 +57,14 @@ def names_under(spark: SparkSession, root: str) -> list[tuple[str, int]]:
 
 
 def ignore_rules(spark: SparkSession, root: str, names: list[tuple[str, int]] | None = None) -> list[Rule]:
-    """The rules of all ignore files under root. The driver lists names and reads these files only."""
+    """The rules of all ignore files under root. Only these files come to the driver."""
     fs, at = qualified(spark, root)
     jvm, found = spark.sparkContext._jvm, []
+    if names is None and can_open(root):
+        for row in scan_folder(spark, at.toString(), contents="rules").filter("content is not null").collect():
+            base, _, name = row["relative"].rpartition("/")
+            found.append((IGNORE_FILES.index(name), base.count("/") + bool(base), base, bytes(row["content"]).decode("utf-8", "replace")))
+        names = []
     for path, _ in names_under(spark, root) if names is None else names:
         base, _, name = path.rpartition("/")
         if name in IGNORE_FILES:
@@ -73,15 +77,22 @@ def ignore_rules(spark: SparkSession, root: str, names: list[tuple[str, int]] |
 
 def list_folder(spark: SparkSession, root: str, *, rules: list[Rule] | None = None) -> DataFrame:
     """(path, relative, text_kind, byte_size) of the files that read_folder() reads, in order of their paths."""
-    names = names_under(spark, root)
-    own = ignore_rules(spark, root, names) if rules is None else rules
     top = qualified(spark, root)[1].toString().rstrip("/") + "/"
-    found = spark.createDataFrame(names, "relative string, byte_size bigint").withColumn("text_kind", text_kind(F.col("relative")))
+    if can_open(root):
+        own = ignore_rules(spark, root) if rules is None else rules
+        found = scan_folder(spark, top, contents="none", extensions=EXTENSIONS).select("relative", "byte_size")
+    else:
+        names = names_under(spark, root)
+        own = ignore_rules(spark, root, names) if rules is None else rules
+        found = spark.createDataFrame(names, "relative string, byte_size bigint")
+    found = found.withColumn("text_kind", text_kind(F.col("relative")))
     kept = found.filter("text_kind is not null").filter(~F.col("relative").rlike(r"(^|/)\.") & ~is_excluded(F.col("relative"), own))
     return kept.select(F.concat(F.lit(top), "relative").alias("path"), "relative", "text_kind", "byte_size").orderBy("path")
 
 
-#: Spark's file scans leave out names that begin with an underscore. They are read under another name, from here.
+EXTENSIONS = ",".join((*MARKDOWN, *PLAIN, *CODE))
+
+#: Spark's file scans leave out names that begin with an underscore. Where only they can open a path, such files are read under another name, from here.
 VISIBLE = "visible"
 
 
@@ -117,15 +128,22 @@ def _files(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.substr(_plain(F.col("path")), F.char_length(_plain(F.lit(top))) + 2).alias("relative"), "length", "content")
 
 
-def read_folder(spark: SparkSession, root: str, *, rules: list[Rule] | None = None, under: str | None = None) -> DataFrame:
-    """The readable files under root: hidden and ignored ones are left out, bytes that aren't UTF-8 replaced.
+def read_folder(spark: SparkSession, root: str, *, rules: list[Rule] | None = None, under: str | None = None, most_bytes: int = 1 << 30) -> DataFrame:
+    """The files under root that have text: hidden and ignored ones are left out, bytes that aren't UTF-8 replaced.
 
-    Files that can't be read are missing here; held against list_folder() they count as failed. under: a folder that all
-    executors share, for copies of files whose names begin with an underscore; spark.checkpoint.dir if it is not given.
+    Trees that pyarrow's file systems open are listed and read by the tasks (scan_folder()), and a file that can't be read is
+    a row without a text, as is one of over most_bytes. Others are read by Spark's file scan: files that can't be read are missing then, and count as failed
+    when held against list_folder(). under: a folder that all executors share, for copies of files whose names begin
+    with an underscore, which that scan leaves out; spark.checkpoint.dir if it is not given.
     """
-    found, shared = _files(spark, root), under or spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    if at := _visible(spark, root, shared):
-        found = found.unionByName(_files(spark, at).withColumn("relative", F.regexp_replace("relative", f"(^|/){VISIBLE}", "$1")))
+    if can_open(root):
+        found = scan_folder(spark, qualified(spark, root)[1].toString(), extensions=EXTENSIONS, most_bytes=most_bytes).select("relative", F.col("byte_size").alias("length"), "content")
+    else:
+        found, shared = _files(spark, root), under or spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if at := _visible(spark, root, shared or f"file://{tempfile.gettempdir()}"):
+            found = found.unionByName(_files(spark, at).withColumn("relative", F.regexp_replace("relative", f"(^|/){VISIBLE}", "$1")))
     top = qualified(spark, root)[1].toString().rstrip("/") + "/"
     found = found.withColumn("text_kind", text_kind(F.col("relative"))).filter("text_kind is not null")
     found = found.filter(~F.col("relative").rlike(r"(^|/)\.") & ~is_excluded(F.col("relative"), ignore_rules(spark, root) if rules is None else rules))
