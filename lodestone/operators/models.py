@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.vectors import TINY
+from .services import Caller, Manners
 
 # Where a local server listens, the models that are asked for, the length of its vectors, and its paths.
 BASE_URL = "http://localhost:11434"
@@ -36,20 +37,24 @@ def is_served(base_url: str = BASE_URL, timeout: float = 2) -> bool:
 
 
 class HttpEmbedder:
-    """Vectors of length 1 from a server, one request a text."""
+    """Vectors of length 1 from a server, a request a text, several in flight."""
 
-    def __init__(self, model_id: str, dim: int, base_url: str = BASE_URL, timeout: float = 60) -> None:
-        self.model_id, self.dim, self.base_url, self.timeout = model_id, dim, base_url, timeout
+    def __init__(self, model_id: str, dim: int, base_url: str = BASE_URL, timeout: float = 60, manners: Manners | None = None) -> None:
+        self.model_id, self.dim, self.base_url, self.timeout, self.manners = model_id, dim, base_url, timeout, manners or Manners()
+
+    def _one(self, text: str | None) -> np.ndarray:
+        v = np.array(post(self.base_url + EMBED, {"model": self.model_id, "prompt": text or ""}, self.timeout)["embedding"], np.float64)
+        if len(v) != self.dim:
+            raise ValueError(f"{self.model_id} gave {len(v)} dimensions, not {self.dim}")
+        length = np.linalg.norm(v)
+        return (v / length if length > TINY else v).astype(np.float32)
 
     def embed(self, texts: list[str | None]) -> list[np.ndarray]:
-        out = []
-        for text in texts:
-            v = np.array(post(self.base_url + EMBED, {"model": self.model_id, "prompt": text or ""}, self.timeout)["embedding"], np.float64)
-            if len(v) != self.dim:
-                raise ValueError(f"{self.model_id} gave {len(v)} dimensions, not {self.dim}")
-            length = np.linalg.norm(v)
-            out.append((v / length if length > TINY else v).astype(np.float32))
-        return out
+        found = Caller(self.manners).all(self._one, texts)
+        for _, error in found:
+            if error is not None:
+                raise error
+        return [v for v, _ in found]
 
     def vectors(self, text: Column) -> Column:
         embed = self.embed

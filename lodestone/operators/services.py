@@ -108,7 +108,7 @@ def answers_at(requests: DataFrame, keep: str) -> DataFrame:
 
 
 def asked(requests: DataFrame, call: Callable[[str], str], keep: str, *, manners: Manners | None = None, host: Callable[[str], str] | None = None, blocks: int = 1) -> DataFrame:
-    """requests (request string) to (request, answer, error), a row for each distinct request that is not null.
+    """requests (request string) to (key, request, answer, error), a row for each distinct request that is not null; its key is its SHA-256.
 
     A request that failed has an error and no answer, and is asked again by the next run. blocks: in how many parts, by the
     requests' hashes, answers are committed; what a failed run has committed stays. host: with it, requests to one host come
@@ -121,4 +121,4 @@ def asked(requests: DataFrame, call: Callable[[str], str], keep: str, *, manners
         if host is not None:
             todo = todo.withColumn("host", F.regexp_extract("request", "^[a-z]+://([^/?#]*)", 1)).repartition("host").select("key", "request")
         todo.mapInArrow(functools.partial(_ask, call=call, manners=own, host=host or (lambda request: "")), ANSWERS).write.mode("append").parquet(keep)
-    return keyed.join(answers_at(requests, keep).drop("request"), "key").select("request", "answer", "error")
+    return keyed.join(answers_at(requests, keep).drop("request"), "key").select("key", "request", "answer", "error")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import truncated
+from ..operators import services
 from ..operators.citations import DECLINED, SYSTEM_PROMPT, cited, context_block, prompt, used_flags, without_unknown
 from ..operators.fusion import pack_stopping, rejected
 
@@ -31,7 +33,7 @@ class MockLlm:
         return f"This is a grounded answer [^{self.cite}]." if self.cite else "This is a grounded answer."
 
 
-def answer(questions: DataFrame, hits: DataFrame, llm: Llm | Callable[[str, str], str], keep: str, *, budget: int = 6000, threshold: float = 0.15) -> tuple[DataFrame, DataFrame]:
+def answer(questions: DataFrame, hits: DataFrame, llm: Llm | Callable[[str, str], str], keep: str, *, budget: int = 6000, threshold: float = 0.15, manners: services.Manners | None = None) -> tuple[DataFrame, DataFrame]:
     """questions (query_id, text) with their hits (query_id, rank, chunk_id, path_or_url, text, score) to two frames.
 
     A model may answer otherwise when asked again, so contexts and raw answers are written under `keep`, a new path in
@@ -47,9 +49,11 @@ def answer(questions: DataFrame, hits: DataFrame, llm: Llm | Callable[[str, str]
     packed = spark.read.parquet(f"{keep}/contexts")
     valid = packed.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("valid"))
     asked = questions.join(gate, "query_id").join(context_block(packed), "query_id", "left").join(valid, "query_id", "left")
-    system = SYSTEM_PROMPT
-    said = F.udf(lambda p: None if p is None else generate(system, p), "string").asNondeterministic()  # one call a question: the model is the cost
-    asked.select("query_id", "text", "rejected", "valid", F.when(~F.col("rejected"), said(prompt(F.col("text"), F.col("context")))).alias("raw")).write.parquet(f"{keep}/raw")
+    asked = asked.withColumn("request", F.when(~F.col("rejected"), prompt(F.col("text"), F.col("context"))))
+    # several requests in flight a task, one for each distinct prompt, kept as soon as they are answered
+    said = services.asked(asked.select("request"), functools.partial(generate, SYSTEM_PROMPT), f"{keep}/said", manners=manners)
+    told = said.select("key", F.when(F.col("error").isNull(), F.col("answer")).otherwise(F.raise_error(F.concat(F.lit("the model did not answer: "), "error"))).alias("raw"))
+    asked.withColumn("key", F.sha2("request", 256)).join(told, "key", "left").select("query_id", "text", "rejected", "valid", "raw").write.parquet(f"{keep}/raw")
     raw = spark.read.parquet(f"{keep}/raw")
     answers = raw.select("query_id", "text", F.when(F.col("rejected"), DECLINED).otherwise(F.col("raw")).alias("answer"), F.when(F.col("rejected"), DECLINED).otherwise(without_unknown(F.col("raw"), F.col("valid"))).alias("answer_clean"), "rejected", F.when(F.col("rejected"), F.array().cast("array<string>")).otherwise(cited(F.col("raw"), F.col("valid"))).alias("cited"))
     citations = used_flags(packed.select("query_id", "rank", "chunk_id", "path_or_url", "text", "score"), answers, ["query_id"])

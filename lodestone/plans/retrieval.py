@@ -9,6 +9,7 @@ from ..functions.text import estimate_tokens_by_words
 from ..operators.bm25 import Bm25Index, bm25_search, build_index
 from ..operators.embedding import Embedder
 from ..operators.fusion import drop_near_duplicates, hydrate, pack_skipping, rrf, signed
+from ..operators.segments import SegmentedIndex, block_search
 from ..schemas import HybridConfig
 from .vectors import FrameVectors, VectorStore
 
@@ -32,11 +33,11 @@ def _held(vectors: DataFrame | VectorStore) -> VectorStore:
     return FrameVectors(vectors) if isinstance(vectors, DataFrame) else vectors
 
 
-def hybrid_candidates(queries: DataFrame, vectors: DataFrame | VectorStore, index: Bm25Index, embedder: Embedder, config: HybridConfig, *, digits: int | None = None) -> DataFrame:
+def hybrid_candidates(queries: DataFrame, vectors: DataFrame | VectorStore, index: Bm25Index | SegmentedIndex, embedder: Embedder, config: HybridConfig, *, digits: int | None = None) -> DataFrame:
     """Both arms fused: query_id, chunk_id, rrf, rank, and each arm's own score, null where the arm did not return the chunk."""
     asked = queries.select("query_id", embedder.vectors(F.col("text")).alias("vector"))
     near = _held(vectors).search(asked, config.per_arm_k, digits=digits)
-    lexical = bm25_search(index, queries, config.per_arm_k, digits=digits)
+    lexical = (block_search if isinstance(index, SegmentedIndex) else bm25_search)(index, queries, config.per_arm_k, digits=digits)
     return rrf(arms(near, lexical), config.rrf_k, carry=("cosine", "bm25"), digits=digits)
 
 
@@ -46,7 +47,7 @@ def arms(near: DataFrame, lexical: DataFrame) -> DataFrame:
     return near.select("query_id", "chunk_id", "rank", F.col("score").alias("cosine"), none.alias("bm25")).unionByName(lexical.select("query_id", "chunk_id", "rank", none.alias("cosine"), F.col("score").alias("bm25")))
 
 
-def retrieve_hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | VectorStore, embedder: Embedder, config: HybridConfig | None = None, *, index: Bm25Index | None = None, digits: int | None = None) -> DataFrame:
+def retrieve_hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | VectorStore, embedder: Embedder, config: HybridConfig | None = None, *, index: Bm25Index | SegmentedIndex | None = None, digits: int | None = None) -> DataFrame:
     """Fused, without near duplicates, packed to the budget, and hydrated.
 
     Each chunk that is anyone's candidate is signed and priced once, on the chunks' side; lists carry ids, and texts are joined to what is left.

@@ -1,7 +1,7 @@
 """A workspace's tables as Parquet files that are only ever added.
 
 A commit writes rows and deleted keys under a number of its own and becomes visible, in all its tables at once, by
-one small manifest file, which is created only if no other commit took that number. A manifest can say which parts it
+one small manifest file, which is there whole or not at all, and only if no other commit took that number. A manifest can say which parts it
 replaces (compact), and every STATE_EVERY-th carries the whole state, so that reading begins there. Reading a table takes each
 key's newest row, unless it was deleted later: the first part stands as it is if its keys are unique, but for keys that
 later parts have, so that only what came later is sorted by key.
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import json
+import threading
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -37,6 +38,10 @@ STATE_EVERY = 50
 MIGRATIONS: dict[int, Callable[[Store], None]] = {}
 
 
+#: Local file systems look for the target and rename in two steps.
+PUBLISHING = threading.Lock()
+
+
 class Conflict(RuntimeError):
     """Another commit took the number first, or changed what this one was computed from."""
 
@@ -56,10 +61,12 @@ class Store:
     def _at(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
-    def _numbers(self) -> list[int]:
+    def _numbers(self, *, whole: bool = True) -> list[int]:
+        """The commits' numbers; with whole=False those too that an empty manifest has taken."""
         if not self._fs.exists(self._at("commits")):
             return []
-        return sorted(int(f.getPath().getName().removesuffix(".json")) for f in self._fs.listStatus(self._at("commits")) if f.getPath().getName().endswith(".json"))
+        found = [(f.getPath().getName(), f.getLen()) for f in self._fs.listStatus(self._at("commits"))]
+        return sorted(int(name.removesuffix(".json")) for name, size in found if name.endswith(".json") and not name.startswith(".") and (size or not whole))
 
     def _manifest(self, number: int) -> dict:
         stream = self._fs.open(self._at(f"commits/{number:012d}.json"))
@@ -87,7 +94,7 @@ class Store:
         return now
 
     def version(self) -> int:
-        return (self._numbers() or [0])[-1]
+        return (self._numbers(whole=False) or [0])[-1]
 
     def commit(self, rows: dict[str, DataFrame] | None = None, deleted: dict[str, DataFrame] | None = None, *, unique: bool = False, base: int | None = None, reads: tuple[str, ...] = ()) -> int:
         """Adds rows, and deletes keys, of any tables together. Rows win over deletions of one commit.
@@ -123,14 +130,25 @@ class Store:
                     raise Conflict(f"commit {other['number']} changed {', '.join(sorted(touched))}")
         if number % STATE_EVERY == 0:
             entry["state"] = after(self.state(), entry)
-        target = self._at(f"commits/{number:012d}.json")
+        self._publish(number, json.dumps(entry))
+        return number
+
+    def _publish(self, number: int, text: str) -> None:
+        """A manifest is there whole or not at all: written under a hidden name, then renamed, which fails where the number is taken."""
+        hidden, target = self._at(f"commits/.{number:012d}-{uuid.uuid4().hex}"), self._at(f"commits/{number:012d}.json")
+        stream = self._fs.create(hidden, False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        kinds = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = self.spark.sparkContext._gateway.new_array(kinds, 1)
+        options[0] = kinds.NONE
+        files = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         try:
-            stream = self._fs.create(target, False)
+            with PUBLISHING:
+                files.rename(hidden, target, options)
         except Exception as e:
+            self._fs.delete(hidden, False)
             raise Conflict(str(e)) from e
-        stream.write(bytearray(json.dumps(entry).encode()))
-        stream.close()
-        return number
 
     def read(self, table: str) -> DataFrame:
         return self._read(table, self.state()).drop("_commit")
@@ -164,9 +182,16 @@ class Store:
         names = list(columns) or KEYS[table]
         return self.read(table).join(wanted.select(names).distinct(), names, "left_semi")
 
-    def upsert(self, table: str, rows: DataFrame) -> int:
-        """Rows that replace those of their keys. Of rows that repeat a key any one counts."""
-        return self.commit({table: rows.dropDuplicates(KEYS[table])}, unique=True)
+    def upsert(self, table: str, rows: DataFrame, order: str | None = None) -> int:
+        """Rows that replace those of their keys. Of rows that repeat a key the one with the largest `order` counts; without an order, rows that repeat a key and differ are an error."""
+        own = F.struct(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in table_schema(table)))
+        whole = rows.select(own.alias("r"), (F.lit(0) if order is None else F.col(order)).alias("o"))
+        best = whole.groupBy(*(F.col(f"r.{k}").alias(k) for k in KEYS[table])).agg(F.max(F.struct("o", "r")).alias("most"), F.min("r").alias("least"))
+        if order is None:
+            name = F.concat_ws(", ", *(F.col(k).cast("string") for k in KEYS[table]))
+            differ = F.raise_error(F.concat(F.lit(f"{table}: rows that differ repeat the key "), name))
+            best = best.withColumn("most", F.when(F.col("most.r").eqNullSafe(F.col("least")), F.col("most")).otherwise(differ))
+        return self.commit({table: best.select("most.r.*")}, unique=True)
 
     def below(self, table: str, keys: DataFrame) -> dict[str, DataFrame]:
         """The keys, and those of all rows in other tables that go with them. Citations of a chunk stay, as a record of what was said."""

@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import __version__
-from ..operators.bm25 import Bm25Index, build_index, is_kept, read_index
 from ..operators.embedding import Embedder, HashEmbedder
 from ..operators.fusion import hydrate
 from ..operators.models import BASE_URL, CHAT_MODEL, DIM, EMBED_MODEL, HttpEmbedder, HttpLlm, is_served
+from ..operators.segments import SegmentedIndex, refreshed
 from ..schemas import HybridConfig
 from ..sources.folder_source import can_open
 from ..sources.readers import cache_name, list_folder, read_folder, read_pages, read_texts, repo_cache_root, repo_error, repo_slug
@@ -29,6 +29,8 @@ from .store import Store
 from .vectors import StoreVectors, VectorStore
 
 ASK_HITS = 12
+#: Where the store's settings name the index's segments and the state of the chunks that they stand for.
+INDEX_KEY = "bm25_index"
 
 
 def now_ms() -> int:
@@ -134,17 +136,25 @@ class Workspace:
         own = self.store.read("document").select(F.col("id").alias("document_id"), "path_or_url", "title")
         return self.store.read("chunk").withColumnRenamed("id", "chunk_id").join(own, "document_id")
 
-    def index(self) -> Bm25Index:
-        """The index of the chunks as they are now. It is kept beside them, and built again only once they have changed."""
+    def index(self) -> SegmentedIndex:
+        """The index of the chunks as they are now. It is kept beside them; once they have changed, it takes a segment more, of what changed."""
         parts = self.store.state()["tables"].get("chunk", {"rows": [], "deleted": []})
-        at = f"{self.path}/index/{hashlib.sha256(json.dumps(parts).encode()).hexdigest()}"
-        return read_index(self.spark, at) if is_kept(self.spark, at) else build_index(self.chunks(), at)
+        state = hashlib.sha256(json.dumps(parts).encode()).hexdigest()
+        row = self.store.find("app_setting", self.spark.createDataFrame([(INDEX_KEY,)], "key string")).first()
+        known = json.loads(row["value"]) if row else {"state": None, "segments": []}
+        index = SegmentedIndex.open(self.spark, [f"{self.path}/index/{name}" for name in known["segments"]])
+        if known["state"] == state:
+            return index
+        index = refreshed(index, self.chunks().select("chunk_id", "text"), f"{self.path}/index")
+        value = json.dumps({"state": state, "segments": [p.rpartition("/")[2] for p in index.paths()]})
+        self.store.upsert("app_setting", self.spark.createDataFrame([(INDEX_KEY, value)], "key string, value string"))
+        return index
 
     def search(self, queries: DataFrame, k: int = ASK_HITS) -> DataFrame:
         asked = queries.select("query_id", self.embedder.vectors(F.col("text")).alias("vector"))
         return hydrate(self.vectors.search(asked, clamped(k)), self.chunks())
 
-    def search_hybrid(self, queries: DataFrame, config: HybridConfig | None = None, index: Bm25Index | None = None) -> DataFrame:
+    def search_hybrid(self, queries: DataFrame, config: HybridConfig | None = None, index: SegmentedIndex | None = None) -> DataFrame:
         return retrieve_hybrid(queries, self.chunks(), self.vectors, self.embedder, config, index=index or self.index())
 
     def ask(self, questions: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -145,6 +145,34 @@ def test_store(spark, tmp_path):
         store.upsert("source", source_row(spark, "z"))
 
 
+def test_upsert_takes_the_newest_of_a_batch(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    rows = spark.createDataFrame([("a", "old", 1), ("a", "new", 3), ("a", "mid", 2), ("b", "one", 1)], "key string, value string, at int").repartition(4)
+    store.upsert("app_setting", rows, order="at")
+    assert {r.key: r.value for r in store.read("app_setting").collect()} == {"a": "new", "b": "one"}
+    store.upsert("app_setting", rows.filter("key = 'b'").union(rows.filter("key = 'b'")))  # equal rows are one
+    with pytest.raises(Exception, match="rows that differ repeat the key a"):
+        store.upsert("app_setting", rows)
+    assert {r.key: r.value for r in store.read("app_setting").collect()} == {"a": "new", "b": "one"}
+
+
+def test_a_crash_while_a_manifest_is_written(spark, tmp_path):
+    """Neither an empty manifest, as older versions could leave it, nor a hidden one that was never renamed keeps a store from opening."""
+    store = Store(spark, f"file://{tmp_path}/s")
+    store.upsert("source", source_row(spark, "a"))
+    commits = tmp_path / "s" / "commits"
+    (commits / "000000000002.json").write_text("")
+    (commits / ".000000000003-x").write_text('{"numb')
+    again = Store(spark, store.path)
+    assert [r.id for r in again.read("source").collect()] == ["a"] and again.version() == 2
+    assert again.upsert("source", source_row(spark, "b")) == 3
+    assert sorted(r.id for r in store.read("source").collect()) == ["a", "b"]
+    again.version = lambda: 2
+    with pytest.raises(Conflict):
+        again.upsert("source", source_row(spark, "c"))  # the number is taken, and nothing of the attempt is left
+    assert sorted(p.name for p in commits.iterdir() if not p.name.endswith(".crc")) == [".000000000003-x", "000000000001.json", "000000000002.json", "000000000003.json"]
+
+
 def test_store_compacts(spark, tmp_path, monkeypatch):
     store = Store(spark, f"file://{tmp_path}/s")
     for k in range(6):
