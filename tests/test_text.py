@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,16 +28,23 @@ def test_tokenize(spark, given, want):
     assert one(spark, text.tokenize(F.col("t")), t=given) == want
 
 
-@pytest.mark.parametrize(("given", "dense", "words"), [("", 0, 0), ("     ", 0, 0), ("ab cd ef gh", 2, 6), ("x", 1, 2)])
-def test_token_estimates(spark, given, dense, words):
-    assert one(spark, text.estimate_tokens(F.col("t")), t=given) == dense
-    assert one(spark, text.estimate_tokens_by_words(F.col("t")), t=given) == words
+def test_token_estimates(spark):
+    """Against the definitions, over random texts of words and white space."""
+    rng = random.Random(3)
+    texts = ["", "\n\t "] + ["".join(rng.choice(["mast", "é", "keel ", " ", "\n", "　", "12"]) for _ in range(rng.randint(1, 30))) for _ in range(60)]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in frame.select("t", text.estimate_tokens(F.col("t")).alias("dense"), text.estimate_tokens_by_words(F.col("t")).alias("words")).collect():
+        solid = len("".join(r.t.split()))
+        assert r.dense == (max(1, solid // 4) if solid else 0)
+        assert r.words == math.ceil(len(r.t.split()) * 13 / 10)
 
 
-@pytest.mark.parametrize(("line", "level", "title"), [("# Title", 1, "Title"), ("### Deep", 3, "Deep"), ("####### no", None, None), ("#nospace", None, None), ("plain", None, None)])
-def test_headings(spark, line, level, title):
-    assert one(spark, text.heading_level(F.col("t")), t=line) == level
-    assert one(spark, text.heading_title(F.col("t")), t=line) == title
+def test_headings(spark):
+    """A mark of one to six signs and a space; anything else is a line like others."""
+    lines = [(f"{lead}{'#' * n}{gap}{name}", n if 1 <= n <= 6 and gap else None, name) for lead in ("", "  ") for n in range(9) for gap in ("", " ") for name in ("Rigging", "Sails # and spars")]
+    frame = spark.createDataFrame([(line,) for line, _, _ in lines], "t string").coalesce(1)
+    got = frame.select(text.heading_level(F.col("t")).alias("level"), text.heading_title(F.col("t")).alias("title")).collect()
+    assert [(r.level, r.title) for r in got] == [(level, name if level else None) for _, level, name in lines]
 
 
 def test_segments(spark):
@@ -51,13 +61,20 @@ def test_truncated_and_names(spark):
     assert one(spark, text.lossy_utf8(F.col("t")), t=bytearray(b"a\xffb")) == "a�b"
 
 
-PAGE = "<html><HEAD><title>  Hello   World  </title><style>x{}</style></HEAD><!-- no --><body><h1>Big</h1><script>bad()</script><p>First paragraph of real content.</p></body>"
+#: Parts of a page with what a reader sees of each.
+SEEN = [("<p>Knots</p>", "Knots"), ("<!-- bilge -->", ""), ("<script>let a = '<b>';</script>", ""), ("<STYLE>b {}</STYLE>", ""), ("<ul><li>reef<li>bowline</ul>", "reef bowline"), ("two\n\n  lines", "two lines"), ("<br/>", ""), ("<i title='x'>hitch</i>", "hitch"), ("<script src=u></script >", "")]
 
 
 def test_html(spark):
-    assert one(spark, text.html_title(F.col("t")), t=PAGE) == "Hello World"
-    assert one(spark, text.html_title(F.col("t")), t="<p>x</p>") is None
-    assert one(spark, text.html_text(F.col("t")), t=PAGE) == "Big First paragraph of real content."
+    rng, pages = random.Random(5), []
+    for _ in range(40):
+        parts = [SEEN[k] for k in rng.choices(range(len(SEEN) - 1), k=rng.randint(0, 6))]
+        pages.append((" ".join(h for h, _ in parts), " ".join(" ".join(t for _, t in parts).split())))
+    framed = [(f"<html><head><title> Ropes\n and {k} </title></head><body>{h}</body></html>", t) for k, (h, t) in enumerate(pages)]
+    frame = spark.createDataFrame([(h,) for h, _ in framed], "t string").coalesce(1)
+    got = frame.select(text.html_title(F.col("t")).alias("title"), text.html_text(F.col("t")).alias("seen")).collect()
+    assert [(r.title, r.seen) for r in got] == [(f"Ropes and {k}", t) for k, (_, t) in enumerate(framed)]
+    assert one(spark, text.html_title(F.col("t")), t="<b>no title</b>") is None
 
 
 @pytest.mark.parametrize(("html", "want"), [("a<!-->b", "ab"), ("a > b", "a b"), ("x<script>never closed", "x"), ("x<p", "x"), ("x<!-- open", "x"), ("a&amp;b", "a&amp;b")])
@@ -90,8 +107,10 @@ def test_text_kind(spark, path, kind):
 
 
 def test_display(spark):
-    assert [tuple(s) for s in one(spark, display.segments(F.col("t"), F.lit(6), F.lit(11)), t="hello world foo")] == [("hello ", False), ("world", True), (" foo", False)]
-    assert [tuple(s) for s in one(spark, display.segments(F.col("t"), F.lit(0), F.lit(999)), t="abc")] == [("abc", True)]
+    said = "ebb and flood"
+    for begin, end in ((0, 3), (4, 7), (8, 13), (5, 99), (0, 50)):
+        parts = [(said[:begin], False), (said[begin:end], True), (said[end:], False)]
+        assert [tuple(s) for s in one(spark, display.segments(F.col("t"), F.lit(begin), F.lit(end)), t=said)] == [p for p in parts if p[0]]
     assert [s["highlighted"] for s in one(spark, display.highlighted_lines(F.col("t"), F.lit(3), F.lit(2)), t="a\nb\nc\nd")] == [False, True, True, False]
     assert one(spark, display.clock(F.lit(125.9))) == "2:05"
     assert one(spark, display.label_for(F.lit("pdf"))) == "PDF" and one(spark, display.label_for(F.lit("zip"))) == "zip"
