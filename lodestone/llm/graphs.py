@@ -12,19 +12,29 @@ from pyspark.sql import functions as F
 from .common import discard, stored
 
 
+#: How often a label jumps to the label of its label in a round.
+JUMPS = 3
+
+
 def components(links: DataFrame) -> DataFrame:
     """links (a long, b long) to (node, component): the smallest node that each node reaches.
 
-    Smallest labels spread along links and jump from label to label, so the rounds grow with the logarithm of the
-    longest path. Every round aggregates before it shuffles and writes its labels to the shared folder.
+    In a round each node takes the smallest label around it, and so does the node that its label names, so that whole trees
+    hook on to others; then labels jump to the labels of their labels. Rounds grow with the logarithm of the longest path (8 for
+    1, 1000, 999, ..., 2). Every round aggregates before it shuffles and writes its labels to the shared folder once.
     """
     both = stored(links.filter("a <> b").select("a", "b").union(links.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = stored(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("component")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
-        hooked = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("component").alias("was"), F.least("component", "c").alias("c"))
-        jump = labels.select(F.col("node").alias("c"), F.col("component").alias("further"))
-        before, labels = labels, stored(hooked.join(jump, "c").select("node", "was", F.least("c", "further").alias("component")), "labels")
+        told = labels.join(near, F.col("node") == F.col("a"))
+        own = F.struct("node", F.least("component", "c").alias("c"), F.col("component").alias("was"))
+        root = F.struct(F.col("component").alias("node"), F.col("c"), F.lit(None).cast("long").alias("was"))
+        # one stream of what nodes hear and what roots hear; a root's many messages are reduced before they are shuffled
+        now = told.select(F.explode(F.array(own, root)).alias("m")).select("m.*").groupBy("node").agg(F.min("c").alias("c"), F.max("was").alias("was"))
+        for _ in range(JUMPS):
+            now = now.join(labels.select(F.col("node").alias("c"), F.col("component").alias("further")), "c").select("node", "was", F.least("c", "further").alias("c"))
+        before, labels = labels, stored(now.select("node", "was", F.col("c").alias("component")), "labels")
         discard(before)
         if labels.filter("component <> was").isEmpty():
             discard(both)

@@ -157,3 +157,14 @@ def test_components(spark):
 
 def test_shared_dir_is_the_sessions(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+@pytest.mark.parametrize("path", [[1, *range(1000, 1, -1)], list(range(1, 1001))], ids=["down", "up"])
+def test_components_of_a_long_path_take_few_rounds(spark, monkeypatch, path):
+    from lodestone.llm import graphs
+
+    written, stored = [], graphs.stored
+    monkeypatch.setattr(graphs, "stored", lambda df, name: (written.append(name), stored(df, name))[1])
+    got = components(spark.createDataFrame(list(zip(path, path[1:], strict=False)), "a long, b long")).collect()
+    assert {r.node for r in got} == set(path) and {r.component for r in got} == {1}
+    assert written.count("labels") - 1 <= 8
