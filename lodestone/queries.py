@@ -15,7 +15,7 @@ from .plans.answering import MockLlm, answer, conversation_rows, thread
 from .plans.ingest import changes, document_id, ingest, tally
 from .plans.retrieval import arms, clamped, retrieve, retrieve_hybrid
 from .plans.store import Store
-from .plans.vectors import StoreVectors
+from .plans.vectors import InvertedFileVectors, StoreVectors
 from .schemas import LOCATOR, HybridConfig, violations
 from .sources import ignore, readers
 from .streaming import reingest
@@ -189,6 +189,19 @@ def cosine_balls(spark: SparkSession, sf: str) -> DataFrame:
     return metric_index.metric_search(index, asked, 30, digits=6)
 
 
+@query(ORACLE["cosine_topk"].replace("rank <= 30", "rank <= 10"))
+def inverted_file_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Codes of all lists, the best hundred re-ranked by the vectors, after some vectors were replaced and one document was deleted."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("document_id"), F.col("embedding").alias("vector"))
+    held = InvertedFileVectors(spark, shared(spark), probes=256)
+    gone = e.select((F.col("chunk_id") + 10_000_000_000).alias("chunk_id"), F.lit(-1).alias("document_id"), "vector")
+    held.upsert(e.withColumn("vector", F.when(F.col("document_id") == 1, F.reverse("vector")).otherwise(F.col("vector"))).unionByName(gone))
+    held.upsert(e.filter("document_id = 1"))
+    held.delete_document(spark.createDataFrame([(-1,)], "document_id int"))
+    asked = e.filter("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "vector")  # the query set
+    return held.search(asked, 10, digits=6)
+
+
 # BM25 and fusion
 
 
@@ -265,6 +278,15 @@ def retrieve_vector(spark: SparkSession, sf: str) -> DataFrame:
     return retrieve(benchmark_queries(spark, sf), chunks, stored, e, 12, digits=5).select("query_id", "chunk_id", "score", "rank")
 
 
+@query(f"WITH {sql_near(5)} SELECT query_id, rank, round(score, 2) + 0.0 AS score FROM near WHERE rank <= 12")
+def retrieve_shipped(spark: SparkSession, sf: str) -> DataFrame:
+    """The embedder as it is shipped, in single precision: scores by rank, to two digits, as which of two nearly equal chunks comes first is its own affair."""
+    chunks, e = chunks_of(spark, sf), embedding.HashEmbedder()
+    stored = chunks.select("chunk_id", e.vectors(F.col("text")).alias("vector"))
+    found = retrieve(benchmark_queries(spark, sf), chunks, stored, e, 12)
+    return found.select("query_id", "rank", (F.round(F.round("score", 5), 2) + 0.0).alias("score"))
+
+
 def sql_fused(near: int, rrf: int) -> str:
     return f"""{SQL_BM25}, {sql_near(near)},
 fused AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), {rrf}) AS rrf, max(cosine) AS cosine, max(bm25) AS bm25 FROM (
