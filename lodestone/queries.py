@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import display, hashing, text, vectors
-from .operators import bm25, chunking, citations, embedding, fusion, metric_index, segments, vector_search
+from .operators import bm25, chunking, citations, embedding, fusion, metric_index, near_lists, segments, vector_search
 from .plans.answering import MockLlm, answer, conversation_rows, thread
 from .plans.ingest import changes, document_id, ingest, tally
 from .plans.retrieval import arms, clamped, retrieve, retrieve_hybrid
@@ -376,6 +376,18 @@ def greedy_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return fusion.drop_near_duplicates(found, 0.85).select("query_id", "rank", "chunk_id")
 
 
+_LONG = f"{WITH_TOKENS}, ranked AS (SELECT 0 AS query_id, doc_id AS chunk_id, (row_number() OVER (ORDER BY doc_id))::INT AS rank FROM documents)"
+
+
+@query(f"{sql_deduped(_LONG)} SELECT query_id, chunk_id FROM ranked JOIN kept USING (query_id) WHERE list_contains(taken, rank)")
+def long_list_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents as the candidates of one query, in order of their ids."""
+    own = documents(spark, sf).select(F.lit(0).alias("query_id"), F.col("doc_id").alias("rank"), F.col("doc_id").alias("chunk_id"), hashing.minhash(text.tokenize(F.col("text"))).alias("signature"))
+    own.write.parquet(at := shared(spark))  # signing is dear, and every round looks at signatures
+    signed = spark.read.parquet(at)
+    return near_lists.keep_first(signed, 0.85, shared(spark)).select("query_id", "chunk_id")
+
+
 WORD_COST = r"ceil(len(list_filter(regexp_split_to_array(text, '[\s\x0b\x85\p{Z}]+'), lambda w: w <> '')) * 1.3)::BIGINT"
 
 
