@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -10,22 +12,26 @@ from ..operators.embedding import Embedder
 from ..plans.ingest import ingest
 from ..plans.store import Store
 from ..sources.readers import read_texts
+from .progress import Progress
 
 
 def stream_texts(spark: SparkSession, path: str, schema: str, *, files_per_batch: int = 1000) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def ingest_stream(docs: DataFrame, store: Store, source_id: str, embedder: Embedder, checkpoint: str, *, once: bool = True) -> StreamingQuery:
-    """Every batch of a stream (path, text) goes through the same change detection as a batch ingest.
+def ingest_stream(docs: DataFrame, store: Store, source_id: str, embedder: Embedder, checkpoint: str, *, once: bool = True, on_progress: Callable[[dict], None] | None = None) -> StreamingQuery:
+    """Every batch of a stream (path, text) goes through the same change detection as a batch ingest. on_progress hears of each batch while the stream runs: the figures of its ingest once they are committed, then what Progress tells.
 
     A batch that is run again after a failure changes nothing: its documents are known by then with the same hashes.
     """
     def each(batch: DataFrame, number: int) -> None:
-        ingest(store, source_id, read_texts(batch), embedder)
+        summary = ingest(store, source_id, read_texts(batch), embedder)
+        if on_progress is not None:
+            on_progress({"batch": number} | vars(summary))
 
     writer = docs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    start = (writer.trigger(availableNow=True) if once else writer).start
+    return start() if on_progress is None else Progress(docs.sparkSession, on_progress).follow(start)
 
 
 def progress(documents: DataFrame, source: str, order: list[str]) -> DataFrame:
