@@ -18,7 +18,7 @@ from .plans.store import Store
 from .plans.vectors import InvertedFileVectors, StoreVectors
 from .schemas import LOCATOR, HybridConfig, violations
 from .sources import ignore, readers
-from .streaming import reingest
+from .streaming import reingest, versions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -713,6 +713,17 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return store.read("document").select("path_or_url", "content_hash", "byte_size")
 
 
+@query("SELECT doc_id::VARCHAR AS path_or_url, 1::BIGINT AS version, sha256(text) AS content_hash, strlen(text)::BIGINT AS byte_size FROM documents WHERE text IS NOT NULL")
+def stream_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """The same documents by a stream whose state knows them; it is started twice from one checkpoint."""
+    at, schema = shared(spark), "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    stream = reingest.stream_texts(spark, f"{sf}/documents.parquet*", schema)
+    docs = stream.select(F.lit("documents").alias("source_id"), F.col("doc_id").cast("string").alias("path"), "text", F.col("_metadata.file_modification_time").alias("modified"))
+    for _ in range(2):
+        versions.write_versions(docs, f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return versions.latest(spark, f"{at}/out").select(F.col("path").alias("path_or_url"), "version", "content_hash", F.octet_length("text").cast("long").alias("byte_size"))
+
+
 @query(f"SELECT sha256('documents' || chr(1) || doc_id) AS document_id, count(*) AS n_chunks, count(*) AS n_vectors, count(*) AS n_models, 64 AS dim FROM ({SQL_CHUNKS}) GROUP BY doc_id")
 def ingest_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Every chunk has its vector and its model."""
