@@ -2,8 +2,8 @@
 
     python jobs/feed_chunks.py --input hdfs:///feed/documents --output hdfs:///corpus --checkpoint hdfs:///corpus-checkpoint
 
-The input is a folder of Parquet files, or a pattern of folders and files (id, text, and a column to partition by, such as the source). A run takes the files
-that no earlier run took (a file stream with a checkpoint) and ends when they are done. Documents whose text is the one
+The input is a folder of Parquet files, or a pattern of folders and files (id, text, and a column to partition by, such as
+the source). A run takes the files that no earlier run took (a file stream with a checkpoint) and ends when they are done. Documents whose text is the one
 already known are passed over; new and changed ones are cut into windows of tokens and written:
 
     output/chunks/batch=N/part=SOURCE/...    chunks of the documents that batch N brought, or changed
@@ -16,14 +16,14 @@ with earlier batches only, so it writes the same rows again. A run without new f
 
 Defined results: of several texts of one id in a batch the one in the newest file counts, then the largest hash; rows
 without an id or without a text are counted in the log and leave what is known as it is; an empty text takes the
-document's chunks away; a null partition value stays null.
+document's chunks away; a null partition value stays null, an empty one reads back as null; a document that comes with the
+same text from another source stays where it is. An output that another checkpoint has taken further is an error.
 """
 
 from __future__ import annotations
 
 import logging
 import sys
-import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -41,7 +41,7 @@ from lodestone.schemas import ChunkConfig  # noqa: E402
 
 log = logging.getLogger("feed_chunks")
 
-
+#: What is written, partition columns last.
 DOCUMENTS = "id string, content_hash string, status string, n_chunks bigint, batch int"
 CHUNKS = "id string, ordinal int, char_start bigint, char_end bigint, token_count int, structural_path string, text string, batch int, part string"
 
@@ -66,7 +66,10 @@ def take(batch: DataFrame, number: int, output: str, config: dict) -> dict[str,
     """Writes what a batch (id, text, part, modified) brings, and gives its figures."""
     spark, hashed = batch.sparkSession, batch.withColumn("content_hash", content_hash(F.col("text")))
     whole = F.col("id").isNotNull() & F.col("text").isNotNull()
-    before = newest(parts(spark, f"{output}/documents", DOCUMENTS).filter(F.col("batch") < number))
+    known = parts(spark, f"{output}/documents", DOCUMENTS)
+    if (last := known.agg(F.max("batch")).first()[0]) is not None and last > number:
+        raise ValueError(f"{output} has batch {last}, and the checkpoint is at batch {number}: it belongs to another output")
+    before = newest(known.filter(F.col("batch") < number))
 
     def found(rows: DataFrame) -> DataFrame:
         """New and changed documents. Ids and hashes alone are compared; texts move once it is known which."""

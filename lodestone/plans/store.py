@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schemas import KEYS, SCHEMA_VERSION, TABLES, table_schema, violations
+from ..schemas import KEYS, SCHEMA_VERSION, table_schema, violations
 
 #: Tables that a row of a table takes with it when it goes: (child, its column, the parent's key).
 CHILDREN = {

@@ -98,6 +98,15 @@ def test_a_batch_run_again_changes_nothing(spark, tmp_path):
     assert whole == (seen(spark, out), sorted(map(tuple, feed_chunks.parts(spark, f"{out}/documents", feed_chunks.DOCUMENTS).collect())))
 
 
+def test_an_output_of_another_checkpoint(spark, tmp_path):
+    for k in range(2):
+        add(spark, tmp_path / "in", [(k, f"Text {k}.", "a")], 100 + k)
+        ran(spark, tmp_path)
+    with pytest.raises(Exception, match="belongs to another output"):
+        feed_chunks.run(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "new checkpoint"))
+    assert len(seen(spark, str(tmp_path / "out"))) == 2
+
+
 def test_many_files_in_several_batches(spark, tmp_path):
     for k in range(5):
         add(spark, tmp_path / "in", [(k, f"Text {k}.", "a"), (100, f"Version {k}.", "b")], 100 + k)
