@@ -56,7 +56,7 @@ def unit_rows(rows: np.ndarray) -> np.ndarray:
 def as_lists(matrix: np.ndarray) -> pa.Array:
     """A matrix's rows as a column of single-precision vectors."""
     n, width = matrix.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(matrix.astype(np.float32).ravel(), pa.float32()))
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(matrix.astype(np.float32, copy=False).ravel(), pa.float32()))
 
 
 def _encode(column: pa.Array) -> pa.Array:

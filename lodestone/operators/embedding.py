@@ -10,6 +10,7 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.batches import slices
 from ..functions.hashing import fnv1a_all
 from ..functions.vectors import TINY, as_lists
 
@@ -44,10 +45,12 @@ class HashEmbedder:
         return np.where(length > TINY, counts / np.maximum(length, TINY), counts).astype(np.float32)
 
     def vectors(self, text: Column) -> Column:
-        embed = self.embed
+        embed, dim = self.embed, self.dim
 
         def run(texts: pa.Array) -> pa.Array:
-            parts = [as_lists(embed(texts.slice(at, 512).to_pylist())) for at in range(0, len(texts), 512)]
-            return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float32()))
+            out = np.empty((len(texts), dim), np.float32)
+            for begin, end in slices(texts):
+                out[begin:end] = embed(texts.slice(begin, end - begin).to_pylist())
+            return as_lists(out)
 
         return F.arrow_udf(run, "array<float>")(text)

@@ -19,6 +19,8 @@ from ..functions.vectors import rows_of, unit_rows
 from .bm25 import top_k
 
 BLOCK_BYTES = 64 << 20
+#: Of a batch, so many bytes of doubles meet so many queries at once.
+SLICE_BYTES, QUERIES = 4 << 20, 256
 
 
 def _merged(scores: np.ndarray, names: np.ndarray, more: np.ndarray, new: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,15 +43,16 @@ def _best(batches: Iterable[pa.RecordBatch], queries: Broadcast, k: int, digits:
     held = kind = None
     for batch in batches:
         kind = batch.schema.field(0).type
-        for at in range(0, batch.num_rows, 4096):
-            part = batch.slice(at, 4096)
+        step = max(1, min(4096, SLICE_BYTES // (8 * max(1, wanted.shape[1]))))
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
             rows, own = rows_of(part.column(1))
             rows = unit_rows(rows)
             width = min(wanted.shape[1], rows.shape[1])
             new = part.column(0).to_numpy(zero_copy_only=False)
-            for q in range(0, len(wanted), 1024):
-                scores = wanted[q : q + 1024, :width] @ rows[:, :width].T
-                scores[dims[q : q + 1024, None] != own[None, :]] = 0.0
+            for q in range(0, len(wanted), QUERIES):
+                scores = wanted[q : q + QUERIES, :width] @ rows[:, :width].T
+                scores[dims[q : q + QUERIES, None] != own[None, :]] = 0.0
                 if digits is not None:
                     scores = np.round(scores, digits) + 0.0
                 if held is None:
