@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .batches import slices
+
 # FNV-1a's offset and prime; the golden-ratio constant; the seed and multipliers of SplitMix64.
 FNV_OFFSET = 0xCBF29CE484222325
 FNV_PRIME = 0x100000001B3
@@ -75,18 +77,16 @@ def signatures(texts: list[list[str]]) -> np.ndarray:
     base, salt = fnv1a_all([p.encode() for p in number]), salts()
     out = np.full((len(texts), HASHES), 2**64 - 1, np.uint64)
     for k, own in enumerate(rows):
-        if len(own):
-            out[k] = ((base[own][:, None] ^ salt) * np.uint64(GOLDEN)).min(axis=0)
+        for at in range(0, len(own), 4096):
+            np.minimum(out[k], ((base[own[at : at + 4096], None] ^ salt) * np.uint64(GOLDEN)).min(axis=0), out=out[k])
     return out
 
 
 def _signatures(column: pa.Array) -> pa.Array:
-    out = []
-    for at in range(0, len(column), 256):
-        texts = column.slice(at, 256).to_pylist()
-        found = signatures([t or [] for t in texts]).view(np.int64)
-        out += [None if t is None else row for t, row in zip(texts, found, strict=True)]
-    return pa.array(out, pa.list_(pa.int64()))
+    out = np.empty((len(column), HASHES), np.int64)
+    for begin, end in slices(column, rows=256):
+        out[begin:end] = signatures([t or [] for t in column.slice(begin, end - begin).to_pylist()]).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * HASHES, pa.int32()), pa.array(out.ravel()), mask=column.is_null())
 
 
 def minhash(tokens: Column) -> Column:
