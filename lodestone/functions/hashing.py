@@ -49,6 +49,25 @@ def fnv1a(text: Column) -> Column:
     return F.arrow_udf(_fnv1a, "bigint")(text)
 
 
+def _bucket_counts(column: pa.Array, dim: int) -> pa.Array:
+    parts = []
+    for begin, end in slices(column):
+        own = column.slice(begin, end - begin)
+        items = own.flatten().dictionary_encode()
+        row = np.repeat(np.arange(len(own)), own.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        bucket = (fnv1a_all(items.dictionary.cast(pa.binary()).to_pylist()) % np.uint64(dim)).astype(np.int64)
+        place, n = np.unique(row * dim + bucket[items.indices.to_numpy(zero_copy_only=False)], return_counts=True)
+        ends = np.searchsorted(place, np.arange(len(own) + 1) * dim)
+        counts = pa.StructArray.from_arrays([pa.array(place % dim, pa.int32()), pa.array(n, pa.int64())], ["bucket", "n"])
+        parts.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), counts))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.struct([("bucket", pa.int32()), ("n", pa.int64())])))
+
+
+def bucket_counts(words: Column, dim: int) -> Column:
+    """How many of an array's words fall in each bucket by FNV-1a modulo dim, as an array of (bucket, n) without empty ones."""
+    return F.arrow_udf(lambda column: _bucket_counts(column, dim), "array<struct<bucket:int,n:bigint>>")(words)
+
+
 def unsigned(value: Column) -> Column:
     """A bigint's bits as an unsigned decimal(20,0)."""
     wide = value.cast("decimal(20,0)")
