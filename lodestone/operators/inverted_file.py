@@ -6,6 +6,9 @@ lists of its `probes` nearest centres, estimates each vector's product with it f
 words, keeps the best `refine` times k, and computes their cosine exactly. Centres and code words are fitted to a
 sample of at most SAMPLE vectors; every vector is filed.
 
+With each code goes how far the vector is from what its code stands for; a product is off by no more than that. So
+certain() is exact: it passes over a vector only if its code shows that it is not among the k best.
+
 Only codes are read for all vectors of a list; whole vectors only for the candidates. Lists are dealt to blocks of about
 BLOCK vectors, so that a list that holds a third of all vectors is many tasks' work.
 """
@@ -53,6 +56,11 @@ class Codebook:
         rest = (rows - self.centres[own]).reshape(len(rows), len(self.words), SUB)
         return own, np.stack([nearest(rest[:, m], self.words[m]) for m in range(len(self.words))], axis=1).astype(np.uint8)
 
+    def distances(self, rows: np.ndarray, own: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """How far each row of length 1 is from what its list and code stand for."""
+        held = np.stack([self.words[m][codes[:, m]] for m in range(len(self.words))], axis=1).reshape(len(rows), -1)
+        return np.linalg.norm(self.padded(rows) - self.centres[own] - held, axis=1)
+
     def estimates(self, queries: np.ndarray, own: int, codes: np.ndarray) -> np.ndarray:
         """About the products of queries and the vectors of a list with these codes."""
         queries = self.padded(queries)
@@ -119,17 +127,20 @@ def _coded(batches: Iterable[pa.RecordBatch], book: Broadcast) -> Iterator[pa.Re
             rows, dims = rows_of(part.column(1))
             good = (dims == b.dim) & np.isfinite(rows).all(axis=1) & (np.linalg.norm(rows, axis=1) > 0)
             own, codes = np.full(len(rows), -1), np.zeros((len(rows), len(b.words)), np.uint8)
+            off = np.zeros(len(rows))
             if good.any():
-                own[good], codes[good] = b.encode(unit_rows(rows[good, : b.dim]))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=[*part.schema.names, "list", "code"])
+                unit = unit_rows(rows[good, : b.dim])
+                own[good], codes[good] = b.encode(unit)
+                off[good] = b.distances(unit, own[good], codes[good])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(off)], names=[*part.schema.names, "list", "code", "off"])
 
 
 def coded(vectors: DataFrame, book: Broadcast) -> DataFrame:
-    """Rows (chunk_id, vector, ...) with list, code and the list's block; vectors that have no cosine, or another dimension, are in list -1."""
+    """Rows (chunk_id, vector, ...) with list, code, the code's distance and the list's block; vectors that have no cosine, or another dimension, are in list -1."""
     extra = [c for c in vectors.columns if c not in ("chunk_id", "vector")]
     rows = vectors.select("chunk_id", "vector", *extra)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(functools.partial(_coded, book=book), f"{schema}, list int, code binary").withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.lit(1 << 20)).cast("int"))
+    return rows.mapInArrow(functools.partial(_coded, book=book), f"{schema}, list int, code binary, off double").withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.lit(1 << 20)).cast("int"))
 
 
 def _probed(batches: Iterable[pa.RecordBatch], book: Broadcast, probes: int) -> Iterator[pa.RecordBatch]:
@@ -169,3 +180,41 @@ def candidates(rows: DataFrame, queries: DataFrame, book: Broadcast, most: int,
     right = codes.join(wanted, "list").select("list", F.pmod("block", "blocks").alias("own"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "chunk_id", "code")
     met = left.groupBy("list", "own", "turn").cogroup(right.groupBy("list", "own", "turn")).applyInArrow(functools.partial(_estimated, book=book, most=most), f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
     return top_k(met, most).select("query_id", "chunk_id")
+
+
+def _certain(key: tuple, queries: pa.Table, vectors: pa.Table, book: Broadcast, k: int, digits: int | None) -> pa.Table:
+    kinds = pa.schema([queries.schema.field("query_id"), vectors.schema.field("chunk_id"), pa.field("score", pa.float64())])
+    b, vectors, out = book.value, vectors.sort_by("chunk_id"), []
+    slack = 1e-9 if digits is None else 10.0**-digits
+    for at in range(0, len(queries) if len(vectors) else 0, 256):
+        part = queries.slice(at, 256)
+        asked, least = unit_rows(rows_of(part["vector"])[0]), part["least"].fill_null(-np.inf).to_numpy()
+        for begin in range(0, len(vectors), 2048):
+            own = vectors.slice(begin, 2048)
+            codes = np.frombuffer(b"".join(own["code"].to_pylist()), np.uint8).reshape(len(own), -1)
+            may = b.estimates(asked, key[0].as_py(), codes) + own["off"].to_numpy() >= least[:, None] - slack
+            use = np.flatnonzero(may.any(axis=0))
+            scores = asked @ unit_rows(rows_of(own["vector"].take(pa.array(use)))[0]).T if len(use) else np.zeros((len(part), 0))
+            scores = np.where(may[:, use], scores if digits is None else np.round(scores, digits) + 0.0, -np.inf)
+            best = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # in order of ids where scores are equal
+            score, q = np.take_along_axis(scores, best, axis=1).ravel(), np.repeat(np.arange(len(part)), best.shape[1])
+            found = np.flatnonzero(score > -np.inf)
+            out.append(pa.table([part["query_id"].take(pa.array(q[found])), own["chunk_id"].take(pa.array(use[best.ravel()[found]])), pa.array(score[found])], schema=kinds))
+    return pa.concat_tables(out) if out else kinds.empty_table()
+
+
+def certain(rows: DataFrame, queries: DataFrame, book: Broadcast, k: int, digits: int | None = None) -> DataFrame:
+    """coded() rows and queries (query_id, vector, least) to each query's k best of the vectors in lists: (query_id, chunk_id, score, rank).
+
+    least: a score that the k-th best reaches, null if there is none. All lists are visited; a vector is compared if its code allows that its score reaches `least`.
+    """
+    kinds = queries.schema["query_id"].dataType.simpleString(), rows.schema["chunk_id"].dataType.simpleString()
+    held = rows.filter("list >= 0").select("list", "block", "chunk_id", "code", "off", "vector")
+    parts = held.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    turns = queries.agg(F.greatest(F.ceil(F.count("*") / QUERY_BLOCK), F.lit(1)).cast("int").alias("turns"))  # one row
+    wanted = parts.crossJoin(F.broadcast(turns))
+    usable = queries.filter((F.size("vector") == book.value.dim) & F.exists("vector", lambda x: x != 0))
+    left = usable.crossJoin(F.broadcast(wanted)).select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"), F.pmod(F.xxhash64("query_id"), F.col("turns")).cast("int").alias("turn"), "query_id", "vector", "least")
+    right = held.join(F.broadcast(wanted), "list").select("list", F.pmod("block", "blocks").alias("own"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "chunk_id", "code", "off", "vector")
+    met = left.groupBy("list", "own", "turn").cogroup(right.groupBy("list", "own", "turn")).applyInArrow(functools.partial(_certain, book=book, k=k, digits=digits), f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
+    return top_k(met, k)

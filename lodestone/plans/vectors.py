@@ -107,12 +107,18 @@ class InvertedFileVectors:
         ids = self.live().select("chunk_id", "document_id").join(document_ids.select("document_id").distinct(), "document_id", "left_semi").select("chunk_id")
         self._put(ids, "gone", self._generation())
 
-    def search(self, queries: DataFrame, k: int, *, digits: int | None = None, exact: bool = False) -> DataFrame:
-        """Without exact, vectors that have no cosine are not found, and others if their codes and list say that they are near."""
+    def search(self, queries: DataFrame, k: int, *, digits: int | None = None, exact: bool = False, certain: bool = False) -> DataFrame:
+        """With certain, codes leave out only what can't be among the k best: the result is exact for vectors that have a cosine and the codebook's dimension.
+
+        Without exact and certain, vectors that have no cosine are not found, and others if their codes and list say that they are near."""
         rows = self.live()
         if exact:
             return cosine_search(rows.select("chunk_id", "vector"), queries, k, digits=digits)
         found = inverted_file.candidates(rows, queries, self._book(), k * self.refine, self.probes)
         pairs = found.join(rows.select("chunk_id", "vector"), "chunk_id").join(queries.select("query_id", F.col("vector").alias("asked")), "query_id")
         score = cosine(F.col("asked"), F.col("vector"))
-        return top_k(pairs.select("query_id", "chunk_id", (score if digits is None else F.round(score, digits) + 0.0).alias("score")), k)
+        found = top_k(pairs.select("query_id", "chunk_id", (score if digits is None else F.round(score, digits) + 0.0).alias("score")), k)
+        if not certain:
+            return found
+        least = found.filter(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+        return inverted_file.certain(rows, queries.select("query_id", "vector").join(least, "query_id", "left"), self._book(), k, digits)

@@ -84,3 +84,18 @@ def test_codes_are_near(vectors):
     for k in np.unique(own):
         mine = own == k
         assert np.abs(book.estimates(rows[:20], k, codes[mine]) - rows[:20] @ rows[mine].T).mean() < 0.05
+
+
+def test_certain(spark, tmp_path):
+    """Among vectors that no code tells apart, with one candidate re-ranked for each hit: what comparing all gives, with ties and few vectors too."""
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(1500, DIM))
+    store = InvertedFileVectors(spark, str(tmp_path / "i"), refine=1)
+    store.upsert(frame(spark, enumerate([*rows, *rows[:5], *rows[:5]])))
+    queries = asked(spark, list(enumerate([*rng.normal(size=(10, DIM)), *rows[:3], np.zeros(DIM)])))
+    for k, digits in ((10, 6), (2, None), (2000, 6)):
+        want = {(r.query_id, r.rank): (r.chunk_id, round(r.score, 6)) for r in store.search(queries, k, digits=digits, exact=True).filter("query_id < 13").collect()}
+        got = {(r.query_id, r.rank): (r.chunk_id, round(r.score, 6)) for r in store.search(queries, k, digits=digits, certain=True).collect()}
+        assert got == want and len(want) == 13 * min(k, 1510)
+    approximate = {(r.query_id, r.rank): (r.chunk_id, round(r.score, 6)) for r in store.search(queries, 10, digits=6).collect()}
+    assert approximate != {(r.query_id, r.rank): (r.chunk_id, round(r.score, 6)) for r in store.search(queries, 10, digits=6, exact=True).filter("query_id < 13").collect()}
