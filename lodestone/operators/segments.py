@@ -2,9 +2,9 @@
 
 A segment is written once. Its chunks are dealt to ranges of at most BLOCK chunks that lie together in the input; a block
 holds a term's postings in one range, the largest frequency and the smallest length among them. From these two follows
-the most that the term can add to any score in the range, whatever the corpus' statistics have become. Files hold blocks
-sorted by term and range, dealt by both: the blocks of a term that stands everywhere lie in many files, and the bounds
-are read without the postings.
+the most that the term can add to any score in the range, whatever the corpus' statistics have become. A file holds the
+blocks of some ranges, sorted by term and range: texts are dealt by range once, and postings are grouped where they are made. The
+blocks of a term that stands everywhere lie in many files, and the bounds are read without the postings.
 
 A search has two passes. The first adds up each range's bounds for each query and scores the ranges with the largest ones;
 the k-th best score there is a threshold. The second scores the ranges whose bound reaches it. No other chunk can be
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import Bm25Config
-from .bm25 import contribution, counted_terms, idf, query_terms, top_k
+from .bm25 import contribution, counted_terms, handed_out, idf, query_terms, top_k
 
 #: Folders of segments are named so, and by a number of their own.
 SEGMENT = "segment"
@@ -87,6 +87,8 @@ class SegmentedIndex:
 
     def live(self, rows: DataFrame) -> DataFrame:
         """Rows (segment, chunk_id, ...) without those whose chunk a later segment removed."""
+        if len(self.segments) < 2:
+            return rows
         last = self.removed().groupBy("chunk_id").agg(F.max("segment").alias("by"))
         return rows.join(last, (rows["chunk_id"] == last["chunk_id"]) & (rows["segment"] < last["by"]), "left_anti")
 
@@ -108,7 +110,7 @@ def _blocks(terms: DataFrame) -> DataFrame:
 
 def _write(spark: SparkSession, path: str, terms: DataFrame, removed: DataFrame, removed_terms: DataFrame, covers: tuple[str, ...] | None = None) -> Segment:
     """terms as _blocks() takes them; removed (home, chunk_id, len) and removed_terms (home, term, n)."""
-    _blocks(terms).repartitionByRange("term", "range").sortWithinPartitions("term", "range").write.parquet(f"{path}/blocks")
+    _blocks(terms).sortWithinPartitions("term", "range").write.parquet(f"{path}/blocks")
     removed.write.parquet(f"{path}/removed")
     removed_terms.write.parquet(f"{path}/removed_terms")
     chunks = spark.read.parquet(f"{path}/blocks").filter("term = ''").select("n", F.aggregate("postings", F.lit(0).cast("long"), lambda a, p: a + p["len"]).alias("total_len"))
@@ -131,8 +133,8 @@ def add_segment(index: SegmentedIndex, under: str, added: DataFrame, removed: Da
     Ids that are not in the index are passed over; chunk ids of `added` must not be in the index or must be in `removed`.
     """
     spark, path = index.spark, new_segment(under)
-    # rows that lie together in the input share a range: no text is shuffled
-    numbered = added.select("chunk_id", "text", digest_of(F.col("text")).alias("digest"), F.shiftright(F.monotonically_increasing_id(), block_bits).alias("range"))
+    # rows that lie together in the input share a range; texts are dealt by range, so that all postings of a range are made, and grouped, in one task
+    numbered = added.select("chunk_id", "text", F.shiftright(F.monotonically_increasing_id(), block_bits).alias("range")).repartition("range").withColumn("digest", digest_of(F.col("text")))
     terms = counted_terms(numbered, keep=("digest", "range"))
     own, head = F.struct("term", "tf"), F.struct(F.lit("").alias("term"), F.lit(0).cast("long").alias("tf"))
     both = F.when(~F.col("first"), F.array(own)).when(F.col("term") == "", F.array(head)).otherwise(F.array(own, head))
@@ -170,7 +172,7 @@ def merged(index: SegmentedIndex, under: str, last: int, *, block_bits: int = BL
     ranges.select("segment", "chunk_id", "digest", F.shiftright(F.monotonically_increasing_id(), block_bits).alias("range")).write.parquet(f"{path}/ranges")
     kept = spark.read.parquet(f"{path}/ranges")
     postings = group.blocks().select("segment", "term", F.explode("postings").alias("p")).select("segment", "term", "p.chunk_id", "p.tf", "p.len")
-    terms = postings.join(kept, ["segment", "chunk_id"]).select("chunk_id", "digest", "len", "range", "term", "tf")
+    terms = postings.join(kept, ["segment", "chunk_id"]).select("chunk_id", F.when(F.col("term") == "", F.col("digest")).alias("digest"), "len", "range", "term", "tf")
     outside = ~F.col("home").isin(*covers)
     gone, gone_terms = (group._all(t).filter(outside).drop("segment") for t in ("removed", "removed_terms"))
     return SegmentedIndex(spark, (*before, _write(spark, path, terms, gone, gone_terms, covers)))
@@ -193,7 +195,7 @@ def refreshed(index: SegmentedIndex, chunks: DataFrame, under: str, *, block_bit
 def weighed_terms(index: SegmentedIndex, queries: DataFrame) -> DataFrame:
     """(query_id, term, weight, avgdl): a term's idf as often as the query has it."""
     asked = query_terms(queries)
-    terms = asked.join(index.frequencies(asked), "term").crossJoin(F.broadcast(index.statistics()))  # one row of statistics
+    terms = handed_out(asked)(asked).join(index.frequencies(asked), "term").crossJoin(F.broadcast(index.statistics()))  # one row of statistics
     return terms.select("query_id", "term", "avgdl", (F.col("qtf") * idf(F.col("n"), F.col("df"))).alias("weight"))
 
 

@@ -114,3 +114,16 @@ def test_an_index_of_nothing(spark, tmp_path):
     assert [r[2] for r in found(segments.block_search(index, asked(spark).filter("query_id = 93"), 3))] == ["a"]
     index = segments.refreshed(index, none, str(tmp_path))
     assert index.statistics().first()["n"] == 0 and found(segments.block_search(index, asked(spark), 3)) == []
+
+
+def test_postings_are_grouped_where_they_are_made(spark, tmp_path):
+    """All blocks of a range lie in one file: texts were dealt by range, and no posting was shuffled."""
+    texts = corpus(random.Random(3), [f"c{k:04d}" for k in range(300)])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = segments.add_segment(segments.SegmentedIndex(spark), str(tmp_path), frame(spark, texts), block_bits=3)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = index.blocks().select("range", F.input_file_name().alias("f"))
+    assert files.groupBy("range").agg(F.countDistinct("f").alias("n")).agg(F.max("n")).first()[0] == 1
+    assert files.select("f").distinct().count() > 1
