@@ -22,6 +22,7 @@ import logging
 import sys
 from pathlib import Path
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ from jobs.common import command_line, parts, settings  # noqa: E402
 from jobs.feed_chunks import CHUNK_TEXT  # noqa: E402
 from lodestone import queries as library  # noqa: E402
 from lodestone.functions.text import content_hash, estimate_tokens_by_words  # noqa: E402
-from lodestone.operators.bm25 import bm25_search, build_index  # noqa: E402
+from lodestone.operators.bm25 import MOST_TERMS, bm25_search, build_index  # noqa: E402
 from lodestone.operators.chunking import chunk_documents  # noqa: E402
 from lodestone.operators.fusion import drop_near_duplicates, hydrate, pack_skipping, signed  # noqa: E402
 from lodestone.schemas import ChunkConfig  # noqa: E402
@@ -55,13 +56,18 @@ def put(rows: DataFrame, at: str, schema: str, *by: str) -> int:
 
 
 def cut(documents: DataFrame, config: dict) -> DataFrame:
-    """documents (id, text, part) to chunks."""
+    """documents (id, text, part) to chunks. Texts cross one shuffle, by part; those whose id repeats are told apart first."""
     hashed = documents.filter("id is not null").withColumn("text", F.coalesce("text", F.lit("")))
-    one = hashed.select("id", "part", content_hash(F.col("text")).alias("h")).groupBy("id").agg(F.max(F.struct("h", "part")).alias("d")).select("id", "d.*")
-    texts = hashed.select("id", "text", content_hash(F.col("text")).alias("h")).join(one.drop("part"), ["id", "h"]).dropDuplicates(["id"])
-    cut = chunk_documents(texts.withColumn("kind", F.lit("plain")), ChunkConfig(max_tokens=config["max_tokens"], overlap_tokens=config["overlap_tokens"]), document_id="id", kind="kind")
-    named = cut.select(F.col("id").alias("chunk_id"), F.col("document_id").alias("id"), "ordinal", "locator.char_start", "locator.char_end", "token_count", "text")
-    return named.join(one.select("id", "part"), "id")
+    repeated = hashed.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
+    if n := repeated.limit(MOST_TERMS + 1).count():
+        some = F.broadcast(repeated) if n <= MOST_TERMS else repeated
+        again = hashed.join(some, "id", "left_semi").withColumn("h", content_hash(F.col("text")))
+        one = again.groupBy("id").agg(F.max(F.struct("h", "part")).alias("d")).select("id", "d.*")
+        copies = again.drop("part").join(one, ["id", "h"]).dropDuplicates(["id"]).drop("h")
+        hashed = hashed.join(some, "id", "left_anti").unionByName(copies)
+    texts = hashed.select("id", "text", "part", F.lit("plain").alias("kind")).hint("rebalance", "part")
+    cut = chunk_documents(texts, ChunkConfig(max_tokens=config["max_tokens"], overlap_tokens=config["overlap_tokens"]), document_id="id", kind="kind", keep=("part",))
+    return cut.select(F.col("id").alias("chunk_id"), F.col("document_id").alias("id"), "ordinal", "locator.char_start", "locator.char_end", "token_count", "text", "part")
 
 
 def run(spark: SparkSession, questions: str, documents: str, output: str, config: dict | None = None) -> dict[str, int]:
@@ -69,13 +75,15 @@ def run(spark: SparkSession, questions: str, documents: str, output: str, config
     c, figures, read = settings("evidence", config), {}, Observation()
     asked = spark.read.parquet(questions).select(F.col("item_id").cast("string").alias("query_id"), F.coalesce("text", F.lit("")).alias("text")).filter("query_id is not null").dropDuplicates(["query_id"])
     docs = spark.read.parquet(documents).select(F.col("doc_id").cast("string").alias("id"), "text", F.col("source").cast("string").alias("part"))
-    figures["chunks"] = put(cut(docs, c).hint("rebalance", "part"), f"{output}/chunks", CHUNKS, "part")
+    figures["chunks"] = put(cut(docs, c), f"{output}/chunks", CHUNKS, "part")
     chunks = parts(spark, f"{output}/chunks", CHUNKS)
     index = build_index(chunks, f"{output}/index")
-    found = bm25_search(index, asked, c["k"], digits=6)
-    known = signed(found.select("chunk_id").distinct(), chunks, estimate_tokens_by_words(F.col("text")).alias("price"))
+    found = bm25_search(index, asked, c["k"], digits=6).persist(StorageLevel.DISK_ONLY)  # k rows a question, for two uses
+    few = F.broadcast if found.count() <= MOST_TERMS else lambda rows: rows  # then no chunk is shuffled to find theirs
+    known = signed(few(found.select("chunk_id").distinct()), chunks, estimate_tokens_by_words(F.col("text")).alias("price"))
     kept = pack_skipping(drop_near_duplicates(found.join(known, "chunk_id"), c["dedup_threshold"]), c["budget"], F.col("price"))
-    figures["evidence"] = put(hydrate(kept.select("query_id", "rank", "chunk_id", "score", "cost"), chunks).hint("rebalance", "part"), f"{output}/evidence", EVIDENCE, "part")
+    figures["evidence"] = put(hydrate(few(kept.select("query_id", "rank", "chunk_id", "score", "cost")), chunks).hint("rebalance", "part"), f"{output}/evidence", EVIDENCE, "part")
+    found.unpersist()
     evidence = parts(spark, f"{output}/evidence", EVIDENCE)
     told = evidence.groupBy("query_id").agg(F.count("*").alias("n_evidence"), F.sum("cost").alias("tokens"))
     summary = asked.observe(read, F.count("*").alias("n")).select("query_id").join(told, "query_id", "left").fillna(0, ["n_evidence", "tokens"])
