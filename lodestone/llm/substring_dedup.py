@@ -283,7 +283,14 @@ def _search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 #: The windows that a segment loses, as bits: all of them if an equal segment stands in a smaller document.
-LOST = f"if(ident > low, shiftleft(1L, cast(octet_length(words) / {WIDTH} - {WINDOW - 1} as int)) - 1, mask)"
+LOST = "if(ident > low, shiftleft(1L, windows) - 1, mask)"
+#: Hot anchors that every task gets, at most; more of them meet the segments in a shuffle.
+MOST_HOT = 1_000_000
+
+
+def wordless(segments: DataFrame) -> DataFrame:
+    """Segments with the number of their windows in place of their words, which are most of their bytes and needed no more to take an answer."""
+    return segments.withColumn("windows", F.expr(f"cast(octet_length(words) / {WIDTH} - {WINDOW - 1} as int)")).drop("words")
 
 
 def answers(segments: DataFrame, hot_anchor: int, gram: int = GRAM) -> DataFrame:
@@ -291,11 +298,12 @@ def answers(segments: DataFrame, hot_anchor: int, gram: int = GRAM) -> DataFrame
     contents = stored(segments.groupBy("anchor", "content", "words").agg(F.min("ident").alias("low"), F.count("*").alias("n")), "contents")
     hot = contents.groupBy("anchor").agg(F.count("*").alias("segments")).filter(F.col("segments") > hot_anchor).select("anchor")
     cold, finer, searched = contents, None, None
-    if gram < WINDOW and not hot.isEmpty():
+    if gram < WINDOW and (n_hot := hot.limit(MOST_HOT + 1).count()):
+        hot = F.broadcast(hot) if n_hot <= MOST_HOT else hot  # each has over hot_anchor contents
         cold, warm = contents.join(hot, "anchor", "left_anti"), contents.join(hot, "anchor", "left_semi")
         finer = stored(warm.select("anchor", "content", "low", "words").mapInArrow(functools.partial(_finer, gram=gram + 4), sql(FINER)), "finer")
         below = answers(finer, hot_anchor, gram + 4)
-        lost = finer.join(below, ["anchor", "content"]).groupBy("of_anchor", "of_content").agg(F.sum(F.expr(f"shiftleft({LOST}, start)")).alias("mask"))
+        lost = wordless(finer).join(below, ["anchor", "content"]).groupBy("of_anchor", "of_content").agg(F.sum(F.expr(f"shiftleft({LOST}, start)")).alias("mask"))
         lost = warm.select("anchor", "content", "low", "n").join(lost.toDF("anchor", "content", "mask"), ["anchor", "content"], "left")
         searched = lost.withColumn("mask", F.coalesce("mask", F.lit(0).cast("long"))).filter("n > 1 OR mask > 0").drop("n")
     dealt = cold.select("anchor", "content", "low", "n", "words").repartition("anchor").sortWithinPartitions("anchor")
@@ -355,7 +363,7 @@ def substring_dedup(docs: DataFrame, *, with_text: bool = False, chunk_bytes: in
     anchored = packed.mapInArrow(functools.partial(_anchors, buckets=max(1024, 16 * partitions(spark))), sql(ANCHORS)).repartition("bucket").sortWithinPartitions("bucket")
     notes = anchored.mapInArrow(_shared, sql(NOTES)).unionByName(standing.mapInArrow(_as_notes, sql(NOTES)))
     segments = stored(packed.groupBy("chunk").cogroup(notes.groupBy("chunk")).applyInArrow(_segments, sql(SEGMENTS)), "segments")
-    found = segments.join(answers(segments, hot_anchor), ["anchor", "content"]).select("chunk", "at", "start", F.expr(LOST).alias("mask")).filter("mask <> 0")
+    found = wordless(segments).join(answers(segments, hot_anchor), ["anchor", "content"]).select("chunk", "at", "start", F.expr(LOST).alias("mask")).filter("mask <> 0")
     out = packed.groupBy("chunk").cogroup(found.unionByName(copies).groupBy("chunk")).applyInArrow(functools.partial(_cut, with_text=with_text), sql(KEPT))
     return out if with_text else out.drop("kept_text")
 
