@@ -9,6 +9,9 @@ first. In a round
   similar to none before it, stays: everything earlier that could drop it is among them;
 * what stays is compared with all rows of its groups, and what is similar goes.
 
+Groups are found by keys alone. A row that shares no group stays as it is, and only rows that share some take their
+signature to the groups they share.
+
 The first row left of every list is decided in each round, and up to PREFIX rows of each group. No task holds more than a
 prefix, and a group of n copies that differ a little is n comparisons, not n * n.
 """
@@ -41,7 +44,7 @@ def keep_first(ranked: DataFrame, threshold: float, at: str, *, prefix: int = PR
     """
     spark, bands = ranked.sparkSession, band_bounds(threshold)
     keys = F.array(*(F.xxhash64(F.slice("signature", begin + 1, end - begin)) for begin, end in bands))
-    group, nth = ["query_id", "band", "key"], 0
+    row, group, nth = ["query_id", "rank"], ["query_id", "band", "key"], 0
 
     def written(rows: DataFrame, name: str) -> DataFrame:
         rows.write.parquet(f"{at}/{name}/round={nth}")
@@ -49,19 +52,22 @@ def keep_first(ranked: DataFrame, threshold: float, at: str, *, prefix: int = PR
 
     left = written(ranked.groupBy("query_id", "signature").agg(F.min("rank").alias("rank")), "left")
     while not left.isEmpty():
-        grouped = left.select("query_id", "rank", "signature", F.posexplode(keys).alias("band", "key"))
+        each = left.select(*row, F.posexplode(keys).alias("band", "key"))
+        several = each.groupBy(*group).agg(F.count("*").alias("n")).filter("n > 1").select(group)
+        shared = written(each.join(several, group), "shared")
+        signed = left.join(shared.select(row).distinct(), row, "left_semi").select(*row, "signature")
         place = F.row_number().over(Window.partitionBy(*group).orderBy("rank"))
-        first = grouped.withColumn("place", place).filter(F.col("place") <= prefix)
+        near = shared.withColumn("place", place).filter(F.col("place") <= prefix)
+        first = near.join(signed, row)
         before = first.select(*group, F.col("place").alias("earlier"), F.col("signature").alias("other"))
-        blocked = first.join(before, group).filter((F.col("earlier") < F.col("place")) & (estimated_jaccard(F.col("signature"), F.col("other")) >= threshold))
-        whole = first.groupBy("query_id", "rank").agg(F.count("*").alias("n")).filter(F.col("n") == len(bands)).select("query_id", "rank")
-        free = whole.join(blocked.select("query_id", "rank").distinct(), ["query_id", "rank"], "left_anti")
-        stay = written(left.join(free, ["query_id", "rank"]).select("query_id", "rank", "signature"), "kept")
-        kept = stay.select("query_id", F.col("rank").alias("by"), F.col("signature").alias("other"), F.posexplode(F.array(*(F.xxhash64(F.slice("signature", begin + 1, end - begin)) for begin, end in bands))).alias("band", "key"))
-        gone = grouped.join(kept, group).filter((F.col("by") <= F.col("rank")) & (estimated_jaccard(F.col("signature"), F.col("other")) >= threshold))
-        decided = gone.select("query_id", "rank").distinct()  # what stays is similar to itself
+        blocked = first.join(before, group).filter((F.col("earlier") < F.col("place")) & (estimated_jaccard(F.col("signature"), F.col("other")) >= threshold)).select(row)
+        beyond = shared.select(*row, "band").join(near.select(*row, "band"), [*row, "band"], "left_anti").select(row)
+        stay = written(left.join(blocked.unionByName(beyond).distinct(), row, "left_anti").select(*row, "signature"), "kept")
+        kept = shared.join(stay, row).select(*group, F.col("rank").alias("by"), F.col("signature").alias("other"))
+        gone = shared.join(signed, row).join(kept, group).filter((F.col("by") < F.col("rank")) & (estimated_jaccard(F.col("signature"), F.col("other")) >= threshold))
+        decided = stay.select(row).unionByName(gone.select(row)).distinct()
         nth += 1
-        left = written(left.join(decided, ["query_id", "rank"], "left_anti"), "left")
+        left = written(left.join(decided, row, "left_anti"), "left")
     if not nth:
         return ranked.limit(0).drop("signature")
     return ranked.drop("signature").join(spark.read.parquet(f"{at}/kept").select("query_id", "rank"), ["query_id", "rank"]).select([c for c in ranked.columns if c != "signature"])
