@@ -13,8 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -22,6 +21,7 @@ from ..functions.text import content_hash
 
 STATE = "content_hash string, modified_us bigint, version bigint"
 CHANGES = "source_id string, path string, status string, version bigint, content_hash string, text string"
+CHANGE = Row(*(c.split()[0] for c in CHANGES.split(", ")))
 #: State with timers and a schema needs this store; a query takes the setting when it starts.
 PROVIDER, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -36,10 +36,10 @@ class Versions(StatefulProcessor):
         self.handle = handle
         self.known = handle.getValueState("known", STATE)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        batch = pd.concat([r[["modified_us", "content_hash", "text"]] for r in rows])
-        modified, digest, text = max(batch.itertuples(index=False, name=None), key=lambda r: r[:2])
-        had = self.known.get() if self.known.exists() else None
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: ANN001, N802, N803
+        newest = max(rows, key=lambda r: (r.modified_us, r.content_hash))
+        modified, digest, text = newest.modified_us, newest.content_hash, newest.text
+        had = self.known.get()  # None for a key that is new: to ask whether there is a state is a call more
         if self.gone_after_ms is not None:
             for timer in self.handle.listTimers():
                 self.handle.deleteTimer(timer)
@@ -50,12 +50,12 @@ class Versions(StatefulProcessor):
         version = (0 if had is None else had[2]) + changed
         self.known.update((digest, int(modified), int(version)))
         if changed:
-            yield pd.DataFrame([(*key, "new" if had is None else "changed", version, digest, text)], columns=[c.split()[0] for c in CHANGES.split(", ")])
+            yield CHANGE(*key, "new" if had is None else "changed", version, digest, text)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: ANN001, N802, N803
         digest, _, version = self.known.get()
         self.known.clear()
-        yield pd.DataFrame([(*key, "gone", version + 1, digest, None)], columns=[c.split()[0] for c in CHANGES.split(", ")])
+        yield CHANGE(*key, "gone", version + 1, digest, None)
 
     def close(self) -> None:
         pass
@@ -65,7 +65,7 @@ def versions(docs: DataFrame, gone_after_ms: int | None = None) -> DataFrame:
     """A stream (source_id, path, text, modified timestamp) to the stream of its changes (source_id, path, status, version, content_hash, text)."""
     rows = docs.filter("path is not null and text is not null").select("source_id", "path", "text", F.unix_micros("modified").alias("modified_us"), content_hash(F.col("text")).alias("content_hash"))
     mode = "None" if gone_after_ms is None else "ProcessingTime"
-    return rows.groupBy("source_id", "path").transformWithStateInPandas(Versions(gone_after_ms), CHANGES, "Append", mode)
+    return rows.groupBy("source_id", "path").transformWithState(Versions(gone_after_ms), CHANGES, "Append", mode)
 
 
 def write_versions(docs: DataFrame, output: str, checkpoint: str, *, gone_after_ms: int | None = None, once: bool = True) -> StreamingQuery:
