@@ -10,7 +10,8 @@ the calibrated views are combined, and every document is scored. There are two t
 document is kept if it is more likely good than not, and more likely harmless than not.
 
 The labelled rows part in three: to fit the views, to calibrate them, and to combine them. SAMPLE_LABELLED bounds them, and
-so what reaches the driver (some 20 MB); it is taken by a hash of the id, at a rate that the table's count gives.
+so what reaches the driver (some 20 MB, as Arrow); it is taken by a hash of the id, at a rate that the table's count gives.
+The driver holds the labelled rows' features in small types and makes a view's matrix only while it fits or scores it.
 
 Defined results: null and empty texts are scored as empty; null metadata is a value of its own; labels that are null
 or of no known document are left out; where there are fewer than five labels of either kind to learn from, every document's score is
@@ -25,7 +26,6 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -158,23 +158,40 @@ def meta_matrix(places: np.ndarray) -> np.ndarray:
 class Target:
     """One target's views while they are trained: the labelled rows in their three parts, weights, and calibrations."""
 
-    def __init__(self, sample: pd.DataFrame, y: np.ndarray) -> None:
+    def __init__(self, shapes: np.ndarray, words: list[np.ndarray], places: np.ndarray, y: np.ndarray) -> None:
         part = parts(y)
         self.train, self.even, self.blend = (np.flatnonzero(np.isin(part, x)) for x in ((0, 1, 2), (3,), (4,)))
-        self.y, self.known = y, telling_words(list(sample["words"].iloc[self.train]), y[self.train])
-        self.views = (text_matrix(np.stack(sample["shape"].to_list()), word_hits(list(sample["words"]), self.known)), meta_matrix(np.stack(sample["meta"].to_list())))
-        self.weights = [fit(x[self.train], y[self.train]) for x in self.views]
+        self.y, self.known = y, telling_words([words[k] for k in self.train], y[self.train])
+        self.shapes, self.hits, self.places = shapes, word_hits(words, self.known), places
+        self.weights = [fit(self.view(k, self.train), y[self.train]) for k in (0, 1)]
         self.handed: list[list[list[int]]] = []
         self.calibrate()
 
+    def view(self, k: int, rows: np.ndarray) -> np.ndarray:
+        return meta_matrix(self.places[rows]) if k else text_matrix(self.shapes[rows], self.hits[rows])
+
     def calibrate(self) -> None:
-        self.curves = [platt(logits(x[self.even], w)[:, None], self.y[self.even]) for x, w in zip(self.views, self.weights, strict=True)]
+        self.curves = [platt(logits(self.view(k, self.even), w)[:, None], self.y[self.even]) for k, w in enumerate(self.weights)]
+
+    def state(self) -> dict:
+        """What a round's tasks need: weights, calibrations, and the rows to fit to, some 350 bytes each."""
+        seen = (self.shapes[self.train].astype(np.float16), np.packbits(self.hits[self.train], axis=1), self.places[self.train])
+        return {"known": self.known, "weights": self.weights, "curves": self.curves, "seen": seen, "y": self.y[self.train].astype(np.float32)}
 
     def model(self) -> dict:
-        z = np.column_stack([logits(x[self.blend], w) * c[0] + c[1] for x, w, c in zip(self.views, self.weights, self.curves, strict=True)])
+        z = np.column_stack([logits(self.view(k, self.blend), w) * c[0] + c[1] for k, (w, c) in enumerate(zip(self.weights, self.curves, strict=True))])
         return {"known": self.known, "weights": self.weights, "curves": self.curves, "mix": platt(z, self.y[self.blend]), "handed": self.handed}
 
 
+def seen_view(state: dict, k: int) -> np.ndarray:
+    """A view's matrix of the rows that a target's state holds."""
+    shapes, hits, places = state["seen"]
+    if k:
+        return meta_matrix(places)
+    known = len(state["known"])
+    return text_matrix(shapes.astype(np.float32), np.unpackbits(hits, axis=1, count=known) if known else np.zeros((len(shapes), 0)))
+
+
 def parts(y: np.ndarray) -> np.ndarray:
     """Fifths of the labelled rows, of good and bad ones alike: 0 to 2 to fit, 3 to calibrate, 4 to combine."""
     out = np.zeros(len(y), np.int64)
@@ -239,7 +256,7 @@ def _exchange(batches: Iterable[pa.RecordBatch], state: Broadcast) -> Iterator[p
                 views = (texts[k], meta)
                 p = [sigmoid(logits(x, w) * c[0] + c[1]) for x, w, c in zip(views, t["weights"], t["curves"], strict=True)]
                 for own, other in ((0, 1), (1, 0)):
-                    w, handed = teach(views[other], (p[own] >= SURE) | (p[own] <= 1 - SURE), (p[own] > 0.5).astype(np.float32), (t["seen"][other].astype(np.float32), t["y"]), t["weights"][other])
+                    w, handed = teach(views[other], (p[own] >= SURE) | (p[own] <= 1 - SURE), (p[own] > 0.5).astype(np.float32), (seen_view(t, other), t["y"]), t["weights"][other])
                     total[k][other] += sum(handed) * w
                     counts[k, other] += handed
     yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([counts.tobytes()], pa.binary()), pa.array([np.concatenate([w for t in total for w in t]).tobytes()], pa.binary())], names=["part", "counts", "total"])
@@ -259,10 +276,10 @@ def co_train(targets: list[Target], pool: DataFrame, rounds: int) -> None:
     """Rounds of exchange over the stored shards. Partial sums are added in order of their tasks; 16 rows reach the driver."""
     context, columns = pool.sparkSession.sparkContext, "part int, counts binary, total binary"
     for _ in range(rounds):
-        state = context.broadcast([{"known": t.known, "weights": t.weights, "curves": t.curves, "seen": [x[t.train].astype(np.float16) for x in t.views], "y": t.y[t.train].astype(np.float32)} for t in targets])
+        state = context.broadcast([t.state() for t in targets])
         learnt = pool.mapInArrow(functools.partial(_exchange, state=state), columns)
         rows = sorted(learnt.repartition(16, "part").sortWithinPartitions("part").mapInArrow(_sum, columns).collect())
-        state.unpersist()
+        state.destroy()  # the driver's copies go too
         if not rows:
             return
         counts = sum(np.frombuffer(r["counts"], np.int64) for r in rows).reshape(len(targets), 2, 2)
@@ -288,6 +305,21 @@ def _features(text: pa.Array, lang: pa.Array, source: pa.Array, n_chars: pa.Arra
     return pa.StructArray.from_arrays([pa.array(shapes, pa.list_(pa.float32())), pa.array(words, pa.list_(pa.int32())), pa.array(_places(raws, lang, source, n_chars), pa.list_(pa.int32()))], names=["shape", "words", "meta"])
 
 
+def _values(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """A column of lists, none null: all their values, and where each list begins and ends."""
+    ends = np.cumsum(np.concatenate([np.zeros(1, np.int64), *(np.diff(c.offsets.to_numpy()) for c in column.chunks)]))
+    return np.concatenate([np.zeros(0, np.int32), *(c.flatten().to_numpy() for c in column.chunks)], dtype=column.type.value_type.to_pandas_dtype()), ends
+
+
+def labelled_rows(sample: pa.Table) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, dict[str, np.ndarray]]:
+    """(shapes, words, places, labels by target, NaN where there are none) of a sample, in an order by the ids' hashes."""
+    flat, ends = _values(sample["words"])
+    words, ids = [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)], sample["chosen_id"].to_pylist()
+    order = sorted(range(len(ids)), key=lambda k: (xxhash.xxh64_intdigest(str(ids[k])), ids[k], words[k].tobytes()))
+    shapes, places = _values(sample["shape"])[0].reshape(-1, 136), _values(sample["meta"])[0].astype(np.int16).reshape(-1, META_FEATURES)
+    return shapes[order], [words[k] for k in order], places[order], {t: sample[t].to_numpy().astype(np.float64)[order] for t in TARGETS}
+
+
 def _view_columns(docs: DataFrame) -> list[Column]:
     return [F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars")]
 
@@ -301,17 +333,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, labelled: int = SAMPLE_LA
     # the sampling rate bounds it: about 8,000 rows of three numbers
     chosen = F.broadcast(some.withColumnRenamed("doc_id", "chosen_id"))
     features = F.arrow_udf(_features, "struct<shape:array<float>, words:array<int>, meta:array<int>>")("text", "lang", "source", "n_chars")
-    sample = docs.join(chosen, "chosen_id").select("chosen_id", "quality", "harmless", features.alias("f")).select("chosen_id", "quality", "harmless", "f.*").toPandas()
-    words = [np.array(w, np.int32) for w in sample["words"]]
-    sample = sample.assign(words=words, order=[xxhash.xxh64_intdigest(str(x)) for x in sample["chosen_id"]], text=[w.tobytes() for w in words]).sort_values(["order", "chosen_id", "text"], ignore_index=True)
+    sample = docs.join(chosen, "chosen_id").select("chosen_id", "quality", "harmless", features.alias("f")).select("chosen_id", "quality", "harmless", "f.*").toArrow()
+    shapes, words, places, given_labels = labelled_rows(sample)
     out, targets = {}, {}
     for target in TARGETS:
-        own = sample[sample[target].notna()]
-        y = own[target].to_numpy(np.float64)
+        own = np.flatnonzero(~np.isnan(given_labels[target]))
+        y = given_labels[target][own]
         if trainable(y):
-            targets[target] = Target(own, y)
+            targets[target] = Target(shapes[own], [words[k] for k in own], places[own], y)
         else:
             out[target] = {"constant": float(y.mean()) if len(y) else 1.0}
+    del sample, shapes, words, places
     if targets and rounds:
         free = docs.join(chosen.select("chosen_id"), "chosen_id", "left_anti").select("text", "lang", "source", "n_chars")
         pool = stored(free.mapInArrow(functools.partial(_pool, known=[t.known for t in targets.values()]), "n long, data binary"), "quality-pool")

@@ -1,7 +1,9 @@
 import hashlib
 import math
+import pickle
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -599,6 +601,22 @@ def test_co_training_goes_both_ways(spark):
     assert after[0] > before[0] and after[1] >= 0.99 and after[2] >= max(after[:2]) - 0.002
 
 
+def test_quality_driver_holds_little_of_the_sample(spark):
+    """The driver's share of a fit: no dense matrices at rest, in the broadcast or of Python's numbers. A labelled row took 18.2 KB of Python's memory at most and 1.9 KB of broadcast, now 7.8 and 0.4."""
+    docs = spark.createDataFrame(planted(2500, 7, 2500), "doc_id long, text string, lang string, source string, n_chars long, y int")
+    labels = docs.selectExpr("doc_id", "y as quality", "1 - y as toxic")
+    sent, plain = [], type(spark.sparkContext).broadcast
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: (sent.append(len(pickle.dumps(value))), plain(self, value))[1])
+        tracemalloc.start()
+        model = quality.fit_quality(docs, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert set(model) == {"quality", "harmless"} and "constant" not in model["quality"]
+    assert len(sent) == quality.ROUNDS and max(sent) < 1_000 * 2500
+    assert peak < 12_000 * 2500
+
+
 def test_quality_scores_are_the_models(spark, docs, rows):
     """Every score against a plain re-computation, a feature at a time, from the fitted parameters."""
     labels = spark.createDataFrame([(i, int(i % 3 > 0), None) for i in range(40)], "doc_id long, quality int, toxic int")
