@@ -24,9 +24,9 @@ def fnv1a_all(items: list[bytes]) -> np.ndarray:
     size = np.fromiter(map(len, items), np.int64, len(items))
     order = np.argsort(-size, kind="stable")
     flat, begin = np.frombuffer(b"".join(items), np.uint8), np.cumsum(size) - size
-    live = size[order]
+    live = -size[order]
     for k in range(int(size.max()) if len(items) else 0):
-        own = order[: np.searchsorted(-live, -k, "left")]  # those longer than k
+        own = order[: np.searchsorted(live, -k, "left")]  # those longer than k
         out[own] = (out[own] ^ flat[begin[own] + k]) * np.uint64(FNV_PRIME)
     return out
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from typing import Protocol
 
 import numpy as np
@@ -22,14 +23,18 @@ class Embedder(Protocol):
     def vectors(self, text: Column) -> Column: ...
 
 
+def words(text: str) -> list[str]:
+    """What stands between spaces, as regex has them: to split() 0x1C to 0x1F are spaces too."""
+    return [w for w in regex.split(r"\s+", text) if w] if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+
+
 def bucket_counts(texts: list[str | None], dim: int) -> np.ndarray:
     """How often words, lower-cased, fall in each bucket by FNV-1a; each distinct word is hashed once."""
-    rows = [regex.split(r"\s+", (t or "").lower()) for t in texts]
-    number: dict[str, int] = {}
-    flat = [number.setdefault(w, len(number)) for row in rows for w in row if w]
-    owner = np.repeat(np.arange(len(rows)), [sum(1 for w in row if w) for row in rows])
-    bucket = (fnv1a_all([w.encode() for w in number]) % np.uint64(dim)).astype(np.int64)
-    place = owner * dim + (bucket[np.array(flat, np.int64)] if flat else np.zeros(0, np.int64))
+    rows = [words((t or "").lower()) for t in texts]
+    flat = list(itertools.chain.from_iterable(rows))
+    distinct = dict.fromkeys(flat)
+    bucket = dict(zip(distinct, (fnv1a_all([w.encode() for w in distinct]) % np.uint64(dim)).tolist(), strict=True))
+    place = np.repeat(np.arange(len(rows)) * dim, list(map(len, rows))) + np.fromiter(map(bucket.__getitem__, flat), np.int64, len(flat))
     return np.bincount(place, minlength=len(rows) * dim).astype(np.float64).reshape(len(rows), dim)
 
 

@@ -48,6 +48,11 @@ def tally(documents: DataFrame) -> DataFrame:
     )
 
 
+def _version() -> Column:
+    """A document with its hash and title as one key that is never null, and that nulls don't make ambiguous."""
+    return F.concat("document_id", *(F.coalesce(F.concat(F.lit(mark), c), F.lit("")) for mark, c in (("h", "content_hash"), ("t", "title"))))
+
+
 COLUMNS = ("path", "title", "mime", "text_kind", "byte_size", "content_hash")
 
 
@@ -80,10 +85,10 @@ def ingest(
     known = old.select(F.col("path_or_url").alias("path"), "content_hash")
     stamp = now_ms if now_ms is not None else time.time_ns() // 1_000_000
     found = incoming(docs, known, expected).withColumn("document_id", document_id(source_id, F.col("path"))).persist(StorageLevel.DISK_ONLY)
-    work = found.filter(F.col("status").isin("new", "changed")).select("path", "content_hash", "title", "document_id")
-    # the texts of changed documents, found again by what was decided on
-    texts = docs.join(work, docs["path"].eqNullSafe(work["path"]) & docs["content_hash"].eqNullSafe(work["content_hash"]) & docs["title"].eqNullSafe(work["title"]))
-    chunks = chunk_documents(texts.select("document_id", "text", "text_kind").dropDuplicates(["document_id"]), config).persist(StorageLevel.DISK_ONLY)
+    work = found.filter(F.col("status").isin("new", "changed")).select("document_id", _version().alias("version")).drop("document_id")
+    # the texts of changed documents, found again by what was decided on: one shuffle by one key for the join and for rows that repeat
+    texts = docs.withColumn("document_id", document_id(source_id, F.col("path"))).select("document_id", "text", "text_kind", _version().alias("version")).join(work, "version", "left_semi")
+    chunks = chunk_documents(texts.dropDuplicates(["version"]), config).persist(StorageLevel.DISK_ONLY)
     counts = chunks.groupBy("document_id").agg(F.count("*").alias("n_chunks"))
     placed = found.join(counts, "document_id", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))
     total = tally(placed).first()
