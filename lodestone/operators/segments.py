@@ -3,12 +3,13 @@
 A segment is written once. Its chunks are dealt to ranges of at most BLOCK chunks that lie together in the input; a block
 holds a term's postings in one range, the largest frequency and the smallest length among them. From these two follows
 the most that the term can add to any score in the range, whatever the corpus' statistics have become. A file holds the
-blocks of some ranges, sorted by term and range: texts are dealt by range once, and postings are grouped where they are made. The
+blocks of some ranges, sorted by term and range within runs of ranges: postings are grouped where texts are read. The
 blocks of a term that stands everywhere lie in many files, and the bounds are read without the postings.
 
-A search has two passes. The first adds up each range's bounds for each query and scores the ranges with the largest ones;
-the k-th best score there is a threshold. The second scores the ranges whose bound reaches it. No other chunk can be
-among the k best, so the result is that of scoring everything, ties included.
+A search hands the terms of its queries, if they are few, to all tasks. Their blocks are dealt by range, and a task scores a
+range for the queries whose bound there reaches the k-th best score that it has seen. For more terms there are two passes: the first
+scores the ranges with the largest bounds, the k-th best score there is a threshold, and the second scores the ranges whose bound
+reaches it. No other chunk can be among the k best, so the result is that of scoring everything, ties included.
 
 A change writes one more segment: the blocks of what was added, and what was removed as a list of chunks (a posting is
 dead if a later segment removed its chunk), with what they take from document frequencies and totals. Only added texts are
@@ -18,20 +19,29 @@ picks the run so that a posting is written a number of times that grows with the
 
 from __future__ import annotations
 
+import functools
 import os
 import uuid
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import tokenize
 from ..schemas import Bm25Config
-from .bm25 import contribution, counted_terms, handed_out, idf, query_terms, top_k
+from .bm25 import MOST_TERMS, SLICE, best_of, contribution, handed, idf, query_terms, top_k
 
 #: Folders of segments are named so, and by a number of their own.
 SEGMENT = "segment"
 #: A range holds 2 ** BLOCK_BITS chunks at most.
 BLOCK_BITS = 7
+#: Tokens that a task groups at once, in whole ranges.
+SLICE_TOKENS = 1 << 20
 #: Ranges that the first pass scores for each query.
 FIRST_RANGES = 8
 #: A segment joins those after it in a merge if it has at most so many times their postings.
@@ -78,7 +88,7 @@ class SegmentedIndex:
         """(term, df) of some terms, from the blocks' counts and what was removed."""
         kept = self.blocks().filter("term <> ''").select("term", F.col("n").alias("df"))
         gone = self._all("removed_terms").select("term", (-F.col("n")).alias("df"))
-        return kept.unionByName(gone).join(terms.select("term").distinct(), "term").groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
+        return kept.unionByName(gone).join(terms, "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
 
     def statistics(self) -> DataFrame:
         """One row: n, total_len, avgdl."""
@@ -102,15 +112,73 @@ def new_segment(under: str) -> str:
     return os.path.join(under, f"{SEGMENT}-{uuid.uuid4().hex}")
 
 
+def _columns(kind: str) -> str:
+    """A block's columns, for chunk ids of a kind."""
+    return f"term string, range long, n long, max_tf long, min_len int, postings array<struct<chunk_id: {kind}, tf: long, len: int, digest: string>>"
+
+
+def _grouped(rows: pa.Table) -> pa.RecordBatch:
+    """Whole ranges of rows (chunk_id, digest, range, tokens) to their blocks, sorted by term and range, each with its postings by chunk_id."""
+    rows = rows.take(pc.sort_indices(rows, [("range", "ascending"), ("chunk_id", "ascending")])).combine_chunks()
+    lists, n = rows["tokens"].combine_chunks(), len(rows)
+    length = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    tokens = lists.flatten().dictionary_encode()
+    terms = pa.concat_arrays([pa.array([""], tokens.dictionary.type), tokens.dictionary])
+    order = pc.sort_indices(terms).to_numpy()  # the term '' comes first
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    each = place[1:][tokens.indices.to_numpy(zero_copy_only=False)] * n + np.repeat(np.arange(n), length)
+    found, tf = np.unique(each, return_counts=True)
+    term, row = np.divmod(np.concatenate([np.arange(n), found]), n)
+    tf, span = np.concatenate([np.zeros(n, np.int64), tf]), rows["range"].to_numpy()[row]
+    new = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (span[1:] != span[:-1])))
+    own = pa.array(row)
+    digests = pa.concat_arrays([rows["digest"].combine_chunks(), pa.nulls(len(found), rows.schema.field("digest").type)])
+    postings = pa.StructArray.from_arrays([rows["chunk_id"].combine_chunks().take(own), pa.array(tf), pa.array(length[row].astype(np.int32)), digests], ["chunk_id", "tf", "len", "digest"])
+    blocks = {
+        "term": terms.take(pa.array(order[term[new]])), "range": pa.array(span[new]), "n": pa.array(np.diff(np.append(new, len(row)))),
+        "max_tf": pa.array(np.maximum.reduceat(tf, new)), "min_len": pa.array(np.minimum.reduceat(length[row], new).astype(np.int32)),
+        "postings": pa.ListArray.from_arrays(pa.array(np.append(new, len(row)), pa.int32()), postings),
+    }
+    return pa.RecordBatch.from_arrays(list(blocks.values()), list(blocks))
+
+
+def _group(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows as _grouped() takes them, of which those of a range follow each other, to blocks: so many tokens at once, and whole ranges."""
+    held, size = [], 0
+    for whole in batches:
+        ends, low = np.cumsum(whole.column(3).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)), 0
+        while low < whole.num_rows:
+            before = int(ends[low - 1]) if low else 0
+            high = min(max(int(np.searchsorted(ends, before + most, "right")), low + 1), whole.num_rows)
+            held.append(pa.Table.from_batches([whole.slice(low, high - low)]))
+            size, low = size + int(ends[high - 1]) - before, high
+            if size >= most:
+                rows = pa.concat_tables(held)
+                span = rows["range"].to_numpy()
+                cut = int(np.flatnonzero(span != span[-1])[-1]) + 1 if span[0] != span[-1] else 0
+                if cut:
+                    yield from _parts(_grouped(rows.slice(0, cut)))
+                    held = [rows.slice(cut).combine_chunks()]
+                    size = int(pc.sum(pc.list_value_length(held[0]["tokens"])).as_py() or 0)
+    if held:
+        yield from _parts(_grouped(pa.concat_tables(held)))
+
+
+def _parts(blocks: pa.RecordBatch, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """A batch in slices, as a reader holds one at a time."""
+    return (blocks.slice(k, rows) for k in range(0, blocks.num_rows, rows))
+
+
 def _blocks(terms: DataFrame) -> DataFrame:
     """Rows (chunk_id, digest, len, range, term, tf), with a row of the term '' for each chunk, to blocks."""
     posting = F.struct("chunk_id", "tf", "len", F.when(F.col("term") == "", F.col("digest")).alias("digest"))
     return terms.groupBy("term", "range").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.sort_array(F.collect_list(posting)).alias("postings"))
 
 
-def _write(spark: SparkSession, path: str, terms: DataFrame, removed: DataFrame, removed_terms: DataFrame, covers: tuple[str, ...] | None = None) -> Segment:
-    """terms as _blocks() takes them; removed (home, chunk_id, len) and removed_terms (home, term, n)."""
-    _blocks(terms).sortWithinPartitions("term", "range").write.parquet(f"{path}/blocks")
+def _write(spark: SparkSession, path: str, blocks: DataFrame, removed: DataFrame, removed_terms: DataFrame, covers: tuple[str, ...] | None = None) -> Segment:
+    """blocks in the files' order; removed (home, chunk_id, len) and removed_terms (home, term, n)."""
+    blocks.write.parquet(f"{path}/blocks")
     removed.write.parquet(f"{path}/removed")
     removed_terms.write.parquet(f"{path}/removed_terms")
     chunks = spark.read.parquet(f"{path}/blocks").filter("term = ''").select("n", F.aggregate("postings", F.lit(0).cast("long"), lambda a, p: a + p["len"]).alias("total_len"))
@@ -133,12 +201,9 @@ def add_segment(index: SegmentedIndex, under: str, added: DataFrame, removed: Da
     Ids that are not in the index are passed over; chunk ids of `added` must not be in the index or must be in `removed`.
     """
     spark, path = index.spark, new_segment(under)
-    # rows that lie together in the input share a range; texts are dealt by range, so that all postings of a range are made, and grouped, in one task
-    numbered = added.select("chunk_id", "text", F.shiftright(F.monotonically_increasing_id(), block_bits).alias("range")).repartition("range").withColumn("digest", digest_of(F.col("text")))
-    terms = counted_terms(numbered, keep=("digest", "range"))
-    own, head = F.struct("term", "tf"), F.struct(F.lit("").alias("term"), F.lit(0).cast("long").alias("tf"))
-    both = F.when(~F.col("first"), F.array(own)).when(F.col("term") == "", F.array(head)).otherwise(F.array(own, head))
-    each = terms.select("chunk_id", "digest", "len", "range", F.explode(both).alias("t")).select("chunk_id", "digest", "len", "range", "t.*")
+    # rows that lie together in the input share a range, so a task that reads them makes and groups all its postings: neither texts nor postings are shuffled
+    ranges = F.shiftright(F.monotonically_increasing_id(), block_bits).alias("range")
+    rows = added.select("chunk_id", digest_of(F.col("text")).alias("digest"), ranges, tokenize(F.col("text")).alias("tokens"))
     kind = added.schema["chunk_id"].dataType.simpleString()
     if removed is None or not index.segments:
         gone, gone_terms = spark.createDataFrame([], f"home string, chunk_id {kind}, len int"), spark.createDataFrame([], "home string, term string, n bigint")
@@ -151,7 +216,8 @@ def add_segment(index: SegmentedIndex, under: str, added: DataFrame, removed: Da
         blocks = index.blocks().filter("term <> ''").join(homes.select("segment", "range").distinct(), ["segment", "range"], "left_semi")
         each_gone = blocks.select("segment", "term", F.explode("postings").alias("p")).select("segment", "term", "p.chunk_id").join(homes.select("segment", "chunk_id"), ["segment", "chunk_id"], "left_semi")
         gone_terms = each_gone.groupBy("segment", "term").agg(F.count("*").alias("n")).select(F.get(names, "segment").alias("home"), "term", "n")
-    return SegmentedIndex(spark, (*index.segments, _write(spark, path, each, gone, gone_terms)))
+    blocks = rows.mapInArrow(functools.partial(_group, most=SLICE_TOKENS), _columns(kind))
+    return SegmentedIndex(spark, (*index.segments, _write(spark, path, blocks, gone, gone_terms)))
 
 
 def tail_to_merge(index: SegmentedIndex) -> int:
@@ -175,7 +241,7 @@ def merged(index: SegmentedIndex, under: str, last: int, *, block_bits: int = BL
     terms = postings.join(kept, ["segment", "chunk_id"]).select("chunk_id", F.when(F.col("term") == "", F.col("digest")).alias("digest"), "len", "range", "term", "tf")
     outside = ~F.col("home").isin(*covers)
     gone, gone_terms = (group._all(t).filter(outside).drop("segment") for t in ("removed", "removed_terms"))
-    return SegmentedIndex(spark, (*before, _write(spark, path, terms, gone, gone_terms, covers)))
+    return SegmentedIndex(spark, (*before, _write(spark, path, _blocks(terms).sortWithinPartitions("term", "range"), gone, gone_terms, covers)))
 
 
 def refreshed(index: SegmentedIndex, chunks: DataFrame, under: str, *, block_bits: int = BLOCK_BITS) -> SegmentedIndex:
@@ -192,11 +258,17 @@ def refreshed(index: SegmentedIndex, chunks: DataFrame, under: str, *, block_bit
     return merged(out, under, tail_to_merge(out), block_bits=block_bits)
 
 
-def weighed_terms(index: SegmentedIndex, queries: DataFrame) -> DataFrame:
-    """(query_id, term, weight, avgdl): a term's idf as often as the query has it."""
+def weighed_terms(index: SegmentedIndex, queries: DataFrame) -> tuple[DataFrame, bool]:
+    """(query_id, term, weight, avgdl), a term's idf as often as the query has it, and whether these are few.
+
+    Few rows are fetched once and handed out, so that no step shuffles blocks to meet them or counts frequencies again.
+    """
     asked = query_terms(queries)
-    terms = handed_out(asked)(asked).join(index.frequencies(asked), "term").crossJoin(F.broadcast(index.statistics()))  # one row of statistics
-    return terms.select("query_id", "term", "avgdl", (F.col("qtf") * idf(F.col("n"), F.col("df"))).alias("weight"))
+    few = asked.limit(MOST_TERMS + 1).count() <= MOST_TERMS
+    asked = F.broadcast(asked) if few else asked
+    terms = asked.join(index.frequencies(asked), "term").crossJoin(F.broadcast(index.statistics()))  # one row of statistics
+    weighed = terms.select("query_id", "term", "avgdl", (F.col("qtf") * idf(F.col("n"), F.col("df"))).alias("weight"))
+    return (F.broadcast(index.spark.createDataFrame(weighed.collect(), weighed.schema)) if few else weighed), few  # at most MOST_TERMS rows
 
 
 def range_bounds(index: SegmentedIndex, weighed: DataFrame, config: Bm25Config) -> DataFrame:
@@ -216,29 +288,133 @@ def _scored(index: SegmentedIndex, weighed: DataFrame, ranges: DataFrame, config
     return (scores if digits is None else scores.withColumn("score", F.round("score", digits))).filter("score > 0")
 
 
+def _whole_ranges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows (segment, range, ...) in their order, in tables of whole ranges."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            rows = pa.Table.from_batches([*held, batch])
+            segment, span = rows["segment"].to_numpy(), rows["range"].to_numpy()
+            before = np.flatnonzero((segment != segment[-1]) | (span != span[-1]))
+            cut = int(before[-1]) + 1 if len(before) else 0
+            if cut:
+                yield rows.slice(0, cut)
+            held = rows.slice(cut).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _best_of_ranges(batches: Iterable[pa.RecordBatch], asked: Broadcast, k: int, c: Bm25Config, margin: float) -> Iterator[pa.RecordBatch]:
+    """Blocks (segment, range, term, max_tf, min_len, postings) by segment and range to the best chunks of each query: number, chunk_id, score.
+
+    A range is scored for the queries whose bound there reaches the k-th best score so far. The block of no term lists dead chunks.
+    """
+    terms, begins, numbers, weights, n, avgdl = asked.value
+    floor, held, size = np.zeros(n), [], 0
+
+    def gain(f: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return f * (c.k1 + 1) / (f + c.k1 * (1 - c.b + c.b * length / max(avgdl, 1e-9)))
+
+    def pairs(term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the terms, and where in the queries' terms, for each query that has it."""
+        each = begins[term + 1] - begins[term]
+        return np.repeat(np.arange(len(term)), each), np.arange(int(each.sum())) + np.repeat(begins[term] - np.cumsum(each) + each, each)
+
+    for rows in _whole_ranges(batches):
+        rows = rows.combine_chunks()
+        place = pc.index_in(rows["term"].combine_chunks(), value_set=terms).fill_null(-1).to_numpy()
+        key = [rows[name].to_numpy() for name in ("segment", "range")]
+        span = np.cumsum(np.append(False, (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])))
+        heads = np.flatnonzero(place >= 0)
+        of, at = pairs(place[heads])
+        most = weights[at] * gain(*(rows[name].to_numpy(zero_copy_only=False)[heads[of]].astype(np.float64) for name in ("max_tf", "min_len")))
+        reached, which = np.unique(span[heads[of]] * n + numbers[at], return_inverse=True)
+        reached = reached[np.bincount(which, most, len(reached)) * (1 + 1e-9) + margin >= floor[reached % n]]
+        lists = rows["postings"].combine_chunks()
+        items, block = lists.flatten(), np.repeat(np.arange(len(rows)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        chunk = items.field("chunk_id").dictionary_encode()
+        row = span[block] * len(chunk.dictionary) + chunk.indices.to_numpy(zero_copy_only=False)
+        good = (place[block] >= 0) & ~np.isin(row, row[place[block] < 0])
+        order = np.flatnonzero(good)[np.argsort(row[good], kind="stable")]
+        row, block = row[order], block[order]
+        part = gain(*(items.field(name).to_numpy(zero_copy_only=False)[order].astype(np.float64) for name in ("tf", "len")))
+        each = begins[place[block] + 1] - begins[place[block]]
+        firsts, low = np.flatnonzero(np.append(row[:1] >= 0, row[1:] != row[:-1])), 0  # of each chunk's postings
+        ends = np.concatenate([[0], np.cumsum(np.add.reduceat(each, firsts))]) if len(firsts) else np.zeros(1, np.int64)
+        firsts = np.append(firsts, len(row))
+        while low < len(firsts) - 1:
+            high = min(max(int(np.searchsorted(ends, ends[low] + SLICE, "right")) - 1, low + 1), len(firsts) - 1)
+            own = slice(firsts[low], firsts[high])
+            of, at = pairs(place[block[own]])
+            keep = np.isin(span[block[own]][of] * n + numbers[at], reached)
+            of, at = of[keep], at[keep]
+            cell, which = np.unique(row[own][of] * n + numbers[at], return_inverse=True)
+            score = np.bincount(which, weights[at] * part[own][of], len(cell))
+            where, query = np.divmod(cell, n)
+            keep = (score > 0) & (score >= floor[query] - margin)
+            names = chunk.dictionary.take(pa.array(where[keep] % len(chunk.dictionary)))
+            held.append(pa.table([pa.array(query[keep]), names, pa.array(score[keep])], ["number", "chunk_id", "score"]))
+            size, low = size + int(keep.sum()), high
+            if size > 4 * n * k + SLICE // 16:
+                best, some, least = best_of(pa.concat_tables(held).combine_chunks(), k, margin)
+                floor[some] = least
+                held, size = [best], best.num_rows
+    if size:
+        yield from best_of(pa.concat_tables(held).combine_chunks(), k, margin)[0].combine_chunks().to_batches()
+
+
+def _few_searched(index: SegmentedIndex, weighed: DataFrame, k: int, config: Bm25Config, digits: int | None) -> DataFrame:
+    """block_search() for a few queries, whose terms every task gets: the blocks of these terms cross one shuffle by range, and each task keeps the best of each query."""
+    spark = index.spark
+    blocks = index.blocks().select("segment", "range", "term", "max_tf", "min_len", "postings")
+    own = blocks.join(F.broadcast(weighed.select("term").distinct()), "term", "left_semi")
+    if len(index.segments) > 1:
+        last = index.removed().groupBy("chunk_id").agg(F.max("segment").alias("by"))
+        each = blocks.filter("term = ''").select("segment", "range", F.explode("postings").alias("p")).withColumn("chunk_id", F.col("p.chunk_id"))
+        dead = each.join(last, "chunk_id").filter(F.col("segment") < F.col("by")).groupBy("segment", "range").agg(F.collect_list("p").alias("postings"))  # a range's at most
+        own = own.unionByName(dead.withColumn("term", F.lit("")), allowMissingColumns=True)
+    dealt = own.select(blocks.columns).repartition("segment", "range").sortWithinPartitions("segment", "range")
+    shared, ids = handed(spark, weighed.collect())  # at most MOST_TERMS rows
+    kinds = [blocks.schema["postings"].dataType.elementType["chunk_id"].dataType.simpleString(), weighed.schema["query_id"].dataType.simpleString()]
+    found = dealt.mapInArrow(functools.partial(_best_of_ranges, asked=shared, k=k, c=config, margin=_slack(digits)), f"number long, chunk_id {kinds[0]}, score double")
+    names = spark.createDataFrame(list(enumerate(ids)), f"number long, query_id {kinds[1]}")
+    return top_k(found.join(F.broadcast(names), "number").select("query_id", "chunk_id", "score"), k, digits=digits)
+
+
+def _reaching(bounds: DataFrame, threshold: DataFrame, digits: int | None) -> DataFrame:
+    """The ranges whose bound reaches the threshold of their query."""
+    return bounds.join(threshold, "query_id", "left").filter(F.col("least").isNull() | (F.col("bound") * (1 + 1e-9) + _slack(digits) >= F.col("least")))
+
+
+def _slack(digits: int | None) -> float:
+    """What scores may differ by: sums of the same numbers in another order differ in their last bits, and rounded scores by half a unit."""
+    return 1e-9 if digits is None else 10.0**-digits
+
+
 def passes(index: SegmentedIndex, queries: DataFrame, k: int, config: Bm25Config | None = None, *, digits: int | None = None, first_ranges: int = FIRST_RANGES) -> tuple[DataFrame, DataFrame]:
     """The ranges that the first and the second pass score: (query_id, segment, range, n)."""
-    return _passes(index, weighed_terms(index, queries), k, config or Bm25Config(), digits, first_ranges)[:2]
+    return _passes(index, weighed_terms(index, queries)[0], k, config or Bm25Config(), digits, first_ranges)[:2]
 
 
 def _passes(index: SegmentedIndex, weighed: DataFrame, k: int, config: Bm25Config, digits: int | None, first_ranges: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The ranges of both passes and the first pass' scores."""
     bounds = range_bounds(index, weighed, config)
     largest = Window.partitionBy("query_id").orderBy(F.desc("bound"), "segment", "range")
     nth = bounds.withColumn("nth", F.row_number().over(largest))
     first = nth.filter(F.col("nth") <= first_ranges)
     scored = _scored(index, weighed, first.select("query_id", "segment", "range"), config, digits)
     threshold = top_k(scored, k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
-    # sums of the same numbers in another order differ in their last bits, and rounded scores by half a unit
-    slack = 1e-9 if digits is None else 10.0**-digits
-    rest = bounds.join(first.select("query_id", "segment", "range"), ["query_id", "segment", "range"], "left_anti").join(threshold, "query_id", "left")
-    second = rest.filter(F.col("least").isNull() | (F.col("bound") * (1 + 1e-9) + slack >= F.col("least")))
+    rest = bounds.join(first.select("query_id", "segment", "range"), ["query_id", "segment", "range"], "left_anti")
+    second = _reaching(rest, threshold, digits)
     return first.select("query_id", "segment", "range", "n"), second.select("query_id", "segment", "range", "n"), scored
 
 
 def block_search(index: SegmentedIndex, queries: DataFrame, k: int, config: Bm25Config | None = None, *, digits: int | None = None, first_ranges: int = FIRST_RANGES) -> DataFrame:
     """queries (query_id, text) to (query_id, chunk_id, score, rank), as bm25_search() gives it."""
     c = config or Bm25Config()
-    weighed = weighed_terms(index, queries)
+    weighed, few = weighed_terms(index, queries)
+    if few and k > 0 and not weighed.isEmpty():
+        return _few_searched(index, weighed, k, c, digits)
     _, second, scored = _passes(index, weighed, k, c, digits, first_ranges)
     more = _scored(index, weighed, second.select("query_id", "segment", "range"), c, digits)
     return top_k(scored.unionByName(more), k)
