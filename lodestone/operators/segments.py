@@ -42,6 +42,8 @@ SEGMENT = "segment"
 BLOCK_BITS = 7
 #: Tokens that a task groups at once, in whole ranges.
 SLICE_TOKENS = 1 << 20
+#: Removed chunks whose lists every task gets, at most; more of them meet the blocks in a shuffle.
+MOST_REMOVED = 200_000
 #: Ranges that the first pass scores for each query.
 FIRST_RANGES = 8
 #: A segment joins those after it in a merge if it has at most so many times their postings.
@@ -212,10 +214,12 @@ def add_segment(index: SegmentedIndex, under: str, added: DataFrame, removed: Da
         wanted = removed.select("chunk_id").distinct()
         homes = index.live(index.blocks().filter("term = ''").select("segment", "range", F.explode("postings").alias("p")).select("segment", "range", "p.chunk_id", "p.len").join(wanted, "chunk_id", "left_semi"))
         gone = homes.select(F.get(names, "segment").alias("home"), "chunk_id", "len")
-        # their terms, from the blocks of their ranges
-        blocks = index.blocks().filter("term <> ''").join(homes.select("segment", "range").distinct(), ["segment", "range"], "left_semi")
-        each_gone = blocks.select("segment", "term", F.explode("postings").alias("p")).select("segment", "term", "p.chunk_id").join(homes.select("segment", "chunk_id"), ["segment", "chunk_id"], "left_semi")
-        gone_terms = each_gone.groupBy("segment", "term").agg(F.count("*").alias("n")).select(F.get(names, "segment").alias("home"), "term", "n")
+        # their terms, from the blocks of their ranges, each of which meets the list of its range; few lists are handed out
+        lists = homes.groupBy("segment", "range").agg(F.collect_set("chunk_id").alias("gone"))  # a range's chunks at most
+        lists = F.broadcast(lists) if homes.limit(MOST_REMOVED + 1).count() <= MOST_REMOVED else lists
+        met = index.blocks().filter("term <> ''").join(lists, ["segment", "range"])
+        counts = met.select("segment", "term", F.size(F.filter("postings", lambda p: F.array_contains(F.col("gone"), p["chunk_id"]))).cast("long").alias("n")).filter("n > 0")
+        gone_terms = counts.groupBy("segment", "term").agg(F.sum("n").alias("n")).select(F.get(names, "segment").alias("home"), "term", "n")
     blocks = rows.mapInArrow(functools.partial(_group, most=SLICE_TOKENS), _columns(kind))
     return SegmentedIndex(spark, (*index.segments, _write(spark, path, blocks, gone, gone_terms)))
 
